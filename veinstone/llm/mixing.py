@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, save
+from .common import read, save, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the hash a histogram adds, and how many histograms there are.
@@ -46,7 +46,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     t = t.withColumn("capped", F.sum("most").over(by_ratio.rowsBetween(Window.unboundedPreceding, 0)) - F.col("most"))
     t = t.withColumn("open", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
     t = t.withColumn("level", (F.col("total") - F.col("capped")) / F.col("open"))
-    t = t.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
+    t = t.withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
     return t.select("source", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
 
 
@@ -62,7 +62,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1
     for level in range(1, LEVELS + 1):
         wide = 1 << (BITS * (LEVELS - level))
         live = edge.select(F.col("source").alias("s"), "low", "rest")
-        near = sized.join(F.broadcast(live) if level == 1 else live, F.col("source").eqNullSafe(F.col("s")) & (F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + wide * (1 << BITS)))
+        near = sized.join(small(live), F.col("source").eqNullSafe(F.col("s")) & (F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + wide * (1 << BITS)))
         cells = near.groupBy("source", "low", "rest", F.floor((F.col("h") - F.col("low")) / wide).alias("cell")).agg(F.sum("size").alias("words"))
         run = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
         cells = cells.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
@@ -102,7 +102,7 @@ l AS (
   SELECT *, (total - (sum(most) OVER (ORDER BY ratio, source NULLS LAST ROWS UNBOUNDED PRECEDING) - most))
             / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM r
-), t AS (SELECT *, least(most, coalesce(min(CASE WHEN level <= ratio THEN level END) OVER () * weight, most)) AS target FROM l),
+), t AS (SELECT *, least(most, coalesce(max(CASE WHEN level <= ratio THEN level END) OVER () * weight, most)) AS target FROM l),
 w AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 g AS (
   SELECT source, h, CAST(sum(size) AS BIGINT) AS inside, CAST(sum(sum(size)) OVER (PARTITION BY source ORDER BY h) - sum(size) AS BIGINT) AS before
