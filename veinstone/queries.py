@@ -1,10 +1,497 @@
-"""Registered queries and their SQL."""
+"""Registered queries, one or more for each operator, and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions.json_scan import extract_json
+from .functions.vectors import cosine, hashed_unit_vector
+from .operators import evidence as E
+from .operators import filters as P
+from .operators import quality as V
+from .operators import recommend as G
+from .operators import retrieval as R
+from .plans import lexicon as X
+from .plans.engine import Engine
+from .plans.plan import fallback_plan
+from .sources.corpus import evidence_items, experts, explode_points, fixtures, points, source_texts, table
+from .sources.sinks import feedback_rows
+from .streaming.queries import feedback_counts
+
 QUERIES: dict = {}
 SQL: dict = {}
+ASPECTS, GENERIC, YEAR = ["blue bolt", "small"], ["economy"], 2001
+TERMS, WIDE = ["the", "and", "with"], ["the", "and", "with", "that"]
+LIMITS = R.Limits(cutoff=0.0)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def strings(a: F.Column) -> F.Column:
+    return F.array_join(a, "|")
+
+
+# --- functions -------------------------------------------------------------------------------------------
+
+
+@query("SELECT n_nationkey, nullif(upper(regexp_replace(regexp_replace(regexp_replace(concat('주식회사 ', n_name, ' (seoul) [x]'), '\\([^)]*\\)|\\[[^\\]]*\\]', '', 'g'), '주식회사|유한회사|사단법인|재단법인', '', 'g'), '[^0-9A-Za-z가-힣]', '', 'g')), '') AS org FROM nation")
+def org_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select("n_nationkey", T.normalize_org(F.concat(F.lit("주식회사 "), "n_name", F.lit(" (seoul) [x]"))).alias("org"))
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))) AS collapsed, md5(lower(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')))) AS folded, md5(replace(lower(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))), ' ', '')) AS compacted FROM documents")
+def text_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(T.collapse("text")).alias("collapsed"), F.md5(T.fold("text")).alias("folded"), F.md5(T.compact("text")).alias("compacted"))
+
+
+@query("SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z가-힣]+')) AS term FROM documents) GROUP BY 1, 2")
+def term_counts(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("point_id"), F.lit("").alias("branch"), F.lower("text").alias("content_text"))
+    return R.postings(docs).select(F.col("point_id").alias("doc_id"), "term", "tf")
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: list_position(w, x[1]) = x[2]), lambda x: x[1]), '|') AS kw FROM (SELECT p_partkey, string_split(concat(p_name, ' ', p_type, ' ', p_name), ' ') AS w FROM part)")
+def keyword_unique(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", strings(T.keywords(F.array(F.concat_ws(" ", "p_name", "p_type"), F.col("p_name")))).alias("kw"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: list_position(w, x[1]) = x[2]), lambda x: x[1]), lambda x: length(x) >= 2), '|') AS toks FROM (SELECT doc_id, string_split(trim(regexp_replace(substr(text, 1, 200), '[\s\p{Z}]+', ' ', 'g')), ' ') AS w FROM documents)")
+def fallback_tokens(spark: SparkSession, d: str) -> DataFrame:
+    # F15 works on queries, which are short: the query is the text's first line.
+    return table(spark, d, "documents").select("doc_id", strings(T.fallback_tokens(F.substring("text", 1, 200))).alias("toks"))
+
+
+@query(r"SELECT p_partkey, trim(regexp_replace(regexp_replace(concat(p_name, ' expert  ', p_type), '(?i)\b(small bolt|economy|expert|bolt|red)\b', ' ', 'g'), '\s+', ' ', 'g')) AS stripped FROM part")
+def strip_terms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", T.strip_terms(F.concat(F.col("p_name"), F.lit(" expert  "), F.col("p_type")), ["expert", "economy", "small bolt", "bolt", "red"]).alias("stripped"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(['economy', 'small', 'blue', 'bolt', 'red'], lambda t: contains(lower(concat(p_name, ' ', p_type)), t)), '|') AS found FROM part")
+def query_terms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", strings(T.query_terms(F.concat_ws(" ", "p_name", "p_type"), ["red", "blue", "bolt", "small", "economy"])).alias("found"))
+
+
+@query("SELECT o_orderkey, TRY_CAST(substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 1, 4) AS INTEGER) AS year, concat(CAST(CAST(DATE '1899-12-30' + CAST(30000 + o_orderkey % 9000 AS INTEGER) AS DATE) AS VARCHAR), 'T00:00:00Z') AS serial, concat(substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 1, 7), '-01T00:00:00Z') AS month FROM orders")
+def dates(spark: SparkSession, d: str) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, d, "orders").select("o_orderkey", T.year(day).alias("year"), T.rfc3339((30000 + F.col("o_orderkey") % 9000).cast("string")).alias("serial"), T.rfc3339(F.substring(day, 1, 7)).alias("month"))
+
+
+@query(r"SELECT doc_id, CASE WHEN length(t) > 120 THEN concat(rtrim(substr(t, 1, 117)), '...') ELSE t END AS cut, CAST(greatest(1, round_even(length(text) / 4, 0)) AS INTEGER) AS tokens FROM (SELECT doc_id, text, trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')) AS t FROM documents)")
+def truncate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.truncate("text", 120).alias("cut"), T.token_estimate("text").alias("tokens"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, lang, trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')) AS t FROM documents),
+p AS (SELECT *, CASE WHEN strpos(lower(t), 'thing') > 0 THEN strpos(lower(t), 'thing') WHEN strpos(lower(t), 'des') > 0 THEN strpos(lower(t), 'des') END AS pos FROM t)
+SELECT doc_id, concat('[lang: ', lang, ']', chr(10), CASE WHEN length(t) <= 500 THEN substr(t, 1, 1000) WHEN pos IS NULL THEN concat(substr(t, 1, 1000), '...')
+  ELSE concat(CASE WHEN pos > 201 THEN '...' ELSE '' END, substr(t, greatest(1, pos - 200), least(length(t), pos + 599) - greatest(1, pos - 200) + 1), CASE WHEN pos + 599 < length(t) THEN '...' ELSE '' END) END) AS snippet FROM p""")
+def snippet(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.snippet("text", F.array(F.lit("thing"), F.lit("des")), {"lang": F.col("lang")}).alias("snippet"))
+
+
+@query("""
+WITH w AS (SELECT p_partkey, i, CAST(concat('0x', substr(sha256(concat(p_name, '::', CAST(i // 8 AS VARCHAR))), CAST((i % 8) * 8 + 1 AS BIGINT), 8)) AS BIGINT) / 4294967296.0::DOUBLE - 0.5::DOUBLE AS x FROM part, range(16) t(i))
+SELECT p_partkey, CAST(i AS INTEGER) AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY p_partkey)), 9) AS x FROM w""")
+def hash_vector(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "part").select("p_partkey", F.posexplode(hashed_unit_vector(F.col("p_name"), 16)).alias("i", "x"))
+    return v.select("p_partkey", "i", F.round("x", 9).alias("x"))
+
+
+@query("SELECT page_id, CAST(concat('0x', substr(sha256(url), 1, 8)) AS BIGINT) AS seed FROM pages")
+def seed32(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", T.seed32("url").alias("seed"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def json_object(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat(F.lit("<thinking>{no}</thinking> so {x ```json\n"), "props", F.lit("\n``` done"))
+    return table(spark, d, "events").select("event_id", F.get_json_object(extract_json(raw), "$.k").cast("int").alias("k"))
+
+
+@query("SELECT doc_id, array_to_string(list_transform(list_filter(string_split(substr(text, 1, 300), chr(10)), lambda x: trim(x) <> ''), lambda x: trim(x)), ', ') AS line FROM documents")
+def multiline(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.multiline(F.substring("text", 1, 300)).alias("line"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size END AS n, CASE WHEN p_size % 4 <> 0 THEN p_size END AS m, CASE WHEN p_size % 2 = 0 THEN p_name WHEN p_size % 3 = 0 THEN p_type ELSE 'Untitled project' END AS title, CASE WHEN p_size % 4 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END AS list FROM part")
+def coercions(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    raw = F.when(F.col("p_size") % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string")))
+    first = F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("")
+    second = F.when(F.col("p_size") % 3 == 0, F.col("p_type"))
+    return p.select("p_partkey", T.int_or_zero(raw).alias("n"), T.int_or_null(raw).alias("m"), T.display_title(first, second).alias("title"), strings(T.string_list(F.array(raw))).alias("list"))
+
+
+@query("SELECT vec_id, concat(CASE vec_id % 4 WHEN 0 THEN 'basic' WHEN 1 THEN 'art' WHEN 2 THEN 'pat' ELSE 'pjt' END) AS branch, len(embedding) AS n FROM embeddings")
+def branch_inference(spark: SparkSession, d: str) -> DataFrame:
+    b = F.element_at(F.array(*map(F.lit, X.BRANCHES)), (F.col("vec_id") % 4 + 1).cast("int"))
+    pid = F.concat_ws("_", "vec_id", b, F.when(F.col("vec_id") % 4 > 0, F.lit("0")))
+    return table(spark, d, "embeddings").select("vec_id", T.branch_of(pid).alias("branch"), F.size("embedding").cast("long").alias("n"))
+
+
+@query("SELECT l.l_orderkey, l.l_linenumber, CASE WHEN p_type = 'ECONOMY' OR p_name = 'small bolt' THEN true ELSE false END AS generic FROM lineitem l JOIN part ON p_partkey = l_partkey")
+def generic_aspect(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    t = F.when(F.col("p_type") == "ECONOMY", F.lit("Economy  system")).otherwise(F.col("p_name"))
+    return own.select("l_orderkey", "l_linenumber", T.is_generic(t, ["small bolt"], ["economy", "system"]).alias("generic"))
+
+
+# --- filters ---------------------------------------------------------------------------------------------
+
+EXPERTS = """
+o AS (SELECT *, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders),
+pr AS (SELECT o_orderkey, o_custkey, day, CAST(CAST(max(l_shipdate) AS DATE) AS VARCHAR) AS endd FROM o JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 2 GROUP BY ALL),
+x AS (SELECT c_custkey AS expert_id, c_mktsegment AS degree, n_name AS org, c_name AS name,
+  (SELECT count(*) FROM o WHERE o_custkey = c_custkey AND o_orderkey % 3 = 0) AS article_cnt,
+  (SELECT count(*) FROM o WHERE o_custkey = c_custkey AND o_orderkey % 3 = 0 AND o_orderpriority = '1-URGENT') AS scie_cnt,
+  (SELECT count(*) FROM o WHERE o_custkey = c_custkey AND o_orderkey % 3 = 1) AS patent_cnt,
+  (SELECT count(*) FROM pr WHERE o_custkey = c_custkey) AS project_cnt FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey)
+"""
+
+
+def filtered(name: str, where: str, filters: dict, **kw) -> None:
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return P.apply_filters(experts(spark, d), filters, as_of=YEAR, **kw).select("expert_id")
+
+    f.__name__ = name
+    query(f"WITH {EXPERTS} SELECT expert_id FROM x WHERE {where}")(f)
+
+
+filtered("filter_degree", "degree IN ('BUILDING', 'MACHINERY')", {"degree_slct_nm": ["BUILDING", "MACHINERY"]})
+filtered("filter_min_counts", "article_cnt >= 2 AND scie_cnt >= 1 AND patent_cnt >= 1 AND project_cnt >= 0", {"article_cnt_min": 2, "scie_cnt_min": 1, "patent_cnt_min": 1, "project_cnt_min": 0})
+filtered("filter_nested_exists", "EXISTS (SELECT 1 FROM o WHERE o_custkey = expert_id AND o_orderkey % 3 = 0 AND o_orderpriority = '1-URGENT' AND day >= '1998-01-01') AND EXISTS (SELECT 1 FROM o WHERE o_custkey = expert_id AND o_orderkey % 3 = 1 AND o_orderstatus = 'F')", {"art_sci_slct_nm": "1-URGENT", "art_recent_years": 3, "pat_reg_slct_nm": "F"})
+filtered("filter_recency_pool", "EXISTS (SELECT 1 FROM o WHERE o_custkey = expert_id AND o_orderkey % 3 IN (0, 1) AND day >= '2001-01-01') OR EXISTS (SELECT 1 FROM pr WHERE o_custkey = expert_id AND endd >= '2001-01-01')", {"art_recent_years": 0.5, "pat_recent_years": 0.5, "pjt_recent_years": 0.5})
+filtered("filter_recency_single", "EXISTS (SELECT 1 FROM pr WHERE o_custkey = expert_id AND endd >= '1999-01-01')", {"pjt_recent_years": 2})
+filtered("filter_include_org", "org = 'NATION_3'", {}, include=["nation 3"])
+filtered("filter_include_any", "org IN ('NATION_3', 'NATION_4')", {}, include=["nation_3", "NATION-4"], include_any=True)
+filtered("filter_exclude_org", "org IS NULL OR org <> 'NATION_3'", {}, exclude=["(주) nation_3"])
+filtered("filter_none", "true", {})
+
+
+@query(f"WITH {EXPERTS} SELECT expert_id FROM x WHERE NOT contains(coalesce(replace(org, '_', ''), ''), 'NATION1')")
+def post_filter_contains(spark: SparkSession, d: str) -> DataFrame:
+    return P.drop_containing(experts(spark, d), ["nation 1"]).select("expert_id")
+
+
+# --- points, cards, quality ------------------------------------------------------------------------------
+
+
+@query(f"WITH {EXPERTS} SELECT concat(expert_id, '_basic') AS point_id, 'basic' AS branch FROM x UNION ALL SELECT concat(o_custkey, CASE o_orderkey % 3 WHEN 0 THEN '_art_' ELSE '_pat_' END, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderkey) - 1), CASE o_orderkey % 3 WHEN 0 THEN 'art' ELSE 'pat' END FROM o JOIN x ON o_custkey = expert_id WHERE o_orderkey % 3 < 2 UNION ALL SELECT concat(o_custkey, '_pjt_', row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1), 'pjt' FROM pr JOIN x ON o_custkey = expert_id")
+def points_explode(spark: SparkSession, d: str) -> DataFrame:
+    return explode_points(experts(spark, d)).select("point_id", "branch")
+
+
+@query(f"WITH {EXPERTS} SELECT expert_id, coalesce((SELECT string_agg(concat('Paper ', o_orderkey), chr(10) ORDER BY o_orderkey) FROM o WHERE o_custkey = expert_id AND o_orderkey % 3 = 0), '논문 근거 부족') AS art, coalesce((SELECT string_agg(concat('Patent ', o_orderkey), chr(10) ORDER BY o_orderkey) FROM o WHERE o_custkey = expert_id AND o_orderkey % 3 = 1), '특허 근거 부족') AS pat, coalesce((SELECT string_agg(concat('Project ', o_orderkey), chr(10) ORDER BY o_orderkey) FROM pr WHERE o_custkey = expert_id), '과제 근거 부족') AS pjt FROM x")
+def branch_texts(spark: SparkSession, d: str) -> DataFrame:
+    return source_texts(experts(spark, d))
+
+
+@query(f"WITH {EXPERTS} SELECT expert_id, false AS basic, article_cnt > 0 AS art, patent_cnt > 0 AS pat, project_cnt > 0 AS pjt FROM x")
+def presence_flags(spark: SparkSession, d: str) -> DataFrame:
+    return E.presence(experts(spark, d))
+
+
+@query(f"WITH {EXPERTS} SELECT expert_id, concat_ws('|', CASE WHEN article_cnt = 0 THEN 'Publication evidence is missing.' END, CASE WHEN patent_cnt = 0 THEN 'Patent evidence is missing.' END, CASE WHEN project_cnt = 0 THEN 'Project evidence is missing.' END) AS data_gaps, CASE WHEN (article_cnt = 0)::INT + (patent_cnt = 0)::INT + (project_cnt = 0)::INT >= 2 THEN 'Evidence coverage is limited.' ELSE '' END AS risks, concat('Degree filter matched: ', degree, '|Project count: ', project_cnt) AS matched FROM x")
+def card_notes(spark: SparkSession, d: str) -> DataFrame:
+    own = E.cards(experts(spark, d), {"degree_slct_nm": "x", "project_cnt_min": 0})
+    return own.select("expert_id", strings("data_gaps").alias("data_gaps"), strings("risks").alias("risks"), strings("matched_filters").alias("matched"))
+
+
+@query(f"WITH {EXPERTS} SELECT expert_id, (SELECT string_agg(concat('Paper ', o_orderkey), '|' ORDER BY day DESC, concat('Paper ', o_orderkey) DESC) FROM o WHERE o_custkey = expert_id AND o_orderkey % 3 = 0) AS papers, (SELECT string_agg(concat('Project ', o_orderkey), '|' ORDER BY endd DESC, concat('Project ', o_orderkey) DESC) FROM pr WHERE o_custkey = expert_id) AS projects FROM x")
+def nested_sort_latest(spark: SparkSession, d: str) -> DataFrame:
+    titles = lambda c: F.nullif(strings(F.transform(c, lambda x: x["title"])), F.lit(""))
+    return E.cards(experts(spark, d)).select("expert_id", titles("publications").alias("papers"), titles("projects").alias("projects"))
+
+
+@query(f"WITH {EXPERTS} SELECT count(*) FILTER (name <> '') AS has_name, count(*) FILTER (org <> '') AS has_org, count(*) FILTER (article_cnt > 0) AS has_papers, count(*) FILTER (patent_cnt > 0) AS has_patents, count(*) FILTER (project_cnt > 0) AS has_projects, count(*) FILTER (project_cnt > 0) AS projects_dated, count(*) AS n FROM x")
+def completeness_report(spark: SparkSession, d: str) -> DataFrame:
+    return V.fulfilled(V.completeness(experts(spark, d)))
+
+
+@query(f"WITH {EXPERTS}, s AS (SELECT expert_id, (name <> '')::INT + coalesce((org <> '')::INT, 0) + (article_cnt > 0)::INT + (patent_cnt > 0)::INT + 2 * (project_cnt > 0)::INT AS score, name <> '' AND org <> '' AND article_cnt > 0 AND project_cnt > 0 AS ready FROM x) SELECT expert_id, CAST(score AS INTEGER) AS score, ready, '' AS issues FROM s ORDER BY score DESC, expert_id LIMIT 1")
+def best_sample(spark: SparkSession, d: str) -> DataFrame:
+    return V.report(V.completeness(experts(spark, d))).select("expert_id", "score", "ready", strings("issues").alias("issues"))
+
+
+@query("SELECT * FROM (VALUES (11008395, 7), (11008396, 8), (11008397, 8), (11008398, 5), (11008399, 9), (11008400, 7), (11008401, 2)) t(expert_id, n_points)")
+def synthetic_fixtures(spark: SparkSession, d: str) -> DataFrame:
+    return explode_points(fixtures(spark)).groupBy("expert_id").agg(F.count(F.lit(1)).cast("int").alias("n_points")).select(F.col("expert_id").cast("int").alias("expert_id"), "n_points")
+
+
+# --- retrieval -------------------------------------------------------------------------------------------
+
+POINTS = """
+p AS (SELECT doc_id AS point_id, source AS expert_id, CASE lang WHEN 'es' THEN 'basic' WHEN 'en' THEN 'art' WHEN 'fr' THEN 'pat' ELSE 'pjt' END AS branch, embedding, regexp_extract_all(lower(text), '[0-9a-z가-힣]+') AS toks FROM documents JOIN embeddings ON doc_id = vec_id),
+st AS (SELECT count(*) AS n, avg(len(toks)) AS al, {df} FROM p),
+sc AS (SELECT p.*, {sparse} FROM p, st)
+"""
+
+
+def _bm(terms: list[str], name: str) -> str:
+    f = lambda w: f"len(list_filter(toks, lambda t: t = '{w}'))"
+    return "round(0.0::DOUBLE + " + " + ".join(f"ln(1 + (n - df_{w} + 0.5::DOUBLE) / (df_{w} + 0.5::DOUBLE)) * {f(w)} * 2.2::DOUBLE / ({f(w)} + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len(toks) / al))" for w in terms) + f", 6) AS {name}"
+
+
+POINTS = POINTS.format(df=", ".join(f"count(*) FILTER (list_contains(toks, '{w}')) AS df_{w}" for w in WIDE), sparse=_bm(TERMS, "s1") + ", " + _bm(WIDE, "s2"))
+COS = "round(list_dot_product(CAST(sc.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(sc.embedding AS DOUBLE[]), CAST(sc.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 6)"
+TASKS = f"""
+t AS (SELECT point_id, expert_id, branch, 'stable' AS path, s1 AS sparse, {COS} AS dense FROM sc, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+      UNION ALL SELECT point_id, expert_id, branch, 'expanded', s2, {COS} FROM sc, (SELECT embedding FROM embeddings WHERE vec_id = 1) q),
+a AS (SELECT *, row_number() OVER (PARTITION BY branch, path ORDER BY sparse DESC, point_id) AS sr FROM t WHERE sparse > 0),
+b AS (SELECT *, row_number() OVER (PARTITION BY branch, path ORDER BY dense DESC, point_id) AS dr FROM a WHERE sr <= 1000),
+c AS (SELECT *, round(CASE WHEN dr <= 100 THEN 1.0::DOUBLE / (60 + dr) ELSE 0 END + CASE WHEN sr <= 100 THEN 1.0::DOUBLE / (60 + sr) ELSE 0 END, 9) AS rrf_score FROM b),
+h AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY branch, path ORDER BY rrf_score DESC, point_id) AS INTEGER) AS rank FROM c WHERE rrf_score > 0) WHERE rank <= 50),
+k AS (SELECT *, dense * CASE branch WHEN 'pjt' THEN 1.015::DOUBLE WHEN 'pat' THEN 1.005::DOUBLE WHEN 'art' THEN 1.0::DOUBLE ELSE 0.99::DOUBLE END AS w,
+      CASE branch WHEN 'basic' THEN 0 WHEN 'art' THEN 2 WHEN 'pat' THEN 4 ELSE 6 END + CASE path WHEN 'stable' THEN 0 ELSE 1 END AS task FROM h WHERE dense >= 0.0),
+g AS (SELECT expert_id, max(w) AS score, count(*) FILTER (path = 'stable') AS stable_hits, count(*) FILTER (path <> 'stable') AS expanded_hits,
+      string_agg(DISTINCT branch, '|' ORDER BY branch) AS branches, count(DISTINCT branch) AS n_branches FROM k GROUP BY 1)
+"""
+HEAD = f"WITH {POINTS}, {TASKS} "
+
+
+@query(f"WITH {POINTS} SELECT point_id, branch, s1 AS sparse FROM sc WHERE s1 > 0 ORDER BY s1 DESC, point_id LIMIT 1000")
+def sparse_topk_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return R.bm25(points(spark, d), TERMS).where("sparse > 0").orderBy(F.desc("sparse"), "point_id").limit(1000).select("point_id", "branch", "sparse")
+
+
+def _vector(spark: SparkSession, d: str, i: int) -> DataFrame:
+    return table(spark, d, "embeddings").where(F.col("vec_id") == i).select(F.col("embedding").alias("q"))
+
+
+@query(f"WITH sc AS (SELECT vec_id, embedding FROM embeddings) SELECT sc.vec_id, {COS} AS dense FROM sc, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY dense DESC, vec_id LIMIT 100")
+def dense_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "embeddings").join(F.broadcast(_vector(spark, d, 0)))
+    return own.select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("dense")).orderBy(F.desc("dense"), "vec_id").limit(100)
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    own = R.bm25(R.bm25(points(spark, d), TERMS, "s1"), WIDE, "s2")
+    tasks = None
+    for path, score, i in (("stable", "s1", 0), ("expanded", "s2", 1)):
+        one = R.with_cosine(own, _vector(spark, d, i)).select("point_id", "expert_id", "branch", F.lit(path).alias("path"), F.col(score).alias("sparse"), "dense")
+        tasks = one if tasks is None else tasks.unionByName(one)
+    return R.cascade(tasks, LIMITS).withColumn("score", F.col("dense"))
+
+
+@query(HEAD + "SELECT branch, path, rank, point_id, expert_id, sparse, dense, rrf_score FROM h")
+def cascade_rrf_branch(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(spark, d).select("branch", "path", "rank", "point_id", "expert_id", "sparse", "dense", "rrf_score")
+
+
+@query(HEAD + "SELECT expert_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS rrf, count(*) AS lists FROM (SELECT expert_id, branch, path, min(rank) AS r FROM h GROUP BY ALL) GROUP BY 1")
+def rrf_cross_branch(spark: SparkSession, d: str) -> DataFrame:
+    return R.rrf(_hits(spark, d))
+
+
+def _experts(spark: SparkSession, d: str) -> DataFrame:
+    return R.aggregate(_hits(spark, d), LIMITS)
+
+
+@query(HEAD + "SELECT g.expert_id, round(score, 9) AS score, stable_hits, expanded_hits, branches, (SELECT arg_min(point_id, task * 100000 + rank) FROM k WHERE k.expert_id = g.expert_id) AS first_point FROM g")
+def max_weighted_agg(spark: SparkSession, d: str) -> DataFrame:
+    return _experts(spark, d).select("expert_id", F.round("score", 9).alias("score"), "stable_hits", "expanded_hits", strings("branches").alias("branches"), "first_point")
+
+
+@query(HEAD + "SELECT expert_id, CASE WHEN stable_hits >= 3 OR (expanded_hits >= 3 AND n_branches >= 2) THEN '' ELSE concat('stable=', stable_hits, ' expanded=', expanded_hits, ' branches=', n_branches) END AS reason FROM g")
+def support_rule(spark: SparkSession, d: str) -> DataFrame:
+    own, strict = _experts(spark, d), R.Limits(stable_min=3, expanded_min=3)
+    kept = own.where(R.supported(strict)).select("expert_id", F.lit("").alias("reason"))
+    return kept.union(R.filtered_out(own, strict))
+
+
+@query(HEAD + "SELECT expert_id FROM (SELECT expert_id, count(*) FILTER (path = 'stable') AS s, count(*) FILTER (path <> 'stable') AS e FROM k WHERE NOT (path = 'stable' AND rank > 5) GROUP BY 1) WHERE s = 0 AND e > 0")
+def shadow_set(spark: SparkSession, d: str) -> DataFrame:
+    return R.shadow(R.aggregate(_hits(spark, d).where("NOT (path = 'stable' AND rank > 5)"), LIMITS))
+
+
+@query(HEAD + ", m AS (SELECT *, row_number() OVER (PARTITION BY expert_id ORDER BY rank, dense DESC, branch, path, point_id) AS i FROM k) SELECT m.expert_id, branch AS primary_branch, rank AS primary_rank, round(score, 6) AS final_score, CAST((SELECT count(*) FROM k WHERE k.expert_id = m.expert_id) AS INTEGER) AS n_matches FROM m JOIN g USING (expert_id) WHERE i = 1")
+def primary_branch(spark: SparkSession, d: str) -> DataFrame:
+    return R.score_trace(_experts(spark, d))
+
+
+@query(HEAD + ", o AS (SELECT expert_id, CASE WHEN expert_id = 'src1' THEN score * 0.98::DOUBLE ELSE score END AS s FROM g) SELECT expert_id, CAST(row_number() OVER (ORDER BY s DESC, concat('n', expert_id), expert_id) AS INTEGER) AS rank, CASE WHEN max(s) OVER () > 0 THEN round_even(s / max(s) OVER () * 100, 1) ELSE 0 END AS score_pct FROM o")
+def final_rank(spark: SparkSession, d: str) -> DataFrame:
+    named = _experts(spark, d).withColumns({"org": F.when(F.col("expert_id") == "src1", F.lit("")).otherwise(F.lit("x")), "name": F.concat(F.lit("n"), "expert_id")})
+    return R.normalised(R.final_order(R.penalise(named, LIMITS))).select("expert_id", "rank", "score_pct")
+
+
+# --- evidence --------------------------------------------------------------------------------------------
+
+ITEMS = """
+i AS (SELECT o_custkey AS expert_id, ['paper', 'patent', 'project'][l_linenumber % 3 + 1] AS type, concat(['paper', 'patent', 'project'][l_linenumber % 3 + 1], ':', l_orderkey, ':', l_linenumber) AS item_id,
+  concat(p_name, ' ', p_type) AS title, concat(p_brand, ' ', o_orderpriority, ' ', l_returnflag) AS body, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, year(l_shipdate) AS year FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
+v AS (SELECT *, lower(title) AS t, lower(body) AS bo, replace(lower(title), ' ', '') AS tc, replace(lower(body), ' ', '') AS bc, row_number() OVER (PARTITION BY expert_id, type ORDER BY date DESC, title DESC, item_id) AS pos, count(*) OVER (PARTITION BY expert_id, type) AS n FROM i),
+f AS (SELECT *, contains(t, 'blue bolt') OR contains(tc, 'bluebolt') AS ta, contains(bo, 'blue bolt') OR contains(bc, 'bluebolt') AS ba, contains(t, 'small') OR contains(tc, 'small') AS tb, contains(bo, 'small') OR contains(bc, 'small') AS bb, contains(t, 'economy') OR contains(bo, 'economy') AS ge FROM v),
+e AS (SELECT *, ((ta OR ba)::INT + (tb OR bb)::INT) AS na FROM f),
+s AS (SELECT *, na > 0 AS direct, round(1.0::DOUBLE + (n - pos + 1) * 0.1::DOUBLE + CASE WHEN t = 'blue bolt' THEN 8 WHEN ta THEN 5 ELSE 0 END + CASE WHEN ba THEN 3 ELSE 0 END + CASE WHEN t = 'small' THEN 8 WHEN tb THEN 5 ELSE 0 END + CASE WHEN bb THEN 3 ELSE 0 END + CASE WHEN na > 1 THEN na - 1 ELSE 0 END + CASE WHEN na > 0 AND year >= 2001 - 19 THEN 0.5::DOUBLE ELSE 0 END, 6) AS score FROM e),
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY expert_id, tc, year ORDER BY direct DESC, na DESC, score DESC, year DESC, title, item_id) AS dn FROM s) WHERE dn = 1),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY expert_id ORDER BY direct DESC, na DESC, score DESC, year DESC, title, item_id) AS INTEGER) AS item_rank FROM dd)
+"""
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return E.score_items(evidence_items(spark, d), ASPECTS, GENERIC, YEAR)
+
+
+@query(f"WITH {ITEMS} SELECT item_id, expert_id, direct, score, concat_ws('|', CASE WHEN ta OR ba THEN 'blue bolt' END, CASE WHEN tb OR bb THEN 'small' END) AS aspects, CASE WHEN ge THEN 'economy' ELSE '' END AS generic, (type = 'project' AND year > 2001) AS is_future FROM s")
+def evidence_score(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d).select("item_id", "expert_id", "direct", "score", strings("aspects").alias("aspects"), strings("generic").alias("generic"), "is_future")
+
+
+@query(f"WITH {ITEMS} SELECT item_id, expert_id, item_rank FROM r")
+def evidence_dedup_rank(spark: SparkSession, d: str) -> DataFrame:
+    return E.ranked(E.dedup(_items(spark, d))).select("item_id", "expert_id", "item_rank")
+
+
+QUOTA = """
+z AS (SELECT expert_id, list(struct_pack(rk := item_rank, a := (ta OR ba), b := (tb OR bb), id := item_id, ty := type, fu := type = 'project' AND year > 2001, lb := concat('''', title, '''', ' ', CASE type WHEN 'paper' THEN '논문' WHEN 'patent' THEN '특허' ELSE '과제' END)) ORDER BY item_rank) FILTER (direct) AS l FROM r GROUP BY 1),
+y AS (SELECT expert_id, coalesce(l, []) AS l, list_filter(l, lambda x: x.a)[1] AS fa, list_filter(l, lambda x: x.b)[1] AS fb FROM z),
+u AS (SELECT *, list_filter([fa, CASE WHEN fa IS NULL OR NOT fa.b THEN fb END], lambda x: x IS NOT NULL) AS start FROM y),
+q AS (SELECT expert_id, list_sort(list_transform(list_reduce(list_prepend([start[1:4]], list_transform(l, lambda x: [x])), lambda acc, x:
+  CASE WHEN len(acc) < 4 AND NOT (x[1].a AND len(list_filter(acc, lambda k: k.a)) >= 2) AND NOT (x[1].b AND len(list_filter(acc, lambda k: k.b)) >= 2) AND len(list_filter(acc, lambda k: k.id = x[1].id)) = 0 THEN list_concat(acc, x) ELSE acc END), lambda x: x)) AS sel FROM
+  (SELECT expert_id, l, start FROM u))
+"""
+QUOTA = QUOTA.replace("list_prepend([start[1:4]], list_transform(l, lambda x: [x]))", "list_concat([start], list_transform(l, lambda x: [x]))")
+
+
+@query(f"WITH {ITEMS}, {QUOTA} SELECT expert_id, array_to_string(list_transform(sel, lambda x: x.id), '|') AS selected FROM q")
+def evidence_quota(spark: SparkSession, d: str) -> DataFrame:
+    own = E.select_quota(E.dedup(_items(spark, d)), ASPECTS)
+    return own.select("expert_id", strings(F.transform("selected", lambda x: x["item_id"])).alias("selected"))
+
+
+def _bundles(spark: SparkSession, d: str) -> DataFrame:
+    items = E.dedup(_items(spark, d))
+    return E.bundles(items, E.select_quota(items, ASPECTS))
+
+
+BUNDLES = f"WITH {ITEMS}, {QUOTA}, bu AS (SELECT expert_id, count(*) FILTER (direct) AS direct_match_count, bool_or(ge) AS gen FROM dd GROUP BY 1), bs AS (SELECT bu.*, sel, (len(list_filter(sel, lambda x: x.a)) > 0)::INT + (len(list_filter(sel, lambda x: x.b)) > 0)::INT AS cov FROM bu JOIN q USING (expert_id))"
+
+
+@query(BUNDLES + " SELECT expert_id, direct_match_count, CAST(cov AS INTEGER) AS aspect_coverage, (direct_match_count = 0 AND gen) AS generic_only, array_to_string(list_transform(list_concat(list_concat(list_filter(sel, lambda x: x.ty = 'paper'), list_filter(sel, lambda x: x.ty = 'project')), list_filter(sel, lambda x: x.ty = 'patent')), lambda x: x.id), '|') AS items FROM bs")
+def bundle_stats(spark: SparkSession, d: str) -> DataFrame:
+    own = _bundles(spark, d)
+    return own.select("expert_id", "direct_match_count", "aspect_coverage", "generic_only", strings(F.transform("selected", lambda x: x["item_id"])).alias("items"))
+
+
+def _gated(spark: SparkSession, d: str) -> DataFrame:
+    order = Window.orderBy(F.desc("c_acctbal"), "c_custkey")
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("expert_id"), F.row_number().over(order).alias("retrieval_rank"))
+    return G.gate(people.join(_bundles(spark, d), "expert_id", "left"), len(ASPECTS))
+
+
+GATES = BUNDLES + ", cu AS (SELECT c_custkey AS expert_id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS retrieval_rank FROM customer), ga AS (SELECT cu.*, CASE WHEN coalesce(direct_match_count, 0) < 1 THEN 'drop' WHEN coalesce(cov, 0) < 2 THEN 'demote_low_coverage' ELSE 'keep' END AS status FROM cu LEFT JOIN bs USING (expert_id))"
+
+
+@query(GATES + " SELECT status, array_to_string(list(expert_id ORDER BY expert_id), '|') AS ids, count(*) AS n FROM ga GROUP BY 1")
+def gate_status(spark: SparkSession, d: str) -> DataFrame:
+    return G.gate_trace(_gated(spark, d)).select("status", strings(F.transform("ids", lambda x: x.cast("string"))).alias("ids"), "n")
+
+
+@query(GATES + ", sl AS (SELECT expert_id, CAST(row_number() OVER (ORDER BY status = 'demote_low_coverage', retrieval_rank) AS INTEGER) AS rank FROM ga WHERE status <> 'drop') SELECT expert_id, rank, CAST((rank - 1) // 5 AS BIGINT) AS batch_id FROM sl WHERE rank <= 15")
+def gate_order_topk(spark: SparkSession, d: str) -> DataFrame:
+    return G.shortlist(_gated(spark, d), 15).select("expert_id", "rank", G.batch_of("rank").cast("long").alias("batch_id"))
+
+
+# --- reasons, set operations, feedback ---------------------------------------------------------------------
+
+FALL = """CASE WHEN len(x) = 0 THEN '직접적인 질의 일치 근거를 확인하지 못했습니다.' ELSE concat(array_to_string(x[1:2], '과 '), '을 통해 질의와 관련된 직접 근거를 확인했습니다.') END"""
+
+
+@query(BUNDLES + """, ord AS (SELECT expert_id, list_concat(list_concat(list_filter(sel, lambda x: x.ty = 'paper'), list_filter(sel, lambda x: x.ty = 'project')), list_filter(sel, lambda x: x.ty = 'patent')) AS o FROM bs),
+un AS (SELECT expert_id, generate_subscripts(o, 1) AS i, unnest(o).lb AS lab FROM ord),
+la AS (SELECT expert_id, lab, min(i) AS i FROM un GROUP BY 1, 2),
+xs AS (SELECT ord.expert_id, coalesce(list(lab ORDER BY i) FILTER (lab IS NOT NULL), []) AS x FROM ord LEFT JOIN la USING (expert_id) GROUP BY 1) SELECT expert_id, """ + FALL + " AS reason FROM xs")
+def fallback_reason(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit("")
+    own = _bundles(spark, d).withColumn("evidence", G.resolve_evidence("selected", none, none, none))
+    return own.select("expert_id", G.fallback_reason("evidence").alias("reason"))
+
+
+@query(r"""
+WITH m AS (SELECT conv_id, turn, concat(text, CASE WHEN turn = 1 THEN ' see paper:3' ELSE '' END) AS reason, lower(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))) AS t FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, concat_ws('|', CASE WHEN t <> '' AND conv_id % 3 <> 1 AND contains(t, 'thing') OR t <> '' AND conv_id % 3 <> 2 AND contains(t, 'der') THEN 'other_candidate_name' END,
+  CASE WHEN t <> '' AND turn = 1 THEN 'internal_evidence_id' END, CASE WHEN t <> '' AND conv_id % 2 = 0 AND NOT (contains(concat(lower(CAST(conv_id AS VARCHAR)), ' title'), '4')) THEN 'aspect_scope_miss' END,
+  CASE WHEN conv_id % 2 = 1 AND contains(t, 'recommend') THEN 'strong_claim_without_direct_evidence' END) AS violations FROM m""")
+def reason_validator(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.concat("text", F.when(F.col("turn") == 1, " see paper:3").otherwise("")).alias("reason"))
+    name = F.when(F.col("conv_id") % 3 == 1, "thing").when(F.col("conv_id") % 3 == 2, "der").otherwise("-")
+    item = F.struct(F.lit("paper").alias("type"), F.concat(F.col("conv_id").cast("string"), F.lit(" Title")).alias("title"), F.lit("").alias("detail"), F.lit("").alias("snippet"))
+    rows = rows.withColumns({"name": name, "names": F.array(F.lit("thing"), F.lit("der"), F.lit("x")), "evidence": F.filter(F.array(item), lambda x: F.col("conv_id") % 2 == 0)})
+    return rows.select("conv_id", "turn", strings(G.violations("reason", "name", "evidence", "names", ["4"])).alias("violations"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS expert_id FROM customer), o AS (SELECT o_custkey AS expert_id, arg_max(o_orderpriority, o_orderkey) AS reason, arg_max(o_orderstatus, o_orderkey) AS st FROM orders GROUP BY 1)
+SELECT c.expert_id, CASE st WHEN 'F' THEN '높음' ELSE '보통' END AS fit, coalesce(reason, '') AS reason, o.expert_id IS NOT NULL AS returned FROM c LEFT JOIN o USING (expert_id)""")
+def reason_alignment(spark: SparkSession, d: str) -> DataFrame:
+    out = table(spark, d, "orders").select(F.col("o_custkey").alias("expert_id"), F.when(F.col("o_orderstatus") == "F", "높음").otherwise("other").alias("fit"), F.concat(F.lit("  "), "o_orderpriority").alias("reason"), F.col("o_orderkey").alias("pos"))
+    return G.align_reasons(table(spark, d, "customer").select(F.col("c_custkey").alias("expert_id")), out)
+
+
+@query("SELECT c_custkey AS expert_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def missing_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return G.missing_ids(table(spark, d, "customer").select(F.col("c_custkey").alias("expert_id")), table(spark, d, "orders").select(F.col("o_custkey").alias("expert_id")))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def batch_subset(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+
+
+@query("SELECT s_suppkey, n_name FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 10) ON n_nationkey = s_nationkey")
+def lookup_with_default(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation").where("n_nationkey < 10")), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "n_name")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY ts, concat('q', event_id)) AS BIGINT) AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at, concat('q', event_id) AS query, concat('[\"', user_id, '\"]') AS selected_expert_ids, '[]' AS rejected_expert_ids, event_type AS notes FROM events")
+def feedback_append(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    rows = e.select(F.col("ts").alias("created_at"), F.concat(F.lit("q"), "event_id").alias("query"), F.array(F.col("user_id").cast("string")).alias("selected"), F.array().cast("array<string>").alias("rejected"), F.col("event_type").alias("notes"), F.struct("value").alias("metadata"))
+    return feedback_rows(rows).select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "query", "selected_expert_ids", "rejected_expert_ids", "notes")
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def feedback_windows(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return feedback_counts(events).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query("SELECT concat('fit ', t, ' x') AS query, t AS core FROM (VALUES ('chip'), ('drone sensor')) v(t)")
+def fallback_planner(spark: SparkSession, d: str) -> DataFrame:
+    plans = [(f"fit {t} x", fallback_plan(f"fit {t} x expert recommend")) for t in ("chip", "drone sensor")]
+    return spark.createDataFrame([(q, " ".join(p.retrieval_core)) for q, p in plans], "query string, core string")
+
+
+def engine(spark: SparkSession, d: str) -> Engine:
+    """The engine over the driver's tables: documents as points, sources as experts, part descriptions as evidence."""
+    pts = points(spark, d)
+    people = pts.select("expert_id").distinct().select("expert_id", F.concat(F.lit("Expert "), "expert_id").alias("name"), F.concat(F.lit("org "), "expert_id").alias("org"), F.lit("PhD").alias("degree"))
+    kind = F.when(F.col("branch") == "pat", "patent").when(F.col("branch") == "pjt", "project").otherwise("paper")
+    items = pts.select("expert_id", kind.alias("type"), F.concat_ws(":", kind, "point_id").alias("item_id"), F.substring("content_text", 1, 80).alias("title"), F.col("content_text").alias("body"), F.lit("2000-01-01").alias("date"))
+    return Engine(spark, pts, people, items, R.Limits(cutoff=0.0), YEAR, query_vector=lambda text: _vector(spark, d, 0))
+
+
+@query()
+def search_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return engine(spark, d).search("the and with").select("rank", "expert_id", "name", "stable_hits", "expanded_hits", "score_pct")
+
+
+@query()
+def recommend_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return engine(spark, d).recommend("the and with").select("rank", "expert_id", "name", "fit", "reason", "fallback")
 
 
-def entry(spark, sf_dir):
-    return QUERIES["recommend_pipeline"](spark, sf_dir)
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recommend_pipeline(spark, sf_dir)
