@@ -125,13 +125,13 @@ def multiline(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.multiline(F.substring("text", 1, 300)).alias("line"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size END AS n, CASE WHEN p_size % 4 <> 0 THEN p_size END AS m, CASE WHEN p_size % 2 = 0 THEN p_name WHEN p_size % 3 = 0 THEN p_type ELSE 'Untitled project' END AS title, CASE WHEN p_size % 4 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END AS list FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size END AS n, CASE WHEN p_size % 4 <> 0 THEN p_size ELSE -1 END AS m, CASE WHEN p_size % 2 = 0 THEN p_name WHEN p_size % 3 = 0 THEN p_type ELSE 'Untitled project' END AS title, CASE WHEN p_size % 4 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END AS list FROM part")
 def coercions(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     raw = F.when(F.col("p_size") % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string")))
     first = F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("")
     second = F.when(F.col("p_size") % 3 == 0, F.col("p_type"))
-    return p.select("p_partkey", T.int_or_zero(raw).alias("n"), T.int_or_null(raw).alias("m"), T.display_title(first, second).alias("title"), strings(T.string_list(F.array(raw))).alias("list"))
+    return p.select("p_partkey", T.int_or_zero(raw).alias("n"), F.coalesce(T.int_or_null(raw), F.lit(-1)).alias("m"), T.display_title(first, second).alias("title"), strings(T.string_list(F.array(raw))).alias("list"))
 
 
 @query("SELECT vec_id, concat(CASE vec_id % 4 WHEN 0 THEN 'basic' WHEN 1 THEN 'art' WHEN 2 THEN 'pat' ELSE 'pjt' END) AS branch, len(embedding) AS n FROM embeddings")
