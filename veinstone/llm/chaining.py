@@ -228,9 +228,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
     low = lambda c: F.greatest(F.lit(0), F.array_min(F.transform("hits", lambda h: h[c])) - AROUND)
     wide = lambda c: F.array_max(F.transform("hits", lambda h: h[c])) + K + AROUND
     pairs = pairs.withColumns({"a0": low("at"), "b0": low("src_at"), "a1": wide("at"), "b1": wide("src_at")})
+    # Both joins read the same exchange of (key, words).
     texts = found.select("key", "words")
-    pairs = pairs.join(texts.select(F.col("key").alias("src"), F.col("words").alias("w")), "src").withColumn("b", F.expr("substring(w, 4 * b0 + 1, 4 * (b1 - b0))")).drop("w")
-    pairs = pairs.join(texts, "key").withColumn("a", F.expr("substring(words, 4 * a0 + 1, 4 * (a1 - a0))")).drop("words")
+    kept = ["key", "doc_id", "src", "src_doc_id", "hits", "a0", "a1", "b0"]
+    pairs = pairs.alias("p").join(texts.alias("t"), F.col("p.src") == F.col("t.key")).select(*(f"p.{c}" for c in kept), F.expr("substring(t.words, 4 * b0 + 1, 4 * (b1 - b0))").alias("b"))
+    pairs = pairs.alias("p").join(texts.alias("t"), F.col("p.key") == F.col("t.key")).select(*(f"p.{c}" for c in kept), "b", F.expr("substring(t.words, 4 * a0 + 1, 4 * (a1 - a0))").alias("a"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
