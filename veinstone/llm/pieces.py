@@ -37,7 +37,7 @@ WORST = float("inf")
 #: Ids, above all pieces' ones, of a word's start and (with the code point added) of a character without a piece.
 FIRST, NO_PIECE = 1 << 23, (1 << 23) + 1
 #: Distinct words a worker remembers; beyond it starts anew.
-REMEMBER = 1_000_000
+REMEMBER = 300_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
