@@ -50,10 +50,10 @@ def cards(people: DataFrame, filters: dict | None = None) -> DataFrame:
     )
 
 
-def _holds(text: Column | str, term: str) -> Column:
-    """Folded containment, with or without spaces; the latter matches across words by design."""
+def _holds(text: str, term: str) -> Column:
+    """Containment in the folded column, with or without spaces; the latter matches across words by design."""
     own = " ".join(term.split()).lower()
-    return F.contains(fold(text), F.lit(own)) | F.contains(compact(text), F.lit(own.replace(" ", "")))
+    return F.contains(f"__{text}", F.lit(own)) | F.contains(f"__{text}_compact", F.lit(own.replace(" ", "")))
 
 
 def score_items(items: DataFrame, aspects: list[str], generic: list[str], reference_year: int) -> DataFrame:
@@ -69,7 +69,7 @@ def score_items(items: DataFrame, aspects: list[str], generic: list[str], refere
     hits, points = [], F.lit(0.0)
     for aspect in aspects:
         low = " ".join(aspect.split()).lower()
-        same = (fold("title") == low) | (compact("title") == low.replace(" ", ""))
+        same = (F.col("__title") == low) | (F.col("__title_compact") == low.replace(" ", ""))
         title, body = _holds("title", aspect), _holds("body", aspect)
         points = points + F.when(same, 8.0).when(title, 5.0).otherwise(0.0) + F.when(body, 3.0).otherwise(0.0)
         hits.append(F.when(title | body, F.lit(aspect)))
@@ -77,6 +77,9 @@ def score_items(items: DataFrame, aspects: list[str], generic: list[str], refere
     loose = F.array_compact(F.array(*(F.when(_holds("title", g) | _holds("body", g), F.lit(g)) for g in generic))) if generic else F.array().cast("array<string>")
     more = F.when(F.size("aspects") > 1, F.size("aspects") - 1.0).otherwise(0.0)
     recent = F.when((F.size("aspects") > 0) & (F.col("year") >= reference_year - WINDOW_YEARS), 0.5).otherwise(0.0)
+    # Each text is folded once; what follows refers to these columns.
+    items = items.withColumns({"__title": fold("title"), "__body": fold("body")})
+    items = items.withColumns({f"__{c}_compact": F.replace(f"__{c}", F.lit(" "), F.lit("")) for c in ("title", "body")})
     out = items.withColumns({"base": base, "aspects": matched, "generic": loose, "year": year("date"), "points": points})
     return out.select(
         "expert_id", "type", "item_id", "title", "body", "date", "year", "aspects", "generic", (F.size("aspects") > 0).alias("direct"), F.round(F.col("base") + F.col("points") + more + recent, 6).alias("score"),

@@ -45,9 +45,9 @@ def bm25(points: DataFrame, terms: list[str], name: str = "sparse") -> DataFrame
 
     The statistics are one row, whatever the corpus, so their broadcast is bounded.
     """
-    toks = tokens("content_text")
+    points_, toks = points.withColumn("__toks", tokens("content_text")), F.col("__toks")
     tf = [F.size(F.filter(toks, _equals(w))).alias(f"__tf{i}") for i, w in enumerate(terms)]
-    counted = points.select("*", F.size(toks).alias("__len"), *tf)
+    counted = points_.select(*points.columns, F.size(toks).alias("__len"), *tf)
     stats = counted.agg(F.count(F.lit(1)).alias("__n"), F.avg("__len").alias("__avg"), *(F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))))
     size = K1 * (1 - B + B * F.col("__len") / F.col("__avg"))
     parts = [idf(F.col("__n"), F.col(f"__df{i}")) * F.col(f"__tf{i}") * (K1 + 1) / (F.col(f"__tf{i}") + size) for i in range(len(terms))]
