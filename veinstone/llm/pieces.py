@@ -36,8 +36,8 @@ MODEL, MAX_MODEL = "/opt/tokenizers/piece_bpe_32k.model", 64 << 20
 WORST = float("inf")
 #: Ids, above all pieces' ones, of a word's start and (with the code point added) of a character without a piece.
 FIRST, NO_PIECE = 1 << 23, (1 << 23) + 1
-#: Distinct words a worker remembers; beyond it starts anew.
-REMEMBER = 300_000
+#: Distinct words, and pairs of pieces and word endings, that a worker remembers; beyond it starts anew.
+REMEMBER, REMEMBER_PAIRS = 300_000, 1_000_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -171,6 +171,9 @@ class Coder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         if len(self.known) > REMEMBER:
             self.forget()
+        for memory in (self.follows, self.lengths):
+            if len(memory) > REMEMBER_PAIRS:
+                memory.clear()
         cut = [None if t is None else self.words(t) for t in texts]
         new = set().union(*(c for c in cut if c)) - self.known.keys()
         self.learn(list(new))
