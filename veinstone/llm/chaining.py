@@ -203,14 +203,22 @@ def align(runs: np.ndarray, chain: list[int], a: np.ndarray, b: np.ndarray) -> t
 
 
 def passages(hits: np.ndarray, a: np.ndarray, b: np.ndarray, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> list[tuple[int, int, int, int, float]]:
-    """(start, end, owner's start, owner's end, identity) of the passages that words a share with the owner's words b."""
+    """(start, end, owner's start, owner's end, identity) of the passages that words a share with the owner's words b.
+
+    Chains come best first; one whose words all lie in passages found before adds none. In text that repeats
+    itself every seed is a chain of its own, and all of them extend to the same words.
+    """
     runs = segments(hits)
     out = []
+    held = np.zeros(len(a), bool)
     for chain in chains(runs):
+        if held[runs[chain[0], 0] : runs[chain[-1], 1]].all():
+            continue
         a0, a1, b0, b1, equal = align(runs, chain, a, b)
         longest = max(a1 - a0, b1 - b0)
         if min(a1 - a0, b1 - b0) >= min_words and equal >= identity * longest:
             out.append((a0, a1, b0, b1, equal / longest))
+            held[a0:a1] = True
     return out
 
 
