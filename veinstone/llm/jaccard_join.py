@@ -139,7 +139,15 @@ def _open_pairs(nodes: DataFrame, labels: DataFrame, num: int, den: int) -> Data
 
 
 def _meet(num: int, den: int):
-    """Verify every pair of two packs that is not in one component, by counting one node at a time against a pack."""
+    """Verify every pair of two packs that is not in one component, by counting one node at a time against a pack.
+
+    Links that join nothing new within the packs are left out, so two packs give fewer rows than they hold nodes.
+    """
+
+    def root(parent: dict[int, int], x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -151,6 +159,7 @@ def _meet(num: int, den: int):
                 cuts = np.cumsum(size) - size
                 values, where = np.unique(np.concatenate(sets), return_inverse=True)
                 a, b = [], []
+                parent: dict[int, int] = {}
                 for r in p:
                     x = np.frombuffer(r["items"], np.uint64)
                     at = np.searchsorted(values, x)
@@ -158,9 +167,13 @@ def _meet(num: int, den: int):
                     flag = np.zeros(len(values), np.int32)
                     flag[at[values[at] == x]] = 1
                     both = np.add.reduceat(flag[where], cuts)
-                    hit = ids[(den * both >= num * (len(x) + size - both)) & (label != r["label"])]
-                    a += [r["node"]] * len(hit)
-                    b += hit.tolist()
+                    hit = np.flatnonzero((den * both >= num * (len(x) + size - both)) & (label != r["label"]))
+                    for i in hit[np.unique(label[hit], return_index=True)[1]]:
+                        mine, other = root(parent, r["label"]), root(parent, int(label[i]))
+                        if mine != other:
+                            parent[other] = mine
+                            a.append(r["node"])
+                            b.append(int(ids[i]))
                 yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return run
