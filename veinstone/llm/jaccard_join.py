@@ -210,7 +210,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         if not empty(more):
             labels = components(links.union(more))
     rows = prints.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = rows.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
+    # Written, so that the join has an exchange of its own on either side and Spark can split a large component's rows.
+    ids = save(rows.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least")), "ids")
     return rows.join(ids, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
