@@ -7,6 +7,7 @@ import os
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from veinstone.llm import chat_format as C
@@ -14,8 +15,8 @@ from veinstone.llm import kneser_ney as K
 from veinstone.llm import language_id as L
 from veinstone.llm import pieces as P
 from veinstone.llm import url_filter as U
-from veinstone.llm.chaining import chains, cut_passages, keyed, repeated_passages, without
-from veinstone.llm.jaccard_join import jaccard_components, keep_one
+from veinstone.llm.chaining import chains, cut_passages, keyed, passages, repeated_passages, without
+from veinstone.llm.jaccard_join import _linked, _meet, jaccard_components, keep_one
 from veinstone.llm.maxscore import top_k
 from veinstone.llm.mixing import mix, mixed
 from veinstone.llm.stable_ann import chi_square, neighbours
@@ -306,3 +307,25 @@ def test_pipeline(spark, tmp_path, odd):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and {r.doc_id for r in out} <= {*range(180), None} and all(r.roundtrip for r in out)
     assert 7 not in {r.doc_id for r in out}
+
+
+def test_repeating_text_gives_one_passage():
+    """Forty copies of one seed extend to the same words: one passage, not one for each."""
+    words = np.tile(np.arange(6, dtype="<u4"), 40)
+    hits = np.array([(at, 0) for at in range(0, 234, 6)])
+    found = passages(hits, words, words)
+    assert [f[:2] for f in found] == [(0, 240)]
+
+
+def test_packs_emit_a_spanning_forest():
+    """Two packs of near copies connect as all their pairs would, with fewer links than nodes."""
+    rng = np.random.default_rng(3)
+    base = rng.choice(1 << 40, 100, replace=False)
+    sets = [np.sort(np.append(np.delete(base, i % 100), (1 << 41) + i)) for i in range(60)] + [np.sort(rng.choice(1 << 40, 100, replace=False)) for _ in range(5)]
+    nodes = [{"node": i, "label": i, "items": s.astype(np.uint64).tobytes()} for i, s in enumerate(sets)]
+    out = next(_meet(80, 100)(iter([pd.DataFrame({"p": [nodes[:30]], "q": [nodes]})])))
+    up = list(range(65))
+    for a, b in zip(out["a"], out["b"], strict=True):
+        assert _linked(nodes[a]["items"], nodes[b]["items"], 80, 100)
+        up = [up[a] if x == up[b] else x for x in up]
+    assert len(out) == 59 and len({up[i] for i in range(60)}) == 1 and len(set(up)) == 6
