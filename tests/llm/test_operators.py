@@ -329,3 +329,21 @@ def test_packs_emit_a_spanning_forest():
         assert _linked(nodes[a]["items"], nodes[b]["items"], 80, 100)
         up = [up[a] if x == up[b] else x for x in up]
     assert len(out) == 59 and len({up[i] for i in range(60)}) == 1 and len(set(up)) == 6
+
+
+def near_passages(gap, second):
+    """(hits, a, b): an exact passage of 52 words, gap other words on both sides, then second exact words."""
+    rng = np.random.default_rng(gap + second)
+    one, two = rng.integers(0, 1 << 32, 52), rng.integers(0, 1 << 32, second)
+    a, b = (np.concatenate([rng.integers(0, 1 << 32, 20), one, rng.integers(0, 1 << 32, gap), two, rng.integers(0, 1 << 32, 20)]).astype("<u4") for _ in range(2))
+    return np.array([(at, at) for at in [*range(20, 67, 4), *range(72 + gap, 72 + gap + second - 5, 4)]]), a, b
+
+
+def test_near_passages_are_not_lost():
+    """A chain over two near passages has too few equal words; each long enough part is a passage of its own."""
+    assert sorted(f[:4] for f in passages(*near_passages(35, 52))) == [(20, 72, 20, 72), (107, 159, 107, 159)]
+    assert [f[:4] for f in passages(*near_passages(30, 25))] == [(20, 72, 20, 72)]
+    a, b = np.arange(200, dtype="<u4"), np.arange(200, dtype="<u4")
+    a[60:120][np.arange(60) % 9 >= 6] = 999  # one diagonal: 60 equal words, then a third changed between seeds
+    found = passages(np.array([(at, at) for at in [*range(0, 55, 4), *range(63, 114, 9)]]), a[:120], b[:120])
+    assert found and min(f[1] for f in found) >= 60 and all(f[4] >= 0.8 for f in found)

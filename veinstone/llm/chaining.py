@@ -5,7 +5,8 @@ K + WINDOW - 1 equal words shares one. Seeds that occur in one text alone are dr
 Each other seed has an owner, the least document that holds it, found with a map-side minimum; every
 occurrence is matched with the owner's first one, never with all others. A document's matches with one
 owner are chained in order with gap costs, chains are extended word by word and aligned, and those of at
-least MIN_WORDS words and IDENTITY equal ones are passages. The owner keeps its copy.
+least MIN_WORDS words and IDENTITY equal ones are passages; others are split at their costliest gaps and
+their parts tried. The owner keeps its copy.
 
 Null and short texts have no passages. Documents are told apart by doc_id and text together: rows that
 repeat both are one document; the least is by doc_id (nulls first), then a hash of the text. Rows with
@@ -185,40 +186,83 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def align(runs: np.ndarray, chain: list[int], a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
-    """(start, end, owner's start, owner's end, equal words) of a chain, its ends extended."""
-    first, last = runs[chain[0]], runs[chain[-1]]
+def _inner(runs: np.ndarray, chain: list[int], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chain: equal words in each run, equal words in each gap behind a run, and the unequal words of that gap."""
+    own = np.array([np.count_nonzero(a[x:x1] == b[y:y1]) for x, x1, y, y1 in runs[chain]], np.int64)
+    gaps = [(runs[i, 1], runs[j, 0], runs[i, 3], runs[j, 2]) for i, j in zip(chain, chain[1:])]
+    between = np.array([_common(a[x:x1], b[y:y1]) for x, x1, y, y1 in gaps], np.int64)
+    lost = np.array([max(x1 - x, y1 - y) for x, x1, y, y1 in gaps], np.int64) - between
+    return own, between, lost
+
+
+def _ends(first: np.ndarray, last: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
+    """(start, end, owner's start, owner's end, equal words outside) of what lies from a first run to a last one, extended."""
     left = _extend(a[: first[0]][::-1], b[: first[2]][::-1])
     right = _extend(a[last[1] :], b[last[3] :])
     a0, b0, a1, b1 = first[0] - left, first[2] - left, last[1] + right, last[3] + right
     equal = int((a[a0 : first[0]] == b[b0 : first[2]]).sum()) + int((a[last[1] : a1] == b[last[3] : b1]).sum())
-    at = None
-    for i in chain:
-        x, x1, y, y1 = runs[i]
-        if at is not None:
-            equal += _common(a[at[0] : x], b[at[1] : y])
-        equal += int((a[x:x1] == b[y:y1]).sum())
-        at = (x1, y1)
     return int(a0), int(a1), int(b0), int(b1), equal
 
 
+def _dense(same: np.ndarray, min_words: int, identity: float) -> list[tuple[int, int]]:
+    """Disjoint stretches of at least min_words words of which identity are equal, longest first in each remaining part."""
+    out, todo = [], [(0, len(same))]
+    while todo:
+        low, high = todo.pop()
+        if high - low < min_words:
+            continue
+        sums = np.concatenate([[0.0], np.cumsum(same[low:high] - identity)]) + 1e-9 * np.arange(high - low + 1)
+        # The farthest end whose sum is not below that of a start: ends by their greatest sum from there on.
+        best = np.maximum.accumulate(sums[::-1])[::-1]
+        end = np.searchsorted(-best, -sums, "right") - 1
+        at = int((end - np.arange(len(end))).argmax())
+        if end[at] - at < min_words:
+            continue
+        out.append((low + at, low + int(end[at])))
+        todo += [(low, low + at), (low + int(end[at]), high)]
+    return out
+
+
 def passages(hits: np.ndarray, a: np.ndarray, b: np.ndarray, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> list[tuple[int, int, int, int, float]]:
     """(start, end, owner's start, owner's end, identity) of the passages that words a share with the owner's words b.
 
     Chains come best first; one whose words all lie in passages found before adds none. In text that repeats
-    itself every seed is a chain of its own, and all of them extend to the same words.
+    itself every seed is a chain of its own, and all of them extend to the same words. A chain of too few
+    equal words is split at the gap with the most unequal ones and its parts are tried, down to single runs;
+    of a single run, which has one diagonal, the stretches with enough equal words are taken.
     """
     runs = segments(hits)
     out = []
     held = np.zeros(len(a), bool)
+
+    def take(a0: int, a1: int, b0: int, b1: int, equal: int) -> bool:
+        longest = max(a1 - a0, b1 - b0)
+        if min(a1 - a0, b1 - b0) < min_words or equal < identity * longest:
+            return False
+        out.append((a0, a1, b0, b1, equal / longest))
+        held[a0:a1] = True
+        return True
+
     for chain in chains(runs):
         if held[runs[chain[0], 0] : runs[chain[-1], 1]].all():
             continue
-        a0, a1, b0, b1, equal = align(runs, chain, a, b)
-        longest = max(a1 - a0, b1 - b0)
-        if min(a1 - a0, b1 - b0) >= min_words and equal >= identity * longest:
-            out.append((a0, a1, b0, b1, equal / longest))
-            held[a0:a1] = True
+        own, between, lost = _inner(runs, chain, a, b)
+        todo = [(0, len(chain))]
+        while todo:
+            low, high = todo.pop()
+            first, last = runs[chain[low]], runs[chain[high - 1]]
+            if held[first[0] : last[1]].all():
+                continue
+            a0, a1, b0, b1, outside = _ends(first, last, a, b)
+            if take(a0, a1, b0, b1, outside + int(own[low:high].sum() + between[low : high - 1].sum())):
+                continue
+            if high - low > 1:
+                cut = low + 1 + int(lost[low : high - 1].argmax())
+                todo += [(cut, high), (low, cut)]
+            else:
+                same = a[a0:a1] == b[b0:b1]
+                for x, x1 in _dense(same, min_words, identity):
+                    take(a0 + x, a0 + x1, b0 + x, b0 + x1, int(same[x:x1].sum()))
     return out
 
 
