@@ -10,12 +10,13 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from veinstone.llm import chaining
 from veinstone.llm import chat_format as C
 from veinstone.llm import kneser_ney as K
 from veinstone.llm import language_id as L
 from veinstone.llm import pieces as P
 from veinstone.llm import url_filter as U
-from veinstone.llm.chaining import chains, cut_passages, keyed, passages, repeated_passages, without
+from veinstone.llm.chaining import chains, cut_passages, keyed, open_starts, passages, repeated_passages, run_hashes, without
 from veinstone.llm.jaccard_join import _linked, _meet, jaccard_components, keep_one
 from veinstone.llm.maxscore import top_k
 from veinstone.llm.mixing import mix, mixed
@@ -347,3 +348,24 @@ def test_near_passages_are_not_lost():
     a[60:120][np.arange(60) % 9 >= 6] = 999  # one diagonal: 60 equal words, then a third changed between seeds
     found = passages(np.array([(at, at) for at in [*range(0, 55, 4), *range(63, 114, 9)]]), a[:120], b[:120])
     assert found and min(f[1] for f in found) >= 60 and all(f[4] >= 0.8 for f in found)
+
+
+def test_passage_whose_halves_have_earlier_owners(spark):
+    """Documents 500 and 900 share 60 words; each third of them also stands in an earlier document."""
+    texts, want = {}, set()
+    for i in range(12):
+        shared = prose(60).split()
+        for j in range(3):
+            texts[10 * i + j] = " ".join([prose(30), *shared[20 * j : 20 * j + 20], prose(30)])
+        texts[500 + i], texts[900 + i] = (" ".join([prose(40), *shared, prose(40)]) for _ in range(2))
+        want.add((900 + i, 500 + i, 40, 100, 40, 100))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {(r.doc_id, r.src_doc_id, r.start_word, r.end_word, r.src_start, r.src_end) for r in repeated_passages(keyed(docs)).collect()} == want
+
+
+def test_open_runs():
+    words = np.arange(100, dtype="<u4")
+    assert list(open_starts(44, np.array([], int), 45)) == [] and list(open_starts(46, np.array([], int), 45)) == [0, 1]
+    assert 50 not in open_starts(100, np.array([70]), 45) and open_starts(100, np.array([70]), 45).tolist() == [*range(24 + chaining.K + chaining.WINDOW)]
+    moved = np.concatenate([np.full(7, 5, "<u4"), words])
+    assert (run_hashes(words, np.arange(56), 45) == run_hashes(moved, np.arange(7, 63), 45)).all() and len(set(run_hashes(words, np.arange(56), 45))) == 56

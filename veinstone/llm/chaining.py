@@ -3,7 +3,10 @@
 Texts are cut into words; of every WINDOW consecutive K-word hashes the least is a seed, so any run of
 K + WINDOW - 1 equal words shares one. Seeds that occur in one text alone are dropped where they are made.
 Each other seed has an owner, the least document that holds it, found with a map-side minimum; every
-occurrence is matched with the owner's first one, never with all others. A document's matches with one
+occurrence is matched with the owner's first one, never with all others. Seeds of one passage may have
+several owners, none of which holds the passage; so runs of MIN_WORDS words have owners too, wherever no
+seed inside them is known to be in one text alone, and an exact passage always meets a document that
+holds MIN_WORDS words of it. A document's matches with one
 owner are chained in order with gap costs, chains are extended word by word and aligned, and those of at
 least MIN_WORDS words and IDENTITY equal ones are passages; others are split at their costliest gaps and
 their parts tried. The owner keeps its copy.
@@ -66,8 +69,54 @@ def _distinct_seeds(texts: pa.Array) -> Iterator[np.ndarray]:
         yield W.distinct(found, row)[0]
 
 
-def shared_seeds(docs: DataFrame, table: Table) -> DataFrame:
-    """key, doc_id, seeds, at (word indexes), words (32-bit hashes) of documents with two shared seeds at least."""
+def open_starts(words: int, single: np.ndarray, size: int) -> np.ndarray:
+    """Starts of the runs of size words that other texts may have: those in which no seed of one text alone (word indexes) is sure.
+
+    A seed is picked again in any text that has all windows around it.
+    """
+    if words < size:
+        return np.zeros(0, np.int32)
+    change = np.zeros(words + 1, np.int64)
+    low, high = np.maximum(single + K + WINDOW - 1 - size, 0), single - WINDOW + 2
+    some = low < high
+    np.add.at(change, low[some], 1)
+    np.add.at(change, high[some], -1)
+    return np.flatnonzero(np.cumsum(change)[: words - size + 1] == 0).astype(np.int32)
+
+
+_POWER = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def run_hashes(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of size words (32-bit hashes) from starts: equal for equal words wherever they stand."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix64(words.astype(np.uint64)) * _powers(_POWER, len(words)), dtype=np.uint64)])
+    back = _powers(pow(_POWER, -1, 1 << 64), len(words))
+    return W.mix64((sums[starts + size] - sums[starts]) * back[starts])
+
+
+def runs_of(found: DataFrame, size: int) -> DataFrame:
+    """key, doc_id, seed, at: the hashes of found's open runs of size words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, doc_id, starts, words in zip(*batch.columns, strict=True):
+                starts = starts.values.to_numpy()
+                if len(starts):
+                    hashes = run_hashes(np.frombuffer(words.as_py(), "<u4"), starts, size).view(np.int64)
+                    n = len(starts)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(key, n), pa.repeat(doc_id, n), pa.array(hashes), pa.array(starts)], names=["key", "doc_id", "seed", "at"])
+
+    return found.filter(F.size("open") > 0).select("key", "doc_id", "open", "words").mapInArrow(run, "key long, doc_id long, seed long, at int")
+
+
+def shared_seeds(docs: DataFrame, table: Table, size: int = MIN_WORDS) -> DataFrame:
+    """key, doc_id, seeds, at (word indexes), open (starts of runs of size words), words (32-bit hashes) of documents with two shared seeds at least."""
     held = docs.sparkSession.sparkContext.broadcast((table.bits, table.levels))  # 36 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,6 +126,8 @@ def shared_seeds(docs: DataFrame, table: Table) -> DataFrame:
                 hashes, row, _, _ = W.words(buf, offsets)
                 found, of, at = seeds(hashes, row, stop - start)
                 hit = look.shared(found)
+                alone, alone_at = of[~hit], at[~hit]
+                alone_cut = np.searchsorted(alone, np.arange(stop - start + 1))
                 found, of, at = found[hit], of[hit], at[hit]
                 cut = np.searchsorted(of, np.arange(stop - start + 1))
                 ends = np.searchsorted(row, np.arange(stop - start + 1))
@@ -87,10 +138,11 @@ def shared_seeds(docs: DataFrame, table: Table) -> DataFrame:
                     batch.column(1).take(pa.array(some + start)),
                     pa.array([found[cut[i] : cut[i + 1]].view(np.int64) for i in some], pa.list_(pa.int64())),
                     pa.array([at[cut[i] : cut[i + 1]].astype(np.int32) for i in some], pa.list_(pa.int32())),
+                    pa.array([open_starts(ends[i + 1] - ends[i], alone_at[alone_cut[i] : alone_cut[i + 1]], size) for i in some], pa.list_(pa.int32())),
                     pa.array([short[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()),
-                ], names=["key", "doc_id", "seeds", "at", "words"])
+                ], names=["key", "doc_id", "seeds", "at", "open", "words"])
 
-    return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, seeds array<long>, at array<int>, words binary")
+    return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, seeds array<long>, at array<int>, open array<int>, words binary")
 
 
 class Fenwick:
@@ -272,13 +324,14 @@ SPANS = "key long, doc_id long, start_word int, end_word int, src_doc_id long, s
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """docs (key, doc_id, text) -> SPANS: each passage of a document that an earlier document has too."""
     table = count_shared(docs.select("text"), _distinct_seeds)
-    found = save(shared_seeds(docs, table), "seeds")
-    posts = found.select("key", "doc_id", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("key", "doc_id", F.col("s.seeds").alias("seed"), F.col("s.at").alias("at"))
+    found = save(shared_seeds(docs, table, min_words), "seeds")
+    posts = found.select("key", "doc_id", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("key", "doc_id", F.col("s.seeds").alias("seed"), F.col("s.at").alias("at"), F.lit(False).alias("whole"))
+    posts = posts.union(runs_of(found, min_words).withColumn("whole", F.lit(True)))
     owners = posts.groupBy("seed").agg(F.min(F.struct("doc_id", "key", "at")).alias("o")).select("seed", F.col("o.doc_id").alias("src_doc_id"), F.col("o.key").alias("src"), F.col("o.at").alias("src_at"))
     matches = posts.join(owners, "seed").filter("key <> src")
-    pairs = matches.groupBy("key", "doc_id", "src", "src_doc_id").agg(F.collect_set(F.struct("at", "src_at")).alias("hits")).filter(F.size("hits") >= 2)
+    pairs = matches.groupBy("key", "doc_id", "src", "src_doc_id").agg(F.collect_set(F.struct("at", "src_at", "whole")).alias("hits")).filter((F.size("hits") >= 2) | F.col("hits")[0]["whole"])
     low = lambda c: F.greatest(F.lit(0), F.array_min(F.transform("hits", lambda h: h[c])) - AROUND)
-    wide = lambda c: F.array_max(F.transform("hits", lambda h: h[c])) + K + AROUND
+    wide = lambda c: F.array_max(F.transform("hits", lambda h: h[c] + F.when(h["whole"], min_words).otherwise(K))) + AROUND
     pairs = pairs.withColumns({"a0": low("at"), "b0": low("src_at"), "a1": wide("at"), "b1": wide("src_at")})
     # Both joins read the same exchange of (key, words).
     texts = found.select("key", "words")
@@ -286,11 +339,17 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
     pairs = pairs.alias("p").join(texts.alias("t"), F.col("p.src") == F.col("t.key")).select(*(f"p.{c}" for c in kept), F.expr("substring(t.words, 4 * b0 + 1, 4 * (b1 - b0))").alias("b"))
     pairs = pairs.alias("p").join(texts.alias("t"), F.col("p.key") == F.col("t.key")).select(*(f"p.{c}" for c in kept), "b", F.expr("substring(t.words, 4 * a0 + 1, 4 * (a1 - a0))").alias("a"))
 
+    steps = np.unique([*range(0, min_words - K, K + WINDOW - 1), max(0, min_words - K)])[:, None]  # a whole run's hits of K words
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                hits = np.array([(h["at"] - r.a0, h["src_at"] - r.b0) for h in r.hits], np.int64)
+                hits = np.array([(h["at"] - r.a0, h["src_at"] - r.b0, h["whole"]) for h in r.hits], np.int64)
+                whole = hits[hits[:, 2] == 1, :2]
+                if len(whole):
+                    hits = np.unique(np.concatenate([hits[hits[:, 2] == 0, :2], (whole[:, None, :] + steps).reshape(-1, 2)]), axis=0)
+                hits = hits[:, :2]
                 for a0, a1, b0, b1, same in passages(hits, np.frombuffer(r.a, "<u4"), np.frombuffer(r.b, "<u4"), min_words, identity):
                     out.append((r.key, r.doc_id, a0 + r.a0, a1 + r.a0, r.src_doc_id, b0 + r.b0, b1 + r.b0, same))
             kinds = {"key": "int64", "doc_id": "Int64", "start_word": "int32", "end_word": "int32", "src_doc_id": "Int64", "src_start": "int32", "src_end": "int32", "identity": "float64"}
