@@ -369,3 +369,15 @@ def test_open_runs():
     assert 50 not in open_starts(100, np.array([70]), 45) and open_starts(100, np.array([70]), 45).tolist() == [*range(24 + chaining.K + chaining.WINDOW)]
     moved = np.concatenate([np.full(7, 5, "<u4"), words])
     assert (run_hashes(words, np.arange(56), 45) == run_hashes(moved, np.arange(7, 63), 45)).all() and len(set(run_hashes(words, np.arange(56), 45))) == 56
+
+
+def test_passages_with_a_word_in_seven_changed(spark):
+    """Sixty words of which every seventh differs (identity 0.86) share seeds between the changes."""
+    texts, want = {}, set()
+    for i in range(20):
+        shared = prose(60).split()
+        other = ["other%d_%d" % (i, j) if j % 7 == i % 7 else w for j, w in enumerate(shared)]
+        texts[i], texts[100 + i] = " ".join([prose(30), *shared, prose(30)]), " ".join([prose(30), *other, prose(30)])
+        want.add((100 + i, i))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {(r.doc_id, r.src_doc_id) for r in repeated_passages(keyed(docs)).collect()} == want

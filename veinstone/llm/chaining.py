@@ -30,7 +30,7 @@ from . import words as W
 from .common import read, save
 from .shared import Table, count_shared
 
-K, WINDOW, MIN_WORDS, IDENTITY = 6, 8, 45, 0.8
+K, WINDOW, MIN_WORDS, IDENTITY = 4, 4, 45, 0.8
 #: Words a gap inside a chain may have; cost of a gap's word; words around the seeds that alignment sees.
 MAX_GAP, GAP_COST, AROUND = 48, 0.2, 96
 #: Score of an equal and an unequal word and the drop that ends an extension.
