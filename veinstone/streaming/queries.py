@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import islice
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..plans.engine import Engine
@@ -11,12 +13,18 @@ from ..plans.engine import Engine
 def answer_stream(engine: Engine, queries: DataFrame, path: str, checkpoint: str, most: int = 100):
     """queries (query_id, text), a streaming DataFrame: each micro-batch's answers are appended to path.
 
-    A micro-batch holds up to most queries; planning is driver work, everything else one job a query.
+    A micro-batch may hold any number of queries, of which the driver takes up most at a time; planning is
+    driver work, everything else one job a query.
     """
 
     def each(batch: DataFrame, epoch: int) -> None:
-        for row in batch.limit(most).collect():
-            engine.recommend(row.text).select(F.lit(row.query_id).alias("query_id"), F.lit(epoch).alias("epoch"), "rank", "expert_id", "reason").write.mode("append").parquet(path)
+        rows = batch.toLocalIterator()
+        while group := list(islice(rows, most)):
+            for row in group:
+                answer(row, epoch)
+
+    def answer(row: Row, epoch: int) -> None:
+        engine.recommend(row.text).select(F.lit(row.query_id).alias("query_id"), F.lit(epoch).alias("epoch"), "rank", "expert_id", "reason").write.mode("append").parquet(path)
 
     return queries.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
