@@ -1,24 +1,31 @@
-"""Session plumbing the operators share: scratch tables and checked broadcasts."""
+"""Session plumbing the operators share: scratch tables, checked broadcasts, workers that give memory back."""
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has at most so many rows of a few longs (about 32 MB).
 BROADCAST_ROWS = 2_000_000
+_HELD: list[Broadcast] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veinstone-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
+    """The shared folder named by spark.checkpoint.dir or setCheckpointDir. Where neither is set, one process (local mode) may use its own."""
+    sc = spark.sparkContext
+    if not (spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="veinstone-"))
+    return (spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()).rstrip("/")
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
@@ -29,10 +36,57 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that save() has written and nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark df for broadcast if counting shows it small enough; otherwise leave the join to a shuffle."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def held(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast variable that release() lets go of. The caller states the bound of its size."""
+    out = spark.sparkContext.broadcast(value)
+    _HELD.append(out)
+    return out
+
+
+def release() -> None:
+    """Remove the executors' copies of all variables from held(); one that is needed again is fetched again."""
+    while _HELD:
+        _HELD.pop().unpersist()
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow or mapInPandas, after which an idle worker holds no freed memory."""
+
+    def out(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return out
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def clean(text: Column) -> Column:
+    """A text as operators read it: bytes that are no valid UTF-8 are U+FFFD."""
+    return F.make_valid_utf8(text.cast("string"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
