@@ -16,6 +16,7 @@ from veinstone.llm import kneser_ney as K
 from veinstone.llm import language_id as L
 from veinstone.llm import pieces as P
 from veinstone.llm import url_filter as U
+from veinstone.llm import words as W
 from veinstone.llm.chaining import chains, cut_passages, keyed, open_starts, passages, repeated_passages, run_hashes, without
 from veinstone.llm.jaccard_join import _linked, _meet, jaccard_components, keep_one
 from veinstone.llm.maxscore import top_k
@@ -248,6 +249,17 @@ def test_gram_codes():
     assert at.tolist() == [0, 3, 3, 5] and codes[0] == 3 and codes[3] == 54 and codes[4] == 54 * 64 + 28
 
 
+def encoded(coder, texts):
+    """Each text's ids."""
+    import pyarrow as pa
+
+    out = []
+    for _, _, buf, offsets in W.chunks(pa.array(texts)):
+        ids, ends = coder.encode(buf, offsets)
+        out += [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return out
+
+
 @pytest.mark.skipif(not os.path.exists(P.MODEL), reason="no vocabulary")
 def test_pieces(spark, odd):
     import sentencepiece
@@ -256,14 +268,26 @@ def test_pieces(spark, odd):
     sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
     coder = P.Coder(P.Vocabulary.load(proto, True))
     texts = [r.text for r in odd.collect() if r.text is not None and "\u2581" not in r.text] + ["  a  b ", "def f(x):\n    return x+1", "日本語 😀", "a" * 40]
-    for t, ids in zip(texts, coder.encode(texts), strict=True):
-        assert ids.tolist() == sp.encode(t)
+    texts += ["y" * 5000 + str(i) for i in range(3)]
+    for _ in range(2):  # new words, then known ones
+        for t, ids in zip(texts, encoded(coder, texts), strict=True):
+            assert ids == sp.encode(t)
+    assert 0 < len(coder.hashes) and not any(t > P.LONG_WORD for t in np.diff(coder.many))
     rows = P.encode(odd).collect()
     assert len(rows) == odd.count() and all(r.roundtrip for r in rows if r.ids is not None) and any(r.ids is None for r in rows)
     back = {r.doc_id: r.text for r in P.decode(P.encode(odd)).collect()}
     assert all(back[r.doc_id] == r.text for r in odd.collect() if r.doc_id is not None)
 
 
+@pytest.mark.skipif(not os.path.exists(P.MODEL), reason="no vocabulary")
+def test_pieces_of_odd_bytes(spark):
+    """Bytes that are no UTF-8 are read as U+FFFD; a mark inside a text and a huge word come back."""
+    docs = spark.sql("select 1L as doc_id, cast(unhex('61FF6220C3') as string) as text union all select 2L, concat(unhex('E29681'), ' x', unhex('E29681')) union all select 3L, repeat('z', 300000)")
+    back = {r.doc_id: r.text for r in P.decode(P.encode(docs)).collect()}
+    assert back == {1: "a\ufffdb \ufffd", 2: "\u2581 x\u2581", 3: "z" * 300000}
+    assert all(r.roundtrip for r in P.encode(docs).collect())
+
+
 def test_unigram_viterbi():
     pieces = {s: i for i, s in enumerate(["\u2581", "a", "b", "ab", "ba", "aba", "\u2581a", "\u2581ab"])}
     v = P.Vocabulary(pieces, [-1.0, -2.0, -2.0, -2.5, -2.2, -5.0, -2.1, -9.0], [], list(range(100, 356)), 0, False)
@@ -274,7 +298,7 @@ def test_unigram_viterbi():
         return max(sum(v.scores[pieces[p]] for p in c) for c in cuts if all(p in pieces for p in c))
 
     for text in ("a", "ab", "aba", "abab", "babaab"):
-        ids = coder.encode([text])[0]
+        ids = encoded(coder, [text])[0]
         assert abs(sum(v.scores[i] for i in ids) - brute("\u2581" + text)) < 1e-9
 
 

@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding (operator 8): shared-prefix Viterbi over distinct marked words.
 
 Texts are marked (a space becomes U+2581, one is put in front) and cut into words before each run of
-marks. Each batch's distinct new words are sorted, which lays them out as a trie in depth-first order; a
-stack of forward cells, one for each character, is kept for the prefix shared with the word before, so a
-cell is computed once for all words below it.
+marks, as bytes and by their hashes. Each batch's distinct new words are sorted, which lays them out as a
+trie in depth-first order; a stack of forward cells, one for each character, is kept for the prefix shared
+with the word before, so a cell is computed once for all words below it. Beside each cell lies the state
+of an automaton over the vocabulary, which names the pieces that end there.
 
 A forward cell holds the best segmentation that ends there. For unigram models that is the one with the
 highest sum of piece scores. A BPE model's scores are merge ranks, and its segmentation is not the one with
@@ -11,13 +12,13 @@ the best sum; there the cell holds the only last piece that is consistent: of th
 one whose predecessor's cell it follows without any merge across the border (a path of score 0; others minus
 infinity). Both are exact: the second equals merging pair by pair. Characters without a piece become bytes.
 
-Null texts encode to null; an empty text encodes to no pieces. Any text decodes to itself.
+Null texts encode to null; an empty text encodes to no pieces. Any text decodes to itself; bytes that are no
+valid UTF-8 are read as U+FFFD first. Very long texts and words are encoded whole; words of over
+LONG_WORD bytes are not remembered. Repeated rows are encoded alike; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from . import words as W
+from .common import clean, held, read, tidy
 
 MARK = "▁"
 #: Stands for a mark that a text itself holds (no valid text holds a lone surrogate); it becomes the mark's bytes.
@@ -36,9 +38,10 @@ MODEL, MAX_MODEL = "/opt/tokenizers/piece_bpe_32k.model", 64 << 20
 WORST = float("inf")
 #: Ids, above all pieces' ones, of a word's start and (with the code point added) of a character without a piece.
 FIRST, NO_PIECE = 1 << 23, (1 << 23) + 1
-#: Distinct words, and pairs of pieces and word endings, that a worker remembers; beyond it starts anew.
-REMEMBER, REMEMBER_PAIRS = 300_000, 1_000_000
-_WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Distinct words (of at most LONG_WORD bytes) and pairs of pieces that a worker remembers; beyond it starts anew.
+REMEMBER, REMEMBER_PAIRS, LONG_WORD = 1_000_000, 400_000, 64
+#: Bytes of text that are coded at once.
+CHUNK = 1 << 20
 
 
 @dataclass
@@ -62,26 +65,47 @@ class Vocabulary:
         return cls(normal, [sp.get_score(i) for i in range(len(names))], texts, byte, sp.unk_id(), bpe)
 
 
+class State:
+    """A prefix of pieces: where each next character leads, and the (length, id) of the pieces that end here, longest first."""
+
+    __slots__ = ("ends", "text", "to")
+
+    def __init__(self, text: str, ends: tuple[tuple[int, int], ...]):
+        self.text, self.ends, self.to = text, ends, {}
+
+
 class Coder:
     """Encodes words; remembers them, and which pieces may follow which."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.rank = {piece: -vocabulary.scores[t] for piece, t in vocabulary.pieces.items()}
-        self.worst = min(vocabulary.scores) - 10
+        self.v = v = vocabulary
+        self.rank = {piece: -v.scores[t] for piece, t in v.pieces.items()}
+        self.worst = min(v.scores) - 10
         self.follows: dict[int, bool] = {}
-        #: Lengths of pieces of 4 or more characters by their last 4; and of all pieces that can end in given 4, longest first.
-        self.long: dict[str, set[int]] = {}
-        for piece in vocabulary.pieces:
-            if len(piece) >= 4:
-                self.long.setdefault(piece[-4:], set()).add(len(piece))
-        self.lengths: dict[str, tuple[int, ...]] = {}
+        self.states: dict[str, State | None] = dict.fromkeys(piece[:n] for piece in v.pieces for n in range(1, len(piece) + 1))
+        self.root = self.states[""] = State("", ())
+        size = np.array([len(t) for t in v.texts], np.int64)
+        self.piece_bytes, self.piece_end = np.frombuffer(b"".join(v.texts), np.uint8), np.cumsum(size)
+        self.piece_size = size
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = array("i")
-        self.ends = array("q")
+        """No word is known: hashes (sorted) with the start and number of their pieces in flat."""
+        self.hashes, self.start, self.many = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def step(self, state: State, char: str) -> State:
+        """The state of the longest suffix of state's text and char that is a prefix of a piece."""
+        text = state.text + char
+        while text not in self.states:
+            text = text[1:]
+        out = self.states[text]
+        if out is None:
+            get = self.v.pieces.get
+            ends = tuple((len(text) - i, t) for i in range(len(text)) if (t := get(text[i:])) is not None)
+            out = self.states[text] = State(text, ends)
+        state.to[char] = out
+        return out
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Pair by pair: the adjacent pair with the best score first, the leftmost of equals."""
@@ -106,107 +130,141 @@ class Coder:
         """Whether merging the text a + b ends in just a and b (a may be empty)."""
         return self.merged(list(a + b)) == ([a, b] if a else [b])
 
-    def lengths_of(self, tail: str) -> tuple[int, ...]:
-        got = self.long.get(tail, set()) | {n for n in (1, 2, 3) if n <= len(tail) and tail[-n:] in self.v.pieces}
-        self.lengths[tail] = out = tuple(sorted(got, reverse=True))
-        return out
-
-    def cell(self, word: str, end: int, cells: list) -> tuple[float, int, int]:
-        """(score, start, id) of the best segmentation of word[:end] and its last piece; cells has those of shorter prefixes."""
-        get = self.v.pieces.get
-        tail = word[end - 4 : end] if end > 3 else word[:end]
-        lengths = self.lengths.get(tail)
-        if lengths is None:
-            lengths = self.lengths_of(tail)
-        if self.v.bpe:
-            # The pair (id before, id) decides; a character without a piece has an id of its own.
-            follows = self.follows
-            for n in lengths:
-                start = end - n
-                if start >= 0:
-                    t = get(word[start:end])
-                    if t is not None:
-                        before = cells[start]
-                        good = follows.get(before[2] << 24 | t)
-                        if good is None:
-                            good = follows[before[2] << 24 | t] = self.fits(word[before[1] : start], word[start:end])
-                        if good:
-                            return 0.0, start, t
-            return 0.0, end - 1, NO_PIECE + ord(word[end - 1])
-        best = (cells[end - 1][0] + self.worst, end - 1, NO_PIECE)
-        for n in lengths:
-            t = get(word[end - n : end]) if n <= end else None
-            if t is not None and cells[end - n][0] + self.v.scores[t] > best[0]:
-                best = (cells[end - n][0] + self.v.scores[t], end - n, t)
-        return best
-
-    def learn(self, words: list[str]) -> None:
-        """Encode new words: depth first along the trie that their sorted order is."""
-        cells: list[tuple[float, int, int]] = [(0.0, 0, FIRST)]
+    def learn(self, words: list[str]) -> list[list[int]]:
+        """The pieces of distinct words: depth first along the trie that their sorted order is. words is sorted in place."""
+        words.sort()
+        bpe, follows, fits, piece_score, worst = self.v.bpe, self.follows, self.fits, self.v.scores, self.worst
+        # Of the forward cell behind each character: its last piece, where that starts, its score, and the automaton's state.
+        ids, starts, scores, states = [FIRST], [0], [0.0], [self.root]
+        out: list[list[int]] = []
         last = ""
-        for word in sorted(words):
+        for word in words:
             same = 0
             for x, y in zip(last, word, strict=False):
                 if x != y:
                     break
                 same += 1
-            del cells[same + 1 :]
+            del ids[same + 1 :], starts[same + 1 :], scores[same + 1 :], states[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                cells.append(self.cell(word, end, cells))
+                char = word[end - 1]
+                state = states[-1]
+                state = state.to.get(char) or self.step(state, char)
+                piece, start, score = NO_PIECE, end - 1, scores[-1] + worst
+                if bpe:
+                    # The pair (id before, id) decides; a character without a piece has an id of its own.
+                    piece += ord(char)
+                    for n, t in state.ends:
+                        key = ids[end - n] << 24 | t
+                        good = follows.get(key)
+                        if good is None:
+                            good = follows[key] = fits(word[starts[end - n] : end - n], word[end - n : end])
+                        if good:
+                            piece, start, score = t, end - n, 0.0
+                            break
+                else:
+                    for n, t in state.ends:
+                        if scores[end - n] + piece_score[t] > score:
+                            piece, start, score = t, end - n, scores[end - n] + piece_score[t]
+                ids.append(piece)
+                starts.append(start)
+                scores.append(score)
+                states.append(state)
             last = word
-            out: list[int] = []
+            found: list[int] = []
             end = len(word)
             while end:
-                _, start, t = cells[end]
-                out += [t] if t < FIRST else [self.v.bytes_[b] for b in reversed(word[start:end].replace(OWN_MARK, MARK).encode())]
+                t, start = ids[end], starts[end]
+                found += [t] if t < FIRST else [self.v.bytes_[b] for b in reversed(word[start:end].replace(OWN_MARK, MARK).encode())]
                 end = start
-            self.known[word] = len(self.ends)
-            self.flat.extend(out[::-1])
-            self.ends.append(len(self.flat))
-
-    def words(self, text: str) -> list[str]:
-        text = text.replace(MARK, OWN_MARK) if MARK in text else text
-        return _WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        if len(self.known) > REMEMBER:
-            self.forget()
-        for memory in (self.follows, self.lengths):
-            if len(memory) > REMEMBER_PAIRS:
-                memory.clear()
-        cut = [None if t is None else self.words(t) for t in texts]
-        new = set().union(*(c for c in cut if c)) - self.known.keys()
-        self.learn(list(new))
-        ends = np.array(self.ends, np.int64)
-        sizes = np.diff(ends, prepend=0)
-        flat = np.array(self.flat, np.int32)
-        out: list[np.ndarray | None] = []
-        for c in cut:
-            if c is None:
-                out.append(None)
-                continue
-            at = np.fromiter(map(self.known.__getitem__, c), np.int64, len(c))
-            n = sizes[at]
-            total = np.cumsum(n)
-            shift = np.repeat(ends[at] - total, n)
-            out.append(flat[np.arange(len(shift)) + shift] if len(at) else flat[:0])
+            out.append(found[::-1])
         return out
 
-
-def decode_ids(ids: np.ndarray, texts: np.ndarray) -> str:
-    """The text of piece ids; the mark put in front is dropped."""
-    raw = b"".join(texts[ids].tolist())
-    return raw[1:].decode("utf-8", "surrogatepass") if raw[:1] == b" " else raw.decode("utf-8", "surrogatepass")
+    def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each row's end) of the texts that offsets cut the bytes buf into."""
+        if len(self.hashes) > REMEMBER:
+            self.forget()
+        if len(self.follows) > REMEMBER_PAIRS:
+            self.follows.clear()
+        if not len(buf):
+            return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
+        space = buf == 0x20
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        rows = offsets[:-1][np.diff(offsets) > 0]
+        begins[rows] = True
+        first = np.flatnonzero(begins)
+        end = np.append(first[1:], len(buf))
+        opens = np.isin(first, rows)  # a text's first word has a mark in front
+        hashes = W.spans(buf, first, end, opens)
+        found, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, found)
+        new = np.ones(len(found), bool)
+        new[place < len(self.hashes)] = self.hashes[place[place < len(self.hashes)]] != found[place < len(self.hashes)]
+        start, many, flat = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64), self.flat
+        start[~new], many[~new] = self.start[place[~new]], self.many[place[~new]]
+        if new.any():
+            which = np.flatnonzero(new)
+            raw = buf.tobytes()
+            of = {}
+            for i, a, b, opening in zip(which.tolist(), first[at[which]].tolist(), end[at[which]].tolist(), opens[at[which]].tolist(), strict=True):
+                of[(MARK if opening else "") + raw[a:b].decode().replace(MARK, OWN_MARK).replace(" ", MARK)] = i
+            words = list(of)
+            coded = self.learn(words)
+            order = np.array([of[w] for w in words], np.int64)
+            many[order] = [len(c) for c in coded]
+            start[order] = len(flat) + np.cumsum(many[order]) - many[order]
+            flat = np.concatenate([flat, np.fromiter((t for c in coded for t in c), np.int32)])
+            keep = np.sort(which[end[at[which]] - first[at[which]] <= LONG_WORD])
+            if len(keep) == len(which):
+                self.flat = flat
+            else:  # without the pieces of long words
+                short = np.concatenate([flat[start[i] : start[i] + many[i]] for i in keep]) if len(keep) else flat[:0]
+                kept = len(self.flat) + np.cumsum(many[keep]) - many[keep]
+                self.flat = np.concatenate([self.flat, short])
+            where = np.searchsorted(self.hashes, found[keep])
+            self.hashes = np.insert(self.hashes, where, found[keep])
+            self.start = np.insert(self.start, where, start[keep] if len(keep) == len(which) else kept)
+            self.many = np.insert(self.many, where, many[keep])
+        n = many[inverse]
+        total = np.cumsum(n)
+        ids = flat[np.arange(total[-1]) + np.repeat(start[inverse] - (total - n), n)]
+        cut = np.searchsorted(first, offsets[1:])
+        return ids, np.concatenate([[0], total])[cut]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, where each row's end) of rows of piece ids, with the mark in front as a space."""
+        n = self.piece_size[ids]
+        total = np.cumsum(n)
+        size = int(total[-1]) if len(total) else 0
+        out = self.piece_bytes[np.arange(size) + np.repeat(self.piece_end[ids] - total, n)]
+        return out, np.concatenate([[0], total])[ends]
+
+    def same(self, ids: np.ndarray, ends: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether each row's pieces decode to its text."""
+        got, to = self.decode(ids, ends)
+        size = np.diff(offsets)
+        want = np.insert(buf, offsets[:-1][size > 0], 0x20)
+        until = np.cumsum(size + (size > 0))
+        if len(got) == len(want) and (to == until).all() and (got == want).all():
+            return np.ones(len(size), bool)
+        begin, start = np.concatenate([[0], to[:-1]]), np.concatenate([[0], until[:-1]])
+        return np.array([np.array_equal(got[a:b], want[c:d]) for a, b, c, d in zip(begin, to, start, until, strict=True)], bool)
+
+
+def decode_ids(coder: Coder, ids: list[int]) -> str:
+    """The text of piece ids; the mark put in front is dropped. Ids that are no text give U+FFFD."""
+    raw = coder.decode(np.array(ids, np.int64), np.array([len(ids)]))[0].tobytes()
+    return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
 _LOADED: dict[int, Coder] = {}
 
 
-def _coder(held, bpe: bool) -> Coder:
-    key = hash((held.value, bpe))
+def _coder(proto: bytes, bpe: bool) -> Coder:
+    key = hash((proto, bpe))
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Coder(Vocabulary.load(held.value, bpe))
+        _LOADED[key] = Coder(Vocabulary.load(proto, bpe))
     return _LOADED[key]
 
 
@@ -215,39 +273,43 @@ def _model(df: DataFrame, path: str):
         proto = f.read(MAX_MODEL + 1)
     if len(proto) > MAX_MODEL:
         raise ValueError(f"{path} is larger than {MAX_MODEL} bytes")
-    return df.sparkSession.sparkContext.broadcast(proto)
+    return held(df.sparkSession, proto)
 
 
 def encode(docs: DataFrame, path: str = MODEL, bpe: bool = True) -> DataFrame:
     """docs (doc_id, text; others are ignored) -> doc_id, n_pieces, ids, roundtrip (decoding gives the text again)."""
-    held = _model(docs, path)
+    model = _model(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(held, bpe)
-        names = np.array(coder.v.texts, object)
+        coder = _coder(model.value, bpe)
         for batch in batches:
-            for i in range(0, len(batch), 1024):
-                part = batch.slice(i, 1024)
-                texts = part.column(1).to_pylist()
-                ids = coder.encode(texts)
-                same = [None if x is None else decode_ids(x, names) == t for x, t in zip(ids, texts, strict=True)]
-                counts = pa.array([None if x is None else len(x) for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "roundtrip"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, roundtrip boolean")
+            for start, stop, buf, offsets in W.chunks(batch.column(1), CHUNK):
+                ids, ends = coder.encode(buf, offsets)
+                none = batch.column(1).slice(start, stop - start).is_null()
+                cuts = np.concatenate([[0], ends])
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids), mask=none)
+                mask = none.to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(start, stop - start),
+                    pa.array(np.diff(cuts), mask=mask),
+                    lists,
+                    pa.array(coder.same(ids, ends, buf, offsets), mask=mask),
+                ], names=["doc_id", "n_pieces", "ids", "roundtrip"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean(F.col("text")).alias("text")).mapInArrow(tidy(run), "doc_id long, n_pieces long, ids array<int>, roundtrip boolean")
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """encoded (doc_id, ids) -> doc_id, text."""
-    held = _model(encoded, path)
+    model = _model(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array(_coder(held, True).v.texts, object)
+        coder = _coder(model.value, True)
         for batch in batches:
-            texts = [None if x is None else decode_ids(np.array(x, np.int64), names) for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else decode_ids(coder, x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,14 @@ def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np
     return hashes, row, first, end
 
 
+def spans(buf: np.ndarray, first: np.ndarray, end: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """Hashes of buf[first:end]; where opens, of a space and that."""
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * _powers(_BASE, len(buf)), out=sums[1:])
+    hashes = (sums[end] - sums[first]) * _powers(_INVERSE, len(buf))[first]
+    return mix64(np.where(opens, hashes * np.uint64(_BASE) + _BYTE[0x20], hashes))
+
+
 def shingles(hashes: np.ndarray, row: np.ndarray, k: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, index of the first word) of runs of k words inside a row; a row of 1 to k - 1 words is one run."""
     n = len(hashes)
