@@ -44,6 +44,19 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written first unless it is a plain scan, which gives the same rows in the same order each time."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return save(df, "stored") if re.search("Exchange|Join|Aggregate|Window|LocalTableScan|Scan ExistingRDD|InMemory|Limit|Sample", plan) else df
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark df for broadcast if counting shows it small enough; otherwise leave the join to a shuffle."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

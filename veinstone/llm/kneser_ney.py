@@ -1,208 +1,472 @@
 """Quality classifier (operator 9): an interpolated modified Kneser-Ney model of trusted text.
 
-The model is of order 4 over 64 character classes: small and capital letters, accented letters, digits,
-spaces, newlines and punctuation. n-grams of all trusted texts are counted where they lie, summed in
-shards by n-gram, and smoothed with Chen and Goodman's three discounts per order; the table of all 64**4
-log-probabilities (32 MB, whatever the input) is joined to the documents' n-grams at the executors.
-A document is kept if its mean negative log-probability lies between two quantiles of its language's
-trusted documents; very long or short texts differ from the mean by a term that falls with the root of
-the length, so scores are compared as deviations from the language's median times that root.
-
-Trusted are documents whose label says quality 1. Null and empty texts have no perplexity and are
-rejected. A null or rare language (fewer than MIN_TRUSTED trusted documents) uses all languages'
-quantiles. Repeated rows are judged alike. Without trusted text every document with text is kept.
+Symbols are characters (code points), n-grams are runs of ORDER of them with all their suffixes, and nothing
+is folded into classes, so the model grows with the text. It never lies in one place:
+
+1. Mappers count the distinct n-grams of trusted text, shards (by hash of the context) sum them. Each level's
+   shards give the next lower level its continuation counts, down to single characters.
+2. Documents are packed in blocks of about BLOCK bytes. A block asks the shards for its distinct n-grams of
+   every level, once each however often they occur, and each shard answers with the discounted share of the
+   n-gram and the weight that its context leaves to the lower order, by Chen and Goodman's three discounts.
+3. A block and its answers meet; probabilities are put together from the lowest level up and looked up for
+   each character.
+
+Both joins are on hashes of n-grams that a mapper or block sends once, so no frequent n-gram, language or source
+is a hot key. Text and models are halved by a hash of the text: what one half teaches judges the other, so no
+document is judged by a model that has seen it, and trusted and unknown text are measured alike.
+
+A document is kept if its mean negative log-probability lies between two quantiles of its language's trusted
+documents. Short texts differ more from the mean: scores are compared as deviations from the language's median,
+times a weight that grows with the root of the length and levels off around LONG characters (a smooth
+curve, the same for every text). A null language or one with fewer than MIN_TRUSTED trusted documents uses all
+languages' median and quantiles.
+
+Trusted are documents whose label says quality 1. Null and empty texts have no perplexity and are rejected; bytes
+that are no valid UTF-8 are read as U+FFFD; very long texts count whole. Ties at a quantile are kept. Repeated rows
+are judged alike, rows that share a doc_id each by their own text; a null doc_id is judged but never trusted. If a
+half has no trusted text, every document with text is kept. Extra columns are ignored. docs is read
+twice and must give the same rows both times: a table that is no plain scan is written first.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import read, save, small
-
-ORDER, CLASSES = 4, 64
-#: Lower and upper quantiles of trusted documents' deviations; trusted documents a language needs for its own.
-LOW, HIGH, MIN_TRUSTED = 0.001, 0.999, 50
-
-
-def _classes() -> np.ndarray:
-    """Class of each code point below 0x3000; 0 marks the start of a text, the last class holds everything else."""
-    out = np.full(0x3000, CLASSES - 1, np.uint32)
-    for c in range(0x3000):
-        s = chr(c)
-        if "a" <= s <= "z":
-            out[c] = 3 + c - ord("a")
-        elif "A" <= s <= "Z":
-            out[c] = 29 + c - ord("A")
-        elif s == " ":
-            out[c] = 1
-        elif s.isspace():
-            out[c] = 2
-        elif s == ".":
-            out[c] = 55
-        elif s == ",":
-            out[c] = 56
-        elif s.isdigit():
-            out[c] = 57
-        elif s.isalpha():
-            out[c] = 62 if s.isupper() else 59 + c % 3
-        elif c < 0x250:
-            out[c] = 58
-    return out
+from .common import clean, free, read, save, small, stored, tidy, trim
+
+ORDER = 5
+LEAST = 0.05
+#: Stands before each text; no code point.
+PAD = 0x110000
+#: Bytes of text in a block, and handled at once; distinct n-grams that a counting mapper holds.
+BLOCK, CHUNK, HOLD = 16 << 20, 1 << 20, 1 << 20
+#: Lower and upper quantiles of trusted documents' deviations; trusted documents a language needs for its own; see above.
+LOW, HIGH, MIN_TRUSTED, LONG = 0.001, 0.999, 50, 4000
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """An array's bytes in planes, compressed."""
+    wide = values.dtype.itemsize
+    return pa.compress(np.ascontiguousarray(values.reshape(-1).view(np.uint8).reshape(-1, wide).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueeze(blob: bytes, n: int, kind: type) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(blob, n * wide, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(wide, n).T).view(kind).ravel()
+
+
+def squeeze_share(values: np.ndarray) -> bytes:
+    """Floats of 24 bits."""
+    bits = values.astype(np.float32).view(np.uint32) + np.uint32(128)
+    return squeeze(bits & np.uint32(0xFFFFFF00))
 
 
-_CLASS = _classes()
+def grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes in order, the place of each hash among them, a position of each distinct one)."""
+    found = np.unique(hashes)
+    bits = max(8, len(found).bit_length() + 2)
+    first = np.searchsorted(found, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+    at = first[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
+    off = np.flatnonzero(found[at] != hashes) if len(hashes) else at
+    while len(off):
+        at[off] += 1
+        off = off[found[at[off]] != hashes[off]]
+    where = np.empty(len(found), np.int64)
+    where[at] = np.arange(len(hashes))
+    return found, at, where
 
 
-def grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code of each character with its three predecessors, characters before each text) of the texts cut by offsets."""
+def _mixed(symbols: np.ndarray) -> np.ndarray:
+    return W.mix64(symbols.astype(np.uint64) + np.uint64(1))
+
+
+def gram_hash(grams: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams (n rows of symbols, a column for each n-gram)."""
+    out = np.zeros(grams.shape[1], np.uint64)
+    for j, symbols in enumerate(grams[::-1]):
+        out += _mixed(symbols) * W._ODD[j]
+    return W.mix64(out)
+
+
+def coded(buf: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each character's n-gram, symbols of all texts, each character's place among them, characters before each text)."""
     points = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     at = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[offsets]
-    classes = np.where(points < len(_CLASS), _CLASS[np.minimum(points, len(_CLASS) - 1)], np.uint32(CLASSES - 1))
-    pad = ORDER - 1
-    where = np.arange(len(classes)) + pad * (np.repeat(np.arange(len(offsets) - 1), np.diff(at)) + 1)
-    wide = np.zeros(len(classes) + pad * (len(offsets) - 1), np.uint32)
-    wide[where] = classes
-    codes = np.zeros(len(classes), np.uint32)
-    for j in range(pad, -1, -1):
-        codes = codes * np.uint32(CLASSES) + wide[where - j]
-    return codes, at
+    place = np.arange(len(points)) + (order - 1) * (np.repeat(np.arange(len(offsets) - 1), np.diff(at)) + 1)
+    symbols = np.full(len(points) + (order - 1) * (len(offsets) - 1), PAD, np.uint32)
+    symbols[place] = points
+    mixed = _mixed(symbols)
+    hashes = np.zeros(len(points), np.uint64)
+    for j in range(order):
+        hashes += mixed[place - j] * W._ODD[j]
+    return W.mix64(hashes), symbols, place, at
+
+
+def distinct_grams(texts: pa.Array, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By chunk of texts: (first, end, distinct hashes, their n-grams, each character's place among them, characters before each text)."""
+    for start, stop, buf, offsets in W.chunks(texts, CHUNK):
+        hashes, symbols, place, at = coded(buf, offsets, order)
+        found, which, where = grouped(hashes)
+        yield start, stop, found, np.stack([symbols[place[where] - j] for j in range(order - 1, -1, -1)]), which, at
+
 
+def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams with the sums of their counts."""
+    _, which, where = grouped(gram_hash(grams))
+    return grams[:, where], np.bincount(which, weights=counts, minlength=len(where)).astype(np.int64)
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """texts (one string column) -> code, n: how often each n-gram occurs; each partition sends each code once or a few times."""
+
+def n_parts(parts: int, level: int, order: int) -> int:
+    """Shards of a level: lower levels have fewer n-grams; single characters one shard (there are 0x110000 at most)."""
+    return max(1, parts >> 2 * (order - level)) if level > 1 else 1
+
+
+def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    """The shards of n-grams: all of one context in one."""
+    return (gram_hash(grams[:-1]) % np.uint64(parts)).astype(np.int32)
+
+
+def by_part(grams: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, the positions of its n-grams) of each shard that has some."""
+    part = part_of(grams, parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)):
+        yield int(p), order[cuts[p] : cuts[p + 1]]
+
+
+COUNTS = "fold int, part int, size int, grams binary, counts binary"
+
+
+def _count_rows(fold: int, grams: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    rows = [(fold, p, len(at), squeeze(grams[:, at]), squeeze(counts[at])) for p, at in by_part(grams, parts)]
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["fold", "part", "size", "grams", "counts"])
+
+
+def count_texts(texts: DataFrame, parts: int, order: int) -> DataFrame:
+    """texts (text, fold) -> COUNTS of the highest level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[int, list] = {0: [], 1: []}
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            codes, which = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return codes, np.bincount(which, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+        def merged(fold: int) -> tuple[np.ndarray, np.ndarray]:
+            return summed(np.concatenate([g for g, _ in held[fold]], axis=1), np.concatenate([c for _, c in held[fold]]))
 
         for batch in batches:
-            for _, _, buf, offsets in W.chunks(batch.column(0)):
-                held.append(np.unique(grams(buf, offsets)[0], return_counts=True))
-                if len(held) >= 16:
-                    held = [merged()]
-        if held:
-            codes, n = merged()
-            for i in range(0, len(codes), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + (1 << 16)].astype(np.int32)), pa.array(n[i : i + (1 << 16)])], names=["code", "n"])
+            for fold, mine in held.items():
+                some = batch.column(0).filter(pc.equal(batch.column(1), fold))
+                for _, _, _, grams, which, _ in distinct_grams(some, order):
+                    mine.append((grams, np.bincount(which, minlength=grams.shape[1])))
+                    if sum(g.shape[1] for g, _ in mine) > HOLD:
+                        mine[:] = [merged(fold)]
+                        if mine[0][0].shape[1] > HOLD // 2:
+                            yield _count_rows(fold, *mine[0], parts)
+                            mine.clear()
+        for fold, mine in held.items():
+            if mine:
+                yield _count_rows(fold, *merged(fold), parts)
 
-    return texts.mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(run), COUNTS)
 
 
-def _discounts(level: np.ndarray) -> np.ndarray:
-    """Chen and Goodman's discounts of counts 0, 1, 2 and 3 or more, from how many n-grams have counts 1 to 4."""
-    ones, twos, threes, fours = (np.count_nonzero(level == i) for i in (1, 2, 3, 4))
-    y = ones / (ones + 2 * twos) if ones and twos else 0.5
-    cut = [0.0, 1 - 2 * y * twos / ones if ones else 0.5, 2 - 3 * y * threes / twos if twos else 1.0, 3 - 4 * y * fours / threes if threes else 1.5]
-    return np.clip(cut, 0, [0, 1, 2, 3])
+LEVEL = COUNTS + ", n1 long, n2 long, n3 long, n4 long"
+
 
+def shards(counts: DataFrame, level: int) -> DataFrame:
+    """COUNTS -> LEVEL: a row for each fold and shard, with how many n-grams have counts 1 to 4."""
 
-def _interpolate(level: np.ndarray, cut: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Discounted shares of counts, the rest given to the lower order's probabilities (all of it for contexts never seen)."""
-    level = level.astype(np.float64)
-    total = level.sum(axis=-1, keepdims=True)
-    off = cut[np.minimum(level, 3).astype(np.int8)]
-    free = np.divide(off.sum(axis=-1, keepdims=True), total, out=np.ones_like(total), where=total > 0)
-    return np.divide(level - off, total, out=np.zeros_like(level), where=total > 0) + free * lower
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        grams = np.concatenate([unsqueeze(g, n * level, np.uint32).reshape(level, n) for g, n in zip(rows["grams"], rows["size"], strict=True)], axis=1)
+        grams, counts = summed(grams, np.concatenate([unsqueeze(c, n, np.int64) for c, n in zip(rows["counts"], rows["size"], strict=True)]))
+        few = [int((counts == i).sum()) for i in (1, 2, 3, 4)]
+        return pd.DataFrame([(int(key[0]), int(key[1]), len(counts), squeeze(grams), squeeze(counts), *few)], columns=[c.split()[0] for c in LEVEL.split(", ")])
 
+    return counts.groupBy("fold", "part").applyInPandas(run, LEVEL)
 
-def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """Log-probabilities (half precision) of the last class given the others, from counts[c1, ..., c_order].
 
-    Works on one first class at a time at the highest order, so no more than the table itself is held.
+def continuations(shard: DataFrame, level: int, parts: int) -> DataFrame:
+    """LEVEL of a level -> COUNTS of the next lower one: how many different symbols precede an n-gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fold, n, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                grams = unsqueeze(blob, n * level, np.uint32).reshape(level, n)
+                yield _count_rows(fold, *summed(grams[1:], np.ones(n)), parts)
+
+    return shard.select("fold", "size", "grams").mapInArrow(tidy(run), COUNTS)
+
+
+def discounts(few: tuple[int, int, int, int]) -> np.ndarray:
+    """Chen and Goodman's discounts of counts 0, 1, 2 and 3 or more, from how many n-grams have counts 1 to 4.
+
+    At least LEAST, so that every context leaves something to symbols never seen in it.
     """
-    levels = []
-    top = counts
-    while top.ndim > 1:
-        seen = np.zeros(top.shape[1:], np.int32)  # continuation counts
-        for part in top:
-            seen += part > 0
-        levels.insert(0, seen)
-        top = seen
-    prob = np.full(counts.shape[-1], 1 / counts.shape[-1])
-    for level in levels:
-        prob = _interpolate(level, _discounts(level), prob)
-    out = np.empty(counts.shape, np.float16)
-    cut = _discounts(counts)
-    if counts.ndim == 1:
-        return np.log(np.maximum(_interpolate(counts, cut, prob), 1e-12)).astype(np.float16)
-    for i, part in enumerate(counts):
-        out[i] = np.log(np.maximum(_interpolate(part, cut, prob), 1e-12))
+    ones, twos, threes, fours = few
+    y = ones / (ones + 2 * twos) if ones and twos else 0.5
+    cut = [0.0, 1 - 2 * y * twos / ones if ones else 0.5, 2 - 3 * y * threes / twos if twos else 1.0, 3 - 4 * y * fours / threes if threes else 1.5]
+    return np.clip(cut, [0, LEAST, LEAST, LEAST], [0, 1, 2, 3])
+
+
+class Model:
+    """The shards' saved tables by level, and the discounts by fold and level."""
+
+    def __init__(self, levels: dict[int, DataFrame], cuts: dict[tuple[int, int], np.ndarray], parts: int, order: int):
+        self.levels, self.cuts, self.parts, self.order = levels, cuts, parts, order
+
+
+def train(texts: DataFrame, order: int = ORDER) -> Model | None:
+    """texts (text, fold 0 or 1); None unless both folds have text."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = count_texts(texts, n_parts(parts, order, order), order)
+    levels, cuts = {}, {}
+    for level in range(order, 0, -1):
+        shard = levels[level] = save(shards(counts, level), f"level{level}")
+        for r in shard.groupBy("fold").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in (1, 2, 3, 4))).collect():  # two rows
+            cuts[r.fold, level] = discounts((r.n1, r.n2, r.n3, r.n4))
+        if len([f for f, n in cuts if n == level]) < 2:
+            return None
+        if level > 1:
+            counts = continuations(shard, level, n_parts(parts, level - 1, order))
+    return Model(levels, cuts, parts, order)
+
+
+class Shard:
+    """One shard's n-grams of a level: answers with (share of an n-gram, weight left to the lower order)."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, cut: np.ndarray):
+        self.hashes, _, where = grouped(gram_hash(grams))
+        counts = counts[where].astype(np.float64)
+        self.contexts, which, _ = grouped(gram_hash(grams[:-1, where]))
+        total = np.bincount(which, weights=counts, minlength=len(self.contexts))
+        off = cut[np.minimum(counts, 3).astype(np.int8)]
+        self.share = (counts - off) / total[which]
+        self.weight = np.bincount(which, weights=off, minlength=len(self.contexts)) / total
+
+    def ask(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for hashes, known, values, other in ((gram_hash(grams), self.hashes, self.share, 0.0), (gram_hash(grams[:-1]), self.contexts, self.weight, 1.0)):
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            out.append(np.where(known[at] == hashes, values[at], other))
+        return out[0], out[1]
+
+
+def suffixes(grams: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """From the level of grams down to single characters: (distinct n-grams, the place of each one of the level above among them)."""
+    out = [(grams, np.arange(grams.shape[1]))]
+    while len(grams) > 1:
+        _, which, where = grouped(gram_hash(grams[1:]))
+        grams = grams[1:, where]
+        out.append((grams, which))
     return out
 
 
-def train(texts: DataFrame) -> np.ndarray | None:
-    """Log-probabilities by code, or None without text. At most 64**4 counts come to the driver."""
-    rows = count_grams(texts).toArrow()
-    if not rows.num_rows:
-        return None
-    counts = np.zeros(CLASSES**ORDER, np.float32)
-    counts[rows["code"].to_numpy()] = rows["n"].to_numpy()
-    del rows
-    return kneser_ney(counts.reshape((CLASSES,) * ORDER)).ravel()
+BLOCKS = "block long, fold int, n_bytes long, texts binary, sizes binary, key array<long>, doc_id array<string>, lang array<string>"
 
 
-def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """docs (text first, others kept) -> the others, n_symbols and nll (mean negative log-probability; null without text)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    rest = docs.columns[1:]
+def packed(docs: DataFrame) -> DataFrame:
+    """docs (text, fold, key, doc_id, lang) -> BLOCKS, each of one fold; block is a digest of the content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {0: [], 1: []}
+
+        def out(fold: int) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held[fold]).combine_chunks()
+            held[fold].clear()
+            text = table.column("text").combine_chunks()
+            text = (text if isinstance(text, pa.Array) else text.chunk(0)).cast(pa.large_string()).fill_null("")
+            sizes = pc.binary_length(text).to_numpy().astype(np.int64)
+            raw = b"".join(buf.tobytes() for _, _, buf, _ in W.chunks(text, BLOCK))
+            texts = pa.compress(raw, codec="zstd", asbytes=True)
+            keys = table.column("key").to_numpy()
+            block = int.from_bytes(hashlib.blake2b(texts + keys.tobytes(), digest_size=8).digest(), "little") >> 1
+            lists = [pa.array([table.column(c).to_pylist()], pa.list_(k)) for c, k in (("key", pa.int64()), ("doc_id", pa.string()), ("lang", pa.string()))]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([fold], pa.int32()), pa.array([len(raw)], pa.int64()), pa.array([texts], pa.binary()), pa.array([squeeze(sizes)], pa.binary()), *lists], names=[c.split()[0] for c in BLOCKS.split(", ")])
+
+        size = {0: 0, 1: 0}
         for batch in batches:
-            n, nll = np.zeros(len(batch), np.int64), np.zeros(len(batch))
-            for start, stop, buf, offsets in W.chunks(batch.column(0)):
-                codes, at = grams(buf, offsets)
-                sums = np.concatenate([[0], np.cumsum(held.value[codes], dtype=np.float64)])
-                n[start:stop] = np.diff(at)
-                nll[start:stop] = -(sums[at[1:]] - sums[at[:-1]])
-            with np.errstate(invalid="ignore"):
-                mean = nll / n
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n), pa.array(mean, mask=n == 0)], names=[*rest, "n_symbols", "nll"])
+            for fold in held:
+                some = batch.filter(pc.equal(batch.column(1), fold))
+                at = 0
+                while at < len(some):
+                    # Rows up to the block's bound; a longer text is a block of its own.
+                    ends = np.cumsum(pc.binary_length(some.column(0).slice(at)).fill_null(0).to_numpy())
+                    n = max(1, int(np.searchsorted(ends, BLOCK - size[fold], "right")))
+                    held[fold].append(some.slice(at, n))
+                    size[fold] += int(ends[min(n, len(ends)) - 1])
+                    at += n
+                    if size[fold] >= BLOCK or at < len(some):
+                        yield out(fold)
+                        size[fold] = 0
+        for fold in held:
+            if held[fold]:
+                yield out(fold)
 
-    kinds = ", ".join(f"{c} {t}" for c, t in docs.dtypes[1:])
-    return docs.mapInArrow(run, f"{kinds}, n_symbols long, nll double")
+    return docs.select("text", "fold", "key", F.col("doc_id").cast("string").alias("doc_id"), "lang").mapInArrow(tidy(run), BLOCKS)
 
 
-def classify(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, deviation, keep for every row of docs (doc_id, text, lang; others are ignored)."""
-    trust = labels.filter("quality = 1").select(F.col("doc_id").alias("__id")).distinct()
-    base = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    base = base.join(small(trust), F.col("doc_id") == F.col("__id"), "left").select("text", "doc_id", "lang", F.col("__id").isNotNull().alias("trusted"))
-    model = train(base.filter("trusted").select("text"))
+def _texts(texts: bytes, n_bytes: int, sizes: bytes, n: int) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(unsqueeze(sizes, n, np.int64))])
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(pa.decompress(texts, n_bytes, codec="zstd", asbytes=True)))
+
+
+def _block_grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """(distinct hashes, their n-grams, the chunks' own distinct hashes, places and bounds) of a block."""
+    chunks, all_grams = [], []
+    for start, stop, found, grams, which, at in distinct_grams(texts, order):
+        chunks.append((start, stop, found, which, at))
+        all_grams.append((found, grams))
+    if not chunks:
+        return np.zeros(0, np.uint64), np.zeros((order, 0), np.uint32), []
+    found, _, where = grouped(np.concatenate([f for f, _ in all_grams]))
+    return found, np.concatenate([g for _, g in all_grams], axis=1)[:, where], chunks
+
+
+ASKED = "fold int, level int, part int, block long, size int, grams binary, counts binary"
+
+
+def requests(blocks: DataFrame, parts: int, order: int) -> DataFrame:
+    """BLOCKS -> ASKED (counts null): each block's distinct n-grams by level and shard; the fold is the model's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows = []
+                for grams, _ in suffixes(_block_grams(_texts(r["texts"], r["n_bytes"], r["sizes"], r["n"]), order)[1]):
+                    level = len(grams)
+                    rows += [(1 - r["fold"], level, p, r["block"], len(at), squeeze(grams[:, at]), None) for p, at in by_part(grams, n_parts(parts, level, order))]
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in ASKED.split(", ")])
+
+    return blocks.select("block", "fold", "n_bytes", "texts", "sizes", F.size("key").alias("n")).mapInArrow(tidy(run), ASKED)
+
+
+ANSWERS = "block long, level int, part int, size int, share binary, weight binary"
+
+
+def answers(asked: DataFrame, model: Model) -> DataFrame:
+    cuts = model.cuts
+    known = None
+    for level, shard in model.levels.items():
+        rows = shard.select("fold", F.lit(level).alias("level"), "part", F.lit(None).cast("long").alias("block"), "size", "grams", "counts")
+        known = rows if known is None else known.union(rows)
+
+    def run(rows: pa.Table) -> pa.Table:
+        out, shard = [], None
+        rows = rows.to_pylist()
+        fold, level, part = (rows[0][c] for c in ("fold", "level", "part"))
+        for r in rows:
+            if r["counts"] is not None:
+                shard = Shard(unsqueeze(r["grams"], r["size"] * level, np.uint32).reshape(level, -1), unsqueeze(r["counts"], r["size"], np.int64), cuts[fold, level])
+        for r in rows:
+            if r["counts"] is None:
+                share, weight = np.zeros(r["size"]), np.ones(r["size"])
+                if shard is not None:
+                    share, weight = shard.ask(unsqueeze(r["grams"], r["size"] * level, np.uint32).reshape(level, -1))
+                out.append((r["block"], level, part, r["size"], squeeze_share(share), squeeze_share(weight)))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], [c.split()[0] for c in ANSWERS.split(", ")])
+
+    return asked.union(known).groupBy("fold", "level", "part").applyInArrow(run, ANSWERS)
+
+
+SCORED = "key long, doc_id string, lang string, n_symbols long, nll double"
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """docs (text, fold, key, doc_id, lang) -> SCORED: nll is the mean negative log-probability, null without text."""
+    blocks, parts, order = packed(docs), model.parts, model.order
+
+    def run(mine: pa.Table, got: pa.Table) -> pa.Table:
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64())
+        names = [c.split()[0] for c in SCORED.split(", ")]
+        out = [pa.table([pa.array([], k) for k in kinds], names)]
+        given = {(a["level"], a["part"]): a for a in got.to_pylist()}
+        for r in mine.to_pylist():
+            rows = len(r["key"])
+            found, grams, chunks = _block_grams(_texts(r["texts"], r["n_bytes"], r["sizes"], rows), order)
+            prob = np.zeros(0)
+            levels = suffixes(grams)
+            for i in range(len(levels) - 1, -1, -1):
+                grams, _ = levels[i]
+                level = len(grams)
+                share, weight = np.zeros(grams.shape[1]), np.ones(grams.shape[1])
+                for p, at in by_part(grams, n_parts(parts, level, order)):
+                    a = given.get((level, p))
+                    if a is None or a["size"] != len(at):
+                        raise RuntimeError("the documents changed between two reads")
+                    share[at], weight[at] = (unsqueeze(a[c], a["size"], np.uint32).view(np.float32) for c in ("share", "weight"))
+                lower = prob[levels[i + 1][1]] if level > 1 else 1 / (PAD + 1)
+                prob = share + weight * lower
+            logs = np.log(prob)
+            n, nll = np.zeros(rows, np.int64), np.zeros(rows)
+            for start, stop, own, which, at in chunks:
+                sums = np.concatenate([[0], np.cumsum(logs[np.searchsorted(found, own)][which])])
+                n[start:stop] = np.diff(at)
+                nll[start:stop] = -(sums[at[1:]] - sums[at[:-1]])
+            mean = np.divide(nll, n, out=np.full(rows, np.nan), where=n > 0)
+            out.append(pa.table([pa.array(x, k) for x, k in zip((r["key"], r["doc_id"], r["lang"], n, mean), kinds, strict=True)], names))
+        trim()
+        return pa.concat_tables(out).combine_chunks()
+
+    told = answers(requests(blocks, parts, order), model)
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, SCORED)
+    return scored.withColumns({"doc_id": F.col("doc_id").cast("long"), "nll": F.when(F.col("n_symbols") > 0, F.col("nll"))})
+
+
+def row_key(docs: DataFrame):
+    """Tells rows apart by what a judgement depends on."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["lang"].cast("string"), docs["text"].cast("string"))
+
+
+def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """SCORED with deviation and keep, for every row of docs (doc_id, text, lang; others are ignored)."""
+    docs = stored(docs.select("doc_id", "text", "lang"))
+    trust = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
+    trust = small(trust)
+    text = clean(F.col("text"))
+    base = docs.select(text.alias("text"), F.pmod(F.xxhash64(text), F.lit(2)).cast("int").alias("fold"), row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    mine = F.col("doc_id") == F.col("trusted_id")
+    model = train(base.join(trust, mine, "left_semi").filter("length(text) > 0").select("text", "fold"))
     if model is None:
-        out = base.select("doc_id", "lang", F.length("text").cast("long").alias("n_symbols"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("deviation"))
-        return out.withColumn("keep", F.coalesce(F.col("n_symbols") > 0, F.lit(False)))
-    scored = save(score(base, model), "scored")
+        out = base.select("key", "doc_id", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_symbols"), F.lit(None).cast("double").alias("nll"), F.lit(None).cast("double").alias("deviation"))
+        return out.withColumn("keep", F.col("n_symbols") > 0)
+    scored = save(score(base, model).join(trust, mine, "left").select("key", "doc_id", "lang", "n_symbols", "nll", F.col("trusted_id").isNotNull().alias("trusted")), "scored")
     known = scored.filter("trusted and nll is not null")
     middle = F.percentile_approx("nll", 0.5, 10000)
-    own = known.groupBy("lang").agg(middle.alias("mid"), F.count(F.lit(1)).alias("many")).filter(F.col("many") >= MIN_TRUSTED)
-    every = known.agg(middle.alias("mid_all"))
-    own = small(own.select(F.col("lang").alias("l"), "mid"))
-    length = F.sqrt(F.least(F.col("n_symbols"), F.lit(4000)).cast("double"))
-    scored = scored.join(own, F.col("lang") == F.col("l"), "left").join(F.broadcast(every)).withColumn("deviation", (F.col("nll") - F.coalesce("mid", "mid_all")) * length).select(*scored.columns, "l", "deviation")
-    bounds = F.percentile_approx("deviation", [low, high], 10000)
+    own = known.filter("lang is not null").groupBy(F.col("lang").alias("own_lang")).agg(middle.alias("mid"), F.count(F.lit(1)).alias("many")).filter(F.col("many") >= MIN_TRUSTED).drop("many")
+    mid_all = known.agg(middle).first()[0]
+    weight = 1 / F.sqrt(1 / F.col("n_symbols") + F.lit(1 / LONG))
+    scored = scored.join(small(own), F.col("lang") == F.col("own_lang"), "left").withColumn("deviation", F.when(F.col("nll").isNotNull(), (F.col("nll") - F.coalesce("mid", F.lit(mid_all))) * weight))
     known = scored.filter("trusted and nll is not null")
-    cuts = small(known.filter("l is not null").groupBy("l").agg(bounds.alias("b")).withColumnRenamed("l", "k"))
-    every = known.agg(bounds.alias("b_all"))
-    cut = F.coalesce("b", "b_all")
-    out = scored.join(cuts, F.col("l") == F.col("k"), "left").join(F.broadcast(every))
+    bounds = F.percentile_approx("deviation", [low, high], 10000)
+    cuts = known.filter("own_lang is not null").groupBy(F.col("own_lang").alias("cut_lang")).agg(bounds.alias("bounds"))
+    every = known.agg(bounds).first()[0]
+    cut = F.coalesce("bounds", F.array(*(F.lit(float(x)) for x in every)))
     keep = F.coalesce((F.col("deviation") >= cut[0]) & (F.col("deviation") <= cut[1]), F.lit(False))
-    return out.select("doc_id", "lang", "n_symbols", F.exp("nll").alias("perplexity"), "deviation", keep.alias("keep"))
+    return scored.join(small(cuts), F.col("own_lang") == F.col("cut_lang"), "left").select("key", "doc_id", "lang", "n_symbols", "nll", "deviation", keep.alias("keep"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """doc_id, lang, n_symbols, perplexity, deviation, keep for every row of docs."""
+    return judged(docs, labels, low, high).select("doc_id", "lang", "n_symbols", F.exp("nll").alias("perplexity"), "deviation", "keep")
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those the classifier rejects. A null doc_id cannot be judged and stays if it has text."""
-    bad = classify(docs, labels).filter(~F.col("keep")).select(F.col("doc_id").alias("__bad")).distinct()
-    out = docs.join(small(bad), F.col("doc_id") == F.col("__bad"), "left_anti")
-    return out.filter((F.length("text") > 0) | F.col("doc_id").isNotNull())
+    """docs without the rows that the classifier rejects."""
+    name = free(docs, "rejected")
+    bad = judged(docs, labels).filter(~F.col("keep")).select(F.col("key").alias(name)).distinct()
+    return docs.join(small(bad), row_key(docs) == F.col(name), "left_anti")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
