@@ -8,9 +8,11 @@ The template writes each turn as <|im_start|>role<|im_sep|>text<|im_end|>. Insid
 backslash is doubled and every control string gets a backslash after its first character, so no text can
 end a turn or forge one; undoing it is exact. The loss mask covers assistants' texts.
 
-Null texts and roles are empty. Turns are ordered by turn number (nulls first), then role, then text;
+Null texts and roles are empty. Roles of the `messages` layout are kept as they are; layouts with vendors' names
+for roles say which role each name means. Turns are ordered by turn number (nulls first), then role, then text;
 repeated rows stay repeated turns. A null conv_id is one conversation. One conversation is one record and
-is formatted in one piece; its digest is defined over all its turns.
+is formatted in one piece, however long; its digest is defined over all its turns. Bytes that are no
+valid UTF-8 are read as U+FFFD. Extra columns are ignored; no rows give no conversations.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import clean, read, tidy
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 CONTROL = (START, SEP, END, "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "<unk>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -56,21 +58,26 @@ def fingerprint(of: set[str]) -> str:
 
 @dataclass(frozen=True)
 class Mapping:
-    """turns: (role, path of the text) pairs, in order; or a list's path with the paths of role and text in its items."""
+    """turns: (role, path of the text) pairs, in order; or a list's path with the paths of role and text in its items.
+
+    roles: (name, role) pairs of a list whose items name roles in another way; other names stay.
+    """
 
     turns: tuple[tuple[str, str], ...] = ()
     items: str = ""
     role: str = ""
     text: str = ""
+    roles: tuple[tuple[str, str], ...] = ()
 
     def needs(self) -> set[str]:
         return {f"{self.items}[].{self.role}", f"{self.items}[].{self.text}"} if self.items else {p for _, p in self.turns}
 
 
 #: The field names of common layouts and the names they give to roles.
+VENDOR_ROLES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 LAYOUTS = (
     Mapping(items="messages", role="role", text="content"),
-    Mapping(items="conversations", role="from", text="value"),
+    Mapping(items="conversations", role="from", text="value", roles=VENDOR_ROLES),
     Mapping(turns=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Mapping(turns=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Mapping(turns=(("user", "instruction"), ("assistant", "output"))),
@@ -81,7 +88,6 @@ LAYOUTS = (
     Mapping(turns=(("user", "prompt"), ("assistant", "response"))),
     Mapping(turns=(("user", "question"), ("assistant", "answer"))),
 )
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 REGISTRY = {fingerprint(m.needs()): m for m in LAYOUTS}
 
 
@@ -110,7 +116,7 @@ def canonical(record: dict, registry: dict[str, Mapping] | None = None) -> list[
         return []
     if m.items:
         found = [(_at(x, m.role), _at(x, m.text)) for x in record.get(m.items) or []]
-        return [(ROLES.get(r, r), t) for r, t in found]
+        return [(dict(m.roles).get(r, r), t) for r, t in found]
     out: list[tuple[str, str]] = []
     for role, path in m.turns:
         text = _at(record, path)
@@ -165,13 +171,14 @@ def format_records(records: DataFrame, registry: dict[str, Mapping] | None = Non
             out.insert(0, "conv_id", frame["conv_id"].astype("Int64").to_numpy())
             yield out.astype({"conv_id": "Int64"})
 
-    return records.select(F.col("conv_id").cast("long").alias("conv_id"), "record").mapInPandas(run, SCHEMA)
+    return records.select(F.col("conv_id").cast("long").alias("conv_id"), "record").mapInPandas(tidy(run), SCHEMA)
 
 
-def from_rows(rows: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text; others are ignored) -> records in the messages layout."""
-    turn = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("content"))
-    found = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+def from_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows (conv_id, turn, role, text, keys; others are ignored) -> records in the messages layout, one for each conv_id and keys."""
+    read_as = lambda c: F.coalesce(clean(F.col(c)), F.lit(""))
+    turn = F.struct(F.col("turn"), read_as("role").alias("role"), read_as("text").alias("content"))
+    found = rows.groupBy("conv_id", *keys).agg(F.sort_array(F.collect_list(turn)).alias("t"))
     messages = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
     return found.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
 
@@ -191,7 +198,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             out.insert(0, "conv_id", frame["conv_id"].astype("Int64").to_numpy())
             yield out.astype({"conv_id": "Int64"})
 
-    return formatted.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInPandas(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _sha(text: str) -> str:
@@ -199,23 +206,25 @@ def _sha(text: str) -> str:
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    """A conversation -1 of the table, if there is one, stays apart from the added one."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.lit(False).alias("added"))
     own = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
-    return digests(format_records(from_rows(rows.union(extra))))
+    extra = spark.createDataFrame([(-1, 0, "user", own, True), (-1, 1, "assistant", own, True)], "conv_id long, turn long, role string, text string, added boolean")
+    return digests(format_records(from_rows(rows.union(extra), "added")))
 
 
-OP2_SQL = r"""
+_ESCAPED = r"""regexp_replace(replace({0}, '\', '\\'), '(<)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|\|startoftext\|>|s>|/s>|unk>|<SYS>>|</SYS>>)|(\[)(INST\]|/INST\])', '\1\3\\\2\4', 'g')"""
+OP2_SQL = rf"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v(a, b, c, d)
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS added FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]', true), (-1, 1, 'assistant', '</s>[INST] ok [/INST]', true)) v(a, b, c, d, e)
 ), e AS (
-  SELECT *, regexp_replace(replace(text, '\', '\\'), '(<)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|\|startoftext\|>|s>|/s>|unk>|<SYS>>|</SYS>>)|(\[)(INST\]|/INST\])', '\1\3\\\2\4', 'g') AS body FROM c
+  SELECT *, {_ESCAPED.format("text")} AS body, {_ESCAPED.format("role")} AS head FROM c
 )
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(body) + length(role) + 12 + 10 + 10) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+  CAST(sum(length(body) + length(head) + 12 + 10 + 10) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id, added
 """
