@@ -15,6 +15,7 @@ from veinstone.llm import chat_format as C
 from veinstone.llm import kneser_ney as K
 from veinstone.llm import language_id as L
 from veinstone.llm import pieces as P
+from veinstone.llm import stable_ann as S
 from veinstone.llm import url_filter as U
 from veinstone.llm import words as W
 from veinstone.llm.chaining import chains, cut_passages, keyed, open_starts, passages, repeated_passages, run_hashes, without
@@ -135,7 +136,7 @@ def vectors(spark, n=400, d=16):
 
 
 def best(rows, q, k, score):
-    own = {(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and len(v) == 16}
+    own = [(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and len(v) == 16]
     target = next(v for i, v in own if i == q)
     return sorted(((-score(target, v), i) for i, v in own if i != q))[:k]
 
@@ -152,8 +153,8 @@ def test_top_k(spark):
 def test_neighbours(spark):
     rows, frame = vectors(spark)
     hit = total = 0
-    found = collections.defaultdict(list)
-    for r in neighbours(frame, frame.filter("vec_id % 20 = 0 and vec_id < 9000"), 20).orderBy("query_id", "rank").collect():
+    found = collections.defaultdict(list)  # in several shards
+    for r in neighbours(frame, frame.filter("vec_id % 20 = 0 and vec_id < 9000"), 20, shard_bytes=8000).orderBy("query_id", "rank").collect():
         found[r.query_id].append(r.vec_id)
     rows = [(i, v) for i, v in rows if i != 9005]
     for q in range(0, 451, 20):
@@ -161,7 +162,61 @@ def test_neighbours(spark):
         hit, total = hit + len(set(want) & set(found[q])), total + len(want)
         assert len(found[q]) == 20
     assert hit >= 0.9 * total
-    assert abs(float(chi_square(np.array(7.344), 8)) - 0.5) < 1e-3
+    assert abs(chi_square(7.344, 8) - 0.5) < 1e-3
+    exact = collections.defaultdict(list)
+    for r in neighbours(frame, frame.filter("vec_id = 40"), 20, confidence=2).orderBy("rank").collect():
+        exact[r.query_id].append(r.vec_id)
+    assert exact[40] == [i for _, i in best(rows, 40, 20, lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)))]
+
+
+@pytest.mark.parametrize("shards", [1, 4])
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_neighbours_by_the_stopping_test(shards):
+    """On random unit vectors: a recall of 0.9 at least, and clearly not every vector verified."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, mat = t.column("vec_id").to_numpy(), np.stack(t.column("embedding").to_numpy()).astype(float)
+    ask = ids % 20 == 0
+    found, verified = [[] for _ in range(ask.sum())], 0
+    for i in range(shards):
+        mine = np.arange(len(ids)) % shards == i
+        parts = S.build(ids[mine], mat[mine])
+        order = np.frombuffer(parts["order"], np.int64)
+        got, n = S.nearest(ids[ask], mat[ask], parts | {"ids": ids[mine][order].tobytes()}, mat.shape[1], 20)
+        verified += n
+        for x, (v, score) in zip(found, got, strict=True):
+            x += zip(-score, v, strict=True)
+    score = mat[ask] @ mat.T
+    score[ids[ask][:, None] == ids] = -np.inf
+    true = ids[np.argsort(-score, axis=1)[:, :20]]
+    hits = sum(len({v for _, v in sorted(x)[:20]} & set(y)) for x, y in zip(found, true, strict=True))
+    assert hits >= 0.9 * true.size
+    assert verified < (0.85 if shards == 1 else 0.97) * ask.sum() * len(ids)
+
+
+def test_huge_scores_and_repeated_rows(spark):
+    """Scores above 2**53 are exact, beyond a long its bounds; every repeated row but the query's own is a candidate."""
+    big = float(1 << 22)
+    rows = [(0, [big + 1 / 256, big]), (1, [big, big + 1 / 256]), (2, [big + 1 / 256, big - 1 / 256]), (2, [big + 1 / 256, big - 1 / 256]), (3, [-1e300, 0.5]), (50, [1e300, 2.0]), (50, [1e300, 2.0]), (0, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    near = frame.filter("vec_id < 3")
+    f = lambda v: [int(np.floor(256 * x)) for x in v]
+    got = collections.Counter((r.rank, r.vec_id, r.score) for r in top_k(near, near.filter("vec_id = 0"), 5).collect())
+    want = collections.Counter()
+    for q in {tuple(v) for i, v in rows if i == 0}:
+        ranked = sorted((-sum(a * b for a, b in zip(f(q), f(v), strict=True)), i) for i, v in rows if 0 < i < 3)
+        want.update((n + 1, i, -s) for n, (s, i) in enumerate(ranked))
+    assert got == want and sum(want.values()) == 6
+    all_of = [(r.rank, r.vec_id, r.score) for r in top_k(frame, frame.filter("vec_id = 50"), 9).orderBy("rank").collect()]
+    assert len(all_of) == 6 and all_of[0][2] == (1 << 63) - 1 and all_of[-1] == (6, 3, -(1 << 63))
+
+
+def test_one_frequent_vector(spark):
+    """A row that is repeated many times reaches one block k times at most, whatever its number."""
+    frame = spark.createDataFrame([(7, [1.0, 1.0])] * 5000 + [(i, [0.5, 0.25]) for i in range(20)], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in top_k(frame, frame.filter("vec_id = 0"), 5).orderBy("rank").collect()]
+    assert got == [(7, 256 * (128 + 64))] * 5
 
 
 def test_chat():
@@ -182,6 +237,22 @@ def test_layouts():
     assert C.canonical({"x": 1}) == [] and C.canonical({"messages": []}) == []
 
 
+def test_roles_stay(spark):
+    """Roles of the messages layout are as they were; only vendors' layouts say which role a name means."""
+    rows = spark.createDataFrame([(1, 0, "human", "a"), (1, 1, "gpt", "bc"), (1, 2, "a<|im_sep|>", "d"), (-1, 0, "assistant", "own")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in C.digests(C.format_records(C.from_rows(rows))).collect()}
+    assert got[1].turns_sha256 == hashlib.sha256(b"human\na\ngpt\nbc\na<|im_sep|>\nd\n").hexdigest() and got[1].loss_chars == 0
+    assert C.canonical({"conversations": [{"from": "gpt", "value": "a"}, {"from": "tool", "value": "b"}]}) == [("assistant", "a"), ("tool", "b")]
+
+
+def test_chat_odd(spark, tmp_path):
+    """A conversation -1 of the table stays apart from the added one; invalid UTF-8 and a long text."""
+    rows = spark.sql("select -1L as conv_id, 0L as turn, 'user' as role, 'x' as text union all select 2L, 0L, 'assistant', cast(unhex('61FF') as string) union all select 3L, 0L, 'assistant', repeat('<s>', 200000)")
+    rows.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [(r.conv_id, r.n_turns, r.loss_chars) for r in C.op2_chat_formatting(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(-1, 1, 0), (-1, 2, 21), (2, 1, 2), (3, 1, 600000)]
+
+
 def test_chat_table(spark):
     rows = spark.createDataFrame([(1, 1, "assistant", None, 0), (1, 0, None, "x", 0), (None, None, "user", "y", 0), (1, 0, None, "x", 0)], "conv_id long, turn long, role string, text string, formatted int")
     got = {r.conv_id: r for r in C.digests(C.format_records(C.from_rows(rows))).collect()}

@@ -4,13 +4,17 @@ A vector's components become floor(256 * x). A query's terms are its dimensions;
 are shifted to start at 0 with the shard's bounds of that dimension. Terms whose bounds together cannot
 reach the k-th best score so far are non-essential: the postings of the others are traversed, and the
 non-essential ones are probed, largest bound first, only for vectors that are still competitive. Each
-shard's k best are merged. Scores are exact integers below 2**53 (else 64-bit integers are used).
+shard's k best are merged. Scores are exact: in doubles where all sums stay below 2**53, in 64-bit integers below
+2**62, else in Python integers over all vectors of the shard; a score beyond a long's range becomes its bound.
 
-See vectors.py for which vectors take part. Ties go to the smaller vec_id.
+See vectors.py for which vectors take part and for repeated rows. Ties go to the smaller vec_id. Empty tables give
+no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +28,19 @@ PROBE = 8
 
 def _build(ids: np.ndarray, mat: np.ndarray) -> dict[str, bytes]:
     """Postings: a row for each dimension."""
-    return {"ids": ids.tobytes(), "mat": np.ascontiguousarray(np.floor(256.0 * mat).T).tobytes()}
+    return {"mat": np.ascontiguousarray(mat.T).tobytes()}
+
+
+def integers(x: np.ndarray) -> np.ndarray:
+    """floor(256 * x) as Python integers, whatever their size."""
+    return np.array([int(c) * 256 if abs(c) >= 2.0**53 else math.floor(256 * c) for c in x.ravel().tolist()], object).reshape(x.shape)
+
+
+def wide_top(q: np.ndarray, own: int, ids: np.ndarray, post: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """top for scores that may not fit in 64 bits: every vector in full, by Python integers; results beyond a long become its bounds."""
+    score = [min(max(x, -(1 << 63)), (1 << 63) - 1) for x in (q @ post).tolist()]
+    pick = sorted((i for i in range(len(ids)) if ids[i] != own), key=lambda i: (-score[i], ids[i]))[:k]
+    return ids[pick], np.array([score[i] for i in pick], np.int64)
 
 
 def top(q: np.ndarray, own: int, ids: np.ndarray, post: np.ndarray, high: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,18 +85,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def find(asked: dict, shard: dict, dim: int) -> list:
         ids, post = np.frombuffer(shard["ids"], np.int64), np.frombuffer(shard["mat"], np.float64).reshape(dim, -1)
         names, q = np.frombuffer(asked["ids"], np.int64), np.frombuffer(asked["mat"], np.float64).reshape(dim, -1).T
-        if dim * np.abs(post).max() * np.abs(q).max() >= 2.0**53:
+        bound = dim * (256 * float(np.abs(post).max()) + 1) * (256 * float(np.abs(q).max()) + 1)
+        if not bound < 2.0**62:
+            post, q = integers(post), integers(q)
+            return [wide_top(one, name, ids, post, k) for name, one in zip(names, q, strict=True)]
+        post, q = np.floor(256.0 * post), np.floor(256.0 * q)
+        if bound >= 2.0**53:
             post, q = post.astype(np.int64), q.astype(np.int64)
         high, low = post.max(axis=1), post.min(axis=1)
-        out = []
-        for name, one in zip(names, q, strict=True):
-            got, score = top(one, name, ids, post, high, low, k)
-            out.append((np.full(len(got), name), got, score))
-        return out
+        return [top(one, name, ids, post, high, low, k) for name, one in zip(names, q, strict=True)]
 
-    shards, n = packed(usable(vectors, zero=True), SHARD, _build)
-    blocks, _ = packed(usable(queries, zero=True), QUERIES, _build)
-    return search(blocks, shards, n, k, find).withColumn("score", F.col("score").cast("long"))
+    shards, n = packed(usable(vectors, zero=True), SHARD, _build, k)
+    blocks, _ = packed(usable(queries, zero=True), QUERIES, _build, 1)
+    return search(blocks, shards, n, k, find, "long")
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,10 +107,12 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), t AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(sum(a.x * b.x) AS BIGINT) AS score FROM t a JOIN t b ON a.i = b.i AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1, 2)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (SELECT row_number() OVER () AS n, vec_id, v FROM (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 50 = 0)),
+t AS (SELECT r, vec_id, len(v) AS dim, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
+u AS (SELECT n, vec_id, len(v) AS dim, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM q),
+s AS (SELECT a.n, a.vec_id AS query_id, b.r, b.vec_id, CAST(sum(a.x * b.x) AS BIGINT) AS score FROM u a JOIN t b ON a.i = b.i AND a.dim = b.dim AND a.vec_id <> b.vec_id GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
