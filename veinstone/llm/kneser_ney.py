@@ -53,6 +53,12 @@ BLOCK, CHUNK, HOLD = 16 << 20, 1 << 20, 1 << 20
 LOW, HIGH, MIN_TRUSTED, LONG = 0.001, 0.999, 50, 4000
 
 
+def _codec() -> pa.Codec:
+    """For the texts, which are most of what is moved; n-grams and answers take zstd's default."""
+    return pa.Codec("zstd", compression_level=5)
+
+
+
 def squeeze(values: np.ndarray) -> bytes:
     """An array's bytes in planes, compressed."""
     wide = values.dtype.itemsize
@@ -287,7 +293,7 @@ def packed(docs: DataFrame) -> DataFrame:
             text = (text if isinstance(text, pa.Array) else text.chunk(0)).cast(pa.large_string()).fill_null("")
             sizes = pc.binary_length(text).to_numpy().astype(np.int64)
             raw = b"".join(buf.tobytes() for _, _, buf, _ in W.chunks(text, BLOCK))
-            texts = pa.compress(raw, codec="zstd", asbytes=True)
+            texts = _codec().compress(raw, asbytes=True)
             keys = table.column("key").to_numpy()
             block = int.from_bytes(hashlib.blake2b(texts + keys.tobytes(), digest_size=8).digest(), "little") >> 1
             lists = [pa.array([table.column(c).to_pylist()], pa.list_(k)) for c, k in (("key", pa.int64()), ("doc_id", pa.string()), ("lang", pa.string()))]
