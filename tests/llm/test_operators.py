@@ -108,6 +108,18 @@ def test_mixing(spark, odd):
     assert mixed(odd).columns == odd.columns
 
 
+def test_mixed_judges_rows(spark):
+    """Rows that share a doc_id, or have none, follow their own source and size; empty ones go."""
+    rows = [(1, "a b c", "x", 9), (1, "d e", "y", 9), (None, "f g h", "x", 9), (None, "", "y", 9), (None, None, "z", 9), *((i, prose(20), "xyz"[i % 3], 9) for i in range(10, 300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int")
+    want = collections.Counter()
+    for r in mix(docs).collect():
+        if r.size:
+            want[r.doc_id, r.source, r.size] += int(np.floor(r.taken / r.size + 0.5))
+    got = collections.Counter((r.doc_id, r.source, len(r.text.split())) for r in mixed(docs).collect())
+    assert got == +want and mixed(docs).columns == docs.columns
+
+
 def test_passages(spark):
     shared, fuzzy = prose(60), prose(80)
     texts = [prose(50) + " " + shared + " " + prose(40), prose(10) + " " + shared, prose(30) + " " + edit(fuzzy, 4), fuzzy + " " + prose(20), prose(200), prose(20) + " " + " ".join(shared.split()[:20]), None, ""]
@@ -274,6 +286,24 @@ def test_language(spark):
     assert L.identify(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
+def test_six_hundred_languages(spark):
+    """Every language keeps some rows of the fitted sample, and one that is a single row is learned too."""
+    rows = [(3 * i + j, chr(0x4E00 + 7 * i) * 3 + chr(0x4E01 + 7 * i) * 2, f"l{i:03}") for i in range(600) for j in range(3)]
+    model = L.fit(spark.createDataFrame([(str(k), t, g) for k, t, g in rows], "key string, text string, lang string"))
+    assert len(model.langs) == 600 and len(model.weights) == 2
+    names, _ = model.predict([t for _, t, _ in rows[::300]])
+    assert len(names) == 6
+
+
+def test_language_odd(spark):
+    """Invalid UTF-8, one huge text, repeats of one row, equal texts in two languages, extra columns."""
+    rows = [(i, "hello world text" if i % 2 else "bonjour monde texte", "en" if i % 2 else "fr", 1.0) for i in range(60)] + [(1, "hello world text", "en", 1.0)] * 500 + [(99, "hello " * 100_000, None, 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double").union(spark.sql("select 77L, cast(unhex('68FF656C6C6F') as string), 'en', 0D"))
+    got = L.identify(docs).collect()
+    assert len(got) == len(rows) + 1 and all(r.lang_pred == "en" for r in got if r.doc_id in (1, 99)) and len({(r.lang_pred, r.score) for r in got if r.doc_id == 1}) == 1
+    assert sum(r.lang_pred == "fr" for r in got) == 30
+
+
 def brute_perplexities(texts, trusted, folds, order):
     """Mean negative log-probabilities by the recursion over plain dictionaries, one character at a time."""
     out = []
@@ -421,6 +451,50 @@ def test_urls(spark):
     assert {r.verdict for r in U.judge(unseen, U.fit(train.limit(0))).collect()} == {"allow"}
 
 
+def auc(rows):
+    """The share of (blocked, allowed) pairs that the score orders rightly."""
+    good, bad = [r.score for r in rows if not r.blocked], [r.score for r in rows if r.blocked]
+    return sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(good) * len(bad))
+
+
+def test_urls_held_out(spark):
+    """A task that depends on the url (many parameters and digits, or a bad suffix, with noise): held-out AUC far above chance."""
+    rows = []
+    for i in range(1200):
+        bad = rng.random() < 0.4
+        host = f"{'x' * int(rng.integers(1, 8))}{i % 37}.{rng.choice(['spam.biz', 'shop.info'] if bad and rng.random() < 0.5 else ['site.com', 'news.org'])}"
+        query = "&".join(f"p{j}={rng.integers(1e6)}" for j in range(int(rng.integers(2, 6) if bad else rng.integers(0, 3))))
+        rows.append((i, f"http://{host}/{'a/' * int(rng.integers(1, 4))}{i}?{query}", int(bad if rng.random() > 0.05 else not bad)))
+    frame = spark.createDataFrame(rows, "page_id long, url string, blocked int")
+    model = U.fit(frame.filter("page_id % 3 <> 1").select("url", "blocked"))
+    held = frame.filter("page_id % 3 = 1")
+    assert auc(U.judge(held, model, ()).join(held.select("page_id", "blocked"), "page_id").collect()) > 0.85
+
+
+def test_url_features_equal_brute_force(spark):
+    urls = ["http://a-b.example.com/x/y_1?k=1&z=22#f", "https://h/", "nourl", "", "x://h?" + "a=1&" * 2000]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    host, path = U.split_url(frame["url"])
+    for r in U.features(frame.withColumns({"host": host, "path": path})).collect():
+        u, n = r.url, len(r.url)
+        want = {"url_len": n, "depth": len([x for x in r.path.split("/") if x]), "dots": r.host.count("."), "digit_ratio": sum(c.isdigit() for c in u) / n if n else 0, "entropy": -sum(u.count(c) / n * np.log2(u.count(c) / n) for c in set(u)), "has_fragment": "#" in u, "https": u.startswith("https:"), "hyphens": u.count("-") + u.count("_"), "host_len": len(r.host), "path_len": len(r.path)}
+        assert all(abs(r[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_urls_odd(spark):
+    """One hot url, numbers too long for a doc_id, empty and very long urls."""
+    train = spark.createDataFrame([("http://hot.example/1", 1)] * 3000 + [(f"http://ok.example/{i}", 0) for i in range(300)], "url string, blocked int")
+    model = U.fit(train, max_train=100)
+    frame = spark.createDataFrame([(1, "http://hot.example/1"), (1, "http://hot.example/1"), (2, "http://" + "a" * 50_000), (3, None)], "page_id long, url string")
+    got = U.judge(frame, model).collect()
+    assert len(got) == 4 and len({r.score for r in got if r.page_id == 1}) == 1
+    pages = spark.createDataFrame([(1, "http://h/en/" + "1" * 40 + "/x"), (2, "http://h/en/12/x")], "page_id long, url string")
+    labels = spark.createDataFrame([(12, 0, 0), (111111111111111111, 0, 0)], "doc_id long, quality int, toxic int")
+    assert [r.url for r in U.labelled_pages(pages, labels).collect()] == ["http://h/en/12/x"]
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert U.judge(none, model).count() == 0 and U.judge(none, U.fit(train.limit(0))).count() == 0
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -47,7 +47,7 @@ def discard(df: DataFrame) -> None:
 def stored(df: DataFrame) -> DataFrame:
     """df, written first unless it is a plain scan, which gives the same rows in the same order each time."""
     plan = df._jdf.queryExecution().executedPlan().toString()
-    return save(df, "stored") if re.search("Exchange|Join|Aggregate|Window|LocalTableScan|Scan ExistingRDD|InMemory|Limit|Sample", plan) else df
+    return save(df, "stored") if re.search("Exchange|Join|Aggregate|Window|LocalTableScan|Scan ExistingRDD|InMemoryTableScan|Limit|Sample", plan) else df
 
 
 def free(df: DataFrame, name: str) -> str:

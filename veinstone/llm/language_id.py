@@ -3,14 +3,15 @@
 The kernel of two texts is the number of character n-grams of 1 to 4 characters (the blended spectrum)
 that both contain, over the root of the product of their own numbers. n-grams of the lower-cased text are
 hashed to 2**16 features; all features of the whole text count. A bounded sample of labelled rows is
-fitted: LANDMARKS of them span the Nystrom approximation, and one-versus-rest kernel ridge regression
-learns the coefficients. As a text's kernel with every landmark is linear in its presence vector, landmarks
-and coefficients fold into one matrix and texts are scored by a product of presence vectors and it, batch
-by batch.
+fitted (about MAX_TRAIN, or LEAST of each language if that is more; every language keeps a row at least): LANDMARKS
+of them span the Nystrom approximation, and one-versus-rest kernel ridge regression learns the coefficients. As a
+text's kernel with every landmark is linear in its presence vector, landmarks and coefficients fold into one matrix (with
+more languages than landmarks they stay two) and texts are scored by a product of presence vectors and it, batch by batch.
 
 lang_pred is `und` (score 0) if the text is null or has no letters, or nothing could be learned. Ties go
 to the language first by code point. score is a softmax over the languages' margins. Repeated rows are
-predicted alike; rows with a null doc_id are predicted but never learned from.
+predicted alike and learned from once; rows with a null doc_id are predicted but never learned from. Very long texts
+count whole, bytes that are no valid UTF-8 are read as U+FFFD, other columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import clean, held, read, small, tidy
 
 FEATURES, LONGEST = 1 << 16, 4
-#: Rows fitted at most (shared among the languages), landmarks, ridge, softmax temperature, texts in a product.
-MAX_TRAIN, LANDMARKS, RIDGE, HEAT, BATCH = 2000, 256, 1e-3, 0.2, 128
+#: Rows fitted (shared among the languages), rows of each language at least, landmarks, ridge, softmax temperature, texts in a product.
+MAX_TRAIN, LEAST, LANDMARKS, RIDGE, HEAT, BATCH = 2000, 8, 256, 1e-3, 0.2, 128
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -44,11 +45,16 @@ def has_letters(text: str | None) -> bool:
 
 
 class Model:
-    """langs and the folded matrix (features x languages)."""
+    """langs and the matrices whose product maps features to languages: one, or two of features x landmarks x languages."""
 
-    def __init__(self, langs: list[str], weights: np.ndarray):
+    def __init__(self, langs: list[str], weights: tuple[np.ndarray, ...]):
         self.langs, self.weights = langs, weights
 
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        for w in self.weights:
+            x = x @ w
+        return x
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names: list[str] = []
         scores: list[float] = []
@@ -59,7 +65,7 @@ class Model:
                 presence(text, row)
             x = x.astype(np.float32)
             size = np.sqrt(np.maximum(1, x.sum(axis=1)))[:, None]
-            margin = (x @ self.weights if self.langs else np.zeros((len(part), 1))) / size
+            margin = (self.margins(x) if self.langs else np.zeros((len(part), 1))) / size
             soft = np.exp((margin - margin.max(axis=1, keepdims=True)) / HEAT)
             soft /= soft.sum(axis=1, keepdims=True)
             best = margin.argmax(axis=1)
@@ -82,20 +88,22 @@ def ridge(x: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, penalty:
     phi = near @ root
     sign = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     beta = np.linalg.solve(phi.T @ phi + penalty * len(x) * np.eye(phi.shape[1]), phi.T @ sign)
-    return Model(names, (base.T.astype(np.float64) @ (root @ beta)).astype(np.float32))
+    last = root @ beta
+    if len(names) > len(base):
+        return Model(names, (np.ascontiguousarray(base.T), last.astype(np.float32)))
+    return Model(names, ((base.T.astype(np.float64) @ last).astype(np.float32),))
 
 
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """labelled (text, lang, key): at most about max_train rows, as many of each language, chosen by the key's hash."""
-    rows = labelled.filter("text is not null and lang is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_train // 8).collect()}
-    if not counts:
-        return Model([], np.zeros((FEATURES, 1), np.float32))
-    each = max(8, max_train // len(counts))
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share * (1 << 30)).select("key", "lang", "text")
+    """labelled (text, lang, key): about max_train rows or LEAST of each language, as many of each, chosen by a hash of key and text."""
+    rows = labelled.filter("text is not null and lang is not null").withColumn("h", F.pmod(F.xxhash64("key", "text"), F.lit(1 << 40)))
+    langs = rows.groupBy(F.col("lang").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("first"))
+    many = langs.count()
+    if not many:
+        return Model([], ())
+    each = max(LEAST, max_train // many)
+    share = F.least(F.lit(1.0), F.lit(float(each)) / F.col("n"))
+    chosen = rows.join(small(langs), F.col("lang") == F.col("name")).filter((F.col("h") <= F.col("first")) | (F.col("h") < share * (1 << 40))).select("key", "lang", "text").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,32 +115,31 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["key", "lang", "bits"])
 
     # 8 KB a row of the bounded sample.
-    got = sorted(chosen.mapInArrow(run, "key string, lang string, bits binary").collect(), key=lambda r: (r.key, r.lang, bytes(r.bits)))
-    if not got:
-        return Model([], np.zeros((FEATURES, 1), np.float32))
+    got = sorted(chosen.mapInArrow(tidy(run), "key string, lang string, bits binary").collect(), key=lambda r: (r.key, r.lang, bytes(r.bits)))
     x = np.stack([np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool) for r in got])
     return ridge(x, [r.lang for r in got])
 
 
 def predict(rows: DataFrame, model: Model) -> DataFrame:
     """rows (text first, others kept) -> the others, lang_pred, score."""
-    held = rows.sparkSession.sparkContext.broadcast((model.langs, model.weights))
+    # At most 64 MB and 1 KB a language.
+    known = held(rows.sparkSession, (model.langs, model.weights))
     rest = rows.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*held.value)
+        own = Model(*known.value)
         for batch in batches:
             names, scores = own.predict(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "lang_pred", "score"])
 
     kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes[1:])
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"{kinds}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs (doc_id, text, lang; others are ignored)."""
     key = F.col("doc_id").cast("string")
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(key) % 3 == 1, F.lit(False)).alias("held_out"), F.col("lang").cast("string").alias("lang"), key.alias("key"))
+    rows = docs.select(clean(F.col("text")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(key) % 3 == 1, F.lit(False)).alias("held_out"), F.col("lang").cast("string").alias("lang"), key.alias("key"))
     model = fit(rows.filter(~F.col("held_out") & F.col("key").isNotNull()).select("text", "lang", "key"))
     return predict(rows.select("text", "doc_id", "held_out"), model)
 

@@ -8,8 +8,9 @@ Documents in the last boundary bucket (in practice one document, and its repeats
 proportion to their sizes, so a source's words meet its target to within rounding. A smaller target
 takes a subset of what a larger one takes. The hash depends on doc_id alone: reruns agree.
 
-Null texts count as size 0. A null source is a source of its own, last in order. Repeated rows hash
-alike and share. Documents of size 0 are never taken. An empty table gives an empty result.
+Null texts count as size 0, very long ones whole. A null source is a source of its own, last in order. Repeated rows
+hash alike and share. Documents of size 0 are never taken. Other columns are ignored by mix and kept by mixed, which
+judges every row by its own source and size. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, save, small
+from .common import free, read, save, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the hash a histogram adds, and how many histograms there are.
@@ -25,10 +26,10 @@ BITS, LEVELS = 12, 3
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
-def hash_bits() -> Column:
+def hash_bits(doc_id: Column) -> Column:
     """The first BITS * LEVELS bits of the MD5 digest of doc_id as text; a null doc_id hashes like an empty one."""
     digits = BITS * LEVELS // 4
-    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, digits), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, digits), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -50,10 +51,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     return t.select("source", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, text, source; others are ignored)."""
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = save(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), hash_bits().alias("h")), "sized")
+def sizes(docs: DataFrame) -> tuple[Column, Column, Column]:
+    """source, size and hash of rows (doc_id, text, source)."""
+    size = F.coalesce(F.regexp_count(docs["text"].cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs["source"].cast("string"), size, hash_bits(docs["doc_id"])
+
+
+def edges(sized: DataFrame, weights: tuple[float, ...], budget: float, cap: float) -> DataFrame:
+    """sized (source, size, h) -> a row for each source: s, source_size, target, whole (times that all is taken), rest (words beyond), low (boundary bucket), inside (its words)."""
     totals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     # rest: words to be taken beyond the whole times; low, high: the boundary bucket's range of hashes.
@@ -70,18 +75,35 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1
         found = found.select(F.col("source").alias("s"), (F.col("low") + F.col("cell") * wide).alias("low_2"), (F.col("rest") - F.col("before")).alias("rest_2"), F.col("words").alias("inside_2"))
         edge = edge.join(found, F.col("source").eqNullSafe(F.col("s")), "left").select(*keep, F.coalesce("low_2", "low").alias("low"), F.coalesce("rest_2", "rest").alias("rest"), F.coalesce("inside_2", "inside").alias("inside"))
         edge = save(edge, "edges")
-    out = sized.join(edge.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    part = F.floor(F.col("size") * F.col("rest") / F.col("inside"))
-    extra = F.when(F.col("h") < F.col("low"), F.col("size")).when((F.col("h") == F.col("low")) & (F.col("inside") > 0), part).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
+    return edge.withColumnRenamed("source", "s")
+
+
+def taken(size: Column, h: Column, edge: DataFrame) -> Column:
+    """Words that the mix takes of a row that is joined with its source's edge."""
+    part = F.floor(size * edge["rest"] / edge["inside"])
+    extra = F.when(h < edge["low"], size).when((h == edge["low"]) & (edge["inside"] > 0), part).otherwise(0)
+    return (edge["whole"] * size + extra).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, text, source; others are ignored)."""
+    source, size, h = sizes(docs)
+    sized = save(docs.select("doc_id", source.alias("source"), size.alias("size"), h.alias("h")), "sized")
+    edge = edges(sized, weights, budget, cap)
+    out = sized.join(small(edge), sized["source"].eqNullSafe(edge["s"]))
+    return out.select("doc_id", "source", "size", "source_size", "target", taken(F.col("size"), F.col("h"), edge).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix as rows of docs: each as often as taken / size says, rounded to whole documents."""
-    times = mix(docs, weights, budget, cap).filter("taken > 0").select("doc_id", "size", F.round(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    times = times.groupBy("doc_id").agg(F.max("__times").alias("__times")).filter("__times > 0")
-    out = docs.join(times.withColumnRenamed("doc_id", "__doc"), F.col("doc_id").eqNullSafe(F.col("__doc")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    source, size, h = sizes(docs)
+    sized = docs.select(source.alias("source"), size.alias("size"), h.alias("h"))
+    edge = edges(save(sized, "sized"), weights, budget, cap)
+    times = F.when(size > 0, F.round(taken(size, h, edge) / size)).otherwise(0).cast("int")
+    copies = F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))
+    name = free(docs, "copy")
+    out = docs.join(small(edge), source.eqNullSafe(edge["s"])).select(*(docs[f"`{c}`"] for c in docs.columns), F.explode(copies).alias(name))
+    return out.drop(name)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

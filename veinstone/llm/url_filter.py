@@ -6,7 +6,9 @@ lexical features of the url: lengths, depth, digit ratio, entropy, parameter cou
 the host's suffix among the training urls. Labels come from a table of (url, blocked).
 
 Null urls and urls without `://` have empty host and path; they match no rule and are scored by the
-method like any other. Repeated rows are judged alike. Without labels of both kinds, the method allows.
+method like any other. Very long urls count whole. Repeated rows are judged alike; in training a repeated url is one row
+whose weight is its number. Without labels of both kinds, the method allows. Other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from .common import read, save, small
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 FEATURES = ("url_len", "host_len", "path_len", "depth", "dots", "digit_ratio", "entropy", "params", "query_len", "has_fragment", "https", "hyphens", "suffix_rate", "suffix_log_n")
-#: The trees are fitted on about so many labelled urls at most, chosen by hash.
+#: The trees are fitted on about so many different labelled urls at most, chosen by hash.
 MAX_TRAIN = 50_000
 
 
@@ -87,16 +89,18 @@ def assemble(urls: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, rounds: int = 20, depth: int = 4, smoothing: float = 20.0) -> UrlModel:
     """labelled: (url, blocked as 0 or 1). Suffix statistics use every row; the trees a bounded choice by hash."""
     host, path = split_url(F.col("url"))
-    rows = save(features(labelled.select("url", F.col("blocked").cast("double").alias("blocked")).dropna().withColumns({"host": host, "path": path})), "urls")
-    n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
+    urls = labelled.select(F.col("url").cast("string").alias("url"), F.col("blocked").cast("double").alias("blocked")).dropna()
+    urls = urls.groupBy("url", "blocked").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    rows = save(features(urls.withColumns({"host": host, "path": path})), "urls")
+    different, n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("weight"), F.lit(0.0)), F.coalesce(F.sum(F.col("weight") * F.col("blocked")), F.lit(0.0))).first()
     base = ones / n if n else 0.0
-    rate = (F.sum("blocked") + F.lit(smoothing * base)) / (F.count(F.lit(1)) + smoothing)
-    suffixes = save(rows.groupBy("suffix").agg(rate.alias("rate"), F.count(F.lit(1)).alias("labelled")), "suffixes")
+    rate = (F.sum(F.col("weight") * F.col("blocked")) + F.lit(smoothing * base)) / (F.sum("weight") + smoothing)
+    suffixes = save(rows.groupBy("suffix").agg(rate.alias("rate"), F.sum("weight").alias("labelled")), "suffixes")
     if not 0 < ones < n:
         return UrlModel(None, suffixes, base)
-    part = F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_train / n))
-    train = assemble(with_suffix(rows.filter(part), suffixes, base)).select("features", F.col("blocked").alias("label"))
-    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=32, stepSize=0.2, seed=7, cacheNodeIds=False, maxMemoryInMB=64)
+    part = F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_train / different))
+    train = assemble(with_suffix(rows.filter(part), suffixes, base)).select("features", F.col("blocked").alias("label"), "weight")
+    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=32, stepSize=0.2, seed=7, cacheNodeIds=False, maxMemoryInMB=64, weightCol="weight")
     return UrlModel(trees.fit(train), suffixes, base)
 
 
@@ -115,8 +119,11 @@ def judge(urls: DataFrame, model: UrlModel, rules: tuple[tuple[str, str, str], .
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels by url: the number in a page's path names the document it shows; low quality or toxic means blocked."""
-    named = pages.select("url", F.regexp_extract("url", r"^[^:]*://[^/?#]*/[^/?#]+/(\d{1,18})", 1).alias("d")).filter("d <> ''").withColumn("doc_id", F.col("d").cast("long"))
+    """Labels by url: the number in a page's path names the document it shows; low quality or toxic means blocked.
+
+    A number too long for a doc_id names none.
+    """
+    named = pages.select("url", F.regexp_extract("url", r"^[^:]*://[^/?#]*/[^/?#]+/(\d+)", 1).alias("d")).withColumn("doc_id", F.col("d").try_cast("long")).filter("doc_id is not null")
     marks = labels.groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("blocked"))
     return named.join(marks, "doc_id").select("url", "blocked")
 
