@@ -1,19 +1,27 @@
 """Substring dedup (operator 7): shared k-mer seeds, collinear chains through a Fenwick tree, alignment.
 
 Texts are cut into words; of every WINDOW consecutive K-word hashes the least is a seed, so any run of
-K + WINDOW - 1 equal words shares one. Seeds that occur in one text alone are dropped where they are made.
-Each other seed has an owner, the least document that holds it, found with a map-side minimum; every
-occurrence is matched with the owner's first one, never with all others. Seeds of one passage may have
-several owners, none of which holds the passage; so runs of MIN_WORDS words have owners too, wherever no
-seed inside them is known to be in one text alone, and an exact passage always meets a document that
-holds MIN_WORDS words of it. A document's matches with one
-owner are chained in order with gap costs, chains are extended word by word and aligned, and those of at
-least MIN_WORDS words and IDENTITY equal ones are passages; others are split at their costliest gaps and
-their parts tried. The owner keeps its copy.
-
-Null and short texts have no passages. Documents are told apart by doc_id and text together: rows that
-repeat both are one document; the least is by doc_id (nulls first), then a hash of the text. Rows with
-equal doc_id and other texts are other documents.
+K + WINDOW - 1 equal words shares one. Shards tell which seeds occur in one text alone (shared.py); those are dropped.
+Every other seed has an owner, the least document that holds it, and each other holder is matched with the owner's
+first occurrence. Seeds of one passage may have several owners, none of which holds the passage; so runs of
+MIN_WORDS words have owners too: the least hash of every RUN_WINDOW consecutive ones, wherever no seed inside is known to be
+in one text alone. An exact passage of MIN_WORDS + RUN_WINDOW - 1 words or more is therefore always met with a document
+that holds MIN_WORDS words of it, whatever earlier documents hold parts of it. A fuzzy passage is met with an owner of its
+seeds; it is missed if those owners hold only short parts of it.
+
+A document's matches with one owner are chained in order with gap costs, chains are extended word by word and
+aligned, and those of at least MIN_WORDS words and IDENTITY equal ones are passages; others are split at their
+costliest gaps and their parts tried. AROUND words in a row without a shared seed end a passage. The owner keeps its copy.
+
+A seed that very many documents hold is dealt out by salt: in each of its groups of about 2**HEAVY documents the
+least one is owner, and the owners of the groups are matched with the least of them.
+
+Null and short texts have no passages. Passages that repeat only inside one document are none. Documents are told
+apart by doc_id and text together: rows that repeat both are one document; the least is by doc_id (nulls first), then
+a hash of the text. Rows with equal doc_id and other texts are other documents. Very long texts count whole; bytes
+that are no valid UTF-8 are parts of words like any others. Other columns are kept by cut_passages, ignored else. An
+empty table gives no rows. Alignment compares 16 bits of each word's hash: one in 65,536 unequal words seems equal.
+docs is read twice: a table that is no plain scan is written first.
 """
 
 from __future__ import annotations
@@ -21,18 +29,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import read, save
-from .shared import Table, count_shared
+from .blocks import batch_of
+from .common import free, read, save, stored, tidy
+from .shared import Levels, with_levels
 
 K, WINDOW, MIN_WORDS, IDENTITY = 4, 4, 45, 0.8
-#: Words a gap inside a chain may have; cost of a gap's word; words around the seeds that alignment sees.
-MAX_GAP, GAP_COST, AROUND = 48, 0.2, 96
+#: Runs of MIN_WORDS words of which one is kept; logarithm of the texts that a salted seed's group has; words of a hit near another.
+RUN_WINDOW, HEAVY, NEAR = 6, 9, 48
+#: Cost of a gap's word; words around the seeds that alignment sees.
+GAP_COST, AROUND = 0.2, 96
 #: Score of an equal and an unequal word and the drop that ends an extension.
 EQUAL, UNEQUAL, DROP = 1, -2, 8
 
@@ -100,49 +110,71 @@ def run_hashes(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return W.mix64((sums[starts + size] - sums[starts]) * back[starts])
 
 
-def runs_of(found: DataFrame, size: int) -> DataFrame:
-    """key, doc_id, seed, at: the hashes of found's open runs of size words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, doc_id, starts, words in zip(*batch.columns, strict=True):
-                starts = starts.values.to_numpy()
-                if len(starts):
-                    hashes = run_hashes(np.frombuffer(words.as_py(), "<u4"), starts, size).view(np.int64)
-                    n = len(starts)
-                    yield pa.RecordBatch.from_arrays([pa.repeat(key, n), pa.repeat(doc_id, n), pa.array(hashes), pa.array(starts)], names=["key", "doc_id", "seed", "at"])
-
-    return found.filter(F.size("open") > 0).select("key", "doc_id", "open", "words").mapInArrow(run, "key long, doc_id long, seed long, at int")
-
-
-def shared_seeds(docs: DataFrame, table: Table, size: int = MIN_WORDS) -> DataFrame:
-    """key, doc_id, seeds, at (word indexes), open (starts of runs of size words), words (32-bit hashes) of documents with two shared seeds at least."""
-    held = docs.sparkSession.sparkContext.broadcast((table.bits, table.levels))  # 36 MB, whatever the input
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Table(*held.value)
-        for batch in batches:
-            for start, stop, buf, offsets in W.chunks(batch.column(2)):
-                hashes, row, _, _ = W.words(buf, offsets)
-                found, of, at = seeds(hashes, row, stop - start)
-                hit = look.shared(found)
-                alone, alone_at = of[~hit], at[~hit]
-                alone_cut = np.searchsorted(alone, np.arange(stop - start + 1))
-                found, of, at = found[hit], of[hit], at[hit]
-                cut = np.searchsorted(of, np.arange(stop - start + 1))
-                ends = np.searchsorted(row, np.arange(stop - start + 1))
-                some = np.flatnonzero(np.diff(cut) >= 2)
-                short = (hashes >> np.uint64(32)).astype("<u4")
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(some + start)),
-                    batch.column(1).take(pa.array(some + start)),
-                    pa.array([found[cut[i] : cut[i + 1]].view(np.int64) for i in some], pa.list_(pa.int64())),
-                    pa.array([at[cut[i] : cut[i + 1]].astype(np.int32) for i in some], pa.list_(pa.int32())),
-                    pa.array([open_starts(ends[i + 1] - ends[i], alone_at[alone_cut[i] : alone_cut[i + 1]], size) for i in some], pa.list_(pa.int32())),
-                    pa.array([short[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()),
-                ], names=["key", "doc_id", "seeds", "at", "open", "words"])
-
-    return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, seeds array<long>, at array<int>, open array<int>, words binary")
+def picked_runs(words: np.ndarray, starts: np.ndarray, size: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the open runs that are least among window consecutive open ones; of fewer, of all."""
+    hashes = run_hashes(words, starts, size)
+    if not len(starts):
+        return hashes, starts
+    pieces = np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts) > 1) + 1)
+    keep = []
+    for piece in pieces:
+        if len(piece) <= window:
+            keep.append(piece[[hashes[piece].argmin()]])
+        else:
+            view = np.lib.stride_tricks.sliding_window_view(hashes[piece], window)
+            keep.append(np.unique(piece[np.arange(len(view)) + view.argmin(axis=1)]))
+    at = np.concatenate(keep)
+    return hashes[at], starts[at]
+
+
+def salts(key: int, levels: np.ndarray) -> np.ndarray:
+    """The group of a document among those that hold seeds of these levels; -1 for seeds with one group."""
+    heavy = np.maximum(levels.astype(np.int64) - HEAVY, 0)
+    return np.where(heavy > 0, np.int64(key & 0x7FFFFFFF) & ((np.int64(1) << heavy) - 1), -1)
+
+
+FOUND = "key long, doc_id long, seeds array<long>, at array<int>, salt array<int>, words binary"
+
+
+def shared_seeds(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
+    """docs (text, key, doc_id) -> FOUND, of documents with two shared seeds at least: hashes of seeds and picked runs, 2 * word index (+ 1 for a run), group (-1: one), words (16-bit hashes)."""
+
+    def use(texts: pa.Array, others: pa.Table, look: Levels) -> pa.Table:
+        keys = others.column("key").to_numpy()
+        rows: list[tuple] = []
+        done = set()
+        for start, stop, buf, offsets in W.chunks(texts):
+            hashes, row, _, _ = W.words(buf, offsets)
+            found, of, at = seeds(hashes, row, stop - start)
+            level = look.level(found)
+            cut = np.searchsorted(of, np.arange(stop - start + 1))
+            ends = np.searchsorted(row, np.arange(stop - start + 1))
+            short = (hashes >> np.uint64(32)).astype("<u4")
+            for i in np.flatnonzero(np.add.reduceat(np.append(level > 0, False), cut[:-1]) * (np.diff(cut) > 0) >= 2):
+                key = int(keys[start + i])
+                if key in done:  # a repeated row
+                    continue
+                done.add(key)
+                mine = slice(cut[i], cut[i + 1])
+                hit = level[mine] > 0
+                words = short[ends[i] : ends[i + 1]]
+                some, some_at, some_level = found[mine][hit], at[mine][hit], level[mine][hit]
+                runs, starts = picked_runs(words, open_starts(len(words), at[mine][~hit], size), size, RUN_WINDOW)
+                # A run is no more frequent than the first seed that is sure to lie inside it.
+                inside = np.minimum(np.searchsorted(some_at, starts + WINDOW - 1), len(some_at) - 1)
+                run_level = np.where(some_at[inside] <= starts + size - K, some_level[inside], 0) if len(starts) else some_level[:0]
+                rows.append((
+                    key,
+                    others.column("doc_id")[int(start + i)].as_py(),
+                    np.concatenate([some, runs]).view(np.int64),
+                    np.concatenate([2 * some_at, 2 * starts + 1]).astype(np.int32),
+                    np.concatenate([salts(key, some_level), salts(key, run_level)]).astype(np.int32),
+                    (words >> 16).astype("<u2").tobytes(),
+                ))
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "doc_id", "seeds", "at", "salt", "words"])
+
+    return with_levels(docs, _distinct_seeds, use, FOUND)
 
 
 class Fenwick:
@@ -199,7 +231,7 @@ def chains(runs: np.ndarray) -> list[list[int]]:
         own = float(runs[i, 1] - runs[i, 0])
         reach, j = tree.get(int(np.searchsorted(places, runs[i, 2], "right")))
         gain = reach - GAP_COST * (runs[i, 0] + runs[i, 2])
-        if j >= 0 and gain > 0 and runs[i, 0] - runs[j, 1] <= MAX_GAP and runs[i, 2] - runs[j, 3] <= MAX_GAP:
+        if j >= 0 and gain > 0:
             score[i], before[i] = own + gain, j
         else:
             score[i] = own
@@ -321,89 +353,128 @@ def passages(hits: np.ndarray, a: np.ndarray, b: np.ndarray, min_words: int = MI
 SPANS = "key long, doc_id long, start_word int, end_word int, src_doc_id long, src_start int, src_end int, identity double"
 
 
+def matched(found: DataFrame) -> DataFrame:
+    """FOUND -> key, src, hit (word index << 32 | owner's word index << 1 | a whole run) for each hash that an earlier document has too."""
+    posts = found.select("key", "doc_id", F.explode(F.arrays_zip("seeds", "at", "salt")).alias("s"))
+    group = F.when(F.col("s.salt") >= 0, F.xxhash64("s.seeds", "s.salt")).otherwise(F.col("s.seeds"))
+    posts = posts.select(group.alias("g"), "doc_id", "key", F.col("s.at").alias("at"), F.when(F.col("s.salt") >= 0, F.col("s.seeds")).alias("seed"))
+    first = F.first(F.struct("key", "at"))
+    hit = F.shiftleft(F.shiftright("at", 1).cast("long"), 32).bitwiseOR(F.col("own.at").cast("long"))
+
+    def with_owners(rows: DataFrame, by: str) -> DataFrame:
+        window = Window.partitionBy(by).orderBy("doc_id", "key", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumn("own", first.over(window)).filter("key <> own.key").select("key", F.col("own.key").alias("src"), hit.alias("hit"))
+
+    # The least holders of a salted seed's groups: one row a group.
+    heads = posts.filter("seed is not null").groupBy("g", "seed").agg(F.min(F.struct("doc_id", "key", "at")).alias("h")).select("seed", "h.*")
+    return with_owners(posts.drop("seed"), "g").union(with_owners(heads, "seed"))
+
+
+def promising(pairs: DataFrame) -> DataFrame:
+    """pairs (key, src, hits, a0, b0) with a whole run, or two hits near each other on nearly one diagonal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = batch.column(2)
+            flat, cut = hits.flatten().to_numpy(), np.concatenate([[0], np.cumsum(hits.value_lengths().to_numpy())])
+            pair = np.repeat(np.arange(len(batch)), np.diff(cut))
+            a, b = flat >> 32, (flat & 0xFFFFFFFF) >> 1
+            good = np.zeros(len(batch), bool)
+            good[pair[flat & 1 == 1]] = True
+            for lag in (1, 2, 3):  # hits are in order
+                near = (pair[lag:] == pair[:-lag]) & (a[lag:] - a[:-lag] <= NEAR) & (np.abs((a[lag:] - a[:-lag]) - (b[lag:] - b[:-lag])) <= NEAR // 4)
+                good[pair[lag:][near]] = True
+            yield batch.filter(pa.array(good))
+
+    return pairs.mapInArrow(tidy(run), pairs.schema)
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """docs (key, doc_id, text) -> SPANS: each passage of a document that an earlier document has too."""
-    table = count_shared(docs.select("text"), _distinct_seeds)
-    found = save(shared_seeds(docs, table, min_words), "seeds")
-    posts = found.select("key", "doc_id", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("key", "doc_id", F.col("s.seeds").alias("seed"), F.col("s.at").alias("at"), F.lit(False).alias("whole"))
-    posts = posts.union(runs_of(found, min_words).withColumn("whole", F.lit(True)))
-    owners = posts.groupBy("seed").agg(F.min(F.struct("doc_id", "key", "at")).alias("o")).select("seed", F.col("o.doc_id").alias("src_doc_id"), F.col("o.key").alias("src"), F.col("o.at").alias("src_at"))
-    matches = posts.join(owners, "seed").filter("key <> src")
-    pairs = matches.groupBy("key", "doc_id", "src", "src_doc_id").agg(F.collect_set(F.struct("at", "src_at", "whole")).alias("hits")).filter((F.size("hits") >= 2) | F.col("hits")[0]["whole"])
-    low = lambda c: F.greatest(F.lit(0), F.array_min(F.transform("hits", lambda h: h[c])) - AROUND)
-    wide = lambda c: F.array_max(F.transform("hits", lambda h: h[c] + F.when(h["whole"], min_words).otherwise(K))) + AROUND
-    pairs = pairs.withColumns({"a0": low("at"), "b0": low("src_at"), "a1": wide("at"), "b1": wide("src_at")})
-    # Both joins read the same exchange of (key, words).
-    texts = found.select("key", "words")
-    kept = ["key", "doc_id", "src", "src_doc_id", "hits", "a0", "a1", "b0"]
-    pairs = pairs.alias("p").join(texts.alias("t"), F.col("p.src") == F.col("t.key")).select(*(f"p.{c}" for c in kept), F.expr("substring(t.words, 4 * b0 + 1, 4 * (b1 - b0))").alias("b"))
-    pairs = pairs.alias("p").join(texts.alias("t"), F.col("p.key") == F.col("t.key")).select(*(f"p.{c}" for c in kept), "b", F.expr("substring(t.words, 4 * a0 + 1, 4 * (a1 - a0))").alias("a"))
-
+    found = save(shared_seeds(stored(docs).select("text", "key", "doc_id"), min_words), "seeds")
+    pairs = matched(found).groupBy("key", "src").agg(F.sort_array(F.collect_set("hit")).alias("hits"))
+    at, src_at = (lambda h: F.shiftright(h, 32)), (lambda h: F.shiftright(h.bitwiseAND(F.lit(0xFFFFFFFF)), 1))
+    size = lambda h: F.when(h.bitwiseAND(F.lit(1)) == 1, min_words).otherwise(K)
+    low = lambda of: F.greatest(F.lit(0), F.array_min(F.transform("hits", of)) - AROUND).cast("int")
+    wide = lambda of: (F.array_max(F.transform("hits", lambda h: of(h) + size(h))) + AROUND).cast("int")
+    pairs = promising(pairs.filter((F.size("hits") >= 2) | (F.col("hits")[0].bitwiseAND(F.lit(1)) == 1)))
+    pairs = pairs.select("key", "src", "hits", low(at).alias("a0"), wide(at).alias("a1"), low(src_at).alias("b0"), wide(src_at).alias("b1"))
+    # Repeated rows are one document; both joins read the same exchange.
+    texts = found.groupBy("key").agg(F.first(F.struct("doc_id", "words")).alias("t"))
+    kept = ["key", "src", "hits", "a0", "a1", "b0"]
+    words = lambda low, high: F.substring(F.col("t.t.words"), 2 * F.col(low) + 1, 2 * (F.col(high) - F.col(low)))
+    pairs = pairs.alias("p").join(texts.alias("t"), F.col("p.src") == F.col("t.key")).select(*(f"p.{c}" for c in kept), F.col("t.t.doc_id").alias("src_doc_id"), words("b0", "b1").alias("b"))
+    pairs = pairs.alias("p").join(texts.alias("t"), F.col("p.key") == F.col("t.key")).select("p.key", "t.t.doc_id", "a0", "b0", "src_doc_id", "hits", words("a0", "a1").alias("a"), "b")
     steps = np.unique([*range(0, min_words - K, K + WINDOW - 1), max(0, min_words - K)])[:, None]  # a whole run's hits of K words
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for r in frame.itertuples(index=False):
-                hits = np.array([(h["at"] - r.a0, h["src_at"] - r.b0, h["whole"]) for h in r.hits], np.int64)
-                whole = hits[hits[:, 2] == 1, :2]
-                if len(whole):
-                    hits = np.unique(np.concatenate([hits[hits[:, 2] == 0, :2], (whole[:, None, :] + steps).reshape(-1, 2)]), axis=0)
-                hits = hits[:, :2]
-                for a0, a1, b0, b1, same in passages(hits, np.frombuffer(r.a, "<u4"), np.frombuffer(r.b, "<u4"), min_words, identity):
-                    out.append((r.key, r.doc_id, a0 + r.a0, a1 + r.a0, r.src_doc_id, b0 + r.b0, b1 + r.b0, same))
-            kinds = {"key": "int64", "doc_id": "Int64", "start_word": "int32", "end_word": "int32", "src_doc_id": "Int64", "src_start": "int32", "src_end": "int32", "identity": "float64"}
-            yield pd.DataFrame(out, columns=list(kinds)).astype(kinds)
+            for key, doc_id, a_low, b_low, src, hits, a, b in zip(*batch.columns, strict=True):
+                a0, b0 = a_low.as_py(), b_low.as_py()
+                flat = hits.values.to_numpy()
+                both = np.stack([(flat >> 32) - a0, ((flat & 0xFFFFFFFF) >> 1) - b0], axis=1)
+                whole = flat & 1 == 1
+                if whole.any():
+                    both = np.unique(np.concatenate([both[~whole], (both[whole][:, None, :] + steps).reshape(-1, 2)]), axis=0)
+                for x0, x1, y0, y1, same in passages(both, np.frombuffer(a.as_py(), "<u2"), np.frombuffer(b.as_py(), "<u2"), min_words, identity):
+                    out.append((key.as_py(), doc_id.as_py(), x0 + a0, x1 + a0, src.as_py(), y0 + b0, y1 + b0, same))
+            yield batch_of(SPANS, out)
 
-    cols = ["key", "doc_id", "a0", "b0", "src_doc_id", "hits", "a", "b"]
-    return pairs.select(*cols).mapInPandas(run, SPANS).dropDuplicates(["key", "start_word", "end_word", "src_doc_id"])
+    return pairs.mapInArrow(tidy(run), SPANS)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """key, doc_id, text of docs; the key tells documents apart."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    return docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def row_key(docs: DataFrame):
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
 
 
 def cut_passages(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut out of all but their owners; texts of which no word is left go, others stay as they are."""
-    spans = repeated_passages(keyed(docs)).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias("__cut"))
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = docs.withColumn("__key", key).join(spans.withColumnRenamed("key", "__key"), "__key", "left").select(*docs.columns, "__cut")
+    key, cut_key, cut = free(docs, "key"), free(docs, "cut_key"), free(docs, "cut")
+    spans = repeated_passages(keyed(docs)).groupBy(F.col("key").alias(cut_key)).agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias(cut))
+    rows = docs.withColumn(key, row_key(docs)).join(spans, F.col(key) == F.col(cut_key), "left").select(*(docs[f"`{c}`"] for c in docs.columns), cut)
     names = list(docs.columns)
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, cuts = batch.column(place), batch.column(len(batch.columns) - 1)
-            out, keep = [], []
-            for text, cut in zip(texts, cuts, strict=True):
-                text, cut = text.as_py(), cut.as_py()
-                if cut and text is not None:
-                    text = without(text, [(c["start_word"], c["end_word"]) for c in cut])
-                out.append(text)
-                keep.append(not cut or bool(text and text.encode().split()))
+            some = np.flatnonzero(~cuts.is_null().to_numpy(zero_copy_only=False))
+            if not len(some):
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names)
+                continue
+            raw = texts.cast(pa.binary())
+            out, keep = raw.to_pylist(), np.ones(len(batch), bool)
+            for i in some:
+                if out[i] is not None:
+                    out[i] = without(out[i], [(c["start_word"], c["end_word"]) for c in cuts[int(i)].as_py()])
+                    keep[i] = bool(out[i].split())
             columns = list(batch.columns[:-1])
-            columns[place] = pa.array(out, batch.schema.field(place).type)
+            columns[place] = pa.array(out, pa.binary()).view(pa.string()).cast(batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    out = rows.mapInArrow(run, docs.schema)
+    out = rows.mapInArrow(tidy(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """text without the words of the spans (starts ascending) and the space after them."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    _, _, first, _ = W.words(raw, np.array([0, len(raw)]))
-    first = np.append(first, len(raw))
+def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """A text's bytes without the words of the spans (starts ascending) and the space after them."""
+    text = np.frombuffer(raw, np.uint8)
+    _, _, first, _ = W.words(text, np.array([0, len(text)]))
+    first = np.append(first, len(text))
     out, at = [], 0
     for start, end in spans:
         end = min(end, len(first) - 1)
         if first[start] > at:
-            out.append(raw[at : first[start]].tobytes())
+            out.append(raw[at : first[start]])
         at = max(at, int(first[end]))
-    out.append(raw[at:].tobytes())
-    return b"".join(out).decode()
+    out.append(raw[at:])
+    return b"".join(out)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

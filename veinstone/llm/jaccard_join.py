@@ -1,17 +1,21 @@
 """N-gram Jaccard join (operator 4): an exact grouped prefix join on sets of word shingles.
 
 1. Documents with the same shingle set become one node.
-2. A node in which fewer than the threshold's share of shingles occur in other documents can have no
-   partner and leaves. The rest keep a prefix under one global order, rarest shingles first.
+2. Shards tell in how many texts each shingle occurs (shared.py). A node in which fewer than the threshold's share
+   of shingles occur in other documents can have no partner and leaves. The rest keep a prefix under one global order,
+   rarest shingles first.
 3. Nodes with identical prefix and size form a group; its most central member stands for it. Groups are
    filtered against the most central group of each of their prefix tokens and size bands, expanded and
    verified: a number of pairs in proportion to the prefixes, however large a group of near copies is.
 4. Whatever pairs share a prefix token and are not yet connected are then verified without exception:
-   row by row where a token has few nodes, else in packed blocks that never become rows.
-
-Null or wordless texts have an empty set: no links, n_shingles 0, their own component. Repeated rows are
-equal sets and link. Rows with a null doc_id take part; a component's id is its least non-null doc_id.
-Sets are compared by 64-bit hashes of shingles.
+   row by row where a token has at most SHORT nodes, else in packed blocks that never become rows. Both ways verify
+   the same pairs.
+
+Null or wordless texts have an empty set: no links, n_shingles 0, their own component. Very long texts count whole;
+bytes that are no valid UTF-8 are words like any others. Repeated rows are equal sets and link. Rows with a null
+doc_id take part; a component's id is its least non-null doc_id. Rows that share a doc_id are told apart by their
+texts. Other columns are ignored. An empty table gives no rows. Sets are compared by 64-bit hashes of shingles. docs is
+read twice: a table that is no plain scan is written first.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import read, save
+from .common import discard, free, read, save, small, stored, tidy
 from .components import components
-from .shared import Table, count_shared, empty
+from .shared import Levels, empty, with_levels
 
 #: A token with more nodes than this is resolved in blocks of this many nodes instead of by rows.
 SHORT, BLOCK = 64, 256
@@ -41,45 +45,48 @@ def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield start, stop, *W.distinct(hashes, row)
 
 
-def fingerprints(docs: DataFrame, table: Table, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, node and, for nodes that can have partners: cent, prefix (shared tokens only), items."""
-    held = docs.sparkSession.sparkContext.broadcast((table.bits, table.levels))  # 36 MB, whatever the input
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Table(*held.value)
-        for batch in batches:
-            ids = batch.column(0)
-            for start, stop, hashes, row in _sets(batch.column(1), k):
-                rows = stop - start
-                n = np.bincount(row, minlength=rows)
-                cuts = np.concatenate([[0], np.cumsum(n)])
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix64(hashes + np.uint64(1)))])
-                node = W.mix64(sums[cuts[1:]] - sums[cuts[:-1]] + n.astype(np.uint64))
-                shared = look.shared(hashes)
-                level = look.level(hashes)
-                live = (n > 0) & (den * np.bincount(row, weights=shared, minlength=rows) >= num * n)
-                weight = np.bincount(row, weights=level, minlength=rows)
-                cent: list = [None] * rows
-                prefix: list = [None] * rows
-                items: list = [None] * rows
-                for i in np.flatnonzero(live):
-                    at = slice(cuts[i], cuts[i + 1])
-                    h, s = hashes[at], shared[at]
-                    size = int(n[i] - -(-num * int(n[i]) // den) + 1)
-                    first = np.lexsort((h, level[at], s))[:size]
-                    cent[i] = int(1000 * weight[i] / n[i])
-                    prefix[i] = h[first][s[first]].view(np.int64)
-                    items[i] = h.tobytes()
-                yield pa.RecordBatch.from_arrays([
-                    ids.slice(start, rows),
-                    pa.array(n, pa.int64()),
-                    pa.array(node.view(np.int64)),
-                    pa.array(cent, pa.int64()),
-                    pa.array(prefix, pa.list_(pa.int64())),
-                    pa.array(items, pa.binary()),
-                ], names=["doc_id", "n", "node", "cent", "prefix", "items"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, node long, cent long, prefix array<long>, items binary")
+PRINTS = "key long, doc_id long, n long, node long, cent long, prefix array<long>, items binary"
+
+
+def fingerprints(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """docs (text, key, doc_id) -> PRINTS; cent, prefix (shared tokens only) and items are null for nodes that can have no partners."""
+
+    def use(texts: pa.Array, others: pa.Table, look: Levels) -> pa.Table:
+        out = []
+        for start, stop, hashes, row in _sets(texts, k):
+            rows = stop - start
+            n = np.bincount(row, minlength=rows)
+            cuts = np.concatenate([[0], np.cumsum(n)])
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix64(hashes + np.uint64(1)))])
+            node = W.mix64(sums[cuts[1:]] - sums[cuts[:-1]] + n.astype(np.uint64))
+            level = look.level(hashes)
+            shared = level > 0
+            live = (n > 0) & (den * np.bincount(row, weights=shared, minlength=rows) >= num * n)
+            weight = np.bincount(row, weights=level, minlength=rows)
+            cent: list = [None] * rows
+            prefix: list = [None] * rows
+            items: list = [None] * rows
+            for i in np.flatnonzero(live):
+                at = slice(cuts[i], cuts[i + 1])
+                h, s = hashes[at], shared[at]
+                size = int(n[i] - -(-num * int(n[i]) // den) + 1)
+                first = np.lexsort((h, level[at], s))[:size]
+                cent[i] = int(1000 * weight[i] / n[i])
+                prefix[i] = h[first][s[first]].view(np.int64)
+                items[i] = h.tobytes()
+            mine = others.slice(start, rows)
+            out.append(pa.table([
+                mine.column("key"),
+                mine.column("doc_id"),
+                pa.array(n, pa.int64()),
+                pa.array(node.view(np.int64)),
+                pa.array(cent, pa.int64()),
+                pa.array(prefix, pa.list_(pa.int64())),
+                pa.array(items, pa.binary()),
+            ], names=["key", "doc_id", "n", "node", "cent", "prefix", "items"]))
+        return pa.concat_tables(out)
+
+    return with_levels(docs, lambda texts: (h for _, _, h, _ in _sets(texts, k)), use, PRINTS)
 
 
 def _linked(a: bytes, b: bytes, num: int, den: int) -> bool:
@@ -101,7 +108,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def _close(n: str, m: str, num: int, den: int) -> F.Column:
@@ -135,7 +142,7 @@ def _open_pairs(nodes: DataFrame, labels: DataFrame, num: int, den: int) -> Data
     left = packs.filter("rest").select("main", F.col("block").alias("block_a"), F.col("pack").alias("p"))
     right = packs.select("main", "rest", F.col("block").alias("block_b"), F.col("pack").alias("q"))
     meets = left.join(right, "main").filter(~F.col("rest") | (F.col("block_a") <= F.col("block_b"))).select("p", "q")
-    return found.union(meets.mapInPandas(_meet(num, den), "a long, b long"))
+    return found.union(meets.mapInPandas(tidy(_meet(num, den)), "a long, b long"))
 
 
 def _meet(num: int, den: int):
@@ -179,14 +186,16 @@ def _meet(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (columns doc_id and text; others are ignored).
+def row_key(docs: DataFrame):
+    """Tells rows apart by doc_id and text."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
 
-    Two rows link when den * |intersection| >= num * |union| of their sets of distinct k-word shingles.
-    """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = count_shared(base.select("text"), lambda texts: (h for _, _, h, _ in _sets(texts, k)))
-    prints = save(fingerprints(base, table, k, num, den), "prints")
+
+def labelled(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """key, doc_id, n, label for every row of docs: rows with shingles link, directly or not, if their labels are equal."""
+    base = stored(docs.select("doc_id", "text"))
+    base = base.select(F.col("text").cast("string").alias("text"), row_key(base).alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
+    prints = save(fingerprints(base, k, num, den), "prints")
     live = prints.filter("prefix is not null")
     owner = live.groupBy("node").agg(F.min(F.struct("doc_id", "n", "cent", "prefix", "items")).alias("s")).select("node", "s.n", "s.cent", "s.prefix", "s.items")
     band = F.floor(F.log("n") / math.log(den / num)) if num < den else F.col("n")
@@ -208,18 +217,41 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     if more is not None:
         more = save(more, "links")
         if not empty(more):
+            discard(labels)
             labels = components(links.union(more))
-    rows = prints.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        discard(more)
+    discard(nodes)
+    discard(links)
+    return prints.select("key", "doc_id", "n", "node").join(labels, "node", "left").select("key", "doc_id", "n", F.coalesce("label", "node").alias("label"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (columns doc_id and text; others are ignored).
+
+    Two rows link when den * |intersection| >= num * |union| of their sets of distinct k-word shingles.
+    """
+    rows = labelled(docs, k, num, den)
     # Written, so that the join has an exchange of its own on either side and Spark can split a large component's rows.
     ids = save(rows.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least")), "ids")
     return rows.join(ids, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs less all but the least doc_id of each component. Of rows that repeat a doc_id one stays; rows without one all stay."""
-    kept = jaccard_components(docs, k, num, den).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """docs with one row of each component: that of the least doc_id (a null one last), of several texts of it the one with the least hash.
+
+    Rows without words are linked with nothing, but of rows that repeat doc_id and text one stays, the least by its other columns.
+    """
+    rows = labelled(docs, k, num, den)
+    component = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("key"))
+    own = rows.groupBy(component.alias("label"), (F.col("n") > 0).alias("words"), F.col("doc_id").isNull().alias("nameless"), "doc_id", "key").agg(F.count(F.lit(1)).alias("many"))
+    chosen = own.groupBy("label", "words").agg(F.min(F.struct("nameless", "doc_id", "key", "many")).alias("c"))
+    name = free(docs, "chosen")
+    chosen = save(chosen.select(F.col("c.key").alias(name), F.col("c.many").alias("many")), "chosen")
+    once, repeated = (small(chosen.filter(f"many {op} 1").select(name)) for op in ("=", ">"))
+    alone = docs.join(once, row_key(docs) == F.col(name), "left_semi")
+    again = docs.join(repeated, row_key(docs) == F.col(name), "left_semi").withColumn(name, row_key(docs))
+    least = again.groupBy(name).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(free(docs, "row")))
+    return alone.union(least.select(f"{free(docs, 'row')}.*"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,6 @@ twice and must give the same rows both times: a table that is no plain scan is w
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +40,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import clean, free, read, save, small, stored, tidy, trim
+from .blocks import batch_of, columns, meet, packed, squeeze, unpacked, unsqueeze
+from .common import clean, free, read, save, small, stored, tidy
 
 ORDER = 5
 LEAST = 0.05
@@ -53,24 +53,6 @@ BLOCK, CHUNK, HOLD = 16 << 20, 1 << 20, 1 << 20
 LOW, HIGH, MIN_TRUSTED, LONG = 0.001, 0.999, 50, 4000
 
 
-def _codec() -> pa.Codec:
-    """For the texts, which are most of what is moved; n-grams and answers take zstd's default."""
-    return pa.Codec("zstd", compression_level=5)
-
-
-
-def squeeze(values: np.ndarray) -> bytes:
-    """An array's bytes in planes, compressed."""
-    wide = values.dtype.itemsize
-    return pa.compress(np.ascontiguousarray(values.reshape(-1).view(np.uint8).reshape(-1, wide).T).tobytes(), codec="zstd", asbytes=True)
-
-
-def unsqueeze(blob: bytes, n: int, kind: type) -> np.ndarray:
-    wide = np.dtype(kind).itemsize
-    raw = np.frombuffer(pa.decompress(blob, n * wide, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(wide, n).T).view(kind).ravel()
-
-
 def squeeze_share(values: np.ndarray) -> bytes:
     """Floats of 24 bits."""
     bits = values.astype(np.float32).view(np.uint32) + np.uint32(128)
@@ -155,9 +137,7 @@ COUNTS = "fold int, part int, size int, grams binary, counts binary"
 
 
 def _count_rows(fold: int, grams: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
-    rows = [(fold, p, len(at), squeeze(grams[:, at]), squeeze(counts[at])) for p, at in by_part(grams, parts)]
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["fold", "part", "size", "grams", "counts"])
+    return batch_of(COUNTS, [(fold, p, len(at), squeeze(grams[:, at]), squeeze(counts[at])) for p, at in by_part(grams, parts)])
 
 
 def count_texts(texts: DataFrame, parts: int, order: int) -> DataFrame:
@@ -196,7 +176,7 @@ def shards(counts: DataFrame, level: int) -> DataFrame:
         grams = np.concatenate([unsqueeze(g, n * level, np.uint32).reshape(level, n) for g, n in zip(rows["grams"], rows["size"], strict=True)], axis=1)
         grams, counts = summed(grams, np.concatenate([unsqueeze(c, n, np.int64) for c, n in zip(rows["counts"], rows["size"], strict=True)]))
         few = [int((counts == i).sum()) for i in (1, 2, 3, 4)]
-        return pd.DataFrame([(int(key[0]), int(key[1]), len(counts), squeeze(grams), squeeze(counts), *few)], columns=[c.split()[0] for c in LEVEL.split(", ")])
+        return pd.DataFrame([(int(key[0]), int(key[1]), len(counts), squeeze(grams), squeeze(counts), *few)], columns=columns(LEVEL))
 
     return counts.groupBy("fold", "part").applyInPandas(run, LEVEL)
 
@@ -277,55 +257,6 @@ def suffixes(grams: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-BLOCKS = "block long, fold int, n_bytes long, texts binary, sizes binary, key array<long>, doc_id array<string>, lang array<string>"
-
-
-def packed(docs: DataFrame) -> DataFrame:
-    """docs (text, fold, key, doc_id, lang) -> BLOCKS, each of one fold; block is a digest of the content."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[pa.RecordBatch]] = {0: [], 1: []}
-
-        def out(fold: int) -> pa.RecordBatch:
-            table = pa.Table.from_batches(held[fold]).combine_chunks()
-            held[fold].clear()
-            text = table.column("text").combine_chunks()
-            text = (text if isinstance(text, pa.Array) else text.chunk(0)).cast(pa.large_string()).fill_null("")
-            sizes = pc.binary_length(text).to_numpy().astype(np.int64)
-            raw = b"".join(buf.tobytes() for _, _, buf, _ in W.chunks(text, BLOCK))
-            texts = _codec().compress(raw, asbytes=True)
-            keys = table.column("key").to_numpy()
-            block = int.from_bytes(hashlib.blake2b(texts + keys.tobytes(), digest_size=8).digest(), "little") >> 1
-            lists = [pa.array([table.column(c).to_pylist()], pa.list_(k)) for c, k in (("key", pa.int64()), ("doc_id", pa.string()), ("lang", pa.string()))]
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([fold], pa.int32()), pa.array([len(raw)], pa.int64()), pa.array([texts], pa.binary()), pa.array([squeeze(sizes)], pa.binary()), *lists], names=[c.split()[0] for c in BLOCKS.split(", ")])
-
-        size = {0: 0, 1: 0}
-        for batch in batches:
-            for fold in held:
-                some = batch.filter(pc.equal(batch.column(1), fold))
-                at = 0
-                while at < len(some):
-                    # Rows up to the block's bound; a longer text is a block of its own.
-                    ends = np.cumsum(pc.binary_length(some.column(0).slice(at)).fill_null(0).to_numpy())
-                    n = max(1, int(np.searchsorted(ends, BLOCK - size[fold], "right")))
-                    held[fold].append(some.slice(at, n))
-                    size[fold] += int(ends[min(n, len(ends)) - 1])
-                    at += n
-                    if size[fold] >= BLOCK or at < len(some):
-                        yield out(fold)
-                        size[fold] = 0
-        for fold in held:
-            if held[fold]:
-                yield out(fold)
-
-    return docs.select("text", "fold", "key", F.col("doc_id").cast("string").alias("doc_id"), "lang").mapInArrow(tidy(run), BLOCKS)
-
-
-def _texts(texts: bytes, n_bytes: int, sizes: bytes, n: int) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum(unsqueeze(sizes, n, np.int64))])
-    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(pa.decompress(texts, n_bytes, codec="zstd", asbytes=True)))
-
-
 def _block_grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, list]:
     """(distinct hashes, their n-grams, the chunks' own distinct hashes, places and bounds) of a block."""
     chunks, all_grams = [], []
@@ -348,13 +279,12 @@ def requests(blocks: DataFrame, parts: int, order: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 rows = []
-                for grams, _ in suffixes(_block_grams(_texts(r["texts"], r["n_bytes"], r["sizes"], r["n"]), order)[1]):
+                for grams, _ in suffixes(_block_grams(unpacked(r)[0], order)[1]):
                     level = len(grams)
                     rows += [(1 - r["fold"], level, p, r["block"], len(at), squeeze(grams[:, at]), None) for p, at in by_part(grams, n_parts(parts, level, order))]
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in ASKED.split(", ")])
+                yield batch_of(ASKED, rows)
 
-    return blocks.select("block", "fold", "n_bytes", "texts", "sizes", F.size("key").alias("n")).mapInArrow(tidy(run), ASKED)
+    return blocks.mapInArrow(tidy(run), ASKED)
 
 
 ANSWERS = "block long, level int, part int, size int, share binary, weight binary"
@@ -380,8 +310,7 @@ def answers(asked: DataFrame, model: Model) -> DataFrame:
                 if shard is not None:
                     share, weight = shard.ask(unsqueeze(r["grams"], r["size"] * level, np.uint32).reshape(level, -1))
                 out.append((r["block"], level, part, r["size"], squeeze_share(share), squeeze_share(weight)))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], [c.split()[0] for c in ANSWERS.split(", ")])
+        return pa.Table.from_batches([batch_of(ANSWERS, out)])
 
     return asked.union(known).groupBy("fold", "level", "part").applyInArrow(run, ANSWERS)
 
@@ -390,44 +319,37 @@ SCORED = "key long, doc_id string, lang string, n_symbols long, nll double"
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (text, fold, key, doc_id, lang) -> SCORED: nll is the mean negative log-probability, null without text."""
-    blocks, parts, order = packed(docs), model.parts, model.order
-
-    def run(mine: pa.Table, got: pa.Table) -> pa.Table:
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64())
-        names = [c.split()[0] for c in SCORED.split(", ")]
-        out = [pa.table([pa.array([], k) for k in kinds], names)]
-        given = {(a["level"], a["part"]): a for a in got.to_pylist()}
-        for r in mine.to_pylist():
-            rows = len(r["key"])
-            found, grams, chunks = _block_grams(_texts(r["texts"], r["n_bytes"], r["sizes"], rows), order)
-            prob = np.zeros(0)
-            levels = suffixes(grams)
-            for i in range(len(levels) - 1, -1, -1):
-                grams, _ = levels[i]
-                level = len(grams)
-                share, weight = np.zeros(grams.shape[1]), np.ones(grams.shape[1])
-                for p, at in by_part(grams, n_parts(parts, level, order)):
-                    a = given.get((level, p))
-                    if a is None or a["size"] != len(at):
-                        raise RuntimeError("the documents changed between two reads")
-                    share[at], weight[at] = (unsqueeze(a[c], a["size"], np.uint32).view(np.float32) for c in ("share", "weight"))
-                lower = prob[levels[i + 1][1]] if level > 1 else 1 / (PAD + 1)
-                prob = share + weight * lower
-            logs = np.log(prob)
-            n, nll = np.zeros(rows, np.int64), np.zeros(rows)
-            for start, stop, own, which, at in chunks:
-                sums = np.concatenate([[0], np.cumsum(logs[np.searchsorted(found, own)][which])])
-                n[start:stop] = np.diff(at)
-                nll[start:stop] = -(sums[at[1:]] - sums[at[:-1]])
-            mean = np.divide(nll, n, out=np.full(rows, np.nan), where=n > 0)
-            out.append(pa.table([pa.array(x, k) for x, k in zip((r["key"], r["doc_id"], r["lang"], n, mean), kinds, strict=True)], names))
-        trim()
-        return pa.concat_tables(out).combine_chunks()
+    """docs (text, fold, key, doc_id as string, lang) -> SCORED: nll is the mean negative log-probability, null without text."""
+    blocks, parts, order = packed(docs, BLOCK, "fold"), model.parts, model.order
+
+    def use(block: dict, told: list[dict]) -> pa.Table:
+        texts, others = unpacked(block)
+        found, grams, chunks = _block_grams(texts, order)
+        given = {(a["level"], a["part"]): a for a in told}
+        prob = np.zeros(0)
+        levels = suffixes(grams)
+        for i in range(len(levels) - 1, -1, -1):
+            grams, _ = levels[i]
+            level = len(grams)
+            share, weight = np.zeros(grams.shape[1]), np.ones(grams.shape[1])
+            for p, at in by_part(grams, n_parts(parts, level, order)):
+                a = given.get((level, p))
+                if a is None or a["size"] != len(at):
+                    raise RuntimeError("the documents changed between two reads")
+                share[at], weight[at] = (unsqueeze(a[c], a["size"], np.uint32).view(np.float32) for c in ("share", "weight"))
+            lower = prob[levels[i + 1][1]] if level > 1 else 1 / (PAD + 1)
+            prob = share + weight * lower
+        logs = np.log(prob)
+        n, nll = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        for start, stop, own, which, at in chunks:
+            sums = np.concatenate([[0], np.cumsum(logs[np.searchsorted(found, own)][which])])
+            n[start:stop] = np.diff(at)
+            nll[start:stop] = -(sums[at[1:]] - sums[at[:-1]])
+        mean = pa.array(np.divide(nll, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
+        return pa.table([others.column("key"), others.column("doc_id"), others.column("lang"), pa.array(n), mean], columns(SCORED))
 
     told = answers(requests(blocks, parts, order), model)
-    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, SCORED)
-    return scored.withColumns({"doc_id": F.col("doc_id").cast("long"), "nll": F.when(F.col("n_symbols") > 0, F.col("nll"))})
+    return meet(blocks, told, use, SCORED).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def row_key(docs: DataFrame):
@@ -447,7 +369,7 @@ def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = H
     if model is None:
         out = base.select("key", "doc_id", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_symbols"), F.lit(None).cast("double").alias("nll"), F.lit(None).cast("double").alias("deviation"))
         return out.withColumn("keep", F.col("n_symbols") > 0)
-    scored = save(score(base, model).join(trust, mine, "left").select("key", "doc_id", "lang", "n_symbols", "nll", F.col("trusted_id").isNotNull().alias("trusted")), "scored")
+    scored = save(score(base.withColumn("doc_id", F.col("doc_id").cast("string")), model).join(trust, mine, "left").select("key", "doc_id", "lang", "n_symbols", "nll", F.col("trusted_id").isNotNull().alias("trusted")), "scored")
     known = scored.filter("trusted and nll is not null")
     middle = F.percentile_approx("nll", 0.5, 10000)
     own = known.filter("lang is not null").groupBy(F.col("lang").alias("own_lang")).agg(middle.alias("mid"), F.count(F.lit(1)).alias("many")).filter(F.col("many") >= MIN_TRUSTED).drop("many")

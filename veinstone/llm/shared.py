@@ -1,104 +1,99 @@
-"""Which hashes occur in more than one text: a bounded, exact-or-over table built by a compact shuffle.
+"""In how many texts a hash occurs, asked of shards by block: nothing is broadcast or sent to the driver, at any input.
 
-Mappers send sorted, delta-coded, compressed runs of the upper 32 bits of their distinct hashes, cut
-into ranges; a reducer per range counts them. What comes back has a fixed size at any input: a bitmap
-of 2**28 bits (32 MB; hashes of at least two texts) and 2**22 byte-sized levels (log2 of the number of
-texts, from 8 on). A collision can only set a bit too many or raise a level, never hide a shared hash.
+A block of documents sends its distinct hashes, cut to some leading bits, sorted and delta-coded, to shards by range.
+A shard adds up the blocks' counts and answers with a level for each hash: the binary logarithm of the number of
+texts (0: one text alone). Block and answers meet. The number of bits grows with the input, so that about one hash in
+a thousand at most shares its bits with another one; such a collision can only raise a level, never hide a shared hash.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS, LEVELS, HEAVY = 28, 22, 8
-_RUN = 1 << 21
+from .blocks import batch_of, meet, packed, squeeze, unpacked, unsqueeze
+from .common import tidy
 
+#: Bytes of text in a block; bits beyond the logarithm of the text's bytes.
+BLOCK, SPARE = 8 << 20, 8
 
-def pack(values: np.ndarray) -> bytes:
-    """Sorted uint32 values as compressed byte planes of their differences."""
-    return zlib.compress(np.diff(values, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+Hashes = Callable[[pa.Array], Iterator[np.ndarray]]
 
 
-def unpack(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(blob), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+class Levels:
+    """Lookups of a block's own hashes."""
 
+    def __init__(self, values: np.ndarray, levels: np.ndarray, bits: int):
+        self.values, self.levels, self.shift = values, levels, np.uint64(64 - bits)
 
-class Table:
-    """Lookups by 64-bit hash."""
+    def level(self, hashes: np.ndarray) -> np.ndarray:
+        return self.levels[np.searchsorted(self.values, hashes >> self.shift)]
 
-    def __init__(self, bits: np.ndarray, levels: np.ndarray):
-        self.bits, self.levels = bits, levels
 
-    def shared(self, hashes: np.ndarray) -> np.ndarray:
-        at = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-        return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+def _values(texts: pa.Array, hashes_of: Hashes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes cut to bits, in how many of the texts each occurs)."""
+    cut = [h >> np.uint64(64 - bits) for h in hashes_of(texts)]
+    return np.unique(np.concatenate(cut), return_counts=True) if cut else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _cuts(values: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    return np.searchsorted(values, np.arange(parts + 1, dtype=np.uint64) << np.uint64(bits - parts.bit_length() + 1))
 
-    def level(self, hashes: np.ndarray) -> np.ndarray:
-        return self.levels[(hashes >> np.uint64(64 - LEVELS)).astype(np.int64)]
 
+ASKED = "part int, block long, size int, steps binary, counts binary"
+ANSWERS = "block long, part int, size int, levels binary"
 
-def count_shared(texts: DataFrame, hashes_of: Callable[[pa.Array], Iterator[np.ndarray]]) -> Table:
-    """texts: one string column. hashes_of: arrays of hashes, each text's own ones distinct."""
-    rows = texts.count()
-    ranges = 1 << min(14, max(5, (rows * 512 // _RUN).bit_length()))
-    shift = np.uint32(32 - ranges.bit_length() + 1)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+def with_levels(docs: DataFrame, hashes_of: Hashes, use: Callable[[pa.Array, pa.Table, Levels], pa.Table], schema: str) -> DataFrame:
+    """use(texts, other columns, levels) -> rows of schema, for every block of docs (text first; a plain scan).
 
-        def out() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(values, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(shift))
-            some = [r for r in range(ranges) if cuts[r + 1] > cuts[r]]
-            return pa.RecordBatch.from_pydict({
-                "part": pa.array(some, pa.int32()),
-                "hashes": pa.array([pack(values[cuts[r] : cuts[r + 1]]) for r in some], pa.binary()),
-                "counts": pa.array([zlib.compress(np.minimum(counts[cuts[r] : cuts[r + 1]], 65535).astype("<u2").tobytes(), 1) for r in some], pa.binary()),
-            })
+    hashes_of: arrays of 64-bit hashes, each text's own ones distinct.
+    """
+    n_bytes = docs.agg(F.sum(F.octet_length(docs.columns[0]))).first()[0] or 0
+    bits = min(64, max(24, int(n_bytes).bit_length() + SPARE))
+    parts = 1 << max(0, min(bits - 8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() - 1))
+    blocks = packed(docs, BLOCK)
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for got in hashes_of(batch.column(0)):
-                held.append((got >> np.uint64(32)).astype(np.uint32))
-                size += len(got)
-                if size >= _RUN:
-                    yield out()
-                    held, size = [], 0
-        if size:
-            yield out()
-
-    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        part = int(key[0])
-        values = np.concatenate([unpack(b) for b in rows["hashes"]])
-        counts = np.concatenate([np.frombuffer(zlib.decompress(b), "<u2") for b in rows["counts"]]).astype(np.int64)
-        order = np.argsort(values, kind="stable")
-        values, counts = values[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        values, counts = values[first], np.add.reduceat(counts, first)
-        low = np.int64(part) << np.int64(shift)
-        bits = np.zeros((1 << BITS) // ranges, bool)
-        bits[((values[counts >= 2].astype(np.int64) - low) >> (32 - BITS))] = True
-        levels = np.zeros(max(1, (1 << LEVELS) // ranges), np.uint8)
-        heavy = counts >= HEAVY
-        np.maximum.at(levels, (values[heavy].astype(np.int64) - low) >> (32 - LEVELS), np.log2(counts[heavy]).astype(np.uint8))
-        return pd.DataFrame({"part": [part], "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)], "levels": [zlib.compress(levels.tobytes(), 1)]})
-
-    sent = texts.mapInArrow(send, "part int, hashes binary, counts binary")
-    parts = sent.groupBy("part").applyInPandas(count, "part int, bits binary, levels binary")
-    bits = np.zeros((1 << BITS) // 8, np.uint8)
-    levels = np.zeros(1 << LEVELS, np.uint8)
-    nb, nl = len(bits) // ranges, len(levels) // ranges
-    for r in parts.collect():  # at most 36 MB in all, whatever the input
-        bits[r.part * nb : (r.part + 1) * nb] = np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
-        levels[r.part * nl : (r.part + 1) * nl] = np.frombuffer(zlib.decompress(bytes(r.levels)), np.uint8)
-    return Table(bits, levels)
+            for r in batch.to_pylist():
+                values, counts = _values(unpacked(r)[0], hashes_of, bits)
+                cuts = _cuts(values, bits, parts)
+                low = np.arange(parts, dtype=np.uint64) << np.uint64(bits - parts.bit_length() + 1)
+                yield batch_of(ASKED, [
+                    (p, r["block"], int(b - a), squeeze(np.diff(values[a:b], prepend=low[p])), squeeze(counts[a:b].astype(np.uint32)))
+                    for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a
+                ])
+
+    def answer(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        low = np.uint64(rows[0]["part"]) << np.uint64(bits - parts.bit_length() + 1)
+        values = np.concatenate([low + np.cumsum(unsqueeze(r["steps"], r["size"], np.uint64), dtype=np.uint64) for r in rows])
+        counts = np.concatenate([unsqueeze(r["counts"], r["size"], np.uint32) for r in rows])
+        _, which = np.unique(values, return_inverse=True)
+        levels = np.log2(np.bincount(which, weights=counts)).astype(np.uint8)[which]
+        ends = np.cumsum([r["size"] for r in rows])
+        return pa.Table.from_batches([batch_of(ANSWERS, [(r["block"], r["part"], r["size"], squeeze(levels[e - r["size"] : e])) for r, e in zip(rows, ends, strict=True)])])
+
+    def finish(block: dict, told: list[dict]) -> pa.Table:
+        texts, others = unpacked(block)
+        values, _ = _values(texts, hashes_of, bits)
+        cuts = _cuts(values, bits, parts)
+        levels = np.zeros(len(values), np.uint8)
+        given = {a["part"]: a for a in told}
+        for p in np.flatnonzero(np.diff(cuts)):
+            a = given.get(int(p))
+            if a is None or a["size"] != cuts[p + 1] - cuts[p]:
+                raise RuntimeError("the documents changed between two reads")
+            levels[cuts[p] : cuts[p + 1]] = unsqueeze(a["levels"], a["size"], np.uint8)
+        return use(texts, others, Levels(values, levels, bits))
+
+    asked = blocks.mapInArrow(tidy(ask), ASKED)
+    return meet(blocks, asked.groupBy("part").applyInArrow(answer, ANSWERS), finish, schema)
 
 
 def empty(df: DataFrame) -> bool:
