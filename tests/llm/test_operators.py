@@ -13,6 +13,7 @@ import pytest
 from veinstone.llm import chaining
 from veinstone.llm import chat_format as C
 from veinstone.llm import kneser_ney as K
+from veinstone.llm import jaccard_join as J
 from veinstone.llm import language_id as L
 from veinstone.llm import pieces as P
 from veinstone.llm import stable_ann as S
@@ -81,6 +82,60 @@ def test_jaccard(spark, odd, k, num):
     assert got == want
 
 
+@pytest.mark.parametrize("short", [0, 3, 10_000])
+def test_both_ways_of_open_pairs(spark, monkeypatch, short):
+    """A crowded token resolved row by row or in packs: the same components."""
+    monkeypatch.setattr(J, "SHORT", short)
+    monkeypatch.setattr(J, "BLOCK", 5)
+    bases = [prose(60) for _ in range(4)]
+    texts = [edit(b, int(n)) for b in bases for n in rng.integers(1, 14, 25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = [sets(t, 5) for t in texts]
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(own[i] & own[j])
+        if 100 * both >= 80 * (len(own[i]) + len(own[j]) - both):
+            label = [label[i] if x == label[j] else x for x in label]
+    least = {c: min(i for i, x in enumerate(label) if x == c) for c in label}
+    assert {r.doc_id: r.component_id for r in jaccard_components(docs).collect()} == {i: least[c] for i, c in enumerate(label)}
+
+
+def test_keep_one_judges_rows(spark):
+    """Different texts of one doc_id both stay, also without doc_id; equal rows become one, whatever their other columns."""
+    a, b = prose(40), prose(40)
+    rows = [(1, a, "x"), (1, b, "y"), (None, a, "z"), (None, prose(40), "n"), (2, b, "w"), (1, a, "x"), (1, a, "a"), (5, "", "e"), (5, "", "e"), (6, None, "e"), (None, None, "e")]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string, chosen string")).collect()
+    assert sorted((str(r.doc_id), r.chosen) for r in kept) == sorted([("1", "a"), ("1", "y"), ("None", "n"), ("5", "e"), ("6", "e"), ("None", "e")])
+
+
+def test_levels_are_exact(spark):
+    """Binary logarithms of the number of texts, over several blocks, shards and partitions; equal blocks and nulls too."""
+    import pyarrow as pa
+
+    from veinstone.llm.shared import with_levels
+
+    texts = [" ".join(f"t{j}" for j in range(200) if i % (j + 1) == 0) for i in range(300)] + [None, "", "t0 alone"]
+    docs = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, doc_id long").repartition(5)
+    path = os.path.join(spark.conf.get("spark.checkpoint.dir"), "levels-test")
+    docs.write.mode("overwrite").parquet(path)
+
+    def hashes(rows):
+        for start, stop, buf, offsets in W.chunks(rows):
+            found, row, _, _ = W.words(buf, offsets)
+            yield W.distinct(found, row)[0]
+
+    def use(rows, others, look):
+        words = [w for t in rows.to_pylist() for w in (t or "").split()]
+        out = []
+        for start, stop, buf, offsets in W.chunks(rows):
+            out += look.level(W.words(buf, offsets)[0]).tolist()
+        return pa.table([pa.array(words, pa.string()), pa.array(out, pa.int32())], ["word", "level"])
+
+    got = {(r.word, r.level) for r in with_levels(spark.read.parquet(path), hashes, use, "word string, level int").collect()}
+    many = collections.Counter(w for t in texts for w in set((t or "").split()))
+    assert got == {(w, int(np.log2(n))) for w, n in many.items()}
+
+
 def test_keep_one(spark, odd):
     kept = keep_one(odd)
     assert kept.columns == odd.columns
@@ -567,6 +622,70 @@ def test_passage_whose_halves_have_earlier_owners(spark):
     assert {(r.doc_id, r.src_doc_id, r.start_word, r.end_word, r.src_start, r.src_end) for r in repeated_passages(keyed(docs)).collect()} == want
 
 
+def exact_runs(texts, least):
+    """By brute force over all pairs: (document, word) of all words in runs of at least `least` words that an earlier document has too."""
+    out = set()
+    for j, y in enumerate(texts):
+        for x in texts[:j]:
+            length = np.zeros((len(x) + 1, len(y) + 1), int)
+            for a in range(len(x) - 1, -1, -1):
+                for b in range(len(y) - 1, -1, -1):
+                    length[a, b] = length[a + 1, b + 1] + 1 if x[a] == y[b] else 0
+            for a, b in zip(*np.where(length >= least), strict=True):
+                out |= {(j, b + i) for i in range(length[a, b])}
+    return out
+
+
+def test_passages_against_all_pairs(spark):
+    """Every exact passage of 50 words or more is found, also where earlier documents hold overlapping parts of it."""
+    whole = [prose(100).split() for _ in range(3)]
+    texts = []
+    for w in whole:  # parts of 40 words, then the whole twice, an exact copy, and a part again
+        for x, y in ((0, 40), (30, 70), (60, 100), (0, 100), (0, 100), (20, 90), (0, 44)):
+            texts.append([*prose(int(rng.integers(5, 30))).split(), *w[x:y], *prose(int(rng.integers(5, 30))).split()])
+    texts += [texts[3], [*whole[0][:60], "x", *whole[1][40:100]], prose(60).split() * 3]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {(r.doc_id, i) for r in repeated_passages(keyed(docs)).collect() for i in range(r.start_word, r.end_word)}
+    want = exact_runs(texts, chaining.MIN_WORDS + chaining.RUN_WINDOW - 1)
+    missed = want - found
+    # The first and last five words of a run may lie outside every picked run of 45.
+    assert len(want) > 400 and len(missed) <= 0.02 * len(want)
+    assert not [d for d, _ in found if d in (0, 1, 2, 7, 8, 9, 14, 15, 16, 23)]
+
+
+def test_frequent_seeds_are_salted(spark, monkeypatch):
+    """Groups of a frequent passage's holders have owners of their own, which meet the least one: all but one document are found."""
+    monkeypatch.setattr(chaining, "HEAVY", 2)
+    shared = prose(60)
+    texts = [f"{prose(8)} {shared} {prose(8)}" for _ in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = repeated_passages(keyed(docs)).collect()
+    assert {r.doc_id for r in rows} == set(range(1, 90)) and all(r.src_doc_id < r.doc_id for r in rows)
+    assert len({r.src_doc_id for r in rows}) > 4
+    cut = {r.doc_id: r.text for r in cut_passages(docs).collect()}
+    assert cut[0] == texts[0] and not any(shared in cut[i] for i in range(1, 90))
+
+
+def test_repeated_rows_are_one_document(spark):
+    """Four hundred copies of two rows, and rows without doc_id; a passage inside one document alone is none."""
+    shared = prose(70)
+    one, two, inner = f"{shared} {prose(20)}", f"{prose(20)} {shared}", prose(60)
+    rows = [(1, one)] * 400 + [(2, two)] * 400 + [(None, shared), (3, f"{inner} {prose(5)} {inner}"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = collections.Counter((r.doc_id, r.src_doc_id, r.start_word, r.end_word) for r in repeated_passages(keyed(docs)).collect())
+    assert got == {(1, None, 0, 70): 1, (2, None, 20, 90): 1}
+
+
+def test_picked_runs():
+    """Any six neighbouring open runs have one that is picked, by content alone."""
+    words = rng.integers(0, 1 << 32, 200, dtype=np.uint32)
+    starts = np.array([*range(20), *range(40, 120), 150])
+    hashes, at = chaining.picked_runs(words, starts, 45, 6)
+    assert {150} <= set(at) and all(set(range(i, i + 6)) & set(at) for i in [*range(15), *range(40, 115)]) and len(at) < 50
+    moved = np.concatenate([words[:3], words])
+    assert set(chaining.picked_runs(moved, starts[20:100] + 3, 45, 6)[0]) == set(hashes[(at >= 40) & (at < 120)])
+
+
 def test_open_runs():
     words = np.arange(100, dtype="<u4")
     assert list(open_starts(44, np.array([], int), 45)) == [] and list(open_starts(46, np.array([], int), 45)) == [0, 1]

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .blocks import batch_of
-from .common import free, read, save, stored, tidy
+from .common import discard, forget_shuffles, free, read, save, save_in_small_batches, stored, tidy
 from .shared import Levels, with_levels
 
 K, WINDOW, MIN_WORDS, IDENTITY = 4, 4, 45, 0.8
@@ -127,9 +127,9 @@ def picked_runs(words: np.ndarray, starts: np.ndarray, size: int, window: int) -
     return hashes[at], starts[at]
 
 
-def salts(key: int, levels: np.ndarray) -> np.ndarray:
+def salts(key: int, levels: np.ndarray, heavy_from: int) -> np.ndarray:
     """The group of a document among those that hold seeds of these levels; -1 for seeds with one group."""
-    heavy = np.maximum(levels.astype(np.int64) - HEAVY, 0)
+    heavy = np.maximum(levels.astype(np.int64) - heavy_from, 0)
     return np.where(heavy > 0, np.int64(key & 0x7FFFFFFF) & ((np.int64(1) << heavy) - 1), -1)
 
 
@@ -139,6 +139,8 @@ FOUND = "key long, doc_id long, seeds array<long>, at array<int>, salt array<int
 def shared_seeds(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
     """docs (text, key, doc_id) -> FOUND, of documents with two shared seeds at least: hashes of seeds and picked runs, 2 * word index (+ 1 for a run), group (-1: one), words (16-bit hashes)."""
 
+    heavy = HEAVY
+
     def use(texts: pa.Array, others: pa.Table, look: Levels) -> pa.Table:
         keys = others.column("key").to_numpy()
         rows: list[tuple] = []
@@ -168,7 +170,7 @@ def shared_seeds(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
                     others.column("doc_id")[int(start + i)].as_py(),
                     np.concatenate([some, runs]).view(np.int64),
                     np.concatenate([2 * some_at, 2 * starts + 1]).astype(np.int32),
-                    np.concatenate([salts(key, some_level), salts(key, run_level)]).astype(np.int32),
+                    np.concatenate([salts(key, some_level, heavy), salts(key, run_level, heavy)]).astype(np.int32),
                     (words >> 16).astype("<u2").tobytes(),
                 ))
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
@@ -392,6 +394,7 @@ def promising(pairs: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """docs (key, doc_id, text) -> SPANS: each passage of a document that an earlier document has too."""
     found = save(shared_seeds(stored(docs).select("text", "key", "doc_id"), min_words), "seeds")
+    forget_shuffles(docs.sparkSession)
     pairs = matched(found).groupBy("key", "src").agg(F.sort_array(F.collect_set("hit")).alias("hits"))
     at, src_at = (lambda h: F.shiftright(h, 32)), (lambda h: F.shiftright(h.bitwiseAND(F.lit(0xFFFFFFFF)), 1))
     size = lambda h: F.when(h.bitwiseAND(F.lit(1)) == 1, min_words).otherwise(K)
@@ -421,7 +424,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
                     out.append((key.as_py(), doc_id.as_py(), x0 + a0, x1 + a0, src.as_py(), y0 + b0, y1 + b0, same))
             yield batch_of(SPANS, out)
 
-    return pairs.mapInArrow(tidy(run), SPANS)
+    # A row holds two stretches of words, up to whole texts.
+    spans = save_in_small_batches(pairs.mapInArrow(tidy(run), SPANS), "spans")
+    discard(found)
+    return spans
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -36,6 +37,26 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save_in_small_batches(df: DataFrame, label: str, rows: int = 256) -> DataFrame:
+    """save() of a table that Python makes from few but long rows: batches of at most so many rows and 8 MB go to the workers."""
+    conf = df.sparkSession.conf
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+    before = {k: conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            conf.set(k, v)
+        return save(df, label)
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries now: its cleaner waits for the driver's garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that save() has written and nothing reads any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import discard, free, read, save, small, stored, tidy
+from .common import discard, forget_shuffles, free, read, save, small, stored, tidy
 from .components import components
 from .shared import Levels, empty, with_levels
 
@@ -196,6 +196,7 @@ def labelled(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     base = stored(docs.select("doc_id", "text"))
     base = base.select(F.col("text").cast("string").alias("text"), row_key(base).alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
     prints = save(fingerprints(base, k, num, den), "prints")
+    forget_shuffles(docs.sparkSession)
     live = prints.filter("prefix is not null")
     owner = live.groupBy("node").agg(F.min(F.struct("doc_id", "n", "cent", "prefix", "items")).alias("s")).select("node", "s.n", "s.cent", "s.prefix", "s.items")
     band = F.floor(F.log("n") / math.log(den / num)) if num < den else F.col("n")
