@@ -1,7 +1,8 @@
 """The training corpus from documents, in five stages: (spark, docs, sf_dir) -> DataFrame, each written and read again.
 
-All stages but the last return the columns of documents. Empty documents give an empty corpus; rows with a
-null doc_id pass the filters that cannot judge them; repeated rows are duplicates and one stays.
+All stages but the last return the columns of documents. Empty documents give an empty corpus. Rows are judged by what
+they hold, not by their doc_id: rows that share one, or have none, are documents of their own unless their texts are equal
+or near; repeated rows are duplicates and one stays.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veinstone.llm.chaining import cut_passages
-from veinstone.llm.common import read, save
+from veinstone.llm.common import read, release, save
 from veinstone.llm.jaccard_join import keep_one
 from veinstone.llm.kneser_ney import filter_quality
 from veinstone.llm.mixing import mixed
@@ -52,4 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = save(stage(spark, docs, sf_dir), name)
+        release()
     return docs
