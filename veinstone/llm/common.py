@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -52,9 +53,14 @@ def save_in_small_batches(df: DataFrame, label: str, rows: int = 256) -> DataFra
 
 
 def forget_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished queries now: its cleaner waits for the driver's garbage collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished queries now: its cleaner waits for the driver's garbage collection.
+
+    The second round finds what the first one has let go of.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def discard(df: DataFrame) -> None:
