@@ -61,8 +61,14 @@ def _pack(batches: list[pa.RecordBatch], fold: int) -> pa.RecordBatch:
     return batch_of(BLOCKS, [(name, fold, len(sizes), len(raw), texts, squeeze(sizes), others)])
 
 
-def packed(docs: DataFrame, size: int, fold: str | None = None) -> DataFrame:
-    """docs (text first; null is empty) -> BLOCKS. fold: a column of 0 and 1 that is the same in all rows of a block."""
+Batches = Iterator[pa.RecordBatch]
+
+
+def packed(docs: DataFrame, size: int, fold: str | None = None, then: tuple[Callable[[Batches], Batches], str] | None = None) -> DataFrame:
+    """docs (text first; null is empty) -> BLOCKS. fold: a column of 0 and 1 that is the same in all rows of a block.
+
+    then: what the same workers make of the blocks, and its schema.
+    """
     place = docs.columns.index(fold) if fold else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +92,9 @@ def packed(docs: DataFrame, size: int, fold: str | None = None) -> DataFrame:
             if rest:
                 yield _pack(rest, f)
 
-    return docs.mapInArrow(tidy(run), BLOCKS)
+    if then is None:
+        return docs.mapInArrow(tidy(run), BLOCKS)
+    return docs.mapInArrow(tidy(lambda batches: then[0](run(batches))), then[1])
 
 
 def unpacked(row: dict) -> tuple[pa.Array, pa.Table]:

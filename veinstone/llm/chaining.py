@@ -133,11 +133,22 @@ def salts(key: int, levels: np.ndarray, heavy_from: int) -> np.ndarray:
     return np.where(heavy > 0, np.int64(key & 0x7FFFFFFF) & ((np.int64(1) << heavy) - 1), -1)
 
 
-FOUND = "key long, doc_id long, seeds array<long>, at array<int>, salt array<int>, words binary"
+FOUND = "key long, doc_id long, seeds array<long>, at array<int>, salt array<int>, more array<array<int>>, words binary"
+
+
+def first_places(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list | None]:
+    """(positions of each hash's first place, each one's further places or None); the second is None if no hash repeats."""
+    found, first = np.unique(hashes, return_index=True)
+    if len(found) == len(hashes):
+        return np.arange(len(hashes)), None
+    order = np.lexsort((at, hashes))
+    begin = np.searchsorted(hashes[order], found)
+    end = np.append(begin[1:], len(order))
+    return order[begin], [at[order[a + 1 : b]].astype(np.int32) if b - a > 1 else None for a, b in zip(begin, end, strict=True)]
 
 
 def shared_seeds(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
-    """docs (text, key, doc_id) -> FOUND, of documents with two shared seeds at least: hashes of seeds and picked runs, 2 * word index (+ 1 for a run), group (-1: one), words (16-bit hashes)."""
+    """docs (text, key, doc_id) -> FOUND, of documents with two shared seeds at least: distinct hashes of seeds and picked runs, 2 * word index (+ 1 for a run) of their first places, group (-1: one), further places, words (16-bit hashes)."""
 
     heavy = HEAVY
 
@@ -165,16 +176,20 @@ def shared_seeds(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
                 # A run is no more frequent than the first seed that is sure to lie inside it.
                 inside = np.minimum(np.searchsorted(some_at, starts + WINDOW - 1), len(some_at) - 1)
                 run_level = np.where(some_at[inside] <= starts + size - K, some_level[inside], 0) if len(starts) else some_level[:0]
+                every, places = np.concatenate([some, runs]), np.concatenate([2 * some_at, 2 * starts + 1])
+                salt = np.concatenate([salts(key, some_level, heavy), salts(key, run_level, heavy)])
+                first, more = first_places(every, places)
                 rows.append((
                     key,
                     others.column("doc_id")[int(start + i)].as_py(),
-                    np.concatenate([some, runs]).view(np.int64),
-                    np.concatenate([2 * some_at, 2 * starts + 1]).astype(np.int32),
-                    np.concatenate([salts(key, some_level, heavy), salts(key, run_level, heavy)]).astype(np.int32),
+                    every[first].view(np.int64),
+                    places[first].astype(np.int32),
+                    salt[first].astype(np.int32),
+                    more,
                     (words >> 16).astype("<u2").tobytes(),
                 ))
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
-        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "doc_id", "seeds", "at", "salt", "words"])
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.binary())
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "doc_id", "seeds", "at", "salt", "more", "words"])
 
     return with_levels(docs, _distinct_seeds, use, FOUND)
 
@@ -319,6 +334,8 @@ def passages(hits: np.ndarray, a: np.ndarray, b: np.ndarray, min_words: int = MI
     """
     runs = segments(hits)
     out = []
+    # Of a passage around a single run at least so many words within AROUND of it are equal: its extensions never fall by more than DROP.
+    least = (2 * min_words - 2 * DROP) // 3
     held = np.zeros(len(a), bool)
 
     def take(a0: int, a1: int, b0: int, b1: int, equal: int) -> bool:
@@ -332,6 +349,11 @@ def passages(hits: np.ndarray, a: np.ndarray, b: np.ndarray, min_words: int = MI
     for chain in chains(runs):
         if held[runs[chain[0], 0] : runs[chain[-1], 1]].all():
             continue
+        if len(chain) == 1:
+            x, x1, y, _ = runs[chain[0]].tolist()
+            back, ahead = min(x, y, AROUND), x1 + AROUND
+            if np.count_nonzero(a[x - back : ahead][: len(b) - y + back] == b[y - back : y + ahead - x][: len(a) - x + back]) < least:
+                continue
         own, between, lost = _inner(runs, chain, a, b)
         todo = [(0, len(chain))]
         while todo:
@@ -357,18 +379,20 @@ SPANS = "key long, doc_id long, start_word int, end_word int, src_doc_id long, s
 
 def matched(found: DataFrame) -> DataFrame:
     """FOUND -> key, src, hit (word index << 32 | owner's word index << 1 | a whole run) for each hash that an earlier document has too."""
-    posts = found.select("key", "doc_id", F.explode(F.arrays_zip("seeds", "at", "salt")).alias("s"))
+    more = F.coalesce("more", F.array_repeat(F.lit(None).cast("array<int>"), F.size("seeds")))
+    posts = found.select("key", "doc_id", F.explode(F.arrays_zip("seeds", "at", "salt", more.alias("more"))).alias("s"))
     group = F.when(F.col("s.salt") >= 0, F.xxhash64("s.seeds", "s.salt")).otherwise(F.col("s.seeds"))
-    posts = posts.select(group.alias("g"), "doc_id", "key", F.col("s.at").alias("at"), F.when(F.col("s.salt") >= 0, F.col("s.seeds")).alias("seed"))
+    posts = posts.select(group.alias("g"), "doc_id", "key", F.col("s.at").alias("at"), F.col("s.more").alias("more"), F.when(F.col("s.salt") >= 0, F.col("s.seeds")).alias("seed"))
     first = F.first(F.struct("key", "at"))
-    hit = F.shiftleft(F.shiftright("at", 1).cast("long"), 32).bitwiseOR(F.col("own.at").cast("long"))
+    hit = lambda at: F.shiftleft(F.shiftright(at, 1).cast("long"), 32).bitwiseOR(F.col("own.at").cast("long"))
+    hits = F.when(F.col("more").isNull(), F.array(hit(F.col("at")))).otherwise(F.transform(F.concat(F.array("at"), "more"), hit))
 
     def with_owners(rows: DataFrame, by: str) -> DataFrame:
-        window = Window.partitionBy(by).orderBy("doc_id", "key", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return rows.withColumn("own", first.over(window)).filter("key <> own.key").select("key", F.col("own.key").alias("src"), hit.alias("hit"))
+        window = Window.partitionBy(by).orderBy("doc_id", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumn("own", first.over(window)).filter("key <> own.key").select("key", F.col("own.key").alias("src"), F.explode(hits).alias("hit"))
 
     # The least holders of a salted seed's groups: one row a group.
-    heads = posts.filter("seed is not null").groupBy("g", "seed").agg(F.min(F.struct("doc_id", "key", "at")).alias("h")).select("seed", "h.*")
+    heads = posts.filter("seed is not null").groupBy("g", "seed").agg(F.min(F.struct("doc_id", "key", "at", "more")).alias("h")).select("seed", "h.*")
     return with_owners(posts.drop("seed"), "g").union(with_owners(heads, "seed"))
 
 

@@ -48,7 +48,7 @@ LEAST = 0.05
 #: Stands before each text; no code point.
 PAD = 0x110000
 #: Bytes of text in a block, and handled at once; distinct n-grams that a counting mapper holds.
-BLOCK, CHUNK, HOLD = 16 << 20, 1 << 20, 1 << 20
+BLOCK, CHUNK, HOLD = 12 << 20, 1 << 20, 1 << 19
 #: Lower and upper quantiles of trusted documents' deviations; trusted documents a language needs for its own; see above.
 LOW, HIGH, MIN_TRUSTED, LONG = 0.001, 0.999, 50, 4000
 
@@ -272,8 +272,8 @@ def _block_grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, l
 ASKED = "fold int, level int, part int, block long, size int, grams binary, counts binary"
 
 
-def requests(blocks: DataFrame, parts: int, order: int) -> DataFrame:
-    """BLOCKS -> ASKED (counts null): each block's distinct n-grams by level and shard; the fold is the model's."""
+def requests(parts: int, order: int):
+    """BLOCKS -> ASKED (counts null), batch by batch: each block's distinct n-grams by level and shard; the fold is the model's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,7 +284,7 @@ def requests(blocks: DataFrame, parts: int, order: int) -> DataFrame:
                     rows += [(1 - r["fold"], level, p, r["block"], len(at), squeeze(grams[:, at]), None) for p, at in by_part(grams, n_parts(parts, level, order))]
                 yield batch_of(ASKED, rows)
 
-    return blocks.mapInArrow(tidy(run), ASKED)
+    return run
 
 
 ANSWERS = "block long, level int, part int, size int, share binary, weight binary"
@@ -320,7 +320,7 @@ SCORED = "key long, doc_id string, lang string, n_symbols long, nll double"
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (text, fold, key, doc_id as string, lang) -> SCORED: nll is the mean negative log-probability, null without text."""
-    blocks, parts, order = packed(docs, BLOCK, "fold"), model.parts, model.order
+    parts, order = model.parts, model.order
 
     def use(block: dict, told: list[dict]) -> pa.Table:
         texts, others = unpacked(block)
@@ -348,8 +348,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         mean = pa.array(np.divide(nll, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
         return pa.table([others.column("key"), others.column("doc_id"), others.column("lang"), pa.array(n), mean], columns(SCORED))
 
-    told = answers(requests(blocks, parts, order), model)
-    return meet(blocks, told, use, SCORED).withColumn("doc_id", F.col("doc_id").cast("long"))
+    told = answers(packed(docs, BLOCK, "fold", (requests(parts, order), ASKED)), model)
+    return meet(packed(docs, BLOCK, "fold"), told, use, SCORED).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def row_key(docs: DataFrame):

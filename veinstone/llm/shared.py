@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import batch_of, meet, packed, squeeze, unpacked, unsqueeze
-from .common import tidy
 
-#: Bytes of text in a block; bits beyond the logarithm of the text's bytes.
-BLOCK, SPARE = 8 << 20, 8
+#: Bytes of text in a block at least, and for each hash (about); bits beyond the logarithm of the text's bytes.
+BLOCK, PER_HASH, SPARE = 8 << 20, 6, 8
+#: Hashes that a shard holds at once; shards at most (beyond it shards grow); hashes that a block sends to a shard, on average.
+SHARD, MOST_SHARDS, SENT = 1 << 19, 1 << 18, 64
 
 Hashes = Callable[[pa.Array], Iterator[np.ndarray]]
 
@@ -51,12 +52,13 @@ ANSWERS = "block long, part int, size int, levels binary"
 def with_levels(docs: DataFrame, hashes_of: Hashes, use: Callable[[pa.Array, pa.Table, Levels], pa.Table], schema: str) -> DataFrame:
     """use(texts, other columns, levels) -> rows of schema, for every block of docs (text first; a plain scan).
 
-    hashes_of: arrays of 64-bit hashes, each text's own ones distinct.
+    hashes_of: arrays of 64-bit hashes, each text's own ones distinct. The number of shards follows the text, so a shard's
+    memory does not; blocks grow with it where a block would else send a shard next to nothing.
     """
     n_bytes = docs.agg(F.sum(F.octet_length(docs.columns[0]))).first()[0] or 0
     bits = min(64, max(24, int(n_bytes).bit_length() + SPARE))
-    parts = 1 << max(0, min(bits - 8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() - 1))
-    blocks = packed(docs, BLOCK)
+    parts = min(MOST_SHARDS, 1 << (int(n_bytes) // (PER_HASH * SHARD)).bit_length())
+    size = max(BLOCK, parts * SENT * PER_HASH)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,8 +94,8 @@ def with_levels(docs: DataFrame, hashes_of: Hashes, use: Callable[[pa.Array, pa.
             levels[cuts[p] : cuts[p + 1]] = unsqueeze(a["levels"], a["size"], np.uint8)
         return use(texts, others, Levels(values, levels, bits))
 
-    asked = blocks.mapInArrow(tidy(ask), ASKED)
-    return meet(blocks, asked.groupBy("part").applyInArrow(answer, ANSWERS), finish, schema)
+    asked = packed(docs, size, then=(ask, ASKED))
+    return meet(packed(docs, size), asked.groupBy("part").applyInArrow(answer, ANSWERS), finish, schema)
 
 
 def empty(df: DataFrame) -> bool:
