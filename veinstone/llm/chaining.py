@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .blocks import batch_of
-from .common import discard, forget_shuffles, free, read, save, save_in_small_batches, stored, tidy
+from .common import discard, forget_shuffles, free, read, save, stored, tidy
 from .shared import Levels, with_levels
 
 K, WINDOW, MIN_WORDS, IDENTITY = 4, 4, 45, 0.8
@@ -449,7 +449,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
             yield batch_of(SPANS, out)
 
     # A row holds two stretches of words, up to whole texts.
-    spans = save_in_small_batches(pairs.mapInArrow(tidy(run), SPANS), "spans")
+    spans = save(pairs.mapInArrow(tidy(run), SPANS), "spans", 256)
     discard(found)
     return spans
 

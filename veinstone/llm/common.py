@@ -30,26 +30,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()).rstrip("/")
 
 
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and any executor may be lost."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/veinstone/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+def save(df: DataFrame, label: str, rows: int = 1000) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there and any executor may be lost.
 
-def save_in_small_batches(df: DataFrame, label: str, rows: int = 256) -> DataFrame:
-    """save() of a table that Python makes from few but long rows: batches of at most so many rows and 8 MB go to the workers."""
-    conf = df.sparkSession.conf
+    While it is written, Python workers get batches of at most rows rows and 8 MB: rows may hold whole texts, and the
+    executors' buffers outside the heap are as large as their largest batch.
+    """
+    spark, conf = df.sparkSession, df.sparkSession.conf
+    path = f"{scratch_dir(spark)}/veinstone/{label}-{uuid.uuid4().hex}"
     limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
     before = {k: conf.get(k, None) for k in limits}
     try:
         for k, v in limits.items():
             conf.set(k, v)
-        return save(df, label)
+        df.write.parquet(path)
     finally:
         for k, v in before.items():
             conf.unset(k) if v is None else conf.set(k, v)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget_shuffles(spark: SparkSession) -> None:
