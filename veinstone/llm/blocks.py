@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import words as W
-from .common import tidy, trim
+from .common import lean, tidy, trim
 
 BLOCKS = "block long, fold int, n int, n_bytes long, texts binary, sizes binary, others binary"
 
@@ -109,6 +109,7 @@ def meet(blocks: DataFrame, answers: DataFrame, use: Callable[[dict, list[dict]]
     """use(block, its answers) -> rows of schema, for every block. Equal blocks share their answers."""
 
     def run(mine: pa.Table, got: pa.Table) -> pa.Table:
+        lean()
         told = got.to_pylist()
         out = [use(r, told) for r in mine.to_pylist()]
         trim()

@@ -104,6 +104,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run for mapInArrow or mapInPandas, after which an idle worker holds no freed memory."""
 
     def out(batches: Iterator) -> Iterator:
+        lean()
         try:
             yield from run(batches)
         finally:
@@ -112,6 +113,20 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return out
 
 
+_LEAN: list[bool] = []
+
+
+def lean() -> None:
+    """From now on this worker's arrays of 1 MB or more are returned to the system as soon as they are freed."""
+    if not _LEAN:
+        _LEAN.append(True)
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def trim() -> None:
     """Give freed memory back to the system."""
     pa.default_memory_pool().release_unused()

@@ -41,14 +41,14 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .blocks import batch_of, columns, meet, packed, squeeze, unpacked, unsqueeze
-from .common import clean, free, read, save, small, stored, tidy
+from .common import clean, free, lean, read, save, small, stored, tidy
 
 ORDER = 5
 LEAST = 0.05
 #: Stands before each text; no code point.
 PAD = 0x110000
 #: Bytes of text in a block, and handled at once; distinct n-grams that a counting mapper holds.
-BLOCK, CHUNK, HOLD = 12 << 20, 1 << 20, 1 << 19
+BLOCK, CHUNK, HOLD = 12 << 20, 1 << 19, 1 << 19
 #: Lower and upper quantiles of trusted documents' deviations; trusted documents a language needs for its own; see above.
 LOW, HIGH, MIN_TRUSTED, LONG = 0.001, 0.999, 50, 4000
 
@@ -173,6 +173,7 @@ def shards(counts: DataFrame, level: int) -> DataFrame:
     """COUNTS -> LEVEL: a row for each fold and shard, with how many n-grams have counts 1 to 4."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        lean()
         grams = np.concatenate([unsqueeze(g, n * level, np.uint32).reshape(level, n) for g, n in zip(rows["grams"], rows["size"], strict=True)], axis=1)
         grams, counts = summed(grams, np.concatenate([unsqueeze(c, n, np.int64) for c, n in zip(rows["counts"], rows["size"], strict=True)]))
         few = [int((counts == i).sum()) for i in (1, 2, 3, 4)]
@@ -298,6 +299,7 @@ def answers(asked: DataFrame, model: Model) -> DataFrame:
         known = rows if known is None else known.union(rows)
 
     def run(rows: pa.Table) -> pa.Table:
+        lean()
         out, shard = [], None
         rows = rows.to_pylist()
         fold, level, part = (rows[0][c] for c in ("fold", "level", "part"))

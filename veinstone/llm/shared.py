@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import batch_of, meet, packed, squeeze, unpacked, unsqueeze
+from .common import lean
 
 #: Bytes of text in a block at least, and for each hash (about); bits beyond the logarithm of the text's bytes.
 BLOCK, PER_HASH, SPARE = 8 << 20, 6, 8
@@ -72,6 +73,7 @@ def with_levels(docs: DataFrame, hashes_of: Hashes, use: Callable[[pa.Array, pa.
                 ])
 
     def answer(rows: pa.Table) -> pa.Table:
+        lean()
         rows = rows.to_pylist()
         low = np.uint64(rows[0]["part"]) << np.uint64(bits - parts.bit_length() + 1)
         values = np.concatenate([low + np.cumsum(unsqueeze(r["steps"], r["size"], np.uint64), dtype=np.uint64) for r in rows])
