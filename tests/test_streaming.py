@@ -10,4 +10,4 @@ def test_every_query_of_a_batch_is_answered(spark, tmp_path):
     queries = spark.readStream.schema("query_id long, text string").parquet(str(tmp_path / "in"))
     answer_stream(engine, queries, str(tmp_path / "out"), str(tmp_path / "at"), most=3).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert sorted((r.query_id, r.expert_id, r.epoch) for r in rows) == [(i, f"text {i}", 0) for i in range(7)]
+    assert sorted((int(r.query_id), r.expert_id, r.epoch) for r in rows) == [(i, f"text {i}", 0) for i in range(7)]

@@ -35,6 +35,19 @@ def tokens(c: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(_col(c), F.lit(TOKEN), 0), F.lower)
 
 
+def term_counts(a: Column | str) -> Column:
+    """a token array as an array of (term, tf), by sorting it and measuring runs; nothing leaves the row."""
+
+    def runs(s: Column) -> Column:
+        # s is bound to the sorted array: an expression in a lambda would be computed for every element.
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.get(F.transform(F.array(starts), lambda b: F.zip_with(b, F.concat(F.slice(b, 2, F.size(b)), F.array(F.size(s))), lambda x, y: F.struct(F.get(s, x).alias("term"), (y - x).cast("long").alias("tf")))), 0)
+
+    a = _col(a)
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.when(F.size(a) > 0, F.get(F.transform(F.array(F.array_sort(a)), runs), 0)).otherwise(none)
+
+
 def collapse(c: Column | str) -> Column:
     """runs of white space (Unicode) become one space; trimmed."""
     return F.trim(F.regexp_replace(_col(c), r"(?U)\s+", " "))

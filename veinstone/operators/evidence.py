@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import compact, date_key, fold, year
+from ..functions.text import compact, date_key, fold, snippet, year
 
 CAP, PER_ASPECT, WINDOW_YEARS = 4, 2, 19
 
@@ -81,8 +81,9 @@ def score_items(items: DataFrame, aspects: list[str], generic: list[str], refere
     items = items.withColumns({"__title": fold("title"), "__body": fold("body")})
     items = items.withColumns({f"__{c}_compact": F.replace(f"__{c}", F.lit(" "), F.lit("")) for c in ("title", "body")})
     out = items.withColumns({"base": base, "aspects": matched, "generic": loose, "year": year("date"), "points": points})
+    more_columns = [c for c in ("detail", "main", "secondary", "metadata") if c in items.columns]
     return out.select(
-        "expert_id", "type", "item_id", "title", "body", "date", "year", "aspects", "generic", (F.size("aspects") > 0).alias("direct"), F.round(F.col("base") + F.col("points") + more + recent, 6).alias("score"),
+        "expert_id", "type", "item_id", "title", "body", "date", *more_columns, "year", "aspects", "generic", (F.size("aspects") > 0).alias("direct"), F.round(F.col("base") + F.col("points") + more + recent, 6).alias("score"),
         ((F.col("type") == "project") & F.coalesce(F.col("year") > reference_year, F.lit(False))).alias("is_future"),
     )
 
@@ -115,9 +116,17 @@ def select_quota(items: DataFrame, aspects: list[str], cap: int = CAP, per_aspec
 
     First every aspect not yet covered takes the best item that holds it; then the order fills up, leaving
     out items with an aspect that has per_aspect already; cap in all. A first-pass item covers all its aspects.
+
+    Of items with the same set of aspects only the first cap can be chosen: if one of them is left out, all
+    later ones are. So a row holds at most cap items for each set, however many an expert has; texts are cut to
+    snippets there and bodies never collected.
     """
-    row = F.struct("item_rank", "item_id", "type", "title", "body", "date", "aspects", "generic", "score", "is_future")
-    direct = ranked(items).groupBy("expert_id").agg(F.array_sort(F.collect_list(F.when(F.col("direct"), row))).alias("items"))
+    kept = ranked(items)
+    same = F.row_number().over(Window.partitionBy("expert_id", "direct", F.array_join("aspects", "\x1f")).orderBy("item_rank"))
+    kept = kept.withColumn("__same", same).where(F.when(F.col("direct"), F.col("__same") <= cap).otherwise(F.col("__same") == 1)).drop("__same")
+    extra = [F.col("detail") if "detail" in items.columns else F.col("body").alias("detail"), rich_snippet(items).alias("snippet")]
+    row = F.struct("item_rank", "item_id", "type", "title", "date", "aspects", "generic", "score", "is_future", *extra)
+    direct = kept.groupBy("expert_id").agg(F.array_sort(F.collect_list(F.when(F.col("direct"), row))).alias("items"))
     chosen = F.filter("items", lambda x: F.lit(False))
     have = lambda a: F.flatten(F.transform(a, lambda x: x["aspects"]))
     out = direct.withColumn("chosen", chosen)
@@ -134,10 +143,46 @@ def select_quota(items: DataFrame, aspects: list[str], cap: int = CAP, per_aspec
     return out.select("expert_id", F.array_sort(F.aggregate("items", F.col("chosen"), fill)).alias("selected"))
 
 
+def rich_snippet(items: DataFrame) -> Column:
+    """F21 for an evidence item: its metadata line and the text around what matched."""
+    matched = F.array_distinct(F.concat("aspects", F.when(F.size("aspects") == 0, F.col("generic")).otherwise(F.array().cast("array<string>"))))
+    if "main" not in items.columns:
+        return snippet("body", matched)
+    text = F.concat_ws(" ", F.nullif("main", F.lit("")), F.nullif("secondary", F.lit("")))
+    return F.nullif(F.concat_ws("\n", "metadata", snippet(text, matched)), F.lit(""))
+
+
+def matched_keywords(item: Column) -> Column:
+    """Aspects and generic terms of an item, each once."""
+    return F.array_distinct(F.concat(item["aspects"], item["generic"]))
+
+
+def selection_trace(bundle: DataFrame, dropped: DataFrame) -> DataFrame:
+    """A row of diagnostics for each candidate. dropped: expert_id, dedup_dropped_count."""
+    of = lambda t: F.size(F.filter("selected", _typed(t)))
+    ids = F.coalesce(F.transform("selected", lambda x: x["item_id"]), F.array().cast("array<string>"))
+    return bundle.join(dropped, "expert_id", "left").select(
+        "expert_id", ids.alias("selected_evidence_ids"), "direct_match_count", "aspect_coverage", "generic_only", "matched_aspects", F.col("generic_terms").alias("matched_generic_terms"),
+        F.coalesce("dedup_dropped_count", F.lit(0)).alias("dedup_dropped_count"), F.col("future_ids").alias("future_selected_evidence_ids"), of("paper").alias("papers"), of("project").alias("projects"), of("patent").alias("patents"),
+        F.size(ids).alias("total"),
+    )
+
+
+def dedup_dropped(scored: DataFrame, kept: DataFrame) -> DataFrame:
+    """How many items of an expert dedup has left out."""
+    n = lambda f, c: f.groupBy("expert_id").agg(F.count(F.lit(1)).alias(c))
+    return n(scored, "__all").join(n(kept, "__kept"), "expert_id").select("expert_id", (F.col("__all") - F.col("__kept")).alias("dedup_dropped_count"))
+
+
+def prefix(cards: DataFrame, limit: int, *order: str) -> DataFrame:
+    """E5: the first cards."""
+    return cards.orderBy(*order).limit(limit)
+
+
 def bundles(items: DataFrame, selected: DataFrame) -> DataFrame:
     """Aspects of what was selected; generic terms, direct matches and futures of all deduplicated items."""
     stats = items.groupBy("expert_id").agg(
-        F.count_if("direct").alias("direct_match_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("generic")))).alias("generic_terms"),
+        F.count_if("direct").alias("direct_match_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("generic")))).alias("generic_terms"),
     )
     chosen = selected.select("expert_id", "selected", F.array_sort(F.array_distinct(F.flatten(F.transform("selected", lambda x: x["aspects"])))).alias("matched_aspects"))
     out = stats.join(chosen, "expert_id", "left")

@@ -65,8 +65,16 @@ def compile_filters(filters: dict[str, Any], include: list[str] | None = None, e
     return reduce(lambda a, b: a & b, must) if must else None
 
 
-def apply_filters(people: DataFrame, *args: Any, **kwargs: Any) -> DataFrame:
-    condition = compile_filters(*args, **kwargs)
+#: The columns of people that a filter reads.
+COLUMNS = {"degree_slct_nm": "degree", "art_sci_slct_nm": "publications", "art_recent_years": "publications", "pat_reg_slct_nm": "patents", "pat_recent_years": "patents", "pjt_recent_years": "projects", "major": "major", **COUNTS}
+
+
+def apply_filters(people: DataFrame, filters: dict[str, Any], include: list[str] | None = None, exclude: list[str] | None = None, **kwargs: Any) -> DataFrame:
+    """people that pass; an error names what people would need to be filtered so."""
+    condition = compile_filters(filters, include, exclude, **kwargs)
+    need = {COLUMNS[k] for k, v in filters.items() if v is not None} | ({"org"} if include or exclude else set())
+    if gone := sorted(need - set(people.columns)):
+        raise ValueError(f"people have no columns {gone}, which the filters need")
     return people if condition is None else people.where(condition)
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, truncate
+from ..functions.text import fold
 from ..plans.lexicon import STRONG_MARKERS
 
 # Texts of reasons.
 NO_EVIDENCE = "직접적인 질의 일치 근거를 확인하지 못했습니다."
 PROFILE_ONLY = "직접적인 질의 일치 근거는 제한적이지만 프로필 기반 후보로 검토되었습니다."
 LABELS = {"project": "과제", "paper": "논문", "patent": "특허", "profile": "프로필"}
-FITS = ("높음", "보통", "낮음")
+FITS = ("높음", "중간", "보통")
 NO_MATCH = "No matching candidates were found."
 GATED_EMPTY = "No candidates satisfied deterministic evidence gates."
 SKIPPED = "Retrieval skipped because planner core_keywords were empty after retry."
@@ -37,23 +37,44 @@ def shortlist(gated: DataFrame, top_k: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.orderBy("bucket", "retrieval_rank")))
 
 
+def shortlist_by(gated: DataFrame, top_k: int, order: list[Column]) -> DataFrame:
+    """G3, G4 where retrieval order is a sort key of the rows: no rank over all of them is needed."""
+    first = gated.where("status <> 'drop'").orderBy("bucket", *order).limit(top_k)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy("bucket", *order)))
+
+
 def gate_trace(gated: DataFrame) -> DataFrame:
-    """G5."""
-    return gated.groupBy("status").agg(F.array_sort(F.collect_list("expert_id")).alias("ids"), F.count(F.lit(1)).alias("n"))
+    """G5 as rows, so that no status holds all its candidates in one: expert_id, status, bucket."""
+    return gated.select("expert_id", "status", "bucket")
+
+
+def gate_counts(gated: DataFrame) -> DataFrame:
+    return gated.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def batch_of(rank: Column | str, size: int = 5) -> Column:
-    """G6."""
-    return F.floor((F.col(rank) if isinstance(rank, str) else rank).cast("long") - 1) / size if size <= 0 else F.floor(((F.col(rank) if isinstance(rank, str) else rank) - 1) / size)
+    """0-based batches of a rank; size of 0 or less gives one batch."""
+    rank = F.col(rank) if isinstance(rank, str) else rank
+    return F.lit(0).cast("long") if size <= 0 else F.floor((rank - 1) / size)
+
 
+EVIDENCE = "array<struct<type:string,title:string,date:string,detail:string,snippet:string>>"
 
-def resolve_evidence(selected: Column | str, org: Column, degree: Column, major: Column) -> Column:
-    """(type, title, detail, snippet) of the selected items, else one profile item if anything is known."""
-    item = lambda t, title, detail, snip: F.struct(t.alias("type"), title.alias("title"), detail.alias("detail"), snip.alias("snippet"))
-    own = F.transform(selected, lambda x: item(x["type"], x["title"], x["body"], x["date"]))
-    text = F.concat_ws(" / ", *(F.nullif(c, F.lit("")) for c in (org, degree, major)))
-    profile = F.when(text != "", F.array(item(F.lit("profile"), text, F.lit(None).cast("string"), F.lit(None).cast("string")))).otherwise(F.filter(own, lambda x: F.lit(False)))
-    return F.when(F.size(own) > 0, own).otherwise(profile)
+
+def resolve_evidence(selected: Column | str, name: Column, org: Column, degree: Column, major: Column) -> Column:
+    """The selected items, else one profile item if organisation, degree or major is known, else nothing."""
+    item = lambda t, title, date, detail, snip: F.struct(t.alias("type"), title.alias("title"), date.alias("date"), detail.alias("detail"), snip.alias("snippet"))
+    none, own = F.lit(None).cast("string"), F.transform(selected, lambda x: item(x["type"], x["title"], x["date"], x["detail"], x["snippet"]))
+    parts = [(F.nullif(c, F.lit("")), d) for c, d in ((org, "unknown organization"), (degree, "unknown degree"), (major, "unknown major"))]
+    text = F.concat_ws(" / ", *(F.coalesce(c, F.lit(d)) for c, d in parts))
+    profile = F.when(F.coalesce(*(c for c, _ in parts)).isNotNull(), F.array(item(F.lit("profile"), name, none, text, none))).otherwise(F.array().cast(EVIDENCE))
+    return F.when(F.size(selected) > 0, own.cast(EVIDENCE)).otherwise(profile.cast(EVIDENCE))
+
+
+def evidence_source(evidence: Column | str) -> Column:
+    """Where a server-made reason comes from: selected_evidence, profile or empty."""
+    e = F.col(evidence) if isinstance(evidence, str) else evidence
+    return F.when(F.size(e) == 0, "empty").when(F.forall(e, lambda x: x["type"] == "profile"), "profile").otherwise("selected_evidence")
 
 
 def fallback_reason(evidence: Column | str) -> Column:
@@ -91,39 +112,26 @@ def missing_ids(candidates: DataFrame, outputs: DataFrame) -> DataFrame:
     return candidates.select("expert_id").join(outputs, "expert_id", "left_anti")
 
 
-def retry_reason(missing: Column, empty: Column, ratio: Column) -> Column:
-    """N6."""
-    return F.when(missing > 0, "missing_candidates").when(empty > 0, "empty_reasons").when(ratio < 1, "low_ratio")
-
-
 def assemble(short: DataFrame, aspects: list[str], names: DataFrame) -> DataFrame:
-    """Short (expert_id, rank, name, fit, reason, evidence, risks, score) to recommendations; names: one row, the shortlist's names."""
+    """Short (expert_id, rank, name, org, fit, reason, evidence, risks, score) to recommendations; names: one row, the shortlist's names.
+
+    A blank reason and one that breaks a rule are replaced; fallback_source says why (null if the reason stands).
+    """
     rows = short.join(F.broadcast(names)).withColumn("violations", violations("reason", "name", "evidence", "names", aspects))
-    bad = (F.size("violations") > 0) | (F.trim("reason") == "")
+    source = F.when(F.trim("reason") == "", evidence_source("evidence")).when(F.size("violations") > 0, "reason_sync_validator")
+    rows = rows.withColumn("fallback_source", source)
+    bad = F.col("fallback_source").isNotNull()
     return rows.select(
-        "rank", "expert_id", "name", "fit", F.when(bad, fallback_reason("evidence")).otherwise(F.col("reason")).alias("reason"), "evidence", "risks", "score", "violations", bad.alias("fallback"),
-    ).withColumn("reasons", F.when(F.trim("reason") != "", F.array("reason")).otherwise(F.array().cast("array<string>")))
-
-
-def validator_summary(recommendations: DataFrame) -> DataFrame:
-    """G11."""
-    n, bad = F.count(F.lit(1)), F.count_if("fallback")
-    return recommendations.agg(n.alias("checked"), bad.alias("fallback_count"), F.when(n > 0, F.bround(bad / n, 3)).otherwise(0.0).alias("fallback_ratio"))
-
-
-def reason_payload(short: DataFrame, items: int = 4, longest: int = 1000) -> DataFrame:
-    """What a generator is told about each candidate, as JSON, under a budget."""
-    names = F.collect_list("name").over(Window.partitionBy())
-    cut = F.transform(F.slice("evidence", 1, items), lambda x: F.struct(x["type"].alias("type"), truncate(x["title"], longest).alias("title"), truncate(x["snippet"], longest).alias("snippet")))
-    hidden = F.array_sort(F.array_except(names, F.array("name")))
-    return short.select("expert_id", "rank", batch_of("rank").alias("batch_id"), F.to_json(F.struct("expert_id", "name", cut.alias("evidence"), hidden.alias("do_not_mention"))).alias("payload"))
+        "rank", "expert_id", "name", "org", "fit", F.when(bad, fallback_reason("evidence")).otherwise(F.col("reason")).alias("reason"), "evidence", "risks", "score", "violations", "fallback_source", bad.alias("fallback"),
+    ).withColumn("reasons", reasons_alias("reason"))
 
 
-def generate(payloads: DataFrame, client) -> DataFrame:
-    """A pluggable client, text of a batch to text; called in Arrow batches on the executors."""
+def reasons_alias(reason: Column | str) -> Column:
+    """G14."""
+    return F.when(F.trim(reason) != "", F.array(reason)).otherwise(F.array().cast("array<string>"))
 
-    def run(frames):
-        for frame in frames:
-            yield frame[["expert_id"]].assign(raw=[client(p) for p in frame["payload"]])
 
-    return payloads.mapInPandas(run, "expert_id long, raw string")
+def validator_summary(recommendations: DataFrame) -> DataFrame:
+    """Replacements by the validator; blank reasons are no violations."""
+    n, bad = F.count(F.lit(1)), F.count_if(F.size("violations") > 0)
+    return recommendations.agg(n.alias("checked"), bad.alias("fallback_count"), F.when(n > 0, F.bround(bad / n, 3)).otherwise(0.0).alias("fallback_ratio"))

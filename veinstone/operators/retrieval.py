@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import term_counts, tokens
 from ..functions.vectors import cosine
 
 K1, B = 1.2, 0.75
@@ -28,8 +28,63 @@ class Limits:
 
 
 def postings(points: DataFrame) -> DataFrame:
-    """point_id, branch, term, tf."""
-    return points.select("point_id", "branch", F.explode(tokens("content_text")).alias("term")).groupBy("point_id", "branch", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """point_id, branch, term, tf. Terms are counted inside their row, so nothing is shuffled."""
+    own = points.select("point_id", "branch", F.explode(term_counts(tokens("content_text"))).alias("t"))
+    return own.select("point_id", "branch", "t.term", "t.tf")
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings (bucket, term, branch, point_id, expert_id, tf, length) and statistics by branch (branch, n, mean)."""
+
+    postings: DataFrame
+    stats: DataFrame
+    buckets: int
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def build_index(points: DataFrame, path: str, buckets: int = 64) -> Index:
+    """Write postings partitioned by the term's bucket and the statistics; a query then reads its terms' buckets alone."""
+    toks = tokens("content_text")
+    rows = points.select("point_id", "expert_id", "branch", toks.alias("toks")).select("point_id", "expert_id", "branch", F.size("toks").alias("length"), F.explode_outer(term_counts("toks")).alias("t"))
+    posts = rows.where("t is not null").select("t.term", "branch", "point_id", "expert_id", "t.tf", "length", bucket_of(F.col("t.term"), buckets).alias("bucket"))
+    posts.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    points.groupBy("branch").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(toks)).alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
+    return open_index(points.sparkSession, path, buckets)
+
+
+def open_index(spark: SparkSession, path: str, buckets: int = 64) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), buckets)
+
+
+def scan_index(points: DataFrame, terms: list[str]) -> Index:
+    """The same for a corpus without a stored index: the terms' postings by one scan, as part of the query's own plan."""
+    toks = tokens("content_text")
+    some = F.filter(term_counts(F.filter("toks", lambda t: t.isin(terms))), lambda t: t["tf"] > 0)
+    rows = points.select("point_id", "expert_id", "branch", toks.alias("toks")).select("point_id", "expert_id", "branch", F.size("toks").alias("length"), F.explode(some).alias("t"))
+    posts = rows.select("t.term", "branch", "point_id", "expert_id", "t.tf", "length", F.lit(0).alias("bucket"))
+    return Index(posts, points.groupBy("branch").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(toks)).alias("mean")), 1)
+
+
+def bm25_tasks(index: Index, tasks: DataFrame) -> DataFrame:
+    """R3 over the index: tasks (task columns, branch, path, terms) -> point_id, expert_id, branch, path, sparse of every point that holds a term.
+
+    tasks has a row for each branch and path: a handful, so it and the terms' document counts are broadcast. The buckets
+    are literals: only their partitions are read.
+    """
+    wanted = tasks.select("branch", "path", F.explode(F.array_distinct("terms")).alias("term"))
+    terms = wanted.select("term", bucket_of(F.col("term"), index.buckets).alias("b")).distinct().collect()  # the query's own words
+    mine = F.col("bucket").isin(sorted({r.b for r in terms})) & F.col("term").isin([r.term for r in terms]) if terms else F.lit(False)
+    posts = index.postings.where(mine).join(F.broadcast(index.stats), "branch")
+    known = posts.groupBy("branch", "term").agg(F.count(F.lit(1)).alias("df"))
+    size = K1 * (1 - B + B * F.col("length") / F.col("mean"))
+    part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + size)
+    # One row for each of the query's terms and branches.
+    rows = posts.join(F.broadcast(known), ["branch", "term"]).join(F.broadcast(wanted), ["branch", "term"])
+    return rows.groupBy("point_id", "expert_id", "branch", "path").agg(F.round(F.sum(part), 6).alias("sparse"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -71,13 +126,22 @@ def top(frame: DataFrame, by: list[str], score: str, k: int, name: str = "rank")
     return ranked(frame, by, score, name).where(F.col(name) <= k)
 
 
+def prefetch(scored: DataFrame, limits: Limits, by: tuple[str, ...] = ("branch", "path")) -> DataFrame:
+    """R2: the best points by sparse score."""
+    return top(scored.where("sparse > 0"), list(by), "sparse", limits.keyword_prefetch, "pre_rank")
+
+
 def cascade(scored: DataFrame, limits: Limits, by: tuple[str, ...] = ("branch", "path")) -> DataFrame:
     """Sparse prefetch, then the best of it by each score, fused by reciprocal rank.
 
     scored: point_id, expert_id, the by columns, sparse, dense. One window each; no list is joined back.
     """
+    return rerank(prefetch(scored, limits, by), limits, by)
+
+
+def rerank(pre: DataFrame, limits: Limits, by: tuple[str, ...] = ("branch", "path")) -> DataFrame:
+    """R4-R6 on what the prefetch has left."""
     own = list(by)
-    pre = top(scored.where("sparse > 0"), own, "sparse", limits.keyword_prefetch, "pre_rank")
     pre = ranked(ranked(pre, own, "dense", "dense_rank"), own, "sparse", "sparse_rank")
     part = lambda c: F.when(F.col(c) <= limits.branch_prefetch, 1 / (F.col(c) + limits.rrf_k)).otherwise(0.0)
     fused = pre.withColumn("rrf_score", F.round(part("dense_rank") + part("sparse_rank"), 9)).where("rrf_score > 0")
@@ -132,10 +196,26 @@ def filtered_out(hits: DataFrame, limits: Limits) -> DataFrame:
 
 
 def shadow(hits: DataFrame) -> DataFrame:
-    """Experts whom expansion alone has found."""
+    """Experts whom expansion alone has found."""
     return hits.where("stable_hits = 0 AND expanded_hits > 0").select("expert_id")
 
 
+def shadow_names(hits: DataFrame, people: DataFrame) -> DataFrame:
+    """Their ids and names (empty if unknown)."""
+    return shadow(hits).join(people.select("expert_id", "name"), "expert_id", "left").select("expert_id", F.coalesce("name", F.lit("")).alias("name"))
+
+
+def grounding(hits: DataFrame) -> DataFrame:
+    """What a generator is told of a hit's score: primary branch, final score, the first two matches."""
+    near = F.transform(F.slice("matches", 1, 2), lambda m: F.struct(m["branch"].alias("branch"), m["rank"].alias("rank"), F.round(-m["minus"], 6).alias("score")))
+    return hits.select("expert_id", F.struct(F.col("matches")[0]["branch"].alias("primary_branch"), F.round("score", 6).alias("final_score"), near.alias("branch_matches")).alias("grounding"))
+
+
+def display(ordered: DataFrame, top_k: int | None, limit_candidates: bool) -> DataFrame:
+    """The list is cut only if that is asked for and top_k is given. ordered: with rank."""
+    return ordered.where(F.col("rank") <= top_k) if limit_candidates and top_k is not None else ordered
+
+
 def score_trace(hits: DataFrame) -> DataFrame:
     """The primary branch is that of the least (rank, -score, branch)."""
     first = F.col("matches")[0]

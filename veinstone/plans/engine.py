@@ -1,32 +1,57 @@
-"""The engine: a text becomes a plan, the plan one lazy DataFrame."""
+"""The engine: a text becomes a plan, the plan one lazy DataFrame; a response is that DataFrame's few rows in an envelope."""
 
 from __future__ import annotations
 
+import json
+import logging
+import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import TOKEN
 from ..operators import evidence as E
+from ..operators import filters as P
+from ..operators import quality as V
+from ..operators import reasons as N
 from ..operators import recommend as G
 from ..operators import retrieval as R
-from .plan import QueryPlan, fallback_plan, plan_with, unique
+from ..sources.sinks import PlanCache, cached_result, result_key, save_feedback
+from . import lexicon as X
+from .plan import BranchQuery, QueryPlan, branch_queries, constrain, contract_of, fallback_plan, plan_with, unique
+
+log = logging.getLogger("veinstone")
+SORT_POLICY = "score desc, name asc, expert_id asc"
+
+
+def words(text: str) -> list[str]:
+    """The query's tokens, by the corpus' own token rule (F2)."""
+    return unique(re.findall(TOKEN, text.lower()))
 
 
 class Engine:
-    """points (point_id, expert_id, branch, content_text, embedding), people (expert_id, name, org, degree), items (flat evidence).
+    """points (point_id, expert_id, branch, content_text, embedding), people (expert_id, name, org, degree, what filters read), items (flat evidence).
 
-    query_vectors: texts to a one-row DataFrame with column q; by default the hashed unit vector of the text.
+    index: stored postings (R.build_index); without it the corpus is scanned. query_vector: texts to a one-row DataFrame
+    with column q, by default the hashed unit vector. generator: a batch's payload text to answer text. cache: a folder
+    for plans and results; snapshot names the state of the corpus.
     """
 
-    def __init__(self, spark: SparkSession, points: DataFrame, people: DataFrame, items: DataFrame, limits: R.Limits | None = None, reference_year: int = 2001, planner: Callable[[str], QueryPlan] | None = None, query_vector: Callable[[str], DataFrame] | None = None, generator: Callable[[DataFrame], DataFrame] | None = None, strict: bool = True):
-        self.spark, self.points, self.people, self.items = spark, points, people, items
-        self.limits, self.reference_year, self.planner, self.strict = limits or R.Limits(), reference_year, planner, strict
+    def __init__(self, spark: SparkSession, points: DataFrame, people: DataFrame, items: DataFrame, limits: R.Limits | None = None, reference_year: int = 2001, planner: Callable[[str], QueryPlan] | None = None, query_vector: Callable[[str], DataFrame] | None = None, generator: Callable[[str], str] | None = None, strict: bool = True, index: R.Index | None = None, cache: str | None = None, snapshot: str = "", instruct: bool = False, feedback: str | None = None, strict_settings: bool = False, seeded: bool = False):
+        V.validate_settings(strict_settings, generator, query_vector, seeded)
+        self.spark, self.points, self.people, self.items, self.index = spark, points, people, items, index
+        self.limits, self.reference_year, self.planner, self.strict, self.instruct = limits or R.Limits(), reference_year, planner, strict, instruct
         self.query_vector = query_vector or self._hashed
-        self.generator = generator
+        self.generator, self.cache, self.snapshot, self.feedback_path = generator, cache, snapshot, feedback
+        self.plans = PlanCache(f"{cache}/plans") if cache else None
         self.timers: dict[str, float] = {}
+        self.trace: dict[str, Any] = {}
 
     def _hashed(self, text: str) -> DataFrame:
         from ..functions.vectors import hashed_unit_vector
@@ -34,76 +59,280 @@ class Engine:
         dim = self.points.select(F.size("embedding")).first()
         return self.spark.range(1).select(hashed_unit_vector(F.lit(text), dim[0] if dim else 1).alias("q"))
 
-    def plan(self, text: str, **request: Any) -> QueryPlan:
-        """P14, L1-L7. Filters, include, exclude and top_k are the request's."""
+    @contextmanager
+    def _timed(self, name: str) -> Iterator[None]:
+        """O1."""
         began = time.perf_counter()
-        out = plan_with(self.planner, text, **request) if self.planner else fallback_plan(text, **request)
-        self.timers["plan_ms"] = 1000 * (time.perf_counter() - began)
+        try:
+            yield
+        finally:
+            self.timers[name] = 1000 * (time.perf_counter() - began)
+
+    # --- plan ---
+
+    def plan(self, text: str, **request: Any) -> QueryPlan:
+        """P13, P14, L1-L8. Filters, include, exclude and top_k are the request's; a cached plan gets them again."""
+        with self._timed("plan_ms"):
+            key = QueryPlan(query=text, hard_filters=request.get("filters") or {}, include_orgs=request.get("include") or [], exclude_orgs=request.get("exclude") or [], top_k=request.get("top_k") or 0).key()
+            stored = self.plans.get(key) if self.plans else None
+            if stored:
+                out = constrain(QueryPlan(**stored), **request)
+            else:
+                out = plan_with(self.planner, text, **request) if self.planner else fallback_plan(text, **request)
+                if self.plans:
+                    self.plans.put(key, json.loads(out.to_json()))
+        self.trace["planner_trace"] = {"cache": {"canonical_plan": "hit" if stored else "miss"}, "removed_meta_terms": unique(out.role_terms + out.action_terms + out.generic_terms), **contract_of(out)}
         return out
 
+    # --- search ---
+
+    def tasks(self, plan: QueryPlan) -> list[BranchQuery]:
+        """R1-R1c, R7, R8."""
+        return branch_queries(plan, self.instruct)
+
+    def _vectors(self, tasks: list[BranchQuery]) -> DataFrame:
+        """branch, path, q: one row for each task; equal texts are encoded once."""
+        known: dict[str, DataFrame] = {}
+        rows = [known.setdefault(t.dense, self.query_vector(t.dense)).select(F.lit(t.branch).alias("branch"), F.lit(t.path).alias("path"), F.col("q").cast("array<double>").alias("q")) for t in tasks]
+        return reduce(DataFrame.union, rows)
+
+    def allowed(self, plan: QueryPlan) -> DataFrame | None:
+        """Who passes the hard filters; None if there are none."""
+        if not (plan.hard_filters or plan.include_orgs or plan.exclude_orgs):
+            return None
+        return P.apply_filters(self.people, plan.hard_filters, plan.include_orgs, plan.exclude_orgs, as_of=self.reference_year).select("expert_id")
+
     def hits(self, plan: QueryPlan) -> DataFrame:
-        """R1-R10 as one plan: each task's cascade, a union, one aggregation."""
-        from .plan import branch_queries
-
-        tasks = None
-        for q in branch_queries(plan):
-            own = self.points.where(F.col("branch") == q.branch)
-            scored = R.with_cosine(R.bm25(own, unique(q.sparse.lower().split())), self.query_vector(q.dense)).withColumn("path", F.lit(q.path))
-            one = scored.select("point_id", "expert_id", "branch", "path", "sparse", "dense")
-            tasks = one if tasks is None else tasks.unionByName(one)
-        return R.cascade(tasks, self.limits).withColumn("score", F.col("dense"))
-
-    def search(self, text: str | QueryPlan, **request: Any) -> DataFrame:
-        """Candidates in order; empty without keywords."""
+        """R2-R9 as one plan for all tasks. Filters cut the points before the prefetch; only what that leaves (a thousand points a task at most) meets the vectors."""
+        tasks = self.tasks(plan)
+        asked = self.spark.createDataFrame([(t.branch, t.path, words(t.sparse)) for t in tasks], "branch string, path string, terms array<string>")
+        index = self.index or R.scan_index(self.points, unique([w for t in tasks for w in words(t.sparse)]))
+        scored = R.bm25_tasks(index, asked)
+        allowed = self.allowed(plan)
+        if allowed is not None:
+            scored = scored.join(allowed, "expert_id", "left_semi")
+        pre = R.prefetch(scored, self.limits)
+        near = self.points.select("point_id", "embedding").join(F.broadcast(pre), "point_id").join(F.broadcast(self._vectors(tasks)), ["branch", "path"])
+        dense = near.withColumn("dense", F.round(R.cosine(F.col("embedding"), F.col("q")), 6)).drop("embedding", "q")
+        return R.rerank(dense, self.limits).withColumn("score", F.col("dense"))
+
+    def skipped(self, plan: QueryPlan) -> str | None:
+        """R19."""
+        return None if plan.retrieval_core else G.SKIPPED
+
+    def aggregated(self, plan: QueryPlan) -> DataFrame:
+        """R10, R11 with people's columns."""
+        if self.skipped(plan):  # an empty frame of the same shape, without any scan
+            rows = self.spark.createDataFrame([], "expert_id string, score double, stable_hits long, expanded_hits long, branches array<string>, first_point long, matches array<struct<rank:int,minus:double,branch:string,path:string,point_id:long>>")
+            rows = rows.withColumn("expert_id", F.col("expert_id").cast(self.people.schema["expert_id"].dataType))
+        else:
+            rows = R.aggregate(self.hits(plan), self.limits)
+        return R.penalise(rows.join(self.people, "expert_id"), self.limits)
+
+    def search(self, text: str | QueryPlan, limit_candidates: bool = False, **request: Any) -> DataFrame:
+        """Candidates in order (P11, R12, R15, R20, F26); empty without keywords."""
         plan = text if isinstance(text, QueryPlan) else self.plan(text, **request)
-        hits = R.aggregate(self.hits(plan), self.limits)
-        if not plan.retrieval_core:
-            hits = hits.where(F.lit(False))
-        named = R.penalise(hits.join(self.people, "expert_id"), self.limits)
-        from ..operators.filters import apply_filters, drop_containing
+        if not self.cache:
+            return self._searched(plan, limit_candidates)
+        compiled = json.dumps([[t.branch, t.path, t.sparse, t.dense] for t in self.tasks(plan)])
+        key = result_key(compiled, json.dumps([plan.hard_filters, plan.include_orgs, plan.exclude_orgs, plan.top_k if limit_candidates else None], sort_keys=True, default=str), self.snapshot)
+        found, hit = cached_result(self.spark, f"{self.cache}/results", key, lambda: self._searched(plan, limit_candidates))
+        self.trace["retrieval_cache"] = "hit" if hit else "miss"
+        return found
+
+    def _searched(self, plan: QueryPlan, limit_candidates: bool) -> DataFrame:
+        named = P.drop_containing(self.aggregated(plan), plan.exclude_orgs).where(R.supported(self.limits))
+        return R.display(R.normalised(R.final_order(named)), plan.top_k, limit_candidates)
+
+    def filtered_out(self, plan: QueryPlan) -> DataFrame:
+        """R13."""
+        return R.filtered_out(P.drop_containing(self.aggregated(plan), plan.exclude_orgs), self.limits)
+
+    def shadow(self, plan: QueryPlan) -> DataFrame:
+        """R17, R22."""
+        return R.shadow_names(R.aggregate(self.hits(plan), self.limits), self.people)
 
-        named = apply_filters(named, plan.hard_filters, plan.include_orgs, plan.exclude_orgs, as_of=self.reference_year)
-        return R.normalised(R.final_order(drop_containing(named, plan.exclude_orgs).where(R.supported(self.limits))))
+    # --- recommend ---
 
     def evidence(self, plan: QueryPlan, candidates: DataFrame) -> DataFrame:
         """E6-E17 for the candidates only: items are cut down by a semi-join before they are scored."""
-        targets = plan.targets()
+        items = E.dedup(self._scored(plan, candidates))
+        return E.bundles(items, E.select_quota(items, plan.targets()))
+
+    def _scored(self, plan: QueryPlan, candidates: DataFrame) -> DataFrame:
         own = self.items.join(candidates.select("expert_id"), "expert_id", "left_semi")
-        items = E.dedup(E.score_items(own, targets, plan.generic_terms, self.reference_year))
-        return E.bundles(items, E.select_quota(items, targets))
+        return E.score_items(own, plan.targets(), plan.generic_terms, self.reference_year)
+
+    def selection_trace(self, plan: QueryPlan, candidates: DataFrame) -> DataFrame:
+        """E16."""
+        scored = self._scored(plan, candidates)
+        items = E.dedup(scored)
+        return E.selection_trace(E.bundles(items, E.select_quota(items, plan.targets())), E.dedup_dropped(scored, items))
+
+    def _column(self, name: str) -> Column:
+        return F.col(name) if name in self.people.columns else F.lit("")
+
+    def gated(self, plan: QueryPlan, found: DataFrame | None = None) -> DataFrame:
+        """G1-G3 over all candidates."""
+        found = (self.search(plan) if found is None else found).withColumnRenamed("rank", "retrieval_rank")
+        joined = found.join(self.evidence(plan, found), "expert_id", "left").join(R.grounding(found), "expert_id", "left")
+        return G.gate(joined, len(plan.targets()), self.strict)
+
+    def short(self, plan: QueryPlan, gated: DataFrame) -> DataFrame:
+        """The shortlist with its evidence and risks."""
+        rows = G.shortlist(gated, plan.top_k).withColumn("evidence", G.resolve_evidence("selected", F.col("name"), F.col("org"), F.col("degree"), self._column("major")))
+        known = {"publications", "patents", "projects"} <= set(self.people.columns)
+        return rows.withColumn("card_risks", E.risks(E.gaps()) if known else F.array().cast("array<string>"))
 
     def recommend(self, text: str | QueryPlan, **request: Any) -> DataFrame:
-        """Gates before top-k, reasons, validation, assembly."""
+        """G1-G10 as one plan: gates before top-k, reasons, validation, assembly. A generator sees at most 15 rows."""
         plan = text if isinstance(text, QueryPlan) else self.plan(text, **request)
-        found = self.search(plan).withColumnRenamed("rank", "retrieval_rank")
-        joined = found.join(self.evidence(plan, found), "expert_id", "left")
-        short = G.shortlist(G.gate(joined, len(plan.targets()), self.strict), plan.top_k)
-        short = short.withColumn("evidence", G.resolve_evidence("selected", F.col("org"), F.col("degree"), F.lit("")))
-        if self.generator is not None:
-            short = G.align_reasons(short, self.generator(G.reason_payload(short)))
+        short = self.short(plan, self.gated(plan))
+        if self.generator is None:
+            rows = short.withColumns({"fit": F.lit("보통"), "reason": F.lit(""), "risks": F.col("card_risks")})
         else:
-            short = short.withColumns({"fit": F.lit("보통"), "reason": F.lit("")})
-        short = short.withColumn("risks", F.array().cast("array<string>"))
-        names = short.agg(F.collect_list("name").alias("names"))  # top_k names at most
-        return G.assemble(short, unique(plan.must_aspects or plan.retrieval_core), names).orderBy("rank")
+            outputs, _, _ = self._reasons(short)
+            rows = self._with_reasons(short, outputs)
+        return self._assembled(plan, rows)
+
+    def _assembled(self, plan: QueryPlan, rows: DataFrame) -> DataFrame:
+        names = rows.agg(F.collect_list("name").alias("names"))  # top_k names at most
+        return G.assemble(rows, unique(plan.must_aspects or plan.retrieval_core), names).orderBy("rank")
+
+    def _reasons(self, short: DataFrame) -> tuple[list[dict], list[str], list[N.BatchTrace]]:
+        items, gaps, traces = [], [], []
+        for own, more, trace in self._reason_batches(short):
+            items += own
+            gaps = unique([*gaps, *more])
+            traces.append(trace)
+        return items, gaps, traces
+
+    def _reason_batches(self, short: DataFrame, size: int = N.BATCH) -> Iterator[tuple[list[dict], list[str], N.BatchTrace]]:
+        """Payloads are made by Spark, the calls by the driver, batch after batch."""
+        rows = [{"expert_id": r.expert_id, "risks": r.card_risks} for r in short.select("rank", "expert_id", "card_risks").orderBy("rank").collect()]
+        profiles = (N.PRIMARY, N.COMPACT) if self.generator else ()
+        told = {p.name: {r.expert_id: r.payload for r in N.payloads(short, p, size).collect()} for p in profiles}
+        return N.in_batches(rows, told, self.generator, size)
+
+    def _with_reasons(self, short: DataFrame, outputs: list[dict]) -> DataFrame:
+        """J2, J3."""
+        kind = self.people.schema["expert_id"].dataType.simpleString()
+        told = self.spark.createDataFrame([(o["expert_id"], o["fit"], o["reason"], o["risks"]) for o in outputs], f"expert_id {kind}, fit string, reason string, told_risks array<string>")
+        rows = short.join(F.broadcast(told), "expert_id", "left")
+        return rows.withColumns({"fit": F.coalesce("fit", F.lit("보통")), "reason": F.coalesce("reason", F.lit("")), "risks": F.when(F.size("told_risks") > 0, F.col("told_risks")).otherwise(F.col("card_risks"))})
 
-    def stream(self, text: str, batch: int = 5, **request: Any) -> Iterator[tuple[str, Any]]:
-        """Progress events; at most top_k rows reach the driver. Ranks go on across batches."""
+    # --- responses ---
+
+    @contextmanager
+    def _request(self, request_id: str | None) -> Iterator[list[str]]:
+        """O2: Spark jobs and log records of one request carry its id."""
+        own = request_id or uuid.uuid4().hex[:12]
+        records: list[str] = []
+        handler = logging.Handler()
+        handler.emit = lambda r: records.append(f"{own} {r.levelname} {r.getMessage()}")  # type: ignore[method-assign]
+        log.addHandler(handler)
+        self.spark.sparkContext.setJobGroup(own, f"veinstone request {own}")
         try:
-            began = time.perf_counter()
+            yield records
+        finally:
+            log.removeHandler(handler)
+            self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    def respond(self, text: str, request_id: str | None = None, **request: Any) -> dict[str, Any]:
+        """Status, recommendations and trace. Without candidates, or with none past the gates, the reason is stated."""
+        with self._request(request_id) as records, self._timed("total_ms"):
             plan = self.plan(text, **request)
-            yield "search_completed", {"retrieved": self.search(plan).count()}
-            rows = self.recommend(plan).collect()
-            yield "shortlist_completed", {"shortlisted": len(rows)}
-            for i in range(0, len(rows), batch):
-                yield "reason_batch_completed", [r.asDict(recursive=True) for r in rows[i : i + batch]]
-            self.timers["total_ms"] = 1000 * (time.perf_counter() - began)
-            yield "stream_completed", {"count": len(rows), "status": "ok" if rows else G.GATED_EMPTY}
+            found, names = None, []
+            if not self.skipped(plan):
+                with self._timed("search_ms"):
+                    found = self.search(plan)
+                    # Candidates: branch_output points of 8 tasks at most.
+                    names = [r.asDict() for r in found.select("expert_id", "rank").orderBy("rank").collect()]
+            reasons, gaps, rows, generation, gates, summary, selection = [], [], [], {}, {}, {}, []
+            if not names:
+                status = "skipped" if self.skipped(plan) else "no_match"
+                reasons, gaps = [G.NO_MATCH], [g for g in [self.skipped(plan)] if g]
+                log.info("no candidates")
+            else:
+                with self._timed("evidence_selection_ms"):
+                    gated = self.gated(plan, found)
+                    gates = self._gate_lists(gated)
+                    selection = [r.asDict(recursive=True) for r in self.selection_trace(plan, found).orderBy("expert_id").collect()]
+                    short = self.short(plan, gated)
+                status = "ok" if len(gates["drop"]) < len(names) else "gated_empty"
+                if status == "gated_empty":
+                    reasons = [G.GATED_EMPTY]
+                    generation = N.generation_summary(len(names), 0, []) | {"mode": "gated_empty", "reason_generation_failed": False}
+                    summary = {"checked": 0, "fallback_count": 0, "fallback_ratio": 0.0}
+                    log.warning("the gates have removed every candidate")
+                else:
+                    with self._timed("reason_generation_ms"):
+                        outputs, gaps, traces = self._reasons(short)
+                        done = self._assembled(plan, self._with_reasons(short, outputs))
+                        rows = [r.asDict(recursive=True) for r in done.collect()]
+                    generation = N.generation_summary(len(outputs), len(rows), traces)
+                    bad = sum(bool(r["violations"]) for r in rows)
+                    summary = {"checked": len(rows), "fallback_count": bad, "fallback_ratio": round(bad / len(rows), 3) if rows else 0.0}
+            kept = dict(records=list(records))
+        return self._envelope(plan, status, names, rows, gaps, reasons, generation, gates, summary, selection, kept["records"])
+
+    def _gate_lists(self, gated: DataFrame) -> dict[str, list]:
+        """G5 for a response: ids by status, of at most 8 tasks' candidates."""
+        out: dict[str, list] = {s: [] for s in ("keep", "demote_low_coverage", "demote_generic_only", "demote_no_direct", "drop")}
+        for r in gated.select("status", "expert_id", "retrieval_rank").orderBy("retrieval_rank").collect():
+            out[r.status].append(r.expert_id)
+        return out
+
+    def _envelope(self, plan: QueryPlan, status: str, names: list[dict], rows: list[dict], gaps: list[str], reasons: list[str], generation: dict, gates: dict, summary: dict, selection: list, records: list[str]) -> dict[str, Any]:
+        fallbacks = [{"expert_id": r["expert_id"], "source": r["fallback_source"], "violations": r["violations"]} for r in rows if r["fallback_source"]]
+        return {
+            "status": status, "intent_summary": plan.intent_summary, "applied_filters": plan.hard_filters, "searched_branches": list(X.BRANCHES), "retrieved_count": len(names),
+            "recommendations": rows, "data_gaps": unique(gaps), "not_selected_reasons": reasons,
+            "trace": {
+                "planner": json.loads(plan.to_json()), "planner_trace": self.trace.get("planner_trace", {}), "cache": {"retrieval": self.trace.get("retrieval_cache", "miss")},
+                "retrieval_keywords": plan.retrieval_core, "bundle_ids": plan.bundle_ids, "branch_queries": [t.__dict__ for t in self.tasks(plan)], "include_orgs": plan.include_orgs, "exclude_orgs": plan.exclude_orgs,
+                "candidate_ids": [n["expert_id"] for n in names], "recommendation_ids": [r["expert_id"] for r in rows], "retrieval_skipped_reason": self.skipped(plan), "final_sort_policy": SORT_POLICY,
+                "top_k_used": plan.top_k, "shortlist_gate": gates, "evidence_selection": {"aspect_source": plan.aspect_source(), "aspects": plan.targets(), "candidate_evidence_counts": selection},
+                "reason_generation_trace": generation, "reason_sync_validator": summary, "server_fallback_reasons": fallbacks, "timers": dict(self.timers), "log": records,
+            },
+        }
+
+    def stream(self, text: str, batch: int = N.BATCH, **request: Any) -> Iterator[tuple[str, Any]]:
+        """Progress events; reasons are made and sent batch by batch, ranks go on across batches."""
+        try:
+            with self._timed("total_ms"):
+                plan = self.plan(text, **request)
+                yield "plan_completed", {"retrieval_keywords": plan.retrieval_core}
+                found = self.search(plan)
+                n = found.count()
+                yield "search_completed", {"retrieved": n, "reason": self.skipped(plan)}
+                short = self.short(plan, self.gated(plan, found))
+                total = short.count()
+                yield "shortlist_completed", {"shortlisted": total}
+                sent = 0
+                for outputs, gaps, trace in self._reason_batches(short, batch):
+                    done = self._assembled(plan, self._with_reasons(short, outputs)).where(F.col("expert_id").isin(trace.candidate_ids))
+                    rows = [r.asDict(recursive=True) for r in done.collect()]
+                    sent += len(rows)
+                    yield "reason_batch_completed", {"rows": rows, "data_gaps": gaps, "trace": trace.asdict()}
+            yield "stream_completed", {"count": sent, "status": "ok" if sent else G.GATED_EMPTY if n else G.NO_MATCH}
         except Exception as e:  # noqa: BLE001  an error is an event of the stream
             yield "error", {"message": str(e)}
 
-    def ready(self) -> DataFrame:
-        """V1-V3 on the engine's people, where they are nested experts."""
-        from ..operators.quality import completeness, report
+    # --- service ---
+
+    def feedback(self, query: str, selected: list[str], rejected: list[str], notes: str = "", metadata: dict[str, str] | None = None) -> int:
+        """One feedback; returns its id."""
+        if not self.feedback_path:
+            raise ValueError("the engine has no feedback store")
+        kinds = "query string, selected array<string>, rejected array<string>, notes string, metadata map<string,string>"
+        row = self.spark.createDataFrame([(query, selected, rejected, notes, metadata or {})], kinds)
+        return save_feedback(self.spark, self.feedback_path, row.withColumn("created_at", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+
+    def alive(self) -> dict[str, str]:
+        """O3."""
+        return {"status": "ok"}
 
-        return report(completeness(self.people))
+    def ready(self, required: tuple[str, ...] = (), modifier: str | None = None) -> dict[str, Any]:
+        """V1-V4, J10 on the engine's people, where they are nested experts."""
+        return V.readiness(self.people, self.points, self.index, modifier, required)

@@ -8,6 +8,8 @@ import re
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
+from pyspark.sql import DataFrame
+
 from ..functions.text import term_pattern
 from . import lexicon as X
 
@@ -43,6 +45,14 @@ class QueryPlan:
         """Evidence aspects, else must aspects, else the core."""
         return self.evidence_aspects or self.must_aspects or self.retrieval_core
 
+    @classmethod
+    def from_json(cls, text: str) -> QueryPlan:
+        return cls(**json.loads(text))
+
+    def aspect_source(self) -> str:
+        """Which list gave the targets."""
+        return "evidence_aspects" if self.evidence_aspects else "must_aspects" if self.must_aspects else "retrieval_core"
+
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True, ensure_ascii=False)
 
@@ -87,6 +97,19 @@ def prune(aspects: list[str], contextual: list[str]) -> tuple[list[str], list[di
     return kept, gone
 
 
+def contract(raw: list[str], context: list[str], forbidden: list[str], fallback: list[str]) -> dict[str, Any]:
+    """Must aspects as given, cleaned and pruned, and why some went."""
+    clean = unique([strip(t, forbidden) for t in raw]) or unique(fallback)
+    kept, gone = prune(clean, context)
+    return {"raw_must_aspects": unique(raw), "normalized_must_aspects": clean, "pruned_must_aspects": kept, "must_aspect_prune_reasons": gone}
+
+
+def contract_of(plan: QueryPlan) -> dict[str, Any]:
+    """L7 for a finished plan."""
+    context = list(plan.intent_flags.get("review_targets") or contextual_terms(plan.query))
+    return contract(plan.must_aspects or plan.retrieval_core, context, unique(plan.role_terms + plan.action_terms + plan.generic_terms), plan.retrieval_core)
+
+
 def constrain(plan: QueryPlan, filters: dict[str, Any] | None = None, include: list[str] | None = None, exclude: list[str] | None = None, top_k: int | None = None, contextual: list[str] | None = None) -> QueryPlan:
     """L4: what a request and the fixed word lists impose on a plan, wherever it came from."""
     if top_k is not None and not 1 <= top_k <= 15:
@@ -126,6 +149,13 @@ def fallback_plan(text: str, **request: Any) -> QueryPlan:
     return constrain(QueryPlan(query=query, intent_summary=f"[Fallback] {query}", retrieval_core=terms, must_aspects=list(terms)), **request)
 
 
+def heuristic_plan(text: str, **request: Any) -> QueryPlan:
+    """L1: the query as intent and nothing else; without a core, retrieval is skipped. Not the default."""
+    query = squash(text)
+    filters, include, exclude, top_k = (request.get(k) for k in ("filters", "include", "exclude", "top_k"))
+    return QueryPlan(query=query, intent_summary=query, hard_filters=dict(filters or {}), include_orgs=list(include or []), exclude_orgs=list(exclude or []), top_k=top_k or 15)
+
+
 def plan_with(planner: Any, text: str, attempts: int = 2, **request: Any) -> QueryPlan:
     """A pluggable planner, tried again while its core stays empty or it fails; then the fallback."""
     for _ in range(attempts):
@@ -148,6 +178,24 @@ def lexicon_summary() -> str:
     return "\n".join(f"- {name}: {text}" for name, text in X.EXPANSION_SUMMARY.items())
 
 
+def single_text(plan: QueryPlan) -> str:
+    """R1d: the keywords in one string, else the intent."""
+    return " ".join(unique(plan.retrieval_core)) or plan.intent_summary
+
+
+def plans(texts: DataFrame, column: str = "text") -> DataFrame:
+    """L4, L6 over a table of queries: the deterministic planner in Arrow batches; adds core, must, role, action and generic terms and review targets."""
+
+    def run(frames):
+        for frame in frames:
+            own = [fallback_plan(t or "") for t in frame[column]]
+            yield frame.assign(core=[p.retrieval_core for p in own], must=[p.must_aspects for p in own], evidence=[p.evidence_aspects for p in own], roles=[p.role_terms for p in own], actions=[p.action_terms for p in own], generics=[p.generic_terms for p in own], targets=[p.intent_flags.get("review_targets", []) for p in own], semantic=[p.semantic_query for p in own])
+
+    lists = ", ".join(f"{c} array<string>" for c in ("core", "must", "evidence", "roles", "actions", "generics", "targets"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes)
+    return texts.mapInPandas(run, f"{kinds}, {lists}, semantic string")
+
+
 @dataclass(frozen=True)
 class BranchQuery:
     branch: str

@@ -66,6 +66,64 @@ def source_texts(people: DataFrame) -> DataFrame:
     return people.select("expert_id", text("publications", "art").alias("art"), text("patents", "pat").alias("pat"), text("projects", "pjt").alias("pjt"))
 
 
+def _field(kind, name: str) -> F.Column:
+    """An evidence element's field as text, empty where the layout has none."""
+    fields = {f.name: f.dataType for f in kind.elementType.fields}
+    if name not in fields:
+        return F.lit("")
+    own = F.col(f"e.{name}")
+    return F.coalesce(F.concat_ws(" ", own) if fields[name].typeName() == "array" else own.cast("string"), F.lit(""))
+
+
+def flat_evidence(people: DataFrame) -> DataFrame:
+    """Nested evidence as flat items, each type by its own mapping: title, body (all searched text), date, detail, main and secondary text and metadata line of the snippet.
+
+    Reads the fields that the arrays have: papers (title, journal, abstract, korean_keywords, english_keywords, date), projects
+    (title or korean and english title, objective, content, managing, performing, start, end), patents (title,
+    registration_type, country, registration_date or date, application_date).
+    """
+    out = None
+    for kind, column in (("paper", "publications"), ("project", "projects"), ("patent", "patents")):
+        of = people.schema[column].dataType
+        f = lambda name, of=of: _field(of, name)
+        first = lambda *c: F.coalesce(*(F.nullif(x, F.lit("")) for x in c), F.lit(""))
+        line = lambda name, c: F.when(c != "", F.concat(F.lit(f"[{name}: "), c, F.lit("]")))
+        none = F.lit(None).cast("string")
+        if kind == "paper":
+            title, date, detail = f("title"), f("date"), f("journal")
+            words = F.concat_ws(" ", F.nullif(f("korean_keywords"), F.lit("")), F.nullif(f("english_keywords"), F.lit("")))
+            body, main, secondary, metadata = (f("journal"), f("abstract"), words), f("abstract"), words, line("journal", f("journal"))
+        elif kind == "project":
+            named = first(f("title"), f("korean_title"), f("english_title"))
+            title, date, detail = F.when(named == "", "Untitled project").otherwise(named), first(f("end"), f("start")), first(f("managing"), f("performing"))
+            english = F.when(f("english_title") != named, f("english_title")).otherwise("")
+            body, main, secondary, metadata = (english, f("objective"), f("content"), f("managing"), f("performing")), f("objective"), f("content"), line("organization", first(f("performing"), f("managing")))
+        else:
+            title, date, detail = f("title"), first(f("registration_date"), f("date"), f("application_date")), first(f("registration_type"), f("country"))
+            body, main, metadata = (f("registration_type"), f("country")), title, none
+            secondary = F.concat(F.lit("type: "), f("registration_type"), F.lit(", country: "), f("country"))
+        text = F.concat_ws(" ", *(F.nullif(b, F.lit("")) for b in body))
+        rows = people.select("expert_id", F.posexplode(column).alias("i", "e")).select(
+            "expert_id", F.lit(kind).alias("type"), F.concat(F.lit(f"{kind}:"), "i").alias("item_id"), title.alias("title"), text.alias("body"), F.nullif(date, F.lit("")).alias("date"),
+            F.nullif(detail, F.lit("")).alias("detail"), main.alias("main"), secondary.alias("secondary"), metadata.alias("metadata"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def variants(canonical: DataFrame) -> DataFrame:
+    """From one canonical expert (nested, with counts) the six variants, each by changing its arrays: balanced, paper-, patent- and project-heavy, an excluded organisation, weak."""
+    times = lambda c, n: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.slice(c, 1, 1)))
+    some = lambda c, n: F.slice(F.concat(c, times(c, n)), 1, n) if n else F.slice(c, 1, 0)
+    shapes = ((1, 4, 2, 1, None), (2, 6, 0, 1, None), (3, 1, 2, 1, None), (4, 4, 1, 3, None), (5, 4, 1, 1, "A기관"), (6, 0, 0, 1, None))
+    base = canonical.select("expert_id", "name", "org", "degree", "publications", "patents", "projects")
+    out = base
+    for step, papers, patents, projects, org in shapes:
+        changed = {"expert_id": F.col("expert_id") + step, "publications": some(F.col("publications"), papers), "patents": some(F.col("patents"), patents), "projects": some(F.col("projects"), projects)}
+        out = out.unionByName(base.withColumns(changed | ({"org": F.lit(org)} if org else {})))
+    return with_counts(out)
+
+
 def evidence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat evidence: an order line each; type by line number; the part's name and type as title."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"))
@@ -79,13 +137,8 @@ def evidence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixtures(spark: SparkSession) -> DataFrame:
-    """Synthetic experts (canonical, balanced, paper-, patent-, project-heavy, excluded organisation, weak): id, org and counts of evidence."""
-    rows = [(11008395, "주식회사 미소테크", 4, 1, 1), (11008396, "연구원", 4, 2, 1), (11008397, "연구원", 6, 0, 1), (11008398, "연구원", 1, 2, 1), (11008399, "연구원", 4, 1, 3), (11008400, "A기관", 4, 1, 1), (11008401, "연구원", 0, 0, 1)]
-    frame = spark.createDataFrame(rows, "expert_id long, org string, papers int, patents int, projects int")
-    many = lambda c, *fields: F.transform(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda i: i < F.col(c)), lambda i: F.struct(i.cast("long").alias("seq"), F.concat_ws(" ", F.lit(c), i.cast("string")).alias("title"), *fields))
-    return with_counts(frame.select(
-        "expert_id", F.concat_ws(" ", F.lit("expert"), "expert_id").alias("name"), "org", F.lit("박사").alias("degree"),
-        many("papers", F.lit("SCIE").alias("index_type"), F.lit("2024-01").alias("date")).alias("publications"),
-        many("patents", F.lit("등록").alias("registration_type"), F.lit("2023-05-01").alias("date")).alias("patents"),
-        many("projects", F.lit("2019-10-07").alias("start"), F.lit("2020-04-06").alias("end")).alias("projects"),
-    ))
+    """The canonical expert (4 papers, a patent, a project) and its variants."""
+    papers = [(i, f"paper {i}", "SCIE", "2024-01") for i in range(4)]
+    row = (11008395, "expert 11008395", "주식회사 미소테크", "박사", papers, [(0, "patent 0", "등록", "2023-05-01")], [(0, "project 0", "2019-10-07", "2020-04-06")])
+    kinds = "publications array<struct<seq:long,title:string,index_type:string,date:string>>, patents array<struct<seq:long,title:string,registration_type:string,date:string>>, projects array<struct<seq:long,title:string,start:string,end:string>>"
+    return variants(spark.createDataFrame([row], f"expert_id long, name string, org string, degree string, {kinds}"))

@@ -2,38 +2,70 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import threading
+import time
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import global_rank
+
 FEEDBACK = "id long, created_at string, query string, selected_expert_ids string, rejected_expert_ids string, notes string, metadata string"
 
 
 def feedback_rows(frame: DataFrame, last_id: int = 0) -> DataFrame:
-    """Rows (created_at, query, selected, rejected, notes, metadata) to FEEDBACK; ids follow on in order of time.
-
-    The numbering sorts one batch of feedback, not the store.
-    """
-    order = Window.orderBy("created_at", "query")
-    return frame.select(
-        (F.row_number().over(order) + last_id).cast("long").alias("id"), "created_at", "query", F.to_json("selected").alias("selected_expert_ids"),
+    """Rows (created_at, query, selected, rejected, notes, metadata) to FEEDBACK; ids follow on in order of time, numbered range by range."""
+    time_of = F.unix_micros(F.col("created_at").try_cast("timestamp"))
+    rows = global_rank(frame, time_of, [F.col("created_at"), F.col("query"), F.xxhash64("notes")], "id", last_id + 1)
+    return rows.select(
+        F.col("id").cast("long").alias("id"), "created_at", "query", F.to_json("selected").alias("selected_expert_ids"),
         F.to_json("rejected").alias("rejected_expert_ids"), "notes", F.to_json("metadata").alias("metadata"),
     )
 
 
-def save_feedback(spark: SparkSession, path: str, frame: DataFrame) -> int:
-    """Append to the store and return the last id."""
-    last = 0
+def last_id(spark: SparkSession, path: str) -> int:
     try:
-        last = spark.read.schema(FEEDBACK).parquet(path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        return spark.read.schema(FEEDBACK).parquet(path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    rows = feedback_rows(frame, last)
-    rows.write.mode("append").parquet(path)
-    return spark.read.schema(FEEDBACK).parquet(path).agg(F.max("id")).first()[0]
+        return 0
+
+
+_CLAIMING = threading.Lock()
+
+
+def save_feedback(spark: SparkSession, path: str, frame: DataFrame) -> int:
+    """Append to the store, a folder for each call, and return the last id.
+
+    Every call first claims its range of ids: a file <first>-<last> beside the store, behind a marker <first> that only one
+    writer can create (writers of one process take turns; others rely on a file system that creates files atomically).
+    Ids follow on from the range before, so two writers never give equal ids.
+    """
+    n = frame.count()
+    if not n:
+        return last_id(spark, path)
+    first = _claim(spark, path, n)
+    feedback_rows(frame, first - 1).write.mode("overwrite").parquet(f"{path}/batch={first}")
+    return first + n - 1
+
+
+def _claim(spark: SparkSession, path: str, n: int) -> int:
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    fs = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    with _CLAIMING:
+        for _ in range(200):
+            fs.mkdirs(to(f"{path}.claims"))
+            fs.mkdirs(to(f"{path}.starts"))
+            first = 1 + max((int(f.getPath().getName().split("-")[1]) for f in fs.listStatus(to(f"{path}.claims"))), default=0)
+            if fs.createNewFile(to(f"{path}.starts/{first}")):
+                fs.createNewFile(to(f"{path}.claims/{first}-{first + n - 1}"))
+                return first
+            time.sleep(0.05)  # the other writer's claim is about to appear
+    raise TimeoutError(f"another writer has claimed id {first} of {path} and not finished")
 
 
 def ensure_collection(frame: DataFrame, path: str, recreate: bool = False) -> None:
@@ -42,9 +74,40 @@ def ensure_collection(frame: DataFrame, path: str, recreate: bool = False) -> No
 
 
 def collection_info(spark: SparkSession, path: str) -> dict:
-    """S3: columns, row count."""
+    """S3: columns, row count, the sparse weights' modifier."""
     frame = spark.read.parquet(path)
-    return {"columns": dict(frame.dtypes), "rows": frame.count()}
+    return {"columns": dict(frame.dtypes), "rows": frame.count(), "modifier": modifier_of(spark, path)}
+
+
+def modifier_of(spark: SparkSession, path: str) -> str | None:
+    """How a stored index weighs its terms: idf, or none (null) where an encoder has weighed them."""
+    try:
+        return spark.read.schema("modifier string").json(f"{path}.meta").first()["modifier"]
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def repair_modifier(spark: SparkSession, path: str, model_name: str) -> bool:
+    """Make the stored modifier what the sparse model needs; whether it had to change. Postings keep raw counts, so no row is rewritten."""
+    want = "idf" if requires_idf(model_name) else None
+    if modifier_of(spark, path) == want:
+        return False
+    spark.createDataFrame([(want,)], "modifier string").coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}.meta")
+    return True
+
+
+def requires_idf(model_name: str) -> bool:
+    """an encoder that weighs terms itself needs no inverse document frequency."""
+    return "splade" not in model_name.lower()
+
+
+def write_clustered(frame: DataFrame, path: str, columns: tuple[str, ...]) -> list[str]:
+    """What payload indexes are for: files sorted by the filterable columns, so that scans skip by their statistics. Unknown columns are left out; returns those used."""
+    used = [c for c in columns if c in frame.columns]
+    (frame.repartitionByRange(*used).sortWithinPartitions(*used) if used else frame).write.mode("overwrite").parquet(path)
+    return used
 
 
 class PlanCache:
@@ -62,8 +125,17 @@ class PlanCache:
         (self.folder / f"{key}.json").write_text(json.dumps(plan, ensure_ascii=False))
 
 
+class BranchCache(PlanCache):
+    """Compiled branch texts by plan key."""
+
+
+def result_key(compiled: str, filters: str, snapshot: str) -> str:
+    """A result belongs to compiled texts, filters and a snapshot of the corpus."""
+    return hashlib.sha256("\x1f".join((compiled, filters, snapshot)).encode()).hexdigest()
+
+
 def cached_result(spark: SparkSession, folder: str, key: str, make) -> tuple[DataFrame, bool]:
-    """A stored result by key and snapshot; results without rows are not stored."""
+    """A stored result by key; results without rows are not stored."""
     path = f"{folder}/{key}"
     try:
         return spark.read.parquet(path), True

@@ -2,29 +2,30 @@
 
 from __future__ import annotations
 
-from itertools import islice
+from functools import reduce
+from itertools import count, islice
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.engine import Engine
 
 
 def answer_stream(engine: Engine, queries: DataFrame, path: str, checkpoint: str, most: int = 100):
-    """queries (query_id, text), a streaming DataFrame: each micro-batch's answers are appended to path.
+    """queries (query_id, text), a streaming DataFrame: each micro-batch's answers are written below path.
 
-    A micro-batch may hold any number of queries, of which the driver takes up most at a time; planning is
-    driver work, everything else one job a query.
+    A micro-batch may hold any number of queries. The driver plans up to most of them at a time and answers these by
+    one job; its files replace those of path/epoch=<n>/part=<i>, so a batch that runs again leaves no answer twice.
     """
 
     def each(batch: DataFrame, epoch: int) -> None:
         rows = batch.toLocalIterator()
-        while group := list(islice(rows, most)):
-            for row in group:
-                answer(row, epoch)
-
-    def answer(row: Row, epoch: int) -> None:
-        engine.recommend(row.text).select(F.lit(row.query_id).alias("query_id"), F.lit(epoch).alias("epoch"), "rank", "expert_id", "reason").write.mode("append").parquet(path)
+        for part in count():
+            group = list(islice(rows, most))
+            if not group:
+                return
+            answers = [engine.recommend(r.text).select(F.lit(r.query_id).alias("query_id"), "rank", "expert_id", "reason") for r in group]
+            reduce(DataFrame.union, answers).write.mode("overwrite").parquet(f"{path}/epoch={epoch}/part={part}")
 
     return queries.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
