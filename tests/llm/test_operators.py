@@ -569,6 +569,20 @@ def test_pipeline(spark, tmp_path, odd):
     assert 7 not in {r.doc_id for r in out}
 
 
+def test_pipeline_on_empty_and_odd_tables(spark, tmp_path):
+    """No documents give an empty corpus; clashing column names, invalid UTF-8 and rows without doc_id go through."""
+    import corpus_pipeline
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars int, key long, cut string, copy int, chosen int, rejected int"
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    for name, docs in (("empty", spark.createDataFrame([], kinds)), ("odd", spark.createDataFrame([(i, prose(60), "en", "s", 0, i, "c", 1, 2, 3) for i in range(40)] + [(None, prose(60), None, None, 0, None, None, None, None, None)] * 2, kinds).union(spark.sql("select 77L, cast(unhex('61FF62') as string), 'en', 's', 0, 1L, 'c', 1, 2, 3")))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+    rows = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert len({r.doc_id for r in rows}) > 30 and all(r.roundtrip for r in rows)
+
+
 def test_repeating_text_gives_one_passage():
     """Forty copies of one seed extend to the same words: one passage, not one for each."""
     words = np.tile(np.arange(6, dtype="<u4"), 40)
