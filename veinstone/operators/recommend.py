@@ -112,12 +112,12 @@ def missing_ids(candidates: DataFrame, outputs: DataFrame) -> DataFrame:
     return candidates.select("expert_id").join(outputs, "expert_id", "left_anti")
 
 
-def assemble(short: DataFrame, aspects: list[str], names: DataFrame) -> DataFrame:
-    """Short (expert_id, rank, name, org, fit, reason, evidence, risks, score) to recommendations; names: one row, the shortlist's names.
+def assemble(short: DataFrame, aspects: list[str]) -> DataFrame:
+    """Short (expert_id, rank, name, org, fit, reason, evidence, risks, score) to recommendations.
 
-    A blank reason and one that breaks a rule are replaced; fallback_source says why (null if the reason stands).
+    Reasons are checked against all names of the shortlist, which has 15 rows at most: one window holds it. A blank reason and one that breaks a rule are replaced; fallback_source says why (null if the reason stands).
     """
-    rows = short.join(F.broadcast(names)).withColumn("violations", violations("reason", "name", "evidence", "names", aspects))
+    rows = short.withColumn("names", F.collect_list("name").over(Window.partitionBy())).withColumn("violations", violations("reason", "name", "evidence", "names", aspects))
     source = F.when(F.trim("reason") == "", evidence_source("evidence")).when(F.size("violations") > 0, "reason_sync_validator")
     rows = rows.withColumn("fallback_source", source)
     bad = F.col("fallback_source").isNotNull()

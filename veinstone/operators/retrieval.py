@@ -76,8 +76,8 @@ def bm25_tasks(index: Index, tasks: DataFrame) -> DataFrame:
     are literals: only their partitions are read.
     """
     wanted = tasks.select("branch", "path", F.explode(F.array_distinct("terms")).alias("term"))
-    terms = wanted.select("term", bucket_of(F.col("term"), index.buckets).alias("b")).distinct().collect()  # the query's own words
-    mine = F.col("bucket").isin(sorted({r.b for r in terms})) & F.col("term").isin([r.term for r in terms]) if terms else F.lit(False)
+    terms = wanted.select("term", bucket_of(F.col("term"), index.buckets).alias("b")).collect()  # the query's own words
+    mine = F.col("bucket").isin(sorted({r.b for r in terms})) & F.col("term").isin(sorted({r.term for r in terms})) if terms else F.lit(False)
     posts = index.postings.where(mine).join(F.broadcast(index.stats), "branch")
     known = posts.groupBy("branch", "term").agg(F.count(F.lit(1)).alias("df"))
     size = K1 * (1 - B + B * F.col("length") / F.col("mean"))

@@ -196,8 +196,7 @@ class Engine:
         return self._assembled(plan, rows)
 
     def _assembled(self, plan: QueryPlan, rows: DataFrame) -> DataFrame:
-        names = rows.agg(F.collect_list("name").alias("names"))  # top_k names at most
-        return G.assemble(rows, unique(plan.must_aspects or plan.retrieval_core), names).orderBy("rank")
+        return G.assemble(rows, unique(plan.must_aspects or plan.retrieval_core)).orderBy("rank")
 
     def _reasons(self, short: DataFrame) -> tuple[list[dict], list[str], list[N.BatchTrace]]:
         items, gaps, traces = [], [], []

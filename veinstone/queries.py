@@ -699,7 +699,7 @@ _ENGINES: dict = {}
 
 
 def engine(spark: SparkSession, d: str, limits: R.Limits | None = None) -> Engine:
-    """The engine over the driver's tables: documents as points, sources as experts, documents' texts as evidence; its index is built once a session."""
+    """The engine over the driver's tables: documents as points, sources as experts, documents' texts as evidence; its index and people are stored once a session."""
     pts = points(spark, d)
     counts = {f"{n}_cnt": F.count_if(F.col("branch") == b) for n, b in (("article", "art"), ("patent", "pat"), ("project", "pjt"))}
     people = pts.groupBy("expert_id").agg(*(c.alias(n) for n, c in counts.items())).withColumns({"name": F.concat(F.lit("Expert "), "expert_id"), "org": F.concat(F.lit("org "), "expert_id"), "degree": F.lit("PhD")})
@@ -707,8 +707,11 @@ def engine(spark: SparkSession, d: str, limits: R.Limits | None = None) -> Engin
     items = pts.select("expert_id", kind.alias("type"), F.concat_ws(":", kind, "point_id").alias("item_id"), F.concat_ws(" ", F.lit("document"), "point_id", F.split("content_text", "\n")[0]).alias("title"), F.col("content_text").alias("body"), F.lit("2000-01-01").alias("date"))
     key = (spark.sparkContext.applicationId, d)
     if key not in _ENGINES:
-        _ENGINES[key] = R.build_index(pts, scratch(spark))
-    return Engine(spark, pts, people, items, limits or LIMITS, YEAR, query_vector=lambda text: _vector(spark, d, 0), index=_ENGINES[key])
+        path = scratch(spark)
+        people.write.parquet(f"{path}/people")
+        _ENGINES[key] = R.build_index(pts, path), spark.read.parquet(f"{path}/people")
+    index, people = _ENGINES[key]
+    return Engine(spark, pts, people, items, limits or LIMITS, YEAR, query_vector=lambda text: _vector(spark, d, 0), index=index)
 
 
 def _engine_sql(words: list[str], cutoff: float, where: str = "true", after: str = "true") -> str:
