@@ -9,6 +9,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from datetime import UTC, datetime
 from functools import reduce
 from typing import Any
 
@@ -326,7 +327,7 @@ class Engine:
             raise ValueError("the engine has no feedback store")
         kinds = "query string, selected array<string>, rejected array<string>, notes string, metadata map<string,string>"
         row = self.spark.createDataFrame([(query, selected, rejected, notes, metadata or {})], kinds)
-        return save_feedback(self.spark, self.feedback_path, row.withColumn("created_at", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+        return save_feedback(self.spark, self.feedback_path, row.withColumn("created_at", F.lit(datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))))
 
     def alive(self) -> dict[str, str]:
         """O3."""

@@ -17,7 +17,10 @@ FEEDBACK = "id long, created_at string, query string, selected_expert_ids string
 
 
 def feedback_rows(frame: DataFrame, last_id: int = 0) -> DataFrame:
-    """Rows (created_at, query, selected, rejected, notes, metadata) to FEEDBACK; ids follow on in order of time, numbered range by range."""
+    """Rows (created_at, query, selected, rejected, notes, metadata) to FEEDBACK; ids follow on in order of time, numbered range by range.
+
+    frame is read more than once and must give the same rows each time.
+    """
     time_of = F.unix_micros(F.col("created_at").try_cast("timestamp"))
     rows = global_rank(frame, time_of, [F.col("created_at"), F.col("query"), F.xxhash64("notes")], "id", last_id + 1)
     return rows.select(
