@@ -117,7 +117,7 @@ _LEAN: list[bool] = []
 
 
 def lean() -> None:
-    """From now on this worker's arrays of 8 MB or more are returned to the system as soon as they are freed.
+    """From now on this worker's arrays of 4 MB or more are returned to the system as soon as they are freed.
 
     Smaller ones, which loops make over and over, stay with the process until trim(): mapping them anew costs more than they hold.
     """
@@ -125,7 +125,7 @@ def lean() -> None:
         _LEAN.append(True)
         pa.set_memory_pool(pa.system_memory_pool())
         try:
-            ctypes.CDLL("libc.so.6").mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD, fixed
+            ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD, fixed
         except (OSError, AttributeError):  # another C library
             pass
 
