@@ -39,9 +39,9 @@ WORST = float("inf")
 #: Ids, above all pieces' ones, of a word's start and (with the code point added) of a character without a piece.
 FIRST, NO_PIECE = 1 << 23, (1 << 23) + 1
 #: Distinct words (of at most LONG_WORD bytes) and pairs of pieces that a worker remembers; beyond it starts anew.
-REMEMBER, REMEMBER_PAIRS, LONG_WORD = 1_000_000, 400_000, 64
+REMEMBER, REMEMBER_PAIRS, LONG_WORD = 400_000, 200_000, 64
 #: Bytes of text that are coded at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 @dataclass
