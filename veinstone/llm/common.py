@@ -100,11 +100,11 @@ def release() -> None:
         _HELD.pop().unpersist()
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+def tidy(run: Callable[[Iterator], Iterator], work: str = "") -> Callable[[Iterator], Iterator]:
     """run for mapInArrow or mapInPandas, after which an idle worker holds no freed memory."""
 
     def out(batches: Iterator) -> Iterator:
-        lean()
+        lean(work)
         try:
             yield from run(batches)
         finally:
@@ -114,13 +114,23 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
 
 _LEAN: list[bool] = []
+#: What workers keep between tasks of one kind of work, as functions that drop it.
+_KEPT: dict[str, Callable[[], object]] = {}
 
 
-def lean() -> None:
+def keeps(work: str, drop: Callable[[], object]) -> None:
+    """A worker that turns to other work than this calls drop."""
+    _KEPT[work] = drop
+
+
+def lean(work: str = "") -> None:
     """From now on this worker's arrays of 4 MB or more are returned to the system as soon as they are freed.
 
     Smaller ones, which loops make over and over, stay with the process until trim(): mapping them anew costs more than they hold.
     """
+    for name, drop in _KEPT.items():
+        if name != work:
+            drop()
     if not _LEAN:
         _LEAN.append(True)
         pa.set_memory_pool(pa.system_memory_pool())

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import clean, held, read, tidy
+from .common import clean, held, keeps, read, tidy
 
 MARK = "▁"
 #: Stands for a mark that a text itself holds (no valid text holds a lone surrogate); it becomes the mark's bytes.
@@ -258,6 +258,7 @@ def decode_ids(coder: Coder, ids: list[int]) -> str:
 
 
 _LOADED: dict[int, Coder] = {}
+keeps("pieces", _LOADED.clear)
 
 
 def _coder(proto: bytes, bpe: bool) -> Coder:
@@ -296,7 +297,7 @@ def encode(docs: DataFrame, path: str = MODEL, bpe: bool = True) -> DataFrame:
                     pa.array(coder.same(ids, ends, buf, offsets), mask=mask),
                 ], names=["doc_id", "n_pieces", "ids", "roundtrip"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean(F.col("text")).alias("text")).mapInArrow(tidy(run), "doc_id long, n_pieces long, ids array<int>, roundtrip boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean(F.col("text")).alias("text")).mapInArrow(tidy(run, "pieces"), "doc_id long, n_pieces long, ids array<int>, roundtrip boolean")
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -309,7 +310,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
             texts = [None if x is None else decode_ids(coder, x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidy(run), "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidy(run, "pieces"), "doc_id long, text string")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
