@@ -241,12 +241,18 @@ def periodic_runs(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), least: i
 def with_repeats(docs: DataFrame) -> Column:
     """The contract's text: of one document in ten, by the checksum of doc_id, the words from some word on repeat."""
     h = F.crc32(docs["doc_id"].cast("string").cast("binary"))
-    words = F.regexp_extract_all(clean(docs["text"]), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    n, g = F.size(words).cast("long"), F.floor(h / 10)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    again = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(again, " ")).otherwise(docs["text"])
+    g = F.floor(h / 10)
+
+    def again(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.when(n > 0, F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " "))
+
+    # The words are bound to a lambda's variable: an expression would be computed anew for every word.
+    found = F.regexp_extract_all(clean(docs["text"]), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    repeated = F.get(F.transform(F.array(found), again), 0)
+    return F.when(h % 10 == 0, repeated).otherwise(docs["text"])
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
