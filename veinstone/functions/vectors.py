@@ -15,8 +15,9 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """0 for a vector of length 0, null for none."""
     size = norm(a) * norm(b)
-    return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
+    return F.when(size > 0, dot(a, b) / size).when(size.isNotNull(), 0.0)
 
 
 def hashed_unit_vector(text: Column, dim: int) -> Column:

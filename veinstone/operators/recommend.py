@@ -17,6 +17,8 @@ NO_MATCH = "No matching candidates were found."
 GATED_EMPTY = "No candidates satisfied deterministic evidence gates."
 SKIPPED = "Retrieval skipped because planner core_keywords were empty after retry."
 
+STATUSES = ("keep", "demote_low_coverage", "demote_generic_only", "demote_no_direct", "drop")
+
 
 def gate_status(n_targets: int, strict: bool = True) -> Column:
     """G1, G2."""

@@ -51,7 +51,8 @@ def build_index(points: DataFrame, path: str, buckets: int = 64) -> Index:
     toks = tokens("content_text")
     rows = points.select("point_id", "expert_id", "branch", toks.alias("toks")).select("point_id", "expert_id", "branch", F.size("toks").alias("length"), F.explode_outer(term_counts("toks")).alias("t"))
     posts = rows.where("t is not null").select("t.term", "branch", "point_id", "expert_id", "t.tf", "length", bucket_of(F.col("t.term"), buckets).alias("bucket"))
-    posts.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    # A frequent term's postings are written by several tasks.
+    posts.repartition("bucket", F.pmod(F.xxhash64("point_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     points.groupBy("branch").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(toks)).alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
     return open_index(points.sparkSession, path, buckets)
 
@@ -140,11 +141,11 @@ def cascade(scored: DataFrame, limits: Limits, by: tuple[str, ...] = ("branch",
 
 
 def rerank(pre: DataFrame, limits: Limits, by: tuple[str, ...] = ("branch", "path")) -> DataFrame:
-    """R4-R6 on what the prefetch has left."""
+    """R4-R6 on what the prefetch has left. A point without a vector (dense is null) has no dense rank."""
     own = list(by)
     pre = ranked(ranked(pre, own, "dense", "dense_rank"), own, "sparse", "sparse_rank")
-    part = lambda c: F.when(F.col(c) <= limits.branch_prefetch, 1 / (F.col(c) + limits.rrf_k)).otherwise(0.0)
-    fused = pre.withColumn("rrf_score", F.round(part("dense_rank") + part("sparse_rank"), 9)).where("rrf_score > 0")
+    part = lambda c, of: F.when(F.col(of).isNotNull() & (F.col(c) <= limits.branch_prefetch), 1 / (F.col(c) + limits.rrf_k)).otherwise(0.0)
+    fused = pre.withColumn("rrf_score", F.round(part("dense_rank", "dense") + part("sparse_rank", "sparse"), 9)).where("rrf_score > 0")
     return top(fused, own, "rrf_score", limits.branch_output).drop("pre_rank", "dense_rank", "sparse_rank")
 
 
@@ -166,11 +167,11 @@ def weight(weights: dict[str, float]) -> Column:
     return out
 
 
-def aggregate(hits: DataFrame, limits: Limits, score: str = "score") -> DataFrame:
-    """experts' largest weighted score, support counts, branches, first-seen point and matches; points below the cutoff are dropped."""
+def aggregate(hits: DataFrame, limits: Limits, score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
+    """experts' largest weighted score, support counts, branches, first-seen point and matches; points below the cutoff are dropped. by: of many queries, the query."""
     kept = hits.where(F.col(score) >= limits.cutoff).withColumn("task", task_index())
     match = F.struct("rank", (-F.col(score)).alias("minus"), "branch", "path", "point_id")
-    return kept.groupBy("expert_id").agg(
+    return kept.groupBy(*by, "expert_id").agg(
         F.max(F.col(score) * weight(limits.weights)).alias("score"),
         F.count_if(F.col("path") == "stable").alias("stable_hits"),
         F.count_if(F.col("path") != "stable").alias("expanded_hits"),
@@ -205,10 +206,15 @@ def shadow_names(hits: DataFrame, people: DataFrame) -> DataFrame:
     return shadow(hits).join(people.select("expert_id", "name"), "expert_id", "left").select("expert_id", F.coalesce("name", F.lit("")).alias("name"))
 
 
-def grounding(hits: DataFrame) -> DataFrame:
+def ground() -> Column:
     """What a generator is told of a hit's score: primary branch, final score, the first two matches."""
     near = F.transform(F.slice("matches", 1, 2), lambda m: F.struct(m["branch"].alias("branch"), m["rank"].alias("rank"), F.round(-m["minus"], 6).alias("score")))
-    return hits.select("expert_id", F.struct(F.col("matches")[0]["branch"].alias("primary_branch"), F.round("score", 6).alias("final_score"), near.alias("branch_matches")).alias("grounding"))
+    return F.struct(F.col("matches")[0]["branch"].alias("primary_branch"), F.round("score", 6).alias("final_score"), near.alias("branch_matches"))
+
+
+def grounding(hits: DataFrame) -> DataFrame:
+    """ground() by expert."""
+    return hits.select("expert_id", ground().alias("grounding"))
 
 
 def display(ordered: DataFrame, top_k: int | None, limit_candidates: bool) -> DataFrame:
@@ -222,12 +228,12 @@ def score_trace(hits: DataFrame) -> DataFrame:
     return hits.select("expert_id", first["branch"].alias("primary_branch"), first["rank"].alias("primary_rank"), F.round("score", 6).alias("final_score"), F.size("matches").alias("n_matches"))
 
 
-def final_order(hits: DataFrame, name: str = "name") -> DataFrame:
-    """By score, then name, then id. The rank is global: experts that passed all limits, not points."""
-    return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.trim(F.regexp_replace(name, r"(?U)\s+", " ")), "expert_id")))
+def final_order(hits: DataFrame, name: str = "name", by: tuple[str, ...] = ()) -> DataFrame:
+    """By score, then name, then id. The rank is global (or by query): experts that passed all limits, not points."""
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.trim(F.regexp_replace(name, r"(?U)\s+", " ")), "expert_id")))
 
 
-def normalised(hits: DataFrame) -> DataFrame:
+def normalised(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """percent of the best score, to one digit."""
-    best = F.max("score").over(Window.partitionBy())
+    best = F.max("score").over(Window.partitionBy(*by))
     return hits.withColumn("score_pct", F.when(best > 0, F.bround(F.col("score") / best * 100, 1)).otherwise(0.0))

@@ -9,6 +9,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import asdict
 from datetime import UTC, datetime
 from functools import reduce
 from typing import Any
@@ -23,9 +24,12 @@ from ..operators import quality as V
 from ..operators import reasons as N
 from ..operators import recommend as G
 from ..operators import retrieval as R
+from ..operators.segments import DOT, SegmentedIndex
+from ..sources.scratch import Keep, kept
 from ..sources.sinks import PlanCache, cached_result, result_key, save_feedback
 from . import lexicon as X
-from .plan import BranchQuery, QueryPlan, branch_queries, constrain, contract_of, fallback_plan, plan_with, unique
+from .models import SparseBackend
+from .plan import BranchQuery, QueryPlan, branch_queries, branch_tasks, constrain, contract_of, fallback_plan, plan_with, unique
 
 log = logging.getLogger("veinstone")
 SORT_POLICY = "score desc, name asc, expert_id asc"
@@ -39,26 +43,41 @@ def words(text: str) -> list[str]:
 class Engine:
     """points (point_id, expert_id, branch, content_text, embedding), people (expert_id, name, org, degree, what filters read), items (flat evidence).
 
-    index: stored postings (R.build_index); without it the corpus is scanned. query_vector: texts to a one-row DataFrame
-    with column q, by default the hashed unit vector. generator: a batch's payload text to answer text. cache: a folder
-    for plans and results; snapshot names the state of the corpus.
+    index: stored postings (R.build_index, or a SegmentedIndex, which also answers many queries in one plan); without it the
+    corpus is scanned. encode: a column of texts to vectors, by default the hashed unit vector; query_vector instead: a text to a
+    one-row DataFrame with column q. sparse: what weighs terms; its encoder, a column of texts to map<term, weight>, needs an
+    index of encoded weights. generator: a batch's payload text to answer text. cache: a folder for plans and results; snapshot
+    names the state of the corpus (a SegmentedIndex has its own), encoder that of the models.
     """
 
-    def __init__(self, spark: SparkSession, points: DataFrame, people: DataFrame, items: DataFrame, limits: R.Limits | None = None, reference_year: int = 2001, planner: Callable[[str], QueryPlan] | None = None, query_vector: Callable[[str], DataFrame] | None = None, generator: Callable[[str], str] | None = None, strict: bool = True, index: R.Index | None = None, cache: str | None = None, snapshot: str = "", instruct: bool = False, feedback: str | None = None, strict_settings: bool = False, seeded: bool = False):
+    def __init__(self, spark: SparkSession, points: DataFrame, people: DataFrame, items: DataFrame, limits: R.Limits | None = None, reference_year: int = 2001, planner: Callable[[str], QueryPlan] | None = None, query_vector: Callable[[str], DataFrame] | None = None, generator: Callable[[str], str] | None = None, strict: bool = True, index: R.Index | SegmentedIndex | None = None, cache: str | None = None, snapshot: str = "", instruct: bool = False, feedback: str | None = None, strict_settings: bool = False, seeded: bool = False, encode: Callable[[Column], Column] | None = None, sparse: SparseBackend | None = None, encoder: str = "", ttl: float | None = None):
         V.validate_settings(strict_settings, generator, query_vector, seeded)
         self.spark, self.points, self.people, self.items, self.index = spark, points, people, items, index
         self.limits, self.reference_year, self.planner, self.strict, self.instruct = limits or R.Limits(), reference_year, planner, strict, instruct
-        self.query_vector = query_vector or self._hashed
-        self.generator, self.cache, self.snapshot, self.feedback_path = generator, cache, snapshot, feedback
-        self.plans = PlanCache(f"{cache}/plans") if cache else None
+        self.encode, self._query_vector, self.sparse, self.encoder = encode, query_vector, sparse, encoder
+        if (sparse is not None and sparse.encoder is not None) != (isinstance(index, SegmentedIndex) and index.kind == DOT):
+            raise ValueError("an encoder's query weights need an index of its weights, and term frequencies one of terms")
+        self.generator, self.cache, self.feedback_path = generator, cache, feedback
+        self.snapshot = snapshot or (index.snapshot if isinstance(index, SegmentedIndex) else "")
+        if cache and not self.snapshot:
+            raise ValueError("stored results need a snapshot: without one, changed data would not be seen")
+        self.plans = PlanCache(spark, f"{cache}/plans", ttl=ttl) if cache else None
         self.timers: dict[str, float] = {}
         self.trace: dict[str, Any] = {}
 
-    def _hashed(self, text: str) -> DataFrame:
+    def _encoded(self, text: Column) -> Column:
         from ..functions.vectors import hashed_unit_vector
 
-        dim = self.points.select(F.size("embedding")).first()
-        return self.spark.range(1).select(hashed_unit_vector(F.lit(text), dim[0] if dim else 1).alias("q"))
+        if self.encode is not None:
+            return self.encode(text)
+        dim = self.points.select(F.size("embedding")).where("embedding is not null").first()
+        return hashed_unit_vector(text, dim[0] if dim else 1)
+
+    def query_vector(self, text: str) -> DataFrame:
+        """One row with column q."""
+        if self._query_vector is not None:
+            return self._query_vector(text)
+        return self.spark.range(1).select(self._encoded(F.lit(text)).alias("q"))
 
     @contextmanager
     def _timed(self, name: str) -> Iterator[None]:
@@ -92,11 +111,26 @@ class Engine:
         return branch_queries(plan, self.instruct)
 
     def _vectors(self, tasks: list[BranchQuery]) -> DataFrame:
-        """branch, path, q: one row for each task; equal texts are encoded once."""
+        """branch, path, q: one row for each task; equal texts are encoded once. R8: a task whose text can't be encoded is left out, unless all are."""
         known: dict[str, DataFrame] = {}
-        rows = [known.setdefault(t.dense, self.query_vector(t.dense)).select(F.lit(t.branch).alias("branch"), F.lit(t.path).alias("path"), F.col("q").cast("array<double>").alias("q")) for t in tasks]
+        rows, errors = [], []
+        for t in tasks:
+            try:
+                own = known.get(t.dense) or known.setdefault(t.dense, self.query_vector(t.dense))
+                rows.append(own.select(F.lit(t.branch).alias("branch"), F.lit(t.path).alias("path"), F.col("q").cast("array<double>").alias("q")))
+            except Exception as e:  # noqa: BLE001  an outside encoder may fail in any way
+                errors.append(f"{t.branch}/{t.path}: {e}")
+                log.warning("task %s/%s has failed: %s", t.branch, t.path, e)
+        if not rows:
+            raise RuntimeError("every search task has failed: " + "; ".join(errors))
         return reduce(DataFrame.union, rows)
 
+    def _wanted(self, tasks: DataFrame, by: list[str]) -> DataFrame:
+        """tasks (by, words, sparse) -> by, term, weight: a query's words once each, or an encoder's weights of its text."""
+        if self.sparse is None or self.sparse.encoder is None:
+            return tasks.select(*by, F.explode(F.array_distinct("words")).alias("term"), F.lit(1.0).alias("weight"))
+        return tasks.select(*by, F.explode(self.sparse.encoder(F.col("sparse"))).alias("term", "weight")).withColumn("term", F.col("term").cast("string"))
+
     def allowed(self, plan: QueryPlan) -> DataFrame | None:
         """Who passes the hard filters; None if there are none."""
         if not (plan.hard_filters or plan.include_orgs or plan.exclude_orgs):
@@ -105,17 +139,53 @@ class Engine:
 
     def hits(self, plan: QueryPlan) -> DataFrame:
         """R2-R9 as one plan for all tasks. Filters cut the points before the prefetch; only what that leaves (a thousand points a task at most) meets the vectors."""
-        tasks = self.tasks(plan)
-        asked = self.spark.createDataFrame([(t.branch, t.path, words(t.sparse)) for t in tasks], "branch string, path string, terms array<string>")
-        index = self.index or R.scan_index(self.points, unique([w for t in tasks for w in words(t.sparse)]))
-        scored = R.bm25_tasks(index, asked)
-        allowed = self.allowed(plan)
-        if allowed is not None:
-            scored = scored.join(allowed, "expert_id", "left_semi")
+        tasks, allowed = self.tasks(plan), self.allowed(plan)
+        terms = unique([w for t in tasks for w in words(t.sparse)])
+        if isinstance(self.index, SegmentedIndex):
+            asked = self.spark.createDataFrame([(t.branch, t.path, words(t.sparse), t.sparse) for t in tasks], "branch string, path string, words array<string>, sparse string")
+            known = terms if self.index.kind != DOT else None  # an encoder may add words
+            scored = self.index.scores(self._wanted(asked, ["branch", "path"]), ("branch", "path"), self.limits.keyword_prefetch, allowed, known)
+        else:
+            asked = self.spark.createDataFrame([(t.branch, t.path, words(t.sparse)) for t in tasks], "branch string, path string, terms array<string>")
+            scored = R.bm25_tasks(self.index or R.scan_index(self.points, terms), asked)
+            if allowed is not None:
+                scored = scored.join(allowed, "expert_id", "left_semi")
+        return self.reranked(scored, self._vectors(tasks))
+
+    def reranked(self, scored: DataFrame, vectors: DataFrame) -> DataFrame:
+        """Scored points (branch, path, point_id, sparse) cut by the prefetch, which bounds the broadcasts, met with their vectors (branch, path, q)."""
         pre = R.prefetch(scored, self.limits)
-        near = self.points.select("point_id", "embedding").join(F.broadcast(pre), "point_id").join(F.broadcast(self._vectors(tasks)), ["branch", "path"])
+        near = self.points.select("point_id", "embedding").join(F.broadcast(pre), "point_id").join(F.broadcast(vectors), ["branch", "path"])
         dense = near.withColumn("dense", F.round(R.cosine(F.col("embedding"), F.col("q")), 6)).drop("embedding", "q")
-        return R.rerank(dense, self.limits).withColumn("score", F.col("dense"))
+        return R.rerank(dense, self.limits).withColumn("score", F.coalesce("dense", F.lit(0.0)))
+
+    def search_many(self, queries: DataFrame, filters: dict[str, Any] | None = None, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+        """All of queries (query_id, text) as one plan: query_id and the columns of search(), ranks and percents by query.
+
+        Plans are made on the executors, a query's id is a key of every join and window, and the number of jobs doesn't depend
+        on the number of queries. Filters hold for all of them. Queries without keywords, hits or supported experts have no rows;
+        a null or repeated query_id is an error of the caller's: rows with equal ids are one query. Needs a SegmentedIndex.
+        """
+        if not isinstance(self.index, SegmentedIndex) or self._query_vector is not None:
+            raise ValueError("search_many needs a segmented index and encodes texts as a column (encode)")
+        request = QueryPlan(hard_filters=filters or {}, include_orgs=include or [], exclude_orgs=exclude or [])
+        hits = self._hits_of(branch_tasks(queries, self.planner, self.instruct), self.allowed(request))
+        rows = R.aggregate(hits, self.limits, by=("query_id",)).join(self.people, "expert_id")
+        named = P.drop_containing(R.penalise(rows, self.limits), request.exclude_orgs).where(R.supported(self.limits))
+        return R.normalised(R.final_order(named, by=("query_id",)), by=("query_id",))
+
+    def _hits_of(self, tasks: DataFrame, allowed: DataFrame | None) -> DataFrame:
+        """R2-R9 for many queries: tasks (query_id, branch, path, sparse, dense) to hits with query_id."""
+        by = ["query_id", "branch", "path"]
+        tokens = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("sparse"), F.lit(TOKEN), 0), F.lower))
+        wanted = self._wanted(tasks.select(*by, "sparse", tokens.alias("words")), by)
+        pre = R.prefetch(self.index.scores(wanted, tuple(by), self.limits.keyword_prefetch, allowed), self.limits, tuple(by))
+        texts = tasks.select(*by, F.col("dense").alias("text"))
+        # Equal texts are encoded once; a thousand points a task meet the vectors by their id.
+        vectors = texts.select("text").distinct().withColumn("q", self._encoded(F.col("text")).cast("array<double>"))
+        near = pre.join(self.points.select("point_id", "embedding"), "point_id").join(texts.join(vectors, "text").drop("text"), by)
+        dense = near.withColumn("dense", F.round(R.cosine(F.col("embedding"), F.col("q")), 6)).drop("embedding", "q")
+        return R.rerank(dense, self.limits, tuple(by)).withColumn("score", F.coalesce("dense", F.lit(0.0)))
 
     def skipped(self, plan: QueryPlan) -> str | None:
         """R19."""
@@ -136,7 +206,8 @@ class Engine:
         if not self.cache:
             return self._searched(plan, limit_candidates)
         compiled = json.dumps([[t.branch, t.path, t.sparse, t.dense] for t in self.tasks(plan)])
-        key = result_key(compiled, json.dumps([plan.hard_filters, plan.include_orgs, plan.exclude_orgs, plan.top_k if limit_candidates else None], sort_keys=True, default=str), self.snapshot)
+        settings = json.dumps([asdict(self.limits), self.reference_year, self.encoder, self.sparse.model if self.sparse else "", getattr(self.index, "kind", "")], sort_keys=True)
+        key = result_key(compiled, json.dumps([plan.hard_filters, plan.include_orgs, plan.exclude_orgs, plan.top_k if limit_candidates else None], sort_keys=True, default=str), self.snapshot, settings)
         found, hit = cached_result(self.spark, f"{self.cache}/results", key, lambda: self._searched(plan, limit_candidates))
         self.trace["retrieval_cache"] = "hit" if hit else "miss"
         return found
@@ -175,9 +246,12 @@ class Engine:
 
     def gated(self, plan: QueryPlan, found: DataFrame | None = None) -> DataFrame:
         """G1-G3 over all candidates."""
-        found = (self.search(plan) if found is None else found).withColumnRenamed("rank", "retrieval_rank")
-        joined = found.join(self.evidence(plan, found), "expert_id", "left").join(R.grounding(found), "expert_id", "left")
-        return G.gate(joined, len(plan.targets()), self.strict)
+        found = self.search(plan) if found is None else found
+        return self._gated(plan, found, self.evidence(plan, found))
+
+    def _gated(self, plan: QueryPlan, found: DataFrame, bundles: DataFrame) -> DataFrame:
+        joined = found.withColumnRenamed("rank", "retrieval_rank").join(bundles, "expert_id", "left")
+        return G.gate(joined.withColumn("grounding", R.ground()), len(plan.targets()), self.strict)
 
     def short(self, plan: QueryPlan, gated: DataFrame) -> DataFrame:
         """The shortlist with its evidence and risks."""
@@ -239,15 +313,18 @@ class Engine:
             self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
     def respond(self, text: str, request_id: str | None = None, **request: Any) -> dict[str, Any]:
-        """Status, recommendations and trace. Without candidates, or with none past the gates, the reason is stated."""
-        with self._request(request_id) as records, self._timed("total_ms"):
+        """Status, recommendations and trace. Without candidates, or with none past the gates, the reason is stated.
+
+        The candidates, the gated ones and the shortlist are written once each; their counts come from the jobs that write them (O1, G5).
+        """
+        with self._request(request_id) as records, self._timed("total_ms"), kept(self.spark) as keep:
             plan = self.plan(text, **request)
-            found, names = None, []
+            names, metrics = [], {}
             if not self.skipped(plan):
                 with self._timed("search_ms"):
-                    found = self.search(plan)
+                    found, metrics["search"] = self._found(plan, keep)
                     # Candidates: branch_output points of 8 tasks at most.
-                    names = [r.asDict() for r in found.select("expert_id", "rank").orderBy("rank").collect()]
+                    names = [r.asDict(recursive=True) for r in R.score_trace(found).join(found.select("expert_id", "rank", "name", "score", "stable_hits", "expanded_hits", "branches"), "expert_id").orderBy("rank").collect()]
             reasons, gaps, rows, generation, gates, summary, selection = [], [], [], {}, {}, {}, []
             if not names:
                 status = "skipped" if self.skipped(plan) else "no_match"
@@ -255,10 +332,9 @@ class Engine:
                 log.info("no candidates")
             else:
                 with self._timed("evidence_selection_ms"):
-                    gated = self.gated(plan, found)
+                    gated, metrics["gates"], selection = self._kept_gates(plan, found, keep)
                     gates = self._gate_lists(gated)
-                    selection = [r.asDict(recursive=True) for r in self.selection_trace(plan, found).orderBy("expert_id").collect()]
-                    short = self.short(plan, gated)
+                    short, metrics["shortlist"] = keep(self.short(plan, gated), "short")
                 status = "ok" if len(gates["drop"]) < len(names) else "gated_empty"
                 if status == "gated_empty":
                     reasons = [G.GATED_EMPTY]
@@ -273,17 +349,32 @@ class Engine:
                     generation = N.generation_summary(len(outputs), len(rows), traces)
                     bad = sum(bool(r["violations"]) for r in rows)
                     summary = {"checked": len(rows), "fallback_count": bad, "fallback_ratio": round(bad / len(rows), 3) if rows else 0.0}
-            kept = dict(records=list(records))
-        return self._envelope(plan, status, names, rows, gaps, reasons, generation, gates, summary, selection, kept["records"])
+            told = list(records)
+        return self._envelope(plan, status, names, rows, gaps, reasons, generation, gates, summary, selection, told, metrics)
+
+    def _found(self, plan: QueryPlan, keep: Keep) -> tuple[DataFrame, dict]:
+        """The candidates and how many they are, by support too."""
+        return keep(self.search(plan), "found", stable_only=F.count_if(F.col("expanded_hits") == 0), expanded_only=F.count_if(F.col("stable_hits") == 0))
+
+    def _kept_gates(self, plan: QueryPlan, found: DataFrame, keep: Keep) -> tuple[DataFrame, dict, list[dict]]:
+        """Gated candidates with counts by status, and the selection's trace; the candidates' scored items are made once."""
+        scored, _ = keep(self._scored(plan, found), "scored")
+        items, _ = keep(E.dedup(scored), "items")
+        bundles, _ = keep(E.bundles(items, E.select_quota(items, plan.targets())), "bundles")
+        gated, counts = keep(self._gated(plan, found, bundles), "gated", **{s: F.count_if(F.col("status") == s) for s in G.STATUSES})
+        trace = [r.asDict(recursive=True) for r in E.selection_trace(bundles, E.dedup_dropped(scored, items)).orderBy("expert_id").collect()]
+        return gated, counts, trace
 
     def _gate_lists(self, gated: DataFrame) -> dict[str, list]:
         """G5 for a response: ids by status, of at most 8 tasks' candidates."""
-        out: dict[str, list] = {s: [] for s in ("keep", "demote_low_coverage", "demote_generic_only", "demote_no_direct", "drop")}
+        out: dict[str, list] = {s: [] for s in G.STATUSES}
         for r in gated.select("status", "expert_id", "retrieval_rank").orderBy("retrieval_rank").collect():
             out[r.status].append(r.expert_id)
         return out
 
-    def _envelope(self, plan: QueryPlan, status: str, names: list[dict], rows: list[dict], gaps: list[str], reasons: list[str], generation: dict, gates: dict, summary: dict, selection: list, records: list[str]) -> dict[str, Any]:
+    def _envelope(self, plan: QueryPlan, status: str, names: list[dict], rows: list[dict], gaps: list[str], reasons: list[str], generation: dict, gates: dict, summary: dict, selection: list, records: list[str], metrics: dict[str, dict]) -> dict[str, Any]:
+        support = {n["expert_id"]: {"stable": n["stable_hits"], "expanded": n["expanded_hits"], "branches": n["branches"]} for n in names}
+        rows = [r | {"support": support.get(r["expert_id"])} for r in rows]
         fallbacks = [{"expert_id": r["expert_id"], "source": r["fallback_source"], "violations": r["violations"]} for r in rows if r["fallback_source"]]
         return {
             "status": status, "intent_summary": plan.intent_summary, "applied_filters": plan.hard_filters, "searched_branches": list(X.BRANCHES), "retrieved_count": len(names),
@@ -293,22 +384,22 @@ class Engine:
                 "retrieval_keywords": plan.retrieval_core, "bundle_ids": plan.bundle_ids, "branch_queries": [t.__dict__ for t in self.tasks(plan)], "include_orgs": plan.include_orgs, "exclude_orgs": plan.exclude_orgs,
                 "candidate_ids": [n["expert_id"] for n in names], "recommendation_ids": [r["expert_id"] for r in rows], "retrieval_skipped_reason": self.skipped(plan), "final_sort_policy": SORT_POLICY,
                 "top_k_used": plan.top_k, "shortlist_gate": gates, "evidence_selection": {"aspect_source": plan.aspect_source(), "aspects": plan.targets(), "candidate_evidence_counts": selection},
-                "reason_generation_trace": generation, "reason_sync_validator": summary, "server_fallback_reasons": fallbacks, "timers": dict(self.timers), "log": records,
+                "reason_generation_trace": generation, "reason_sync_validator": summary, "server_fallback_reasons": fallbacks, "timers": dict(self.timers), "log": records, "metrics": metrics,
+                "score_trace": [{k: n[k] for k in ("expert_id", "name", "rank", "primary_branch", "primary_rank", "final_score", "n_matches", "stable_hits", "expanded_hits", "branches")} for n in names],
             },
         }
 
     def stream(self, text: str, batch: int = N.BATCH, **request: Any) -> Iterator[tuple[str, Any]]:
         """Progress events; reasons are made and sent batch by batch, ranks go on across batches."""
         try:
-            with self._timed("total_ms"):
+            with self._timed("total_ms"), kept(self.spark) as keep:
                 plan = self.plan(text, **request)
                 yield "plan_completed", {"retrieval_keywords": plan.retrieval_core}
-                found = self.search(plan)
-                n = found.count()
+                found, counts = self._found(plan, keep)
+                n = counts.get("rows", 0)
                 yield "search_completed", {"retrieved": n, "reason": self.skipped(plan)}
-                short = self.short(plan, self.gated(plan, found))
-                total = short.count()
-                yield "shortlist_completed", {"shortlisted": total}
+                short, counts = keep(self.short(plan, self.gated(plan, found)), "short")
+                yield "shortlist_completed", {"shortlisted": counts.get("rows", 0)}
                 sent = 0
                 for outputs, gaps, trace in self._reason_batches(short, batch):
                     done = self._assembled(plan, self._with_reasons(short, outputs)).where(F.col("expert_id").isin(trace.candidate_ids))

@@ -8,6 +8,7 @@ import re
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.text import term_pattern
@@ -218,3 +219,18 @@ def branch_queries(plan: QueryPlan, instruct: bool = False) -> list[BranchQuery]
         if wide != squash(sparse) or squash(wide_dense) != squash(dense):
             out.append(BranchQuery(branch, "expanded", wide, head + wide_dense))
     return out
+
+
+def branch_tasks(queries: DataFrame, planner: Any = None, instruct: bool = False) -> DataFrame:
+    """L4-L6, R1-R1c, R7 over a table of queries (query_id, text), in Arrow batches: query_id, branch, path, sparse, dense of each search task. Without keywords a query has none."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for query, text in zip(frame["query_id"], frame["text"], strict=True):
+                plan = plan_with(planner, text or "") if planner else fallback_plan(text or "")
+                rows += [(query, t.branch, t.path, t.sparse, t.dense) for t in branch_queries(plan, instruct)] if plan.retrieval_core else []
+            yield pd.DataFrame(rows, columns=["query_id", "branch", "path", "sparse", "dense"])
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return queries.select("query_id", "text").mapInPandas(run, f"query_id {kind}, branch string, path string, sparse string, dense string")

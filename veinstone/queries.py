@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +20,8 @@ from .plans import lexicon as X
 from .plans.engine import Engine
 from .plans.models import sparse_column
 from .plans.plan import QueryPlan, branch_queries, constrain, plans
+from .sources.files import fingerprint
+from .sources.scratch import fresh
 from .sources.corpus import evidence_items, experts, explode_points, fixtures, flat_evidence, points, source_texts, table
 from .sources.sinks import cached_result, collection_info, ensure_collection, feedback_rows, result_key
 from .streaming.queries import feedback_counts
@@ -242,38 +241,97 @@ def synthetic_fixtures(spark: SparkSession, d: str) -> DataFrame:
 
 # --- retrieval -------------------------------------------------------------------------------------------
 
-POINTS = """
-p AS (SELECT doc_id AS point_id, source AS expert_id, CASE lang WHEN 'es' THEN 'basic' WHEN 'en' THEN 'art' WHEN 'fr' THEN 'pat' ELSE 'pjt' END AS branch, embedding, regexp_extract_all(lower(text), '[0-9a-z가-힣]+') AS toks FROM documents JOIN embeddings ON doc_id = vec_id),
-st AS (SELECT count(*) AS n, avg(len(toks)) AS al, {df} FROM p),
-sc AS (SELECT p.*, {sparse} FROM p, st)
-"""
+COS = "round(list_dot_product(CAST(sc.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(sc.embedding AS DOUBLE[]), CAST(sc.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 6)"
 
 
-def _bm(terms: list[str], name: str) -> str:
-    f = lambda w: f"len(list_filter(toks, lambda t: t = '{w}'))"
-    return "round(0.0::DOUBLE + " + " + ".join(f"ln(1 + (n - df_{w} + 0.5::DOUBLE) / (df_{w} + 0.5::DOUBLE)) * {f(w)} * 2.2::DOUBLE / ({f(w)} + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len(toks) / al))" for w in terms) + f", 6) AS {name}"
+_ENGINES: dict = {}
 
 
-POINTS = POINTS.format(df=", ".join(f"count(*) FILTER (list_contains(toks, '{w}')) AS df_{w}" for w in WIDE), sparse=_bm(TERMS, "s1") + ", " + _bm(WIDE, "s2"))
-COS = "round(list_dot_product(CAST(sc.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(sc.embedding AS DOUBLE[]), CAST(sc.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 6)"
-TASKS = f"""
-t AS (SELECT point_id, expert_id, branch, 'stable' AS path, s1 AS sparse, {COS} AS dense FROM sc, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
-      UNION ALL SELECT point_id, expert_id, branch, 'expanded', s2, {COS} FROM sc, (SELECT embedding FROM embeddings WHERE vec_id = 1) q),
-a AS (SELECT *, row_number() OVER (PARTITION BY branch, path ORDER BY sparse DESC, point_id) AS sr FROM t WHERE sparse > 0),
-b AS (SELECT *, row_number() OVER (PARTITION BY branch, path ORDER BY dense DESC, point_id) AS dr FROM a WHERE sr <= 1000),
-c AS (SELECT *, round(CASE WHEN dr <= 100 THEN 1.0::DOUBLE / (60 + dr) ELSE 0 END + CASE WHEN sr <= 100 THEN 1.0::DOUBLE / (60 + sr) ELSE 0 END, 9) AS rrf_score FROM b),
-h AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY branch, path ORDER BY rrf_score DESC, point_id) AS INTEGER) AS rank FROM c WHERE rrf_score > 0) WHERE rank <= 50),
-k AS (SELECT *, dense * CASE branch WHEN 'pjt' THEN 1.015::DOUBLE WHEN 'pat' THEN 1.005::DOUBLE WHEN 'art' THEN 1.0::DOUBLE ELSE 0.99::DOUBLE END AS w,
-      CASE branch WHEN 'basic' THEN 0 WHEN 'art' THEN 2 WHEN 'pat' THEN 4 ELSE 6 END + CASE path WHEN 'stable' THEN 0 ELSE 1 END AS task FROM h WHERE dense >= 0.0),
-g AS (SELECT expert_id, max(w) AS score, count(*) FILTER (path = 'stable') AS stable_hits, count(*) FILTER (path <> 'stable') AS expanded_hits,
-      string_agg(DISTINCT branch, '|' ORDER BY branch) AS branches, count(DISTINCT branch) AS n_branches FROM k GROUP BY 1)
-"""
-HEAD = f"WITH {POINTS}, {TASKS} "
+def stored_once(spark: SparkSession, d: str, name: str, make):
+    """What make gives, once a session and state of the tables: changed documents or vectors are stored anew."""
+    key = (spark.sparkContext.applicationId, d, name, fingerprint(spark, f"{d}/documents.parquet", f"{d}/embeddings.parquet"))
+    if key not in _ENGINES:
+        _ENGINES[key] = make()
+    return _ENGINES[key]
+
+
+def corpus_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points, people and items of the driver's tables: documents as points, sources as experts, documents' texts as evidence of a year by their id."""
+    pts = points(spark, d)
+
+    def people() -> DataFrame:
+        counts = {f"{n}_cnt": F.count_if(F.col("branch") == b) for n, b in (("article", "art"), ("patent", "pat"), ("project", "pjt"))}
+        own = pts.groupBy("expert_id").agg(*(c.alias(n) for n, c in counts.items())).withColumns({"name": F.concat(F.lit("Expert "), "expert_id"), "org": F.concat(F.lit("org "), "expert_id"), "degree": F.lit("PhD")})
+        path = fresh(spark)
+        own.write.parquet(path)
+        return spark.read.parquet(path)
+
+    kind = F.when(F.col("branch") == "pat", "patent").when(F.col("branch") == "pjt", "project").otherwise("paper")
+    date = F.concat((F.lit(1975) + F.pmod("point_id", F.lit(40))).cast("string"), F.lit("-01-01"))
+    items = pts.select("expert_id", kind.alias("type"), F.concat_ws(":", kind, "point_id").alias("item_id"), F.split("content_text", "\n")[0].alias("title"), F.col("content_text").alias("body"), date.alias("date"))
+    return pts, stored_once(spark, d, "people", people), items
+
+
+def engine(spark: SparkSession, d: str, limits: R.Limits | None = None, **more) -> Engine:
+    """The engine over the driver's tables; its index and people are stored once a session, texts are encoded as hashed vectors."""
+    pts, people, items = corpus_of(spark, d)
+    more.setdefault("index", stored_once(spark, d, "index", lambda: R.build_index(pts, fresh(spark))))
+    return Engine(spark, pts, people, items, limits or LIMITS, YEAR, **more)
+
+
+BRANCH = "CASE lang WHEN 'es' THEN 'basic' WHEN 'en' THEN 'art' WHEN 'fr' THEN 'pat' ELSE 'pjt' END"
+POINTS = f"p AS (SELECT doc_id AS point_id, source AS expert_id, {BRANCH} AS branch, embedding, text, regexp_extract_all(lower(text), '[0-9a-z가-힣]+') AS toks FROM documents LEFT JOIN embeddings ON doc_id = vec_id)"
+#: A text's hashed vector.
+HASHED = """
+SELECT text, list(x ORDER BY i) AS q FROM (SELECT text, i, x / sqrt(sum(x * x) OVER (PARTITION BY text)) AS x FROM (
+  SELECT text, i, CAST(concat('0x', substr(sha256(concat(text, '::', CAST(i // 8 AS VARCHAR))), CAST((i % 8) * 8 + 1 AS BIGINT), 8)) AS BIGINT) / 4294967296.0::DOUBLE - 0.5::DOUBLE AS x
+  FROM (SELECT DISTINCT dense AS text FROM qq), range(64) t(i))) GROUP BY 1"""
+
+
+BM25_SQL = "ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * le / al))"
+
+
+def search_sql(tasks: str, cutoff: float = 0.0, where: str = "true", after: str = "true", support: str = "stable_hits >= 1 OR (expanded_hits >= 2 AND n_branches >= 2)", hashed: str = HASHED, points_: str = POINTS, weigh: str = BM25_SQL) -> str:
+    """The engine's search in SQL, for the tasks that a select gives (query_id, branch, path, sparse, dense): statistics by branch, filters before the prefetch (where) and on hits (after); ends with o, the experts."""
+    return f"""
+WITH {points_},
+tf AS (SELECT point_id, expert_id, branch, term, count(*) AS tf FROM (SELECT point_id, expert_id, branch, unnest(toks) AS term FROM p) GROUP BY ALL),
+st AS (SELECT branch, count(*) AS n, avg(len(toks)) AS al FROM p GROUP BY 1),
+le AS (SELECT point_id, len(toks) AS le FROM p),
+df AS (SELECT branch, term, count(*) AS df FROM tf GROUP BY 1, 2),
+pe AS (SELECT expert_id, count(*) FILTER (branch = 'art') AS article_cnt FROM p GROUP BY 1),
+qq AS ({tasks}),
+w AS (SELECT query_id, branch, path, term, count(*) AS qf FROM (SELECT query_id, branch, path, unnest(regexp_extract_all(lower(sparse), '[0-9a-z가-힣]+')) AS term FROM qq) GROUP BY ALL),
+sc AS (SELECT query_id, tf.branch, path, tf.point_id, expert_id, round(sum({weigh}), 6) AS sparse
+  FROM w JOIN tf ON tf.branch = w.branch AND tf.term = w.term JOIN df ON df.branch = w.branch AND df.term = w.term JOIN st ON st.branch = w.branch JOIN le ON le.point_id = tf.point_id
+  WHERE expert_id IN (SELECT expert_id FROM pe WHERE {where}) GROUP BY ALL),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id, branch, path ORDER BY sparse DESC, point_id) AS sr FROM sc WHERE sparse > 0),
+hv AS ({hashed}),
+t AS (SELECT a.*, {COS.replace("sc.", "p.").replace("q.embedding", "hv.q")} AS dense FROM a JOIN p ON p.point_id = a.point_id JOIN qq ON qq.query_id = a.query_id AND qq.branch = a.branch AND qq.path = a.path JOIN hv ON hv.text = qq.dense WHERE sr <= 1000),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id, branch, path ORDER BY dense DESC NULLS LAST, point_id) AS dr FROM t),
+c AS (SELECT *, round(CASE WHEN dense IS NOT NULL AND dr <= 100 THEN 1.0::DOUBLE / (60 + dr) ELSE 0 END + CASE WHEN sr <= 100 THEN 1.0::DOUBLE / (60 + sr) ELSE 0 END, 9) AS rrf_score FROM b),
+h AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, branch, path ORDER BY rrf_score DESC, point_id) AS INTEGER) AS rank FROM c WHERE rrf_score > 0) WHERE rank <= 50),
+k AS (SELECT * REPLACE (coalesce(dense, 0) AS dense), coalesce(dense, 0) * CASE branch WHEN 'pjt' THEN 1.015::DOUBLE WHEN 'pat' THEN 1.005::DOUBLE WHEN 'art' THEN 1.0::DOUBLE ELSE 0.99::DOUBLE END AS w,
+  CASE branch WHEN 'basic' THEN 0 WHEN 'art' THEN 2 WHEN 'pat' THEN 4 ELSE 6 END + CASE path WHEN 'stable' THEN 0 ELSE 1 END AS task FROM h WHERE coalesce(dense, 0) >= {cutoff} AND {after}),
+g AS (SELECT query_id, expert_id, max(w) AS score, count(*) FILTER (path = 'stable') AS stable_hits, count(*) FILTER (path <> 'stable') AS expanded_hits, string_agg(DISTINCT branch, '|' ORDER BY branch) AS branches, count(DISTINCT branch) AS n_branches FROM k GROUP BY 1, 2),
+o AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, concat('Expert ', expert_id), expert_id) AS INTEGER) AS rank, expert_id, concat('Expert ', expert_id) AS name, stable_hits, expanded_hits, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN round_even(score / max(score) OVER (PARTITION BY query_id) * 100, 1) ELSE 0 END AS score_pct FROM g WHERE {support})"""
+
 
+def _engine_sql(words: list[str], cutoff: float, where: str = "true", after: str = "true", dense: str | None = None, **more: str) -> str:
+    """One query with a stable path alone."""
+    text = " ".join(words)
+    return search_sql(f"SELECT 0 AS query_id, b AS branch, 'stable' AS path, '{text}' AS sparse, '{dense or text}' AS dense FROM unnest(['basic', 'art', 'pat', 'pjt']) u(b)", cutoff, where, after, **more)
 
-@query(f"WITH {POINTS} SELECT point_id, branch, s1 AS sparse FROM sc WHERE s1 > 0 ORDER BY s1 DESC, point_id LIMIT 1000")
+
+_SHOWN = " SELECT rank, expert_id, name, stable_hits, expanded_hits, score_pct FROM o"
+
+
+@query(search_sql(f"SELECT 0 AS query_id, b AS branch, 'stable' AS path, '{' '.join(TERMS)}' AS sparse, '' AS dense FROM unnest(['basic', 'art', 'pat', 'pjt']) u(b)") + " SELECT point_id, branch, sparse FROM sc WHERE sparse > 0 ORDER BY sparse DESC, point_id LIMIT 1000")
 def sparse_topk_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25(points(spark, d), TERMS).where("sparse > 0").orderBy(F.desc("sparse"), "point_id").limit(1000).select("point_id", "branch", "sparse")
+    """R3 by one scan of the corpus, as without an index; statistics by branch."""
+    own, tasks = points(spark, d), spark.createDataFrame([(b, "stable", TERMS) for b in X.BRANCHES], "branch string, path string, terms array<string>")
+    found = R.bm25_tasks(R.scan_index(own, TERMS), tasks)
+    return found.where("sparse > 0").orderBy(F.desc("sparse"), "point_id").limit(1000).select("point_id", "branch", "sparse")
 
 
 def _vector(spark: SparkSession, d: str, i: int) -> DataFrame:
@@ -286,13 +344,21 @@ def dense_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
     return own.select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("dense")).orderBy(F.desc("dense"), "vec_id").limit(100)
 
 
+HEAD = search_sql(
+    " UNION ALL ".join(f"SELECT 0 AS query_id, b AS branch, '{path}' AS path, '{' '.join(terms)}' AS sparse, 'v{i}' AS dense FROM unnest(['basic', 'art', 'pat', 'pjt']) u(b)" for i, (path, terms) in enumerate((("stable", TERMS), ("expanded", WIDE)))),
+    hashed="SELECT concat('v', vec_id) AS text, embedding AS q FROM embeddings WHERE vec_id IN (0, 1)",
+)
+
+
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    own = R.bm25(R.bm25(points(spark, d), TERMS, "s1"), WIDE, "s2")
-    tasks = None
-    for path, score, i in (("stable", "s1", 0), ("expanded", "s2", 1)):
-        one = R.with_cosine(own, _vector(spark, d, i)).select("point_id", "expert_id", "branch", F.lit(path).alias("path"), F.col(score).alias("sparse"), "dense")
-        tasks = one if tasks is None else tasks.unionByName(one)
-    return R.cascade(tasks, LIMITS).withColumn("score", F.col("dense"))
+    """R2-R9 for given words and vectors, over the stored postings."""
+    own = engine(spark, d)
+    tasks = spark.createDataFrame([(b, path, terms) for b in X.BRANCHES for path, terms in (("stable", TERMS), ("expanded", WIDE))], "branch string, path string, terms array<string>")
+    vectors = None
+    for i, path in enumerate(("stable", "expanded")):
+        one = _vector(spark, d, i).select(F.explode(F.lit(list(X.BRANCHES))).alias("branch"), F.lit(path).alias("path"), "q")
+        vectors = one if vectors is None else vectors.union(one)
+    return own.reranked(R.bm25_tasks(own.index, tasks), vectors)
 
 
 @query(HEAD + "SELECT branch, path, rank, point_id, expert_id, sparse, dense, rrf_score FROM h")
@@ -331,7 +397,7 @@ def primary_branch(spark: SparkSession, d: str) -> DataFrame:
     return R.score_trace(_experts(spark, d))
 
 
-@query(HEAD + ", o AS (SELECT expert_id, CASE WHEN expert_id = 'src1' THEN score * 0.98::DOUBLE ELSE score END AS s FROM g) SELECT expert_id, CAST(row_number() OVER (ORDER BY s DESC, concat('n', expert_id), expert_id) AS INTEGER) AS rank, CASE WHEN max(s) OVER () > 0 THEN round_even(s / max(s) OVER () * 100, 1) ELSE 0 END AS score_pct FROM o")
+@query(HEAD + ", oo AS (SELECT expert_id, CASE WHEN expert_id = 'src1' THEN score * 0.98::DOUBLE ELSE score END AS s FROM g) SELECT expert_id, CAST(row_number() OVER (ORDER BY s DESC, concat('n', expert_id), expert_id) AS INTEGER) AS rank, CASE WHEN max(s) OVER () > 0 THEN round_even(s / max(s) OVER () * 100, 1) ELSE 0 END AS score_pct FROM oo")
 def final_rank(spark: SparkSession, d: str) -> DataFrame:
     named = _experts(spark, d).withColumns({"org": F.when(F.col("expert_id") == "src1", F.lit("")).otherwise(F.lit("x")), "name": F.concat(F.lit("n"), "expert_id")})
     return R.normalised(R.final_order(R.penalise(named, LIMITS))).select("expert_id", "rank", "score_pct")
@@ -667,16 +733,10 @@ def retry_decisions(spark: SparkSession, d: str) -> DataFrame:
 # --- stored tables -----------------------------------------------------------------------------------------
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder for stored tables: shared where the session names one, else this process' own."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="veinstone-")
-    return f"{base.rstrip('/')}/veinstone-{uuid.uuid4().hex}"
-
-
 @query("SELECT 'r_name' AS name, 'string' AS type, count(*) AS n FROM region UNION ALL SELECT 'r_regionkey', 'int', count(*) FROM region")
 def collection_metadata(spark: SparkSession, d: str) -> DataFrame:
     """A collection is created once, a second creation leaves it."""
-    path, own = scratch(spark), table(spark, d, "region").select("r_regionkey", "r_name")
+    path, own = fresh(spark), table(spark, d, "region").select("r_regionkey", "r_name")
     ensure_collection(own, path)
     ensure_collection(own.limit(1), path)
     info = collection_info(spark, path)
@@ -686,7 +746,7 @@ def collection_metadata(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT n_nationkey, false AS first_hit, true AS second_hit, false AS other_hit FROM nation WHERE n_nationkey > 3")
 def stored_results(spark: SparkSession, d: str) -> DataFrame:
     """A result is stored under its texts, filters and snapshot; another snapshot is another result."""
-    folder, own = scratch(spark), table(spark, d, "nation").where("n_nationkey > 3")
+    folder, own = fresh(spark), table(spark, d, "nation").where("n_nationkey > 3")
     keys = [result_key("texts", "{}", s) for s in ("a", "a", "b")]
     found = [cached_result(spark, folder, k, lambda: own) for k in keys]
     flags = {n: F.lit(hit) for n, (_, hit) in zip(("first_hit", "second_hit", "other_hit"), found, strict=True)}
@@ -695,50 +755,11 @@ def stored_results(spark: SparkSession, d: str) -> DataFrame:
 
 # --- the engine --------------------------------------------------------------------------------------------
 
-_ENGINES: dict = {}
-
-
-def engine(spark: SparkSession, d: str, limits: R.Limits | None = None) -> Engine:
-    """The engine over the driver's tables: documents as points, sources as experts, documents' texts as evidence; its index and people are stored once a session."""
-    pts = points(spark, d)
-    counts = {f"{n}_cnt": F.count_if(F.col("branch") == b) for n, b in (("article", "art"), ("patent", "pat"), ("project", "pjt"))}
-    people = pts.groupBy("expert_id").agg(*(c.alias(n) for n, c in counts.items())).withColumns({"name": F.concat(F.lit("Expert "), "expert_id"), "org": F.concat(F.lit("org "), "expert_id"), "degree": F.lit("PhD")})
-    kind = F.when(F.col("branch") == "pat", "patent").when(F.col("branch") == "pjt", "project").otherwise("paper")
-    items = pts.select("expert_id", kind.alias("type"), F.concat_ws(":", kind, "point_id").alias("item_id"), F.concat_ws(" ", F.lit("document"), "point_id", F.split("content_text", "\n")[0]).alias("title"), F.col("content_text").alias("body"), F.lit("2000-01-01").alias("date"))
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _ENGINES:
-        path = scratch(spark)
-        people.write.parquet(f"{path}/people")
-        _ENGINES[key] = R.build_index(pts, path), spark.read.parquet(f"{path}/people")
-    index, people = _ENGINES[key]
-    return Engine(spark, pts, people, items, limits or LIMITS, YEAR, query_vector=lambda text: _vector(spark, d, 0), index=index)
-
-
-def _engine_sql(words: list[str], cutoff: float, where: str = "true", after: str = "true") -> str:
-    """The engine's search in SQL: statistics by branch, filters before the prefetch (where) and on hits (after), one stable path."""
-    df = ", ".join(f"count(*) FILTER (list_contains(toks, '{w}')) AS df_{w}" for w in words)
-    return f"""
-WITH p AS (SELECT doc_id AS point_id, source AS expert_id, CASE lang WHEN 'es' THEN 'basic' WHEN 'en' THEN 'art' WHEN 'fr' THEN 'pat' ELSE 'pjt' END AS branch, embedding, text, regexp_extract_all(lower(text), '[0-9a-z가-힣]+') AS toks FROM documents JOIN embeddings ON doc_id = vec_id),
-st AS (SELECT branch, count(*) AS n, avg(len(toks)) AS al, {df} FROM p GROUP BY 1),
-pe AS (SELECT expert_id, count(*) FILTER (branch = 'art') AS article_cnt FROM p GROUP BY 1),
-sc AS (SELECT p.*, {_bm(words, "sparse")} FROM p JOIN st USING (branch) WHERE expert_id IN (SELECT expert_id FROM pe WHERE {where})),
-t AS (SELECT point_id, expert_id, branch, sparse, {COS} AS dense FROM sc, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
-a AS (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY sparse DESC, point_id) AS sr FROM t WHERE sparse > 0),
-b AS (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY dense DESC, point_id) AS dr FROM a WHERE sr <= 1000),
-c AS (SELECT *, round(CASE WHEN dr <= 100 THEN 1.0::DOUBLE / (60 + dr) ELSE 0 END + CASE WHEN sr <= 100 THEN 1.0::DOUBLE / (60 + sr) ELSE 0 END, 9) AS rrf_score FROM b),
-h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY rrf_score DESC, point_id) AS rank FROM c WHERE rrf_score > 0) WHERE rank <= 50),
-g AS (SELECT expert_id, max(dense * CASE branch WHEN 'pjt' THEN 1.015::DOUBLE WHEN 'pat' THEN 1.005::DOUBLE WHEN 'art' THEN 1.0::DOUBLE ELSE 0.99::DOUBLE END) AS score, count(*) AS stable_hits FROM h WHERE dense >= {cutoff} AND {after} GROUP BY 1),
-o AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, concat('Expert ', expert_id), expert_id) AS INTEGER) AS rank, expert_id, concat('Expert ', expert_id) AS name, stable_hits, CASE WHEN max(score) OVER () > 0 THEN round_even(score / max(score) OVER () * 100, 1) ELSE 0 END AS score_pct FROM g)"""
-
-
-_SHOWN = " SELECT rank, expert_id, name, stable_hits, CAST(0 AS BIGINT) AS expanded_hits, score_pct FROM o"
-
-
 def _shown(found: DataFrame) -> DataFrame:
     return found.select("rank", "expert_id", "name", "stable_hits", "expanded_hits", "score_pct")
 
 
-@query(_engine_sql(["the", "and", "with"], 0.0) + _SHOWN)
+@query(_engine_sql(["the", "and", "with"], 0.0, dense="the, and;, With") + _SHOWN)
 def search_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return _shown(engine(spark, d).search("the, and;\nWith"))
 
@@ -755,15 +776,15 @@ def included_search(spark: SparkSession, d: str) -> DataFrame:
     return _shown(engine(spark, d).search("the and with", include=["org src5"]))
 
 
-@query(_engine_sql(["the", "and", "with", "that", "la", "de"], 0.82) + _SHOWN)
+@query(_engine_sql(["the", "and", "with", "that", "la", "de"], 0.82, hashed="SELECT DISTINCT dense AS text, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS q FROM qq") + _SHOWN)
 def search_cutoff(spark: SparkSession, d: str) -> DataFrame:
-    """P12 at its real value: only what is close to the query's vector stays."""
-    return _shown(engine(spark, d, R.Limits()).search("the and with that la de"))
+    """P12 at its real value, with a stored vector as the query's: only what is close to it stays."""
+    return _shown(engine(spark, d, R.Limits(), query_vector=lambda text: _vector(spark, d, 0)).search("the and with that la de"))
 
 
 _OWN_ITEMS = r"""
 i AS (SELECT p.expert_id, CASE branch WHEN 'pat' THEN 'patent' WHEN 'pjt' THEN 'project' ELSE 'paper' END AS type, concat(CASE branch WHEN 'pat' THEN 'patent' WHEN 'pjt' THEN 'project' ELSE 'paper' END, ':', point_id) AS item_id,
-  concat('document ', point_id, ' ', string_split(text, chr(10))[1]) AS title, text AS body, '2000-01-01' AS date, 2000 AS year FROM p JOIN o USING (expert_id)),
+  string_split(text, chr(10))[1] AS title, text AS body, concat(1975 + point_id % 40, '-01-01') AS date, 1975 + point_id % 40 AS year FROM p JOIN o USING (expert_id)),
 v AS (SELECT *, lower(trim(regexp_replace(title, '[\s\p{Z}]+', ' ', 'g'))) AS t, lower(trim(regexp_replace(body, '[\s\p{Z}]+', ' ', 'g'))) AS bo, replace(t, ' ', '') AS tc, replace(bo, ' ', '') AS bc, row_number() OVER (PARTITION BY expert_id, type ORDER BY date DESC, title DESC, item_id) AS pos, count(*) OVER (PARTITION BY expert_id, type) AS n FROM i),
 """
 _SCORED = ITEMS[ITEMS.index("f AS (SELECT *") :].replace("bluebolt", "the").replace("blue bolt", "the").replace("'small'", "'and'").replace("contains(t, 'economy') OR contains(bo, 'economy') AS ge", "false AS ge")
@@ -784,3 +805,6 @@ def recommend_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend_pipeline(spark, sf_dir)
+
+
+from . import search_queries as _search_queries  # noqa: E402, F401  registers its queries

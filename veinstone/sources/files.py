@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,6 +33,15 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in (f.getPath().getName() for f in fs.listStatus(to)) if not n.startswith((".", "_")))
 
 
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A digest of the files' names, lengths and times: another one after any change."""
+    seen = []
+    for path in paths:
+        to, fs = _hadoop(spark, path)
+        seen += sorted(f"{path}|{f.getPath().getName()}|{f.getLen()}|{f.getModificationTime()}" for f in (fs.listStatus(to) if fs.exists(to) else ()))
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()
+
+
 def publish(spark: SparkSession, path: str, text: str, replace: bool = False) -> bool:
     """Write a file aside and rename it; False if path exists already. A writer that dies before the rename leaves nothing that is read.
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import threading
 import time
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranks import global_rank
+from .files import names, publish, read_text
 
 FEEDBACK = "id long, created_at string, query string, selected_expert_ids string, rejected_expert_ids string, notes string, metadata string"
 
@@ -38,15 +37,11 @@ def last_id(spark: SparkSession, path: str) -> int:
         return 0
 
 
-_CLAIMING = threading.Lock()
-
-
 def save_feedback(spark: SparkSession, path: str, frame: DataFrame) -> int:
     """Append to the store, a folder for each call, and return the last id.
 
-    Every call first claims its range of ids: a file <first>-<last> beside the store, behind a marker <first> that only one
-    writer can create (writers of one process take turns; others rely on a file system that creates files atomically).
-    Ids follow on from the range before, so two writers never give equal ids.
+    Every call first claims its range of ids: a file named by the first one that holds the last one, published whole. Of two
+    writers one gets it and the other goes on behind its range; one that dies leaves either no claim or a claimed range without rows.
     """
     n = frame.count()
     if not n:
@@ -57,18 +52,13 @@ def save_feedback(spark: SparkSession, path: str, frame: DataFrame) -> int:
 
 
 def _claim(spark: SparkSession, path: str, n: int) -> int:
-    to = spark._jvm.org.apache.hadoop.fs.Path
-    fs = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    with _CLAIMING:
-        for _ in range(200):
-            fs.mkdirs(to(f"{path}.claims"))
-            fs.mkdirs(to(f"{path}.starts"))
-            first = 1 + max((int(f.getPath().getName().split("-")[1]) for f in fs.listStatus(to(f"{path}.claims"))), default=0)
-            if fs.createNewFile(to(f"{path}.starts/{first}")):
-                fs.createNewFile(to(f"{path}.claims/{first}-{first + n - 1}"))
-                return first
-            time.sleep(0.05)  # the other writer's claim is about to appear
-    raise TimeoutError(f"another writer has claimed id {first} of {path} and not finished")
+    folder = f"{path}.claims"
+    for _ in range(1000):
+        newest = max(map(int, names(spark, folder)), default=None)
+        first = 1 if newest is None else int(read_text(spark, f"{folder}/{newest:020d}") or 0) + 1
+        if publish(spark, f"{folder}/{first:020d}", str(first + n - 1)):
+            return first
+    raise TimeoutError(f"other writers keep claiming ids of {path}")
 
 
 def ensure_collection(frame: DataFrame, path: str, recreate: bool = False) -> None:
@@ -114,27 +104,30 @@ def write_clustered(frame: DataFrame, path: str, columns: tuple[str, ...]) -> li
 
 
 class PlanCache:
-    """Plans by request key, as files."""
+    """Plans by request key and version of the planner, as files of a store that Spark reads; older than ttl seconds they are gone."""
+
+    def __init__(self, spark: SparkSession, folder: str, version: str = "1", ttl: float | None = None):
+        self.spark, self.folder, self.version, self.ttl = spark, folder, version, ttl
 
-    def __init__(self, folder: str):
-        self.folder = Path(folder)
+    def _file(self, key: str) -> str:
+        return f"{self.folder}/{hashlib.sha256(f'{self.version}|{key}'.encode()).hexdigest()}.json"
 
     def get(self, key: str) -> dict | None:
-        file = self.folder / f"{key}.json"
-        return json.loads(file.read_text()) if file.exists() else None
+        text = read_text(self.spark, self._file(key))
+        held = json.loads(text) if text else None
+        return held["plan"] if held and (self.ttl is None or time.time() - held["at"] <= self.ttl) else None
 
     def put(self, key: str, plan: dict) -> None:
-        self.folder.mkdir(parents=True, exist_ok=True)
-        (self.folder / f"{key}.json").write_text(json.dumps(plan, ensure_ascii=False))
+        publish(self.spark, self._file(key), json.dumps({"at": time.time(), "plan": plan}, ensure_ascii=False), replace=True)
 
 
 class BranchCache(PlanCache):
     """Compiled branch texts by plan key."""
 
 
-def result_key(compiled: str, filters: str, snapshot: str) -> str:
-    """A result belongs to compiled texts, filters and a snapshot of the corpus."""
-    return hashlib.sha256("\x1f".join((compiled, filters, snapshot)).encode()).hexdigest()
+def result_key(compiled: str, filters: str, snapshot: str, *settings: str) -> str:
+    """A result belongs to compiled texts, filters, a snapshot of the corpus, and the settings that a search depends on (limits, year, encoders)."""
+    return hashlib.sha256("\x1f".join((compiled, filters, snapshot, *settings)).encode()).hexdigest()
 
 
 def cached_result(spark: SparkSession, folder: str, key: str, make) -> tuple[DataFrame, bool]:
