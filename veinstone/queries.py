@@ -248,8 +248,8 @@ _ENGINES: dict = {}
 
 
 def stored_once(spark: SparkSession, d: str, name: str, make):
-    """What make gives, once a session and state of the tables: changed documents or vectors are stored anew."""
-    key = (spark.sparkContext.applicationId, d, name, fingerprint(spark, f"{d}/documents.parquet", f"{d}/embeddings.parquet"))
+    """What make gives, once a session and state of the tables: after a change of the tables it is made anew."""
+    key = (spark.sparkContext.applicationId, d, name, fingerprint(spark, *(f"{d}/{t}.parquet" for t in ("documents", "embeddings", "customer", "orders", "lineitem", "nation"))))
     if key not in _ENGINES:
         _ENGINES[key] = make()
     return _ENGINES[key]

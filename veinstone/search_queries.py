@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import term_counts, tokens
 from .operators import retrieval as R
 from .operators import segments as S
+from .operators.metrics import ranking_metrics
+from .operators.payload import PayloadIndex, build_payload
+from .operators.relax import relaxed
 from .plans import lexicon as X
 from .plans.models import SparseBackend, sparse_backend
 from .plans.plan import QueryPlan, constrain
-from .queries import BRANCH, LIMITS, POINTS, corpus_of, engine, query, search_sql, stored_once, table
-from .sources.corpus import points
+from .queries import BRANCH, EXPERTS, SQL, YEAR, engine, query, search_sql, stored_once, table
+from .sources.corpus import experts, points
 from .sources.scratch import fresh
 
 # --- many queries in one plan ------------------------------------------------------------------------------
@@ -156,3 +159,60 @@ def index_merged(spark: SparkSession, d: str) -> DataFrame:
         return S.open_segments(spark, own.path)
 
     return _points_of(stored_once(spark, d, "merged", merged), spark)
+
+
+# --- payload indexes, relaxation, metrics ------------------------------------------------------------------
+
+
+def _payload(spark: SparkSession, d: str) -> PayloadIndex:
+    return stored_once(spark, d, "payload", lambda: build_payload(experts(spark, d), fresh(spark)))
+
+
+def _indexed(name: str, like: str, filters: dict, **more) -> None:
+    """The same filter as an earlier query's, by the payload index; same SQL."""
+
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return _payload(spark, d).search(filters, as_of=YEAR, **more).select("expert_id")
+
+    f.__name__ = name
+    query(SQL[like])(f)
+
+
+_indexed("payload_nested", "filter_nested_exists", {"art_sci_slct_nm": "1-URGENT", "art_recent_years": 3, "pat_reg_slct_nm": "F"})
+_indexed("payload_recency_pool", "filter_recency_pool", {"art_recent_years": 0.5, "pat_recent_years": 0.5, "pjt_recent_years": 0.5})
+_indexed("payload_min_counts", "filter_min_counts", {"article_cnt_min": 2, "scie_cnt_min": 1, "patent_cnt_min": 1, "project_cnt_min": 0})
+_indexed("payload_exclude_org", "filter_exclude_org", {}, exclude=["(주) nation_3"])
+_indexed("payload_include_any", "filter_include_any", {}, include=["nation_3", "NATION-4"], include_any=True)
+_indexed("payload_degree", "filter_degree", {"degree_slct_nm": ["BUILDING", "MACHINERY"]})
+
+_LADDER = ("degree = 'BUILDING'", "scie_cnt >= 2", "patent_cnt >= 2", "article_cnt >= 2")
+
+
+@query(
+    f"WITH {EXPERTS}, l AS (SELECT expert_id, greatest({', '.join(f'CASE WHEN {c} THEN 0 ELSE {i + 1} END' for i, c in enumerate(_LADDER))}) AS level FROM x WHERE project_cnt >= 1),"
+    " t AS (SELECT level, sum(count(*)) OVER (ORDER BY level) AS total FROM l GROUP BY level), c AS (SELECT coalesce(min(level) FILTER (total >= 200), 4) AS chosen FROM t)"
+    " SELECT expert_id, CAST(level AS INTEGER) AS level, array_to_string(['degree', 'scie', 'patents', 'articles'][1:chosen], '|') AS dropped FROM l, c WHERE level <= chosen"
+)
+def relaxation_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """2.11: people with a project; the other conditions go one by one until 200 pass."""
+    ladder = list(zip(("degree", "scie", "patents", "articles"), map(F.expr, _LADDER), strict=True))
+    own = relaxed(experts(spark, d), ladder, 200, F.col("project_cnt") >= 1)
+    return own.select("expert_id", "level", F.array_join("dropped", "|").alias("dropped"))
+
+
+@query("""
+WITH r AS (SELECT c_nationkey AS query_id, c_custkey AS expert_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer),
+j AS (SELECT c_nationkey AS query_id, c_custkey AS expert_id, least(3, count(*) FILTER (o_orderstatus = 'F')) AS gain FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
+p AS (SELECT * FROM j WHERE gain > 0),
+f AS (SELECT query_id, count(*) AS hits, sum(gain / log2(rank + 1)) AS dcg, min(rank) AS first FROM r JOIN p USING (query_id, expert_id) WHERE rank <= 10 GROUP BY 1),
+i AS (SELECT query_id, sum(gain / log2(k + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS k FROM p) WHERE k <= 10 GROUP BY 1),
+t AS (SELECT query_id, count(*) AS relevant FROM p GROUP BY 1)
+SELECT query_id, relevant, round(coalesce(hits / 10.0::DOUBLE, 0), 6) AS precision, round(coalesce(hits::DOUBLE / relevant, 0), 6) AS recall, round(coalesce(dcg / ideal, 0), 6) AS ndcg, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr
+FROM t JOIN i USING (query_id) LEFT JOIN f USING (query_id)""")
+def ranking_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Each nation's customers by balance, judged by how many of their orders are done."""
+    people = table(spark, d, "customer").select(F.col("c_nationkey").alias("query_id"), F.col("c_custkey").alias("expert_id"), "c_acctbal")
+    ranked = people.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c_acctbal"), "expert_id")))
+    done = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("expert_id")).agg(F.least(F.lit(3), F.count_if(F.col("o_orderstatus") == "F")).alias("gain"))
+    own = ranking_metrics(ranked, done.join(people.select("query_id", "expert_id"), "expert_id"))
+    return own.select("query_id", "relevant", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "ndcg", "mrr")))
