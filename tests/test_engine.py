@@ -114,8 +114,10 @@ def test_reasons(spark):
 def test_stores(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01", "q", ["1"], [], "n", {"a": "b"})], "created_at string, query string, selected array<string>, rejected array<string>, notes string, metadata map<string,string>")
     assert save_feedback(spark, str(tmp_path / "f"), rows) == 1 and save_feedback(spark, str(tmp_path / "f"), rows) == 2
-    cache = PlanCache(str(tmp_path / "c"))
+    cache = PlanCache(spark, str(tmp_path / "c"))
+    cache.put("k", {"a": 0})
     cache.put("k", {"a": 1})
     assert cache.get("k") == {"a": 1} and cache.get("x") is None
+    assert PlanCache(spark, str(tmp_path / "c"), version="2").get("k") is None and PlanCache(spark, str(tmp_path / "c"), ttl=-1).get("k") is None
     assert cached_result(spark, str(tmp_path / "r"), "k", lambda: spark.range(2))[1] is False
     assert cached_result(spark, str(tmp_path / "r"), "k", lambda: spark.range(9))[0].count() == 2

@@ -39,20 +39,20 @@ FEW = 1_000_000
 ROUNDED = 1e-6
 
 BM25, DOT = "bm25", "dot"
-POST = "struct<point_id:{id},expert_id:{expert},weight:double,length:int>"
+WHOLE = "point_id IS NOT NULL AND expert_id IS NOT NULL AND branch IS NOT NULL"
 
 
 def text_terms(points: DataFrame) -> DataFrame:
-    """points (point_id, expert_id, branch, content_text) -> with length and terms: array of (term, weight), weights being frequencies."""
-    own = points.select("point_id", "expert_id", "branch", tokens("content_text").alias("toks"))
+    """points (point_id, expert_id, branch, content_text) -> with length and terms: array of (term, weight), weights being frequencies. Points without id, expert or branch are left out."""
+    own = points.where(WHOLE).select("point_id", "expert_id", "branch", tokens("content_text").alias("toks"))
     counts = F.transform(term_counts("toks"), lambda t: F.struct(t["term"].alias("term"), t["tf"].cast("double").alias("weight")))
     return own.select("point_id", "expert_id", "branch", F.size("toks").alias("length"), counts.alias("terms"))
 
 
 def encoded_terms(points: DataFrame, encoder: Callable[[Column], Column]) -> DataFrame:
-    """points (point_id, expert_id, branch, content_text) -> the same with an encoder's weights. encoder: a text to map<term, weight>; terms are kept as text."""
+    """points (point_id, expert_id, branch, content_text) -> the same with an encoder's weights. encoder: a text to map<term, weight>; terms are kept as text, weights above 0. Broken points are left out."""
     pairs = F.transform(F.map_entries(encoder(F.col("content_text"))), lambda e: F.struct(e["key"].cast("string").alias("term"), e["value"].cast("double").alias("weight")))
-    return points.select("point_id", "expert_id", "branch", F.lit(0).alias("length"), F.filter(pairs, lambda t: t["weight"] > 0).alias("terms"))
+    return points.where(WHOLE).select("point_id", "expert_id", "branch", F.lit(0).alias("length"), F.filter(pairs, lambda t: t["weight"] > 0).alias("terms"))
 
 
 def bucket_of(term: Column, buckets: int) -> Column:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
 
+_TURN = threading.Lock()
+
 
 def _hadoop(spark: SparkSession, path: str):
     to = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -45,8 +48,8 @@ def fingerprint(spark: SparkSession, *paths: str) -> str:
 def publish(spark: SparkSession, path: str, text: str, replace: bool = False) -> bool:
     """Write a file aside and rename it; False if path exists already. A writer that dies before the rename leaves nothing that is read.
 
-    Two writers can't both succeed where the store renames atomically without replacing, as HDFS does; on an object store,
-    use a committer with conditional writes or a single writer.
+    Two writers can't both succeed where the store renames atomically without replacing, as HDFS does; writers of one process
+    take turns. On an object store, let one process write.
     """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     to, fs = _hadoop(spark, path)
@@ -59,7 +62,8 @@ def publish(spark: SparkSession, path: str, text: str, replace: bool = False) ->
     how = spark.sparkContext._gateway.new_array(rename, 1)
     how[0] = rename.OVERWRITE if replace else rename.NONE
     try:
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(aside), fs.makeQualified(to), how)
+        with _TURN:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(aside), fs.makeQualified(to), how)
         return True
     except Exception as e:  # noqa: BLE001  the JVM's exception, told apart by its name
         fs.delete(aside, False)
