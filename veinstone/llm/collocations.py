@@ -4,7 +4,7 @@ Three steps. (1) A sketch: blocks of documents send the cut hashes of all their
 them up (shared.py); hashes that fall together can only raise a sum, so a sum below `least` rules a phrase out, in every
 language. (2) The phrases of a block that are left compile into a pyahocorasick automaton, each between delimiters; the block's
 text, its words between the same delimiters and its pieces kept apart by another one, is scanned for all overlapping
-matches by language. (3) The blocks' counts are added up by phrase, with partial sums first, and the exact thresholds
+matches by language. Single words, which are parts of candidates alone, are counted as they are read. (3) The blocks' counts are added up by phrase, with partial sums first, and the exact thresholds
 follow as joins of phrases with their parts.
 
 The sketch has as many shards as the text needs and about a thousandth of the phrases in it share a cell, at any input; an
@@ -78,7 +78,7 @@ def _matches(automaton: ahocorasick.Automaton, texts: pa.Array) -> tuple[np.ndar
     return own, np.bincount(place, weights=np.concatenate(counts), minlength=len(own)).astype(np.int64)
 
 
-def _table(langs: list[str], words: np.ndarray, phrases: list[str] | pa.Array, f: np.ndarray) -> pa.Table:
+def _table(langs: list[str] | pa.Array, words: np.ndarray, phrases: list[str] | pa.Array, f: np.ndarray) -> pa.Table:
     columns = [pa.array(langs, pa.string()), pa.array(words.astype(np.int32)), pa.array(phrases, pa.string()), pa.array(f.astype(np.int64))]
     return pa.table(columns, ["lang", "words", "phrase", "f"])
 
@@ -88,7 +88,7 @@ COUNTS = "lang string, words int, phrase string, f long"
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """lang, words, phrase, f: exact counts, by language, of all phrases of up to longest words with at least `least` occurrences; words = 0: all words of a language."""
-    bound = max(0, least.bit_length() - 1)  # the sketch's sums come as binary logarithms
+    bound = min(least, 255)  # of the sketch's sums, which come in a byte
 
     def hashes_of(texts: pa.Array) -> Iterator[np.ndarray]:
         for _, _, hashes, *_ in _phrases(texts, longest):
@@ -97,19 +97,27 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     def use(texts: pa.Array, others: pa.Table, look: Levels) -> pa.Table:
         code = others.column("lang").combine_chunks().dictionary_encode()
         langs, code = code.dictionary.to_pylist(), code.indices.to_numpy()
-        names, lengths, seen, n_words = [], [], np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        names, lengths, seen, n_words, out = [], [], np.zeros(0, np.uint64), np.zeros(len(texts), np.int64), []
         for buf, row, hashes, words, first, end in _phrases(texts, longest):
+            body = buf.tobytes()
             n_words += np.bincount(row[words == 1], minlength=len(texts))
-            hot = np.flatnonzero(look.level(hashes.astype(np.uint64)) >= bound)
-            own, at = np.unique(hashes[hot], return_index=True)
+            own, at, place = np.unique(hashes.astype(np.uint64), return_index=True, return_inverse=True)
+            hot = look.level(own) >= bound  # in order, so neighbours are looked up together
+            # Single words are no candidates, only parts of them: they are counted here.
+            alone = np.flatnonzero((words == 1) & hot[place])
+            cells, f = np.unique(place[alone] * len(langs) + code[row[alone]], return_counts=True)
+            spots = at[cells // len(langs)]
+            single = [body[a:b].decode() for a, b in zip(first[spots].tolist(), end[spots].tolist(), strict=True)]
+            out.append(_table(pa.array(langs, pa.string()).take(pa.array(cells % len(langs))), np.ones(len(f)), single, f))
+            hot &= words[at] > 1
+            own, at = own[hot], at[hot]
             new = ~np.isin(own, seen, assume_unique=True)
-            at = hot[at[new]]
-            seen = np.concatenate([seen, own[new].astype(np.uint64)])
+            at = at[new]
+            seen = np.concatenate([seen, own[new]])
             lengths.append(words[at])
-            body = buf.tobytes()
             names += [" ".join(w.decode() for w in body[a:b].split()) for a, b in zip(first[at].tolist(), end[at].tolist(), strict=True)]
         whole = np.bincount(code, weights=n_words, minlength=len(langs)).astype(np.int64)
-        out = [_table(langs, np.zeros(len(langs)), [""] * len(langs), whole)]
+        out.append(_table(langs, np.zeros(len(langs)), [""] * len(langs), whole))
         if names:
             automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             for i, name in enumerate(names):
@@ -124,7 +132,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
         return pa.concat_tables(out).combine_chunks()
 
     own = stored(docs.select(clean(docs["text"]).alias("text"), F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang")))
-    counts = with_levels(own, hashes_of, use, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    counts = with_levels(own, hashes_of, use, COUNTS, lambda sums: np.minimum(sums, 255)).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
     return save(counts.where((F.col("f") >= least) | (F.col("words") == 0)), "phrases")
 
 

@@ -50,10 +50,15 @@ ASKED = "part int, block long, size int, steps binary, counts binary"
 ANSWERS = "block long, part int, size int, levels binary"
 
 
-def with_levels(docs: DataFrame, hashes_of: Hashes, use: Callable[[pa.Array, pa.Table, Levels], pa.Table], schema: str) -> DataFrame:
+def logarithm(counts: np.ndarray) -> np.ndarray:
+    return np.log2(counts)
+
+
+def with_levels(docs: DataFrame, hashes_of: Hashes, use: Callable[[pa.Array, pa.Table, Levels], pa.Table], schema: str, level: Callable[[np.ndarray], np.ndarray] = logarithm) -> DataFrame:
     """use(texts, other columns, levels) -> rows of schema, for every block of docs (text first; a plain scan).
 
-    hashes_of: arrays of 64-bit hashes, each text's own ones distinct. The number of shards follows the text, so a shard's
+    hashes_of: arrays of 64-bit hashes, each text's own ones distinct (where they are not, occurrences are counted). level:
+    counts to numbers below 256, not decreasing. The number of shards follows the text, so a shard's
     memory does not; blocks grow with it where a block would else send a shard next to nothing.
     """
     n_bytes = docs.agg(F.sum(F.octet_length(docs.columns[0]))).first()[0] or 0
@@ -79,7 +84,7 @@ def with_levels(docs: DataFrame, hashes_of: Hashes, use: Callable[[pa.Array, pa.
         values = np.concatenate([low + np.cumsum(unsqueeze(r["steps"], r["size"], np.uint64), dtype=np.uint64) for r in rows])
         counts = np.concatenate([unsqueeze(r["counts"], r["size"], np.uint32) for r in rows])
         _, which = np.unique(values, return_inverse=True)
-        levels = np.log2(np.bincount(which, weights=counts)).astype(np.uint8)[which]
+        levels = level(np.bincount(which, weights=counts)).astype(np.uint8)[which]
         ends = np.cumsum([r["size"] for r in rows])
         return pa.Table.from_batches([batch_of(ANSWERS, [(r["block"], r["part"], r["size"], squeeze(levels[e - r["size"] : e])) for r, e in zip(rows, ends, strict=True)])])
 
