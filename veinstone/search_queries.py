@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +13,15 @@ from .operators import segments as S
 from .operators.metrics import ranking_metrics
 from .operators.payload import PayloadIndex, build_payload
 from .operators.relax import relaxed
+from .operators.tables import register_tables
 from .plans import lexicon as X
 from .plans.models import SparseBackend, sparse_backend
 from .plans.plan import QueryPlan, constrain
 from .queries import BRANCH, EXPERTS, SQL, YEAR, engine, query, search_sql, stored_once, table
 from .sources.corpus import experts, points
+from .sources.files import folder
 from .sources.scratch import fresh
+from .streaming.sessions import SESSIONS, stored_sessions
 
 # --- many queries in one plan ------------------------------------------------------------------------------
 
@@ -216,3 +221,40 @@ def ranking_quality(spark: SparkSession, d: str) -> DataFrame:
     done = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("expert_id")).agg(F.least(F.lit(3), F.count_if(F.col("o_orderstatus") == "F")).alias("gain"))
     own = ranking_metrics(ranked, done.join(people.select("query_id", "expert_id"), "expert_id"))
     return own.select("query_id", "relevant", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "ndcg", "mrr")))
+
+
+# --- streams and table functions ---------------------------------------------------------------------------
+
+
+@query("""
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e),
+g AS (SELECT user_id, session, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM s GROUP BY 1, 2)
+SELECT CAST(user_id AS VARCHAR) AS key, CAST(session AS BIGINT) AS session, epoch_us(started) AS started, epoch_us(ended) AS ended, events FROM g
+QUALIFY session < max(session) OVER (PARTITION BY user_id) OR ended + INTERVAL 6 HOUR < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """N10, 2.11: the events as a stream, to the sessions of its users that have ended."""
+    kinds, path = table(spark, d, "events").schema, fresh(spark)
+    files = f"{d}/events.parquet"
+    stream = spark.readStream.schema(kinds)
+    stream = stream.parquet(files) if folder(spark, files) else stream.option("pathGlobFilter", "events.parquet").parquet(d)
+    stored_sessions(stream.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), f"{path}/out", f"{path}/at", key="user_id", gap_minutes=360)
+    own = spark.read.schema(SESSIONS).parquet(f"{path}/out")
+    return own.select("key", "session", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "events")
+
+
+@query(
+    "WITH r AS (SELECT c_nationkey AS batch_id, c_custkey AS expert_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS rank, CASE WHEN c_acctbal < 0 THEN 'low' ELSE c_mktsegment END AS gap FROM customer),"
+    " b AS (SELECT *, CAST((rank - 1) // 5 + 1 AS INTEGER) AS part FROM r), g AS (SELECT batch_id, part, gap, min(rank) AS f FROM b GROUP BY ALL), j AS (SELECT batch_id, part, string_agg(gap, '|' ORDER BY f) AS gaps FROM g GROUP BY ALL)"
+    " SELECT batch_id, part, count(*) AS n, any_value(gaps) AS gaps FROM b JOIN j USING (batch_id, part) GROUP BY 1, 2"
+)
+def reason_batches(spark: SparkSession, d: str) -> DataFrame:
+    """N7, N9, 2.11: a table function in SQL cuts many requests' ranked rows into batches of five and joins their gaps."""
+    register_tables(spark)
+    own = table(spark, d, "customer").select(
+        F.col("c_nationkey").alias("batch_id"), F.col("c_custkey").alias("expert_id"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")).alias("rank"),
+        F.when(F.col("c_acctbal") < 0, "low").otherwise(F.col("c_mktsegment")).alias("gap"),
+    )
+    view = f"ranked_{uuid.uuid4().hex}"
+    own.createOrReplaceTempView(view)
+    return spark.sql(f"SELECT batch_id, part, n, array_join(gaps, '|') AS gaps FROM reason_batches(TABLE(SELECT * FROM {view}) PARTITION BY batch_id ORDER BY (rank), 5)")

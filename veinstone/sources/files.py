@@ -28,6 +28,11 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def folder(spark: SparkSession, path: str) -> bool:
+    to, fs = _hadoop(spark, path)
+    return bool(fs.getFileStatus(to).isDirectory())
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """Names of a folder's published files."""
     to, fs = _hadoop(spark, path)
