@@ -163,11 +163,14 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, in
     candidates = counts.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))
     parts = F.split("phrase", " ")
     joined = lambda start, size: F.array_join(F.slice(parts, start, size), " ")
+    # A cut is its two parts: phrase and place follow from them, so joins move no string twice.
     cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
-    cuts = cuts.withColumns({"left": joined(F.lit(1), F.col("k")), "right": joined(F.col("k") + 1, F.col("words") - F.col("k"))})
+    cuts = cuts.select("lang", "a", joined(F.lit(1), F.col("k")).alias("left"), joined(F.col("k") + 1, F.col("words") - F.col("k")).alias("right"))
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"])
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
-    lowest = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(_score(F.col("a"), F.col("l"), F.col("r")).alias("score"), "k", "l", "r")).alias("cut"))
+    phrase = F.concat_ws(" ", "left", "right").alias("phrase")
+    cut = F.struct(_score(F.col("a"), F.col("l"), F.col("r")).alias("score"), F.size(F.split("left", " ")).alias("k"), "l", "r")
+    lowest = cuts.groupBy("lang", phrase, "a").agg(F.min(cut).alias("cut"))
     # All shorter phrases of two or more words inside a longer candidate, with its count.
     spans = [(i, w, size) for w in range(3, longest + 1) for size in range(2, w) for i in range(1, w - size + 2)]
     if spans:
