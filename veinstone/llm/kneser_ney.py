@@ -12,7 +12,7 @@ is folded into classes, so the model grows with the text. It never lies in one p
    each character.
 
 Both joins are on hashes of n-grams that a mapper or block sends once, so no frequent n-gram, language or source
-is a hot key. Text and models are halved by a hash of the text: what one half teaches judges the other, so no
+is a hot key; shards follow the input, and levels with few n-grams are copied, so no group meets all blocks. Text and models are halved by a hash of the text: what one half teaches judges the other, so no
 document is judged by a model that has seen it, and trusted and unknown text are measured alike.
 
 A document is kept if its mean negative log-probability lies between two quantiles of its language's trusted
@@ -49,6 +49,8 @@ LEAST = 0.05
 PAD = 0x110000
 #: Bytes of text in a block, and handled at once; distinct n-grams that a counting mapper holds.
 BLOCK, CHUNK, HOLD = 12 << 20, 1 << 18, 1 << 19
+#: Bytes of text for which there is one shard of the highest level, and so many groups of every level.
+PART = 16 << 20
 #: Lower and upper quantiles of trusted documents' deviations; trusted documents a language needs for its own; see above.
 LOW, HIGH, MIN_TRUSTED, LONG = 0.001, 0.999, 50, 4000
 
@@ -119,6 +121,11 @@ def n_parts(parts: int, level: int, order: int) -> int:
     return max(1, parts >> 2 * (order - level)) if level > 1 else 1
 
 
+def n_copies(parts: int, level: int, order: int) -> int:
+    """Copies of a level's shards: blocks are dealt out to them, so that levels with few n-grams have as many groups as the highest one."""
+    return -(-parts // n_parts(parts, level, order))
+
+
 def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
     """The shards of n-grams: all of one context in one."""
     return (gram_hash(grams[:-1]) % np.uint64(parts)).astype(np.int32)
@@ -212,9 +219,8 @@ class Model:
         self.levels, self.cuts, self.parts, self.order = levels, cuts, parts, order
 
 
-def train(texts: DataFrame, order: int = ORDER) -> Model | None:
-    """texts (text, fold 0 or 1); None unless both folds have text."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def train(texts: DataFrame, order: int = ORDER, parts: int = 8) -> Model | None:
+    """texts (text, fold 0 or 1); None unless both folds have text. parts: shards of the highest level."""
     counts = count_texts(texts, n_parts(parts, order, order), order)
     levels, cuts = {}, {}
     for level in range(order, 0, -1):
@@ -270,7 +276,7 @@ def _block_grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, l
     return found, np.concatenate([g for _, g in all_grams], axis=1)[:, where], chunks
 
 
-ASKED = "fold int, level int, part int, block long, size int, grams binary, counts binary"
+ASKED = "fold int, level int, part int, copy int, block long, size int, grams binary, counts binary"
 
 
 def requests(parts: int, order: int):
@@ -282,7 +288,8 @@ def requests(parts: int, order: int):
                 rows = []
                 for grams, _ in suffixes(_block_grams(unpacked(r)[0], order)[1]):
                     level = len(grams)
-                    rows += [(1 - r["fold"], level, p, r["block"], len(at), squeeze(grams[:, at]), None) for p, at in by_part(grams, n_parts(parts, level, order))]
+                    copy = r["block"] % n_copies(parts, level, order)
+                    rows += [(1 - r["fold"], level, p, copy, r["block"], len(at), squeeze(grams[:, at]), None) for p, at in by_part(grams, n_parts(parts, level, order))]
                 yield batch_of(ASKED, rows)
 
     return run
@@ -295,7 +302,8 @@ def answers(asked: DataFrame, model: Model) -> DataFrame:
     cuts = model.cuts
     known = None
     for level, shard in model.levels.items():
-        rows = shard.select("fold", F.lit(level).alias("level"), "part", F.lit(None).cast("long").alias("block"), "size", "grams", "counts")
+        copies = F.explode(F.sequence(F.lit(0), F.lit(n_copies(model.parts, level, model.order) - 1))).alias("copy")
+        rows = shard.select("fold", F.lit(level).alias("level"), "part", copies, F.lit(None).cast("long").alias("block"), "size", "grams", "counts")
         known = rows if known is None else known.union(rows)
 
     def run(rows: pa.Table) -> pa.Table:
@@ -314,7 +322,7 @@ def answers(asked: DataFrame, model: Model) -> DataFrame:
                 out.append((r["block"], level, part, r["size"], squeeze_share(share), squeeze_share(weight)))
         return pa.Table.from_batches([batch_of(ANSWERS, out)])
 
-    return asked.union(known).groupBy("fold", "level", "part").applyInArrow(run, ANSWERS)
+    return asked.union(known).groupBy("fold", "level", "part", "copy").applyInArrow(run, ANSWERS)
 
 
 SCORED = "key long, doc_id string, lang string, n_symbols long, nll double"
@@ -367,7 +375,8 @@ def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = H
     text = clean(F.col("text"))
     base = docs.select(text.alias("text"), F.pmod(F.xxhash64(text), F.lit(2)).cast("int").alias("fold"), row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     mine = F.col("doc_id") == F.col("trusted_id")
-    model = train(base.join(trust, mine, "left_semi").filter("length(text) > 0").select("text", "fold"))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    model = train(base.join(trust, mine, "left_semi").filter("length(text) > 0").select("text", "fold"), parts=max(8, -(-n_bytes // PART)))
     if model is None:
         out = base.select("key", "doc_id", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_symbols"), F.lit(None).cast("double").alias("nll"), F.lit(None).cast("double").alias("deviation"))
         return out.withColumn("keep", F.col("n_symbols") > 0)
