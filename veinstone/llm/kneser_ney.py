@@ -48,7 +48,7 @@ LEAST = 0.05
 #: Stands before each text; no code point.
 PAD = 0x110000
 #: Bytes of text in a block, and handled at once; distinct n-grams that a counting mapper holds.
-BLOCK, CHUNK, HOLD = 12 << 20, 1 << 18, 1 << 19
+BLOCK, CHUNK, HOLD = 8 << 20, 1 << 18, 1 << 19
 #: Bytes of text for which there is one shard of the highest level, and so many groups of every level.
 PART = 16 << 20
 #: Lower and upper quantiles of trusted documents' deviations; trusted documents a language needs for its own; see above.
