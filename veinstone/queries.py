@@ -807,4 +807,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend_pipeline(spark, sf_dir)
 
 
-from . import search_queries as _search_queries  # noqa: E402, F401  registers its queries
+from . import search_queries as _search_queries, service_queries as _service_queries  # noqa: E402, F401  they register their queries
