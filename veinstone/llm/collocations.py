@@ -94,7 +94,6 @@ COUNTS = "key string, f long"
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """lang, words, phrase, f: exact counts, by language, of all phrases of up to longest words with at least `least` occurrences; words = 0: all words of a language."""
-    bound = min(least, 255)  # of the sketch's sums, which come in a byte
 
     def hashes_of(texts: pa.Array) -> Iterator[np.ndarray]:
         for _, _, hashes, *_ in _phrases(texts, longest):
@@ -109,7 +108,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
             body = buf.tobytes()
             n_words += np.bincount(row[words == 1], minlength=len(texts))
             own, at, place = np.unique(hashes.astype(np.uint64), return_index=True, return_inverse=True)
-            hot = look.level(own) >= bound  # in order, so neighbours are looked up together
+            hot = look.level(own) > 0  # in order, so neighbours are looked up together
             # Single words are no candidates, only parts of them: they are counted here.
             alone = np.flatnonzero((words == 1) & hot[place])
             cells, f = np.unique(place[alone] * len(langs) + code[row[alone]], return_counts=True)
@@ -139,7 +138,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
         return pa.concat_tables(out).combine_chunks()
 
     own = stored(docs.select(clean(docs["text"]).alias("text"), F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang")))
-    counts = with_levels(own, hashes_of, use, COUNTS, lambda sums: np.minimum(sums, 255)).groupBy("key").agg(F.sum("f").alias("f"))
+    counts = with_levels(own, hashes_of, use, COUNTS, lambda sums: sums >= least).groupBy("key").agg(F.sum("f").alias("f"))
     phrase = F.substring_index("key", STOP, 1)
     lang = F.substr(F.col("key"), F.length(phrase) + 2)
     split = counts.select(lang.alias("lang"), F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, GAP))).alias("words"), phrase.alias("phrase"), "f")
@@ -170,7 +169,8 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, in
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
     phrase = F.concat_ws(" ", "left", "right").alias("phrase")
     cut = F.struct(_score(F.col("a"), F.col("l"), F.col("r")).alias("score"), F.size(F.split("left", " ")).alias("k"), "l", "r")
-    lowest = cuts.groupBy("lang", phrase, "a").agg(F.min(cut).alias("cut"))
+    # By language and phrase alone, as the join with longer phrases needs it.
+    lowest = cuts.groupBy("lang", phrase).agg(F.max("a").alias("a"), F.min(cut).alias("cut"))
     # All shorter phrases of two or more words inside a longer candidate, with its count.
     spans = [(i, w, size) for w in range(3, longest + 1) for size in range(2, w) for i in range(1, w - size + 2)]
     if spans:
