@@ -196,9 +196,7 @@ def test_collocations(spark, odd, more):
 
 def test_collocations_over_blocks(spark, monkeypatch):
     """Counts that only blocks together reach, phrases at the threshold, a frequent phrase; pieces and texts end phrases."""
-    from veinstone.llm import shared
-
-    monkeypatch.setattr(shared, "BLOCK", 300)
+    monkeypatch.setattr(C, "BLOCK", 300)
     texts = [f"rare pair{i}, rare pair{i}" for i in range(40)] * 5 + ["never the, same piece"] * 30 + ["just nine"] * 9 + ["just ten"] * 10 + ["über straße. Über Straße"] * 6
     docs = spark.createDataFrame([(t, ["de", None][i % 2]) for i, t in enumerate(texts)], "text string, lang string").repartition(4)
     want = collocations_of([(r.text, r.lang) for r in docs.collect()])

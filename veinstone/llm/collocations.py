@@ -34,6 +34,8 @@ from .shared import Levels, with_levels
 #: Words of a phrase at most, occurrences of it at least; share (in hundredths) of its occurrences inside a longer one that drops it.
 LONGEST, LEAST, INSIDE = 3, 10, 50
 FIRST = 2000
+#: Bytes of text in a block: the more, the fewer rows a phrase has.
+BLOCK = 12 << 20
 #: Bytes read alike: capitals are small, and what ends a piece is a line feed, which no word holds.
 _READ = np.arange(256, dtype=np.uint8)
 _READ[65:91] += 32
@@ -138,7 +140,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
         return pa.concat_tables(out).combine_chunks()
 
     own = stored(docs.select(clean(docs["text"]).alias("text"), F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang")))
-    counts = with_levels(own, hashes_of, use, COUNTS, lambda sums: sums >= least).groupBy("key").agg(F.sum("f").alias("f"))
+    counts = with_levels(own, hashes_of, use, COUNTS, lambda sums: sums >= least, BLOCK).groupBy("key").agg(F.sum("f").alias("f"))
     phrase = F.substring_index("key", STOP, 1)
     lang = F.substr(F.col("key"), F.length(phrase) + 2)
     split = counts.select(lang.alias("lang"), F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, GAP))).alias("words"), phrase.alias("phrase"), "f")

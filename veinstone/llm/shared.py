@@ -54,17 +54,17 @@ def logarithm(counts: np.ndarray) -> np.ndarray:
     return np.log2(counts)
 
 
-def with_levels(docs: DataFrame, hashes_of: Hashes, use: Callable[[pa.Array, pa.Table, Levels], pa.Table], schema: str, level: Callable[[np.ndarray], np.ndarray] = logarithm) -> DataFrame:
+def with_levels(docs: DataFrame, hashes_of: Hashes, use: Callable[[pa.Array, pa.Table, Levels], pa.Table], schema: str, level: Callable[[np.ndarray], np.ndarray] = logarithm, block: int = BLOCK) -> DataFrame:
     """use(texts, other columns, levels) -> rows of schema, for every block of docs (text first; a plain scan).
 
     hashes_of: arrays of 64-bit hashes, each text's own ones distinct (where they are not, occurrences are counted). level:
-    counts to numbers below 256, not decreasing. The number of shards follows the text, so a shard's
+    counts to numbers below 256, not decreasing. block: bytes of text in a block at least. The number of shards follows the text, so a shard's
     memory does not; blocks grow with it where a block would else send a shard next to nothing.
     """
     n_bytes = docs.agg(F.sum(F.octet_length(docs.columns[0]))).first()[0] or 0
     bits = min(64, max(24, int(n_bytes).bit_length() + SPARE))
     parts = min(MOST_SHARDS, 1 << (int(n_bytes) // (PER_HASH * SHARD)).bit_length())
-    size = max(BLOCK, parts * SENT * PER_HASH)
+    size = max(block, parts * SENT * PER_HASH)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
