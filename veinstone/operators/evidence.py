@@ -60,8 +60,10 @@ def score_items(items: DataFrame, aspects: list[str], generic: list[str], refere
     """E7, E8, E10, E11 over flat items (expert_id, type, item_id, title, body, date).
 
     Base score by position in an expert's latest-first order of the type; +8 for an aspect that is the
-    title, +5 for one in it, +3 for one in the body, +1 for each further aspect, +0.5 if recent.
+    title, +5 for one in it, +3 for one in the body, +1 for each further aspect, +0.5 if recent. Items are dealt out by
+    expert once, which serves the windows of scores, dedup, ranks and quota alike.
     """
+    items = items.repartition("expert_id")
     own = Window.partitionBy("expert_id", "type")
     at = F.row_number().over(own.orderBy(date_key("date").desc(), F.desc("title"), "item_id"))
     n = F.count(F.lit(1)).over(own)
