@@ -1,11 +1,14 @@
 """The segmented index against full scans, many queries in one plan, stored results, payload bitmaps, relaxation, metrics."""
 
+import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veinstone import report
 from veinstone.operators import payload as PI
 from veinstone.operators import relax
 from veinstone.operators import retrieval as R
@@ -13,7 +16,7 @@ from veinstone.operators import segments as S
 from veinstone.operators.filters import apply_filters
 from veinstone.operators.metrics import mean_metrics, ranking_metrics
 from veinstone.plans.engine import Engine
-from veinstone.plans.models import SparseBackend
+from veinstone.plans.models import SparseBackend, batch_encoder, instructed
 from veinstone.sources import scratch
 from veinstone.sources.files import names, publish, read_text
 from veinstone.sources.sinks import save_feedback
@@ -284,3 +287,36 @@ def test_ranking_metrics(spark):
     assert set(got) == {1, 2} and got[1].precision == 0.5 and got[1].recall == 1 / 3 and got[1].mrr == 0.5
     assert abs(got[1].ndcg - (3 / math.log2(3)) / (3 + 2 / math.log2(3))) < 1e-12 and got[2].ndcg == got[2].mrr == 0
     assert mean_metrics(ranking_metrics(results, judged, 2)).first().n == 2
+
+
+def test_batch_encoder(spark):
+    """Batches of two; nulls stay null; the wrong number of dimensions is an error; a model's name tells whether it wants instructions."""
+
+    def model(texts):
+        if any(t == "" for t in texts):
+            return np.zeros((len(texts), 3))
+        return np.array([[len(t), len(texts)] for t in texts], float)
+
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(["a", None, "bb", "ccc", "dd", None])], "i int, t string").coalesce(1)
+    got = {r.i: r.v for r in frame.select("i", batch_encoder(model, 2, size=2)(F.col("t")).alias("v")).collect()}
+    assert got == {0: [1, 2], 1: None, 2: [2, 2], 3: [3, 2], 4: [2, 2], 5: None}
+    with pytest.raises(Exception, match="2 dimensions"):
+        spark.createDataFrame([("",)], "t string").select(batch_encoder(model, 2)(F.col("t"))).collect()
+    assert instructed("multilingual-E5-large-Instruct") and not instructed("bge-m3")
+
+
+def test_evaluation(spark, corpus, index, tmp_path, capsys):
+    """A table of queries by one plan; one that finds nobody has a row too; the command line prints rows and means."""
+    own = engine(spark, corpus, index=index)
+    queries = spark.createDataFrame([(1, "w0 w1"), (2, "zzz"), (3, "w5")], "query_id int, text string")
+    best_of = {i: own.search(t).orderBy("rank").first() for i, t in ((1, "w0 w1"), (3, "w5"))}
+    judged = spark.createDataFrame([(1, best_of[1].expert_id, 2), (3, "nobody", 1)], "query_id int, expert_id string, gain int")
+    got = {r.query_id: r for r in report.evaluate(own, queries, judged).collect()}
+    assert got[1].top_id == best_of[1].expert_id and got[1].retrieved > 0 and got[1].mrr == 1 and got[3].mrr == 0
+    assert got[2].retrieved == 0 and got[2].top_id is None and got[2].ndcg is None
+    for name, frame in (("points.parquet", own.points), ("people.parquet", own.people), ("items.parquet", own.items), ("queries", queries), ("judged", judged)):
+        frame.write.parquet(str(tmp_path / name))
+    S.create_segments(S.text_terms(own.points), str(tmp_path / "index"))
+    assert report.main([str(tmp_path), "--evaluate", str(tmp_path / "queries"), str(tmp_path / "judged")], spark) == 0
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert len(lines) == 4 and lines[-1]["n"] == 2

@@ -28,7 +28,7 @@ from ..operators.segments import DOT, SegmentedIndex
 from ..sources.scratch import Keep, kept
 from ..sources.sinks import PlanCache, cached_result, result_key, save_feedback
 from . import lexicon as X
-from .models import SparseBackend
+from .models import SparseBackend, instructed
 from .plan import BranchQuery, QueryPlan, branch_queries, branch_tasks, constrain, contract_of, fallback_plan, plan_with, unique
 
 log = logging.getLogger("veinstone")
@@ -53,7 +53,7 @@ class Engine:
     def __init__(self, spark: SparkSession, points: DataFrame, people: DataFrame, items: DataFrame, limits: R.Limits | None = None, reference_year: int = 2001, planner: Callable[[str], QueryPlan] | None = None, query_vector: Callable[[str], DataFrame] | None = None, generator: Callable[[str], str] | None = None, strict: bool = True, index: R.Index | SegmentedIndex | None = None, cache: str | None = None, snapshot: str = "", instruct: bool = False, feedback: str | None = None, strict_settings: bool = False, seeded: bool = False, encode: Callable[[Column], Column] | None = None, sparse: SparseBackend | None = None, encoder: str = "", ttl: float | None = None):
         V.validate_settings(strict_settings, generator, query_vector, seeded)
         self.spark, self.points, self.people, self.items, self.index = spark, points, people, items, index
-        self.limits, self.reference_year, self.planner, self.strict, self.instruct = limits or R.Limits(), reference_year, planner, strict, instruct
+        self.limits, self.reference_year, self.planner, self.strict, self.instruct = limits or R.Limits(), reference_year, planner, strict, instruct or instructed(encoder)
         self.encode, self._query_vector, self.sparse, self.encoder = encode, query_vector, sparse, encoder
         if (sparse is not None and sparse.encoder is not None) != (isinstance(index, SegmentedIndex) and index.kind == DOT):
             raise ValueError("an encoder's query weights need an index of its weights, and term frequencies one of terms")

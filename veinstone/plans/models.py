@@ -82,3 +82,34 @@ def sparse_column(text: Column, model: Callable[[str], tuple[np.ndarray, np.ndar
 def checked_dimension(vector: Column, dim: int) -> Column:
     """an error for vectors of another length than the collection's."""
     return F.when(F.size(vector) == dim, vector).otherwise(F.raise_error(F.concat(F.lit(f"expected {dim} dimensions, got "), F.size(vector).cast("string"))))
+
+
+def instructed(model: str) -> bool:
+    """Whether a dense model wants an instruction before the query, told by its name."""
+    return "instruct" in model.lower()
+
+
+def batch_encoder(model: Callable[[list[str]], np.ndarray], dim: int, size: int = 256) -> Callable[[Column], Column]:
+    """a column of texts to array<double>, on the executors, size texts a call. Null texts are null; a wrong number or length of vectors is an error.
+
+    Serves tables of points and of queries alike, e.g. as Engine(encode=...).
+    """
+
+    def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            out: list[Any] = [None] * len(part)
+            at = [i for i, t in enumerate(part) if isinstance(t, str)]
+            for k in range(0, len(at), size):
+                own = at[k : k + size]
+                found = np.asarray(model([part.iloc[i] for i in own]), float)
+                if found.shape != (len(own), dim):
+                    raise ValueError(f"expected {len(own)} vectors of {dim} dimensions, got an array of {found.shape}")
+                for i, vector in zip(own, found, strict=True):
+                    out[i] = vector.tolist()
+            yield pd.Series(out, dtype=object)
+
+    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from each(texts)
+
+    encode.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return lambda text: F.pandas_udf(encode, "array<double>")(text)

@@ -15,8 +15,9 @@ from .operators.payload import PayloadIndex, build_payload
 from .operators.relax import relaxed
 from .operators.tables import register_tables
 from .plans import lexicon as X
-from .plans.models import SparseBackend, sparse_backend
+from .plans.models import SparseBackend, batch_encoder, sparse_backend
 from .plans.plan import QueryPlan, constrain
+from .report import evaluate
 from .queries import BRANCH, EXPERTS, SQL, YEAR, engine, query, search_sql, stored_once, table
 from .sources.corpus import experts, points
 from .sources.files import folder
@@ -80,6 +81,33 @@ def block_max_share(spark: SparkSession, d: str) -> DataFrame:
     return index_of(spark, d).blocks_read(_wanted(spark, d), ("query_id", "branch"), 10)
 
 
+_JUDGED = "SELECT DISTINCT q.item_id AS query_id, source AS expert_id, 1 + q.item_id % 3 AS gain FROM benchmark q JOIN documents d ON q.item_id % 20 = d.doc_id % 20"
+
+
+@query(
+    search_sql(TASKS) + f", ju AS ({_JUDGED}), fo AS (SELECT o.query_id, sum(gain / log2(rank + 1)) AS dcg, min(rank) AS best FROM o JOIN ju USING (query_id, expert_id) WHERE rank <= 10 GROUP BY 1),"
+    " ii AS (SELECT query_id, sum(gain / log2(k + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS k FROM ju) WHERE k <= 10 GROUP BY 1),"
+    " oo AS (SELECT query_id, count(*) AS retrieved, arg_min(expert_id, rank) AS top_id FROM o GROUP BY 1)"
+    " SELECT query_id, coalesce(retrieved, 0) AS retrieved, coalesce(top_id, '') AS top_id, round(coalesce(dcg / ideal, 0), 6) AS ndcg, round(coalesce(1.0::DOUBLE / best, 0), 6) AS mrr FROM (SELECT item_id AS query_id FROM benchmark) LEFT JOIN oo USING (query_id) JOIN ii USING (query_id) LEFT JOIN fo USING (query_id)"
+)
+def search_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Every passage searched and judged: experts of documents whose number goes with the passage's are relevant."""
+    q, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    key = lambda c: F.pmod(F.col(c), F.lit(20)).alias("key")
+    judged = q.select(F.col("item_id").alias("query_id"), key("item_id")).join(docs.select(F.col("source").alias("expert_id"), key("doc_id")).distinct(), "key")
+    judged = judged.select("query_id", "expert_id", (1 + F.pmod("query_id", F.lit(3))).alias("gain"))
+    own = evaluate(engine(spark, d, index=index_of(spark, d)), asked(spark, d), judged)
+    return own.select("query_id", "retrieved", F.coalesce("top_id", F.lit("")).alias("top_id"), F.round("ndcg", 6).alias("ndcg"), F.round("mrr", 6).alias("mrr"))
+
+
+@query("SELECT p_partkey, CAST(length(p_name) AS DOUBLE) AS x, CAST(length(p_name) - length(replace(p_name, 'o', '')) AS DOUBLE) AS y, 2 AS n FROM part")
+def encoded_texts(spark: SparkSession, d: str) -> DataFrame:
+    """a batch encoder over a table: lengths and counts of a letter as vectors of two dimensions."""
+    encoder = batch_encoder(lambda texts: [[len(t), t.count("o")] for t in texts], 2)
+    own = table(spark, d, "part").select("p_partkey", encoder(F.col("p_name")).alias("v"))
+    return own.select("p_partkey", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"), F.size("v").alias("n"))
+
+
 # --- expanded paths and support ----------------------------------------------------------------------------
 
 _WIDE = "SELECT 0 AS query_id, b AS branch, 'stable' AS path, 'the and' AS sparse, 'the and' AS dense FROM unnest(['basic', 'art', 'pat', 'pjt']) u(b)" + "".join(
