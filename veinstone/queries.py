@@ -743,14 +743,14 @@ def collection_metadata(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(c, t, info["rows"]) for c, t in info["columns"].items()], "name string, type string, n long")
 
 
-@query("SELECT n_nationkey, false AS first_hit, true AS second_hit, false AS other_hit FROM nation WHERE n_nationkey > 3")
+@query("SELECT n_nationkey, n_name, false AS first_hit, true AS second_hit, false AS other_hit, false AS strict_hit FROM nation")
 def stored_results(spark: SparkSession, d: str) -> DataFrame:
-    """A result is stored under its texts, filters and snapshot; another snapshot is another result."""
-    folder, own = fresh(spark), table(spark, d, "nation").where("n_nationkey > 3")
-    keys = [result_key("texts", "{}", s) for s in ("a", "a", "b")]
+    """A result is stored under its texts, filters, snapshot and settings; another snapshot or another cutoff is another result."""
+    folder, own = fresh(spark), table(spark, d, "nation").select("n_nationkey", "n_name")
+    keys = [result_key("texts", "{}", snapshot, cutoff) for snapshot, cutoff in (("a", "0.82"), ("a", "0.82"), ("b", "0.82"), ("a", "0.5"))]
     found = [cached_result(spark, folder, k, lambda: own) for k in keys]
-    flags = {n: F.lit(hit) for n, (_, hit) in zip(("first_hit", "second_hit", "other_hit"), found, strict=True)}
-    return found[1][0].select("n_nationkey").withColumns(flags)
+    flags = {n: F.lit(hit) for n, (_, hit) in zip(("first_hit", "second_hit", "other_hit", "strict_hit"), found, strict=True)}
+    return found[1][0].withColumns(flags)
 
 
 # --- the engine --------------------------------------------------------------------------------------------
