@@ -222,10 +222,15 @@ def display(ordered: DataFrame, top_k: int | None, limit_candidates: bool) -> Da
     return ordered.where(F.col("rank") <= top_k) if limit_candidates and top_k is not None else ordered
 
 
-def score_trace(hits: DataFrame) -> DataFrame:
+def traced() -> list[Column]:
     """The primary branch is that of the least (rank, -score, branch)."""
     first = F.col("matches")[0]
-    return hits.select("expert_id", first["branch"].alias("primary_branch"), first["rank"].alias("primary_rank"), F.round("score", 6).alias("final_score"), F.size("matches").alias("n_matches"))
+    return [first["branch"].alias("primary_branch"), first["rank"].alias("primary_rank"), F.round("score", 6).alias("final_score"), F.size("matches").alias("n_matches")]
+
+
+def score_trace(hits: DataFrame) -> DataFrame:
+    """traced() by expert."""
+    return hits.select("expert_id", *traced())
 
 
 def final_order(hits: DataFrame, name: str = "name", by: tuple[str, ...] = ()) -> DataFrame:

@@ -324,7 +324,7 @@ class Engine:
                 with self._timed("search_ms"):
                     found, metrics["search"] = self._found(plan, keep)
                     # Candidates: branch_output points of 8 tasks at most.
-                    names = [r.asDict(recursive=True) for r in R.score_trace(found).join(found.select("expert_id", "rank", "name", "score", "stable_hits", "expanded_hits", "branches"), "expert_id").orderBy("rank").collect()]
+                    names = [r.asDict(recursive=True) for r in found.select("expert_id", "rank", "name", "stable_hits", "expanded_hits", "branches", *R.traced()).orderBy("rank").collect()]
             reasons, gaps, rows, generation, gates, summary, selection = [], [], [], {}, {}, {}, []
             if not names:
                 status = "skipped" if self.skipped(plan) else "no_match"
