@@ -10,7 +10,7 @@ from veinstone.operators import recommend as G
 from veinstone.operators import retrieval as R
 from veinstone.operators.filters import compile_filters
 from veinstone.plans.plan import QueryPlan, branch_queries, constrain, fallback_plan, plan_with, prune
-from veinstone.sources.sinks import PlanCache, cached_result, save_feedback
+from veinstone.sources.sinks import BranchCache, PlanCache, cached_result, save_feedback
 
 
 def one(spark, column, **values):
@@ -118,6 +118,10 @@ def test_stores(spark, tmp_path):
     cache.put("k", {"a": 0})
     cache.put("k", {"a": 1})
     assert cache.get("k") == {"a": 1} and cache.get("x") is None
+    made = []
+    for _ in range(2):
+        assert BranchCache(spark, str(tmp_path / "b")).texts("plan", lambda: made.append(1) or [{"branch": "art"}]) == [{"branch": "art"}]
+    assert made == [1]
     assert PlanCache(spark, str(tmp_path / "c"), version="2").get("k") is None and PlanCache(spark, str(tmp_path / "c"), ttl=-1).get("k") is None
     assert cached_result(spark, str(tmp_path / "r"), "k", lambda: spark.range(2))[1] is False
     assert cached_result(spark, str(tmp_path / "r"), "k", lambda: spark.range(9))[0].count() == 2

@@ -26,7 +26,7 @@ from ..operators import recommend as G
 from ..operators import retrieval as R
 from ..operators.segments import DOT, SegmentedIndex
 from ..sources.scratch import Keep, kept
-from ..sources.sinks import PlanCache, cached_result, result_key, save_feedback
+from ..sources.sinks import BranchCache, PlanCache, cached_result, result_key, save_feedback
 from . import lexicon as X
 from .models import SparseBackend, instructed
 from .plan import BranchQuery, QueryPlan, branch_queries, branch_tasks, constrain, contract_of, fallback_plan, plan_with, unique
@@ -62,6 +62,7 @@ class Engine:
         if cache and not self.snapshot:
             raise ValueError("stored results need a snapshot: without one, changed data would not be seen")
         self.plans = PlanCache(spark, f"{cache}/plans", ttl=ttl) if cache else None
+        self.branches = BranchCache(spark, f"{cache}/branches", ttl=ttl) if cache else None
         self.timers: dict[str, float] = {}
         self.trace: dict[str, Any] = {}
 
@@ -107,8 +108,11 @@ class Engine:
     # --- search ---
 
     def tasks(self, plan: QueryPlan) -> list[BranchQuery]:
-        """R1-R1c, R7, R8."""
-        return branch_queries(plan, self.instruct)
+        """R1-R1c, R7, R8, S12."""
+        if self.branches is None:
+            return branch_queries(plan, self.instruct)
+        told = self.branches.texts(f"{self.instruct}|{plan.to_json()}", lambda: [asdict(t) for t in branch_queries(plan, self.instruct)])
+        return [BranchQuery(**t) for t in told]
 
     def _vectors(self, tasks: list[BranchQuery]) -> DataFrame:
         """branch, path, q: one row for each task; equal texts are encoded once. R8: a task whose text can't be encoded is left out, unless all are."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,7 +123,15 @@ class PlanCache:
 
 
 class BranchCache(PlanCache):
-    """Compiled branch texts by plan key."""
+    """The branch texts compiled from a plan, by the plan itself."""
+
+    def texts(self, plan: str, make: Callable[[], list[dict]]) -> list[dict]:
+        """The stored texts of a plan, made and stored if there are none."""
+        held = self.get(plan)
+        if held is None:
+            held = {"tasks": make()}
+            self.put(plan, held)
+        return held["tasks"]
 
 
 def result_key(compiled: str, filters: str, snapshot: str, *settings: str) -> str:
