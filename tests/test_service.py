@@ -135,6 +135,13 @@ def test_many_items_of_one_expert_stay_bounded(spark):
     assert [x.item_id for x in out] == both[:2]
 
 
+def test_quota_with_repeated_ids(spark):
+    """Items that share an id and a set of aspects take one place; the next id follows."""
+    rows = spark.createDataFrame([(1, "paper", f"paper:{i // 5}", f"title {i} ab", "body", f"2000-01-{28 - i}") for i in range(10)], "expert_id long, type string, item_id string, title string, body string, date string")
+    out = E.select_quota(E.dedup(E.score_items(rows, ["ab"], [], 2000)), ["ab"]).first().selected
+    assert [(x.item_id, x.title) for x in out] == [("paper:0", "title 0 ab"), ("paper:1", "title 5 ab")]
+
+
 def test_planning(spark):
     assert heuristic_plan("AI chips", top_k=3).retrieval_core == [] and heuristic_plan("AI chips").top_k == 15
     plan = fallback_plan("drone system expert")

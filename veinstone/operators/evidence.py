@@ -119,12 +119,15 @@ def select_quota(items: DataFrame, aspects: list[str], cap: int = CAP, per_aspec
     First every aspect not yet covered takes the best item that holds it; then the order fills up, leaving
     out items with an aspect that has per_aspect already; cap in all. A first-pass item covers all its aspects.
 
-    Of items with the same set of aspects only the first cap can be chosen: if one of them is left out, all
+    Ids may repeat, and an id is chosen once. Of items with the same set of aspects and one id only the first can be chosen,
+    and of those with the same set only the ones with the first cap ids: if one is left out and its id is not chosen, all
     later ones are. So a row holds at most cap items for each set, however many an expert has; texts are cut to
     snippets there and bodies never collected.
     """
     kept = ranked(items)
-    same = F.row_number().over(Window.partitionBy("expert_id", "direct", F.array_join("aspects", "\x1f")).orderBy("item_rank"))
+    own = ("expert_id", "direct", F.array_join("aspects", "\x1f"))
+    kept = kept.withColumn("__same", F.row_number().over(Window.partitionBy(*own, F.when(F.col("direct"), F.col("item_id"))).orderBy("item_rank"))).where("__same = 1")
+    same = F.row_number().over(Window.partitionBy(*own).orderBy("item_rank"))
     kept = kept.withColumn("__same", same).where(F.when(F.col("direct"), F.col("__same") <= cap).otherwise(F.col("__same") == 1)).drop("__same")
     extra = [F.col("detail") if "detail" in items.columns else F.col("body").alias("detail"), rich_snippet(items).alias("snippet")]
     row = F.struct("item_rank", "item_id", "type", "title", "date", "aspects", "generic", "score", "is_future", *extra)
