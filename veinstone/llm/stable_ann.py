@@ -3,12 +3,12 @@
 Largest inner product becomes least distance by one added component (sqrt(M^2 - |x|^2), M the shard's
 largest norm; 0 for queries). Gaussian projections to M_DIMS dimensions are 2-stable: the squared
 projected distance over the squared true one is chi-square with M_DIMS degrees of freedom. Each shard
-keeps all its vectors in a kd-tree over the projections. A query walks the tree by least projected distance to a
-node's box; a vector whose projected distance is no more than that of all boxes still to come is the next projected
-neighbour and is verified exactly. The walk stops when a vector nearer than the k-th best so far would have been
-among those already verified with probability CONFIDENCE. A confidence above 1 never stops: the exact way.
+keeps all its vectors in the leaves of a kd-tree over the projections. Queries meet leaves in blocks, each its nearest ones
+first. A vector is verified exactly unless its projected distance is so large that one nearer than the query's k-th best so
+far would have a smaller one with probability CONFIDENCE; a leaf whose whole box is that far is left out. The k-th
+best only improves, so all that a walk in order of projected distance verifies is verified. A confidence above 1 leaves out nothing: the exact way.
 
-Nothing is sampled: every vector is indexed. On random unit vectors of 64 dimensions, where distances differ least,
+Nothing is sampled: every vector is indexed; of equal vectors in a shard the 2 k first by vec_id can be among a query's k. On random unit vectors of 64 dimensions, where distances differ least,
 the test skips about a third of the vectors; clustered ones let it skip more. `nearest`
 returns how many it verified.
 
@@ -19,8 +19,8 @@ Empty tables give no rows.
 
 from __future__ import annotations
 
-import heapq
 import math
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +31,10 @@ from .vectors import QUERIES, SHARD, first_k, packed, search, usable
 
 #: Projected dimensions (even), vectors in a leaf, the test's confidence, the projections' seed.
 M_DIMS, LEAF, CONFIDENCE, SEED = 16, 64, 0.94, 11
-#: Projected neighbours verified between two tests.
-STEP = 32
+#: A query's nearest leaves, which give its test a first radius.
+FIRST = 4
+#: Bytes of components that a block of queries holds.
+ASKED = 4 * QUERIES
 
 
 def projections(dim: int) -> np.ndarray:
@@ -71,73 +73,108 @@ def kd_tree(points: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.n
     return order, np.array(nodes, np.int64), np.stack(boxes)
 
 
-def build(ids: np.ndarray, mat: np.ndarray) -> dict[str, bytes]:
-    """A shard: vectors and their projections in leaf order, the tree and the largest squared norm."""
+def build(ids: np.ndarray, mat: np.ndarray, copies: int | None = None) -> dict[str, bytes]:
+    """A shard: vectors and their projections in leaf order, the tree and the largest squared norm. copies: rows kept of equal vectors, in order of ids."""
+    kept = np.arange(len(ids))
+    if copies is not None:
+        _, group = np.unique(mat, axis=0, return_inverse=True)
+        rows = np.lexsort((ids, group.ravel()))
+        ends = np.flatnonzero(np.diff(group.ravel()[rows], prepend=-1))
+        kept = np.sort(rows[np.arange(len(rows)) - np.repeat(ends, np.diff(ends, append=len(rows))) < copies])
+        mat = mat[kept]
     norm = (mat * mat).sum(axis=1)
     most = float(norm.max())
     points = np.hstack([mat, np.sqrt(np.maximum(0, most - norm))[:, None]]) @ projections(mat.shape[1])
     order, nodes, boxes = kd_tree(points, LEAF)
-    return {"order": order.astype(np.int64).tobytes(), "mat": mat[order].tobytes(), "points": points[order].tobytes(), "nodes": nodes.tobytes(), "boxes": boxes.tobytes(), "most": np.float64(most).tobytes()}
+    return {"order": kept[order].astype(np.int64).tobytes(), "mat": mat[order].tobytes(), "points": points[order].tobytes(), "nodes": nodes.tobytes(), "boxes": boxes.tobytes(), "most": np.float64(most).tobytes()}
 
 
 def _plain(ids: np.ndarray, mat: np.ndarray) -> dict[str, bytes]:
     return {"mat": mat.tobytes()}
 
 
-def _walk(own: int, q: np.ndarray, p: np.ndarray, away: np.ndarray, ids: np.ndarray, mat: np.ndarray, points: np.ndarray, nodes: list, most: float, k: int, confidence: float) -> np.ndarray:
-    """Positions of the vectors verified for one query. away: the squared projected distance to each node's box."""
-    heap = [(away[0], 0)]
-    waiting, wait_far = np.zeros(0, np.int64), np.zeros(0)
-    done: list[np.ndarray] = []
-    best = np.zeros(0)
-    base = float(q @ q) + most
-    while heap or len(waiting):
-        if heap:
-            _, node = heapq.heappop(heap)
-            left, right, begin, end = nodes[node]
-            if left >= 0:
-                heapq.heappush(heap, (away[left], left))
-                heapq.heappush(heap, (away[right], right))
-                continue
-            gap = points[begin:end] - p
-            waiting = np.concatenate([waiting, np.arange(begin, end)])
-            wait_far = np.concatenate([wait_far, (gap * gap).sum(axis=1)])
-        ahead = heap[0][0] if heap else math.inf
-        near = wait_far <= ahead
-        if not near.any():
-            continue
-        order = np.flatnonzero(near)[np.argsort(wait_far[near], kind="stable")]
-        turn, turn_far = waiting[order], wait_far[order]
-        waiting, wait_far = waiting[~near], wait_far[~near]
-        beyond = min(ahead, float(wait_far.min()) if len(wait_far) else math.inf)
-        for at in range(0, len(turn), STEP):
-            some = turn[at : at + STEP]
-            done.append(some)
-            some = some[ids[some] != own]
-            best = np.concatenate([best, mat[some] @ q])
-            if len(best) > k:
-                best = np.partition(best, len(best) - k)[len(best) - k :]
-            further = float(turn_far[at + STEP]) if at + STEP < len(turn) else beyond
-            if len(best) == k and further < math.inf and chi_square(further / max(base - 2 * float(best.min()), 1e-300), M_DIMS) >= confidence:
-                return np.concatenate(done)
-    return np.concatenate(done)
+def _limit(confidence: float) -> float:
+    """The quotient of squared distances at which the chi-square test holds."""
+    if confidence >= 1:
+        return math.inf
+    low, high = 0.0, 600.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid, M_DIMS) < confidence else (low, mid)
+    return high
+
+
+def _leaves(nodes: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) and boxes of the tree's leaves in order of their vectors."""
+    own = np.flatnonzero(nodes[:, 0] < 0)
+    own = own[np.argsort(nodes[own, 2], kind="stable")]
+    return nodes[own, 2:], boxes[own]
 
 
 def nearest(names: np.ndarray, q: np.ndarray, shard: dict, dim: int, k: int, confidence: float = CONFIDENCE) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-    """(ids, scores) of each query's k best found, and how many vectors were verified."""
+    """(ids, scores) of each query's k best found, and how many vectors were verified.
+
+    All queries walk together: a leaf is met with those whose test does not yet exclude its box, each query's nearest
+    leaves first, and of its vectors a query takes those that its test does not exclude at that time.
+    """
     ids, mat = np.frombuffer(shard["ids"], np.int64), np.frombuffer(shard["mat"], np.float64).reshape(-1, dim)
     points, boxes = np.frombuffer(shard["points"], np.float64).reshape(-1, M_DIMS), np.frombuffer(shard["boxes"], np.float64).reshape(-1, 2, M_DIMS)
-    nodes = np.frombuffer(shard["nodes"], np.int64).reshape(-1, 4).tolist()
+    spans, boxes = _leaves(np.frombuffer(shard["nodes"], np.int64).reshape(-1, 4), boxes)
     most = float(np.frombuffer(shard["most"], np.float64)[0])
-    out, verified = [], 0
-    for own, one, p in zip(names, q, np.hstack([q, np.zeros((len(q), 1))]) @ projections(dim), strict=True):
-        gap = np.maximum(0, np.maximum(boxes[:, 0] - p, p - boxes[:, 1]))
-        seen = _walk(own, one, p, (gap * gap).sum(axis=1).tolist(), ids, mat, points, nodes, most, k, confidence)
-        verified += len(seen)
-        seen = seen[ids[seen] != own]
+    p = np.hstack([q, np.zeros((len(q), 1))]) @ projections(dim)
+    own = (q * q).sum(axis=1)
+    # Products of blocks are rounded otherwise than the scores, which are added in a fixed order.
+    slack = 1e-14 * dim * np.sqrt(most * own)
+    p_own, points_own = (p * p).sum(axis=1), (points * points).sum(axis=1)
+    box = np.empty((len(q), len(spans)))
+    for i, (low, high) in enumerate(boxes):
+        gap = np.maximum(0, np.maximum(low - p, p - high))
+        box[:, i] = (gap * gap).sum(axis=1)
+    factor = _limit(confidence)
+    best = np.full((len(q), k), -math.inf)
+    least, within = best[:, 0].copy(), np.full(len(q), math.inf)
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    verified = 0
+
+    def meet(asked: np.ndarray, leaf: int) -> None:
+        nonlocal verified
+        begin, end = spans[leaf]
+        far = p_own[asked, None] + points_own[begin:end] - 2 * (p[asked] @ points[begin:end].T)
+        take = far <= within[asked, None]
+        verified += int(take.sum())
+        score = np.where(take & (names[asked, None] != ids[begin:end]), q[asked] @ mat[begin:end].T, -math.inf)
+        row, at = np.nonzero((score >= (least - slack)[asked, None]) & (score > -math.inf))
+        if not len(row):
+            return
+        hits.append((asked[row], at + begin, score[row, at]))
+        some = np.unique(row)
+        who = asked[some]
+        both = np.hstack([best[who], score[some]])
+        best[who] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+        least[who] = best[who, 0]
+        within[who] = factor * np.maximum(own[who] + most - 2 * least[who], 1e-300)
+
+    met = np.zeros(box.shape, bool)
+    first = np.argsort(box, axis=1, kind="stable")[:, :FIRST]
+    for turn in first.T:
+        for leaf in np.unique(turn):
+            meet(np.flatnonzero(turn == leaf), leaf)
+        met[np.arange(len(q)), turn] = True
+    for leaf in np.argsort(box.mean(axis=0), kind="stable"):
+        asked = np.flatnonzero(~met[:, leaf] & (box[:, leaf] <= within))
+        if len(asked):
+            meet(asked, leaf)
+    who, at, score = (np.concatenate(c) for c in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 3
+    good = score >= (least - 2 * slack)[who]
+    who, at = who[good], at[good]
+    order = np.argsort(who, kind="stable")
+    ends = np.searchsorted(who[order], np.arange(len(q) + 1))
+    out = []
+    for i, one in enumerate(q):
+        seen = at[order[ends[i] : ends[i + 1]]]
         score = (mat[seen] * one).sum(axis=1)
-        best = first_k(ids[seen], score, k)
-        out.append((ids[seen][best], score[best]))
+        kept = first_k(ids[seen], score, k)
+        out.append((ids[seen][kept], score[kept]))
     return out, verified
 
 
@@ -148,8 +185,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int, confidence: float
         names, q = np.frombuffer(asked["ids"], np.int64), np.frombuffer(asked["mat"], np.float64).reshape(-1, dim)
         return nearest(names, q, shard, dim, k, confidence)[0]
 
-    shards, n = packed(usable(vectors, zero=False), shard_bytes, build, k)
-    blocks, _ = packed(usable(queries, zero=False), QUERIES, _plain, 1)
+    shards, n = packed(usable(vectors, zero=False), shard_bytes, partial(build, copies=2 * k), k)
+    blocks, _ = packed(usable(queries, zero=False), ASKED, _plain, 1)
     return search(blocks, shards, n, k, find)
 
 
