@@ -125,3 +125,19 @@ def test_stores(spark, tmp_path):
     assert PlanCache(spark, str(tmp_path / "c"), version="2").get("k") is None and PlanCache(spark, str(tmp_path / "c"), ttl=-1).get("k") is None
     assert cached_result(spark, str(tmp_path / "r"), "k", lambda: spark.range(2))[1] is False
     assert cached_result(spark, str(tmp_path / "r"), "k", lambda: spark.range(9))[0].count() == 2
+
+
+def test_hashed_vectors_hash_once_a_row(spark):
+    """The plan holds one digest expression in one lambda, and the vector is that of the definition."""
+    import hashlib
+
+    import numpy as np
+
+    from veinstone.functions.vectors import hashed_unit_vector
+
+    frame = spark.createDataFrame([("drone",), ("",), ("다",)], "t string").select("t", hashed_unit_vector(F.col("t"), 20).alias("v"))
+    for r in frame.collect():
+        words = [hashlib.sha256(f"{r.t}::{i // 8}".encode()).hexdigest()[i % 8 * 8 :][:8] for i in range(20)]
+        raw = np.array([int(w, 16) for w in words]) / 2**32 - 0.5
+        assert np.allclose(r.v, raw / np.linalg.norm(raw), atol=1e-12)
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
