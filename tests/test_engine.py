@@ -141,3 +141,12 @@ def test_hashed_vectors_hash_once_a_row(spark):
         raw = np.array([int(w, 16) for w in words]) / 2**32 - 0.5
         assert np.allclose(r.v, raw / np.linalg.norm(raw), atol=1e-12)
     assert frame._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+
+
+def test_index_is_written_without_a_shuffle(spark, tmp_path):
+    """Each task writes its own points' postings: a bucket has a file a task."""
+    rows = spark.createDataFrame([(i, f"e{i % 3}", "art", f"drone w{i % 5} w{i % 5}") for i in range(40)], "point_id long, expert_id string, branch string, content_text string").repartition(3)
+    index = R.build_index(rows, str(tmp_path / "i"), 1)
+    assert len(list((tmp_path / "i" / "postings" / "bucket=0").glob("*.parquet"))) == 3
+    got = {(r.term, r.point_id, r.tf) for r in index.postings.collect()}
+    assert got == {(t, i, n) for i in range(40) for t, n in (("drone", 1), (f"w{i % 5}", 2))}

@@ -47,12 +47,14 @@ def bucket_of(term: Column, buckets: int) -> Column:
 
 
 def build_index(points: DataFrame, path: str, buckets: int = 64) -> Index:
-    """Write postings partitioned by the term's bucket and the statistics; a query then reads its terms' buckets alone."""
+    """Write postings partitioned by the term's bucket and the statistics; a query then reads its terms' buckets alone.
+
+    Each task writes the postings of its own points, so none is shuffled and a frequent term's are spread over all tasks.
+    """
     toks = tokens("content_text")
     rows = points.select("point_id", "expert_id", "branch", toks.alias("toks")).select("point_id", "expert_id", "branch", F.size("toks").alias("length"), F.explode_outer(term_counts("toks")).alias("t"))
     posts = rows.where("t is not null").select("t.term", "branch", "point_id", "expert_id", "t.tf", "length", bucket_of(F.col("t.term"), buckets).alias("bucket"))
-    # A frequent term's postings are written by several tasks.
-    posts.repartition("bucket", F.pmod(F.xxhash64("point_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    posts.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     points.groupBy("branch").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(toks)).alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
     return open_index(points.sparkSession, path, buckets)
 
