@@ -119,6 +119,19 @@ def test_segments_give_the_rows_of_a_rebuild(spark, corpus, tmp_path):
         S.create_segments(S.text_terms(points), str(tmp_path / "i"))
 
 
+def test_texts_are_counted_once_for_an_index(spark, corpus, tmp_path):
+    """A build, its number of buckets included, reads each text once (before: three times)."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        seen.add(1)
+        return text
+
+    points = spark.read.parquet(f"{corpus}/points").withColumn("content_text", F.udf(count)("content_text"))
+    index = S.create_segments(S.text_terms(points), str(tmp_path / "i"))
+    assert seen.value == index.points().count() == 300
+
+
 def shown(frame):
     return [(r["rank"], r.expert_id, round(r.score, 6), r.stable_hits) for r in frame.orderBy("rank").collect()]
 

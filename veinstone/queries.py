@@ -275,7 +275,8 @@ def corpus_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
 def engine(spark: SparkSession, d: str, limits: R.Limits | None = None, **more) -> Engine:
     """The engine over the driver's tables; its index and people are stored once a session, texts are encoded as hashed vectors."""
     pts, people, items = corpus_of(spark, d)
-    more.setdefault("index", stored_once(spark, d, "index", lambda: R.build_index(pts, fresh(spark))))
+    if "index" not in more:
+        more["index"] = stored_once(spark, d, "index", lambda: R.build_index(pts, fresh(spark)))
     return Engine(spark, pts, people, items, limits or LIMITS, YEAR, **more)
 
 
