@@ -124,14 +124,19 @@ def select_quota(items: DataFrame, aspects: list[str], cap: int = CAP, per_aspec
     later ones are. So a row holds at most cap items for each set, however many an expert has; texts are cut to
     snippets there and bodies never collected.
     """
-    kept = ranked(items)
+    return _quota(items, aspects, cap, per_aspect).select("expert_id", "selected")
+
+
+def _quota(items: DataFrame, aspects: list[str], cap: int, per_aspect: int, *more: Column) -> DataFrame:
+    """select_quota with more aggregates of all of an expert's items, by the same pass over them."""
     own = ("expert_id", "direct", F.array_join("aspects", "\x1f"))
-    kept = kept.withColumn("__same", F.row_number().over(Window.partitionBy(*own, F.when(F.col("direct"), F.col("item_id"))).orderBy("item_rank"))).where("__same = 1")
-    same = F.row_number().over(Window.partitionBy(*own).orderBy("item_rank"))
-    kept = kept.withColumn("__same", same).where(F.when(F.col("direct"), F.col("__same") <= cap).otherwise(F.col("__same") == 1)).drop("__same")
+    kept = ranked(items).withColumn("__first", F.row_number().over(Window.partitionBy(*own, F.when(F.col("direct"), F.col("item_id"))).orderBy("item_rank")) == 1)
+    # First ones of an id come before repeated ones, so their numbers have no gaps.
+    kept = kept.withColumn("__same", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("__first"), "item_rank")))
     extra = [F.col("detail") if "detail" in items.columns else F.col("body").alias("detail"), rich_snippet(items).alias("snippet")]
     row = F.struct("item_rank", "item_id", "type", "title", "date", "aspects", "generic", "score", "is_future", *extra)
-    direct = kept.groupBy("expert_id").agg(F.array_sort(F.collect_list(F.when(F.col("direct"), row))).alias("items"))
+    can = F.col("direct") & F.col("__first") & (F.col("__same") <= cap)
+    direct = kept.groupBy("expert_id").agg(F.array_sort(F.collect_list(F.when(can, row))).alias("items"), *more)
     chosen = F.filter("items", lambda x: F.lit(False))
     have = lambda a: F.flatten(F.transform(a, lambda x: x["aspects"]))
     out = direct.withColumn("chosen", chosen)
@@ -145,7 +150,7 @@ def select_quota(items: DataFrame, aspects: list[str], cap: int = CAP, per_aspec
         taken = F.exists(acc, lambda y: y["item_id"] == x["item_id"])
         return F.when((F.size(acc) < cap) & ~full & ~taken, F.concat(acc, F.array(x))).otherwise(acc)
 
-    return out.select("expert_id", F.array_sort(F.aggregate("items", F.col("chosen"), fill)).alias("selected"))
+    return out.withColumn("selected", F.array_sort(F.aggregate("items", F.col("chosen"), fill))).drop("items", "chosen")
 
 
 def rich_snippet(items: DataFrame) -> Column:
@@ -186,11 +191,20 @@ def prefix(cards: DataFrame, limit: int, *order: str) -> DataFrame:
 
 def bundles(items: DataFrame, selected: DataFrame) -> DataFrame:
     """Aspects of what was selected; generic terms, direct matches and futures of all deduplicated items."""
-    stats = items.groupBy("expert_id").agg(
-        F.count_if("direct").alias("direct_match_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("generic")))).alias("generic_terms"),
-    )
-    chosen = selected.select("expert_id", "selected", F.array_sort(F.array_distinct(F.flatten(F.transform("selected", lambda x: x["aspects"])))).alias("matched_aspects"))
-    out = stats.join(chosen, "expert_id", "left")
+    return _bundled(items.groupBy("expert_id").agg(*_stats()).join(selected.select("expert_id", "selected"), "expert_id", "left"))
+
+
+def quota_bundles(items: DataFrame, aspects: list[str], cap: int = CAP, per_aspect: int = PER_ASPECT) -> DataFrame:
+    """bundles(items, select_quota(items, aspects)) by one pass: items are scored and ordered once, and nothing is joined."""
+    return _bundled(_quota(items, aspects, cap, per_aspect, *_stats()))
+
+
+def _stats() -> tuple[Column, Column]:
+    return F.count_if("direct").alias("direct_match_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("generic")))).alias("generic_terms")
+
+
+def _bundled(rows: DataFrame) -> DataFrame:
+    out = rows.withColumn("matched_aspects", F.array_sort(F.array_distinct(F.flatten(F.transform("selected", lambda x: x["aspects"])))))
     return out.select(
         "expert_id", "direct_match_count", "generic_terms", "matched_aspects", F.size("matched_aspects").alias("aspect_coverage"),
         ((F.col("direct_match_count") == 0) & (F.size("generic_terms") > 0)).alias("generic_only"),

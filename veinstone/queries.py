@@ -450,8 +450,7 @@ def evidence_quota(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bundles(spark: SparkSession, d: str) -> DataFrame:
-    items = E.dedup(_items(spark, d))
-    return E.bundles(items, E.select_quota(items, ASPECTS))
+    return E.quota_bundles(E.dedup(_items(spark, d)), ASPECTS)
 
 
 BUNDLES = f"WITH {ITEMS}, {QUOTA}, bu AS (SELECT expert_id, count(*) FILTER (direct) AS direct_match_count, bool_or(ge) AS gen FROM dd GROUP BY 1), bs AS (SELECT bu.*, sel, (len(list_filter(sel, lambda x: x.a)) > 0)::INT + (len(list_filter(sel, lambda x: x.b)) > 0)::INT AS cov FROM bu JOIN q USING (expert_id))"
