@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from veinstone.operators import evidence as E
+from veinstone.plans import plan as P
 
 
 def test_quota_and_counts_come_from_one_pass(spark):
@@ -13,3 +14,13 @@ def test_quota_and_counts_come_from_one_pass(spark):
     shown = lambda f: sorted(map(str, f.select(*apart.columns).collect()))
     assert shown(own) == shown(apart) and own.where(F.size("selected") > 0).count() == 3
     assert "Join" not in own._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_words_pattern_is_made_once(monkeypatch):
+    made = []
+    real = P.term_pattern
+    monkeypatch.setattr(P, "term_pattern", lambda terms: made.append(1) or real(terms))
+    P.fallback_plan("find zinc quark expert")
+    first = len(made)
+    P.fallback_plan("find lead gluon expert")
+    assert len(made) == first <= 3
