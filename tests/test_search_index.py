@@ -132,6 +132,63 @@ def test_texts_are_counted_once_for_an_index(spark, corpus, tmp_path):
     assert seen.value == index.points().count() == 300
 
 
+def shuffled(spark, run):
+    """Bytes that the stages of run write for shuffles."""
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteBytes() for s in map(found.apply, range(found.size()))}
+
+    last = max(stages(), default=-1)
+    run()
+    return sum(n for i, n in stages().items() if i > last)
+
+
+def test_a_merge_shuffles_its_points_once_and_packed(spark, tmp_path, monkeypatch):
+    """Neither postings nor, where tombstones are too many to be broadcast, the points' terms are shuffled besides."""
+    r = random.Random(5)
+    rows = [(i, f"e{i % 60}", BRANCHES[i % 4], " ".join(r.choices([f"word{j}" for j in range(3000)], k=300))) for i in range(1200)]
+    points = spark.createDataFrame(rows, "point_id long, expert_id string, branch string, content_text string")
+    changed = points.where("point_id % 5 = 0").withColumn("content_text", F.concat(F.lit("word1 word2 "), "content_text"))
+    monkeypatch.setattr(S, "FEW", 0)
+    index = S.create_segments(S.text_terms(points), str(tmp_path / "i")).add(S.text_terms(changed)).delete(spark.range(0, 1200, 7).withColumnRenamed("id", "point_id"))
+    queries, merged = {0: ["word1", "word7"], 1: ["word2"]}, []
+    want = best(index, spark, queries, 10)
+    sent = shuffled(spark, lambda: merged.append(index.merge()))
+    postings = merged[0].points().agg(F.sum(F.size("terms"))).first()[0]
+    assert sent < 8 * postings, sent / postings
+    assert best(merged[0], spark, queries, 10) == want
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_live_points_of_files_with_many_rows(spark, tmp_path, monkeypatch, few):
+    """Dead rows are marked by file and block of 32,768 rows, the first and last of a block included."""
+    monkeypatch.setattr(S, "FEW", few)
+    points = spark.range(0, 70_000, 1, 1).select(F.col("id").alias("point_id"), F.lit("e").alias("expert_id"), F.lit("art").alias("branch"), F.lit(1).alias("length"), F.expr("array(struct('w' AS term, 1.0D AS weight))").alias("terms"))
+    gone = {0, 1, 7, 8, 32_767, 32_768, 65_535, 65_536, 69_999}
+    index = S.create_segments(points, str(tmp_path / "i")).add(points.where("point_id IN (5, 32768)"))
+    index = index.delete(spark.createDataFrame([(i,) for i in gone], "point_id long")).add(points.where("point_id = 8"))
+    rows = [tuple(r) for r in index.live_points().select("seq", "point_id").collect()]
+    assert sorted(rows) == sorted([(1, i) for i in range(70_000) if i not in gone | {5, 8}] + [(2, 5), (4, 8)])
+    assert index.live_points().columns == index.points().columns
+
+
+@pytest.mark.parametrize("ids,joins", [([1, 2, None, None], False), ([1, 2, 2], True)])
+def test_texts_meet_vectors_only_where_an_id_repeats(spark, tmp_path, ids, joins):
+    """Before, an index of texts shuffled them all to meet vectors that it doesn't read."""
+    from veinstone import search_queries as Q
+    from veinstone.sources.corpus import points
+
+    d = str(tmp_path)
+    spark.createDataFrame([(i, f"text {i}", "en", f"src{i}") for i in range(5)], "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, [0.5]) for i in ids], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    own = Q._texts(spark, d)
+    assert sorted(own.collect()) == sorted(points(spark, d).drop("embedding").collect())
+    assert ("Join" in own._jdf.queryExecution().optimizedPlan().toString()) == joins
+
+
 def shown(frame):
     return [(r["rank"], r.expert_id, round(r.score, 6), r.stable_hits) for r in frame.orderBy("rank").collect()]
 

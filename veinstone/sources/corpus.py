@@ -12,12 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence points of the driver's tables: a document each, its source as expert, its language as branch; embedding is null where a document has none."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence points of the driver's tables without vectors: a document each, its source as expert, its language as branch."""
     branch = F.when(F.col("lang") == "es", "basic").when(F.col("lang") == "en", "art").when(F.col("lang") == "fr", "pat").otherwise("pjt")
-    return docs.join(vectors, "doc_id", "left").select(F.col("doc_id").alias("point_id"), F.col("source").alias("expert_id"), branch.alias("branch"), F.col("text").alias("content_text"), "embedding")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("point_id"), F.col("source").alias("expert_id"), branch.alias("branch"), F.col("text").alias("content_text"))
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents() with embedding, which is null where a document has none."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), "embedding")
+    return documents(spark, sf_dir).join(vectors, "point_id", "left").select("point_id", "expert_id", "branch", "content_text", "embedding")
 
 
 def experts(spark: SparkSession, sf_dir: str) -> DataFrame:
